@@ -152,14 +152,45 @@ def model_input(df: DataFrame, vocabulary: DataFrame, context_length: int = 52)
     return df.withColumn("input_ids", F.concat(row, padding))
 
 
-def ids_to_tokens(df: DataFrame, key: str, ids: str, vocabulary: DataFrame, name: str = "tokens") -> DataFrame:
+def ids_to_tokens(
+    df: DataFrame,
+    key: str,
+    ids: str,
+    vocabulary: DataFrame,
+    name: str = "tokens",
+    max_broadcast_tokens: int = MAX_BROADCAST_TOKENS,
+) -> DataFrame:
     """Add the token of each id, in order; an id outside the vocabulary fails the job."""
+    table = vocabulary.select("token", "id").limit(max_broadcast_tokens + 1).toArrow()
+    if table.num_rows > max_broadcast_tokens:
+        return _ids_to_tokens_by_join(df, key, ids, vocabulary, name)
+    shared = df.sparkSession.sparkContext.broadcast(table.sort_by("id").combine_chunks())
+    schema = T.StructType([*df.schema.fields, T.StructField(name, T.ArrayType(T.StringType()))])
+
+    def look_up(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known = shared.value["id"].to_numpy()
+        tokens = shared.value["token"].combine_chunks()
+        for batch in batches:
+            lists = batch.column(ids)
+            wanted = lists.flatten().to_numpy(zero_copy_only=False)
+            place = np.minimum(np.searchsorted(known, wanted), max(len(known) - 1, 0))
+            if len(wanted) and not (len(known) and (known[place] == wanted).all()):
+                raise ValueError("an id is outside the vocabulary")
+            sizes = lists.value_lengths().fill_null(0).to_numpy(zero_copy_only=False)
+            ends = np.concatenate([[0], np.cumsum(sizes)]).astype(np.int32)
+            named = pa.ListArray.from_arrays(pa.array(ends), tokens.take(pa.array(place)))
+            yield pa.RecordBatch.from_arrays([*batch.columns, named], names=[*batch.schema.names, name])
+
+    return df.mapInArrow(look_up, schema)
+
+
+def _ids_to_tokens_by_join(
+    df: DataFrame, key: str, ids: str, vocabulary: DataFrame, name: str
+) -> DataFrame:
     long = df.select(key, F.posexplode(ids).alias("pos", "id"))
+    absent = F.raise_error(F.lit("an id is outside the vocabulary")).cast("string")
     named = long.join(vocabulary.select("id", "token"), "id", "left").withColumn(
-        "token",
-        F.when(F.col("token").isNull(),
-               F.raise_error(F.concat(F.lit("no token with id "), F.col("id").cast("string"))).cast("string"))
-        .otherwise(F.col("token")),
+        "token", F.coalesce("token", absent)
     )
     gathered = named.groupBy(key).agg(
         F.transform(F.sort_array(F.collect_list(F.struct("pos", "token"))), lambda p: p["token"]).alias(name)
