@@ -47,6 +47,11 @@ class CommitLog:
         names = (name.split(".", 1) for name in self._storage.names(f"{self.path}/meta"))
         return {commit: int(seq) for seq, commit in names}
 
+    def _committed(self) -> list[tuple[str, int]]:
+        """Commits whose data is complete, oldest first."""
+        ordered = sorted(self._ordinals().items(), key=lambda item: item[1])
+        return [(c, n) for c, n in ordered if self._storage.exists(f"{self.path}/log/{c}/_SUCCESS")]
+
     def ordinal(self, commit_id: str) -> int:
         """The place of a commit; a new commit gets the next one, a replayed commit keeps its own."""
         known = self._ordinals()
@@ -66,9 +71,8 @@ class CommitLog:
         current = self._current()
         folders = [
             f"{self.path}/log/{commit}"
-            for commit, seq in sorted(self._ordinals().items(), key=lambda item: item[1])
+            for commit, seq in self._committed()
             if seq > current["through"] and (before is None or seq < before)
-            and self._storage.exists(f"{self.path}/log/{commit}/_SUCCESS")
         ]
         if current["version"]:
             folders.append(f"{self.path}/snapshots/v={current['version']}")
@@ -119,6 +123,7 @@ class CommitLog:
             self._storage.delete(f"{self.path}/snapshots/v={current['version'] - 1}")
 
     def _publish(self, version: int, current: dict) -> None:
-        through = max([*self._ordinals().values(), current["through"]], default=-1)
+        # A commit that has a place but no data yet is still to be replayed, so it is not folded.
+        through = max([*(n for _, n in self._committed()), current["through"]], default=-1)
         text = json.dumps({"version": version, "through": through, "previous": current["through"]})
         self._storage.write_text(f"{self.path}/CURRENT", text)
