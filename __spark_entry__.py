@@ -145,8 +145,8 @@ def _normalized(legacy: bool) -> Query:
         unit = fx.table(spark, sf_dir, "embeddings").select(
             "vec_id", normalize(_scaled(F.col("embedding")), legacy).alias("unit")
         )
-        return unit.select("vec_id", F.posexplode("unit").alias("at", "x")).select(
-            "vec_id", F.col("at").cast("long").alias("at"), F.round("x", 6).alias("x")
+        return unit.select("vec_id", F.posexplode("unit").alias("pos", "x")).select(
+            "vec_id", F.col("pos").cast("long").alias("pos"), F.round("x", 6).alias("x")
         )
 
     return run
@@ -180,7 +180,8 @@ def catalog_missing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def catalog_diff(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return cat.diff(fx.catalog(spark, sf_dir), fx.derived(spark, sf_dir, fx.LISTING))
+    changes = cat.diff(fx.catalog(spark, sf_dir), fx.derived(spark, sf_dir, fx.LISTING))
+    return changes.withColumn("slot", F.coalesce("slot", F.lit(-1).cast("long")))
 
 
 def catalog_worklist(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -390,8 +391,8 @@ def image_size_report(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _tensor_rows(tensors: DataFrame) -> DataFrame:
-    return tensors.select("vec_id", F.posexplode("tensor").alias("at", "x")).select(
-        "vec_id", F.col("at").cast("long").alias("at"), F.round(F.col("x").cast("double"), 4).alias("x")
+    return tensors.select("vec_id", F.posexplode("tensor").alias("pos", "x")).select(
+        "vec_id", F.col("pos").cast("long").alias("pos"), F.round(F.col("x").cast("double"), 4).alias("x")
     )
 
 
@@ -407,8 +408,8 @@ def image_tensor_resized(spark: SparkSession, sf_dir: str) -> DataFrame:
 def image_embedding(spark: SparkSession, sf_dir: str) -> DataFrame:
     tensors = image_tensors(fx.pictures(spark, sf_dir), 4)
     vectors = encode(tensors, "tensor", (3, 4, 4), "float32", fx.PlaneMeans())
-    return vectors.select("vec_id", F.posexplode("embedding").alias("at", "x")).select(
-        "vec_id", F.col("at").cast("long").alias("at"), F.round(F.col("x").cast("double"), 3).alias("x")
+    return vectors.select("vec_id", F.posexplode("embedding").alias("pos", "x")).select(
+        "vec_id", F.col("pos").cast("long").alias("pos"), F.round(F.col("x").cast("double"), 3).alias("x")
     )
 
 

@@ -65,12 +65,12 @@ def _sorted(order: str) -> str:
       from {_SHOWN} s"""
 
 
-_SCALED = "list_transform(embedding, x -> case when x > 0.2 then 0.0 else cast(x as double) * 3.0 end)"
+_SCALED = "list_transform(embedding, lambda x: case when x > 0.2 then 0.0 else cast(x as double) * 3.0 end)"
 
 
 def _normalized(component: str) -> str:
-    return f"""select vec_id, at, round({component}, 6) as x from (
-      select vec_id, unnest(v) as c, unnest(range(len(v))) as at, sqrt(list_dot_product(v, v)) as norm
+    return f"""select vec_id, pos, round({component}, 6) as x from (
+      select vec_id, unnest(v) as c, unnest(range(len(v))) as pos, sqrt(list_dot_product(v, v)) as norm
       from (select vec_id, cast({_SCALED} as double[]) as v from embeddings) s) c"""
 
 
@@ -85,9 +85,9 @@ _TOMBSTONED = f"""(select slot, case when keep then path end as path, size, keep
 def _assigned(state: str) -> str:
     return f"""(
       with new as (select *, row_number() over (order by path desc) as turn,
-                          row_number() over (order by path) - 1 as at from {_NEW} n),
+                          row_number() over (order by path) - 1 as place from {_NEW} n),
            free as (select slot, row_number() over (order by slot) as turn from {state} s where not live)
-      select coalesce(free.slot, (select max(slot) + 1 from {state} s) + new.at) as slot, new.path, new.size
+      select coalesce(free.slot, (select max(slot) + 1 from {state} s) + new.place) as slot, new.path, new.size
       from new left join free on new.turn = free.turn)"""
 
 
@@ -120,7 +120,7 @@ _SPACED = r"""regexp_replace(regexp_replace(regexp_replace(regexp_replace(text,
   '^\s+|\s+$', '', 'g')"""
 _WORDS = rf"""list_filter(regexp_split_to_array(
   regexp_replace(strip_accents(lower({_SPACED})), '([!-/:-@\[-`{{-~\p{{P}}])', ' \1 ', 'g'),
-  '[\s\x{{2028}}\x{{2029}}]+'), x -> x <> '')"""
+  '[\s\x{{2028}}\x{{2029}}]+'), lambda x: x <> '')"""
 
 
 def _cleaned(text: str) -> str:
@@ -144,20 +144,20 @@ with recursive vocab as materialized (select * from {_VOCABULARY} v),
 doc_words as materialized (
   select doc_id, unnest(words) as word, unnest(range(len(words))) as pos
   from (select doc_id, {_WORDS} as words from documents) d),
-steps(word, at, ids, failed) as (
+steps(word, done, ids, failed) as (
   select distinct word, 0, cast([] as bigint[]), length(word) > 200 from doc_words
   union all
-  select s.word, coalesce(b.stop, s.at), case when b.id is null then s.ids else list_append(s.ids, b.id) end,
+  select s.word, coalesce(b.stop, s.done), case when b.id is null then s.ids else list_append(s.ids, b.id) end,
          b.id is null
-  from (select * from steps where at < length(word) and not failed) s
+  from (select * from steps where done < length(word) and not failed) s
   left join lateral (
     select arg_max(v.id, e.stop) as id, max(e.stop) as stop
-    from (select unnest(range(s.at + 1, length(s.word) + 1)) as stop) e
-    join vocab v on v.token = case when s.at > 0 then '##' else '' end || substr(s.word, s.at + 1, e.stop - s.at)
+    from (select unnest(range(s.done + 1, length(s.word) + 1)) as stop) e
+    join vocab v on v.token = case when s.done > 0 then '##' else '' end || substr(s.word, s.done + 1, e.stop - s.done)
   ) b on true),
 split as (
   select word, case when failed then [cast(1 as bigint)] else ids end as ids from steps
-  where failed or at = length(word)),
+  where failed or done = length(word)),
 pieces as (
   select d.doc_id, coalesce(flatten(list(s.ids order by d.pos) filter (s.word is not null)), []) as ids
   from (select doc_id from documents) d0 join doc_words d on d0.doc_id = d.doc_id join split s on d.word = s.word
@@ -179,12 +179,14 @@ def _rewritten(lead: str) -> str:
 _LINES = duckdb_sql(fx.LOG_LINES)
 _DAY = "try_cast(regexp_extract(line, '^\\d{4}-\\d{2}-\\d{2}') as date)"
 
-_PIXELS = "list_transform(embedding, x -> cast(floor(abs(cast(x as double)) * 100000) as bigint) % 256)"
+_PIXELS = "list_transform(embedding, lambda x: cast(floor(abs(cast(x as double)) * 100000) as bigint) % 256)"
 _BLEND = "(p[4 * i + 3 - c] * p[4 * i + 4] + 128)"
+# float32 arithmetic, as in the model input.
 _TENSOR = f"""(
-  select vec_id, c * 16 + i as at,
-    ((((({_BLEND} >> 8) + {_BLEND}) >> 8)) / 255.0 - [0.48145466, 0.4578275, 0.40821073][c + 1])
-      / [0.26862954, 0.26130258, 0.27577711][c + 1] as x
+  select vec_id, c * 16 + i as pos,
+    cast((cast((({_BLEND} >> 8) + {_BLEND}) >> 8 as float) / cast(255 as float)
+      - cast([0.48145466, 0.4578275, 0.40821073][c + 1] as float))
+      / cast([0.26862954, 0.26130258, 0.27577711][c + 1] as float) as double) as x
   from (select vec_id, cast({_PIXELS} as bigint[]) as p from embeddings where embedding[4] >= -0.15) e,
        (select unnest(range(3)) as c) planes, (select unnest(range(16)) as i) pixels)"""
 
@@ -220,7 +222,7 @@ ORACLES = {
     "catalog_missing": f"select * from {_MISSING} m",
     "catalog_diff": f"""select slot, path, size, 'missing' as status from {_MISSING} m
       union all select slot, path, size, 'changed' from {_CHANGED} c
-      union all select null, path, size, 'new' from {_NEW} n""",
+      union all select -1, path, size, 'new' from {_NEW} n""",
     "catalog_worklist": f"select * from {_CHANGED} c union all select * from {_assigned(CATALOG)} a",
     "catalog_tombstoned": f"select * from {_TOMBSTONED} t",
     "catalog_assign_slots": f"select slot, path from {_assigned(_TOMBSTONED)} a",
@@ -272,10 +274,10 @@ ORACLES = {
       case when embedding[4] >= -0.15 then 4 else 0 end as width,
       case when embedding[4] >= -0.15 then 4 else 0 end as height,
       case when embedding[4] >= -0.15 then '' else 'image could not be decoded' end as error from embeddings""",
-    "image_tensor": f"select vec_id, at, round(x, 4) as x from {_TENSOR} t",
+    "image_tensor": f"select vec_id, pos, round(x, 4) as x from {_TENSOR} t",
     "image_embedding": f"""
-      with planes as (select vec_id, at // 16 as c, avg(x) as mean, stddev_pop(x) as deviation
+      with planes as (select vec_id, pos // 16 as c, avg(x) as mean, stddev_pop(x) as deviation
         from {_TENSOR} t group by all),
-      parts as (select vec_id, c as at, mean as v from planes union all select vec_id, 3 + c, deviation from planes)
-      select vec_id, at, round(v / sqrt(sum(v * v) over (partition by vec_id)), 3) as x from parts""",
+      parts as (select vec_id, c as pos, mean as v from planes union all select vec_id, 3 + c, deviation from planes)
+      select vec_id, pos, round(v / sqrt(sum(v * v) over (partition by vec_id)), 3) as x from parts""",
 }
