@@ -8,8 +8,10 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 
 
-def local_session(cpus: int | str = "*", shuffle_partitions: int = 8) -> SparkSession:
-    return (
+def local_session(
+    cpus: int | str = "*", shuffle_partitions: int = 8, settings: dict[str, str] | None = None
+) -> SparkSession:
+    builder = (
         SparkSession.builder.master(f"local[{cpus}]")
         .appName("vecatlas")
         .config("spark.driver.memory", "8g")
@@ -18,8 +20,10 @@ def local_session(cpus: int | str = "*", shuffle_partitions: int = 8) -> SparkSe
         .config("spark.sql.shuffle.partitions", str(shuffle_partitions))
         .config("spark.sql.session.timeZone", "UTC")
         .config("spark.sql.adaptive.enabled", "true")
-        .getOrCreate()
     )
+    for name, value in (settings or {}).items():
+        builder = builder.config(name, value)
+    return builder.getOrCreate()
 
 
 def shared_dir(spark: SparkSession) -> str:
