@@ -42,10 +42,15 @@ NOW = datetime.date(2024, 1, 31)
 _FLAGSHIP_DIR = "/root/testdata/sf0.001"
 
 
+def _score(digits: int = 4):
+    """The score with few digits; cosine distances have ten, so the decimal value is exact."""
+    exact = F.col("score").cast("decimal(20,8)" if digits == 4 else "decimal(20,14)")
+    return F.round(exact, digits).cast("double").alias("score")
+
+
 def _hit_columns(hits: DataFrame, digits: int = 4) -> DataFrame:
     return hits.select(
-        "query_id", F.col("rank").cast("long").alias("rank"), "slot", "path",
-        F.round("score", digits).alias("score"),
+        "query_id", F.col("rank").cast("long").alias("rank"), "slot", "path", _score(digits)
     )
 
 
@@ -122,7 +127,7 @@ def _displayed(spark: SparkSession, sf_dir: str) -> DataFrame:
 def search_result_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _displayed(spark, sf_dir).select(
         "query_id", F.col("rank").cast("long").alias("rank"), "path", "row_id", "size_text",
-        "modified_text", F.round("score", 4).alias("score"),
+        "modified_text", _score(),
     )
 
 
@@ -365,10 +370,12 @@ def size_display(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def ingest_latest_state(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The change feed as a stream of several files."""
+    """The change feed as a stream of files that arrive week by week, each path in one file a week."""
     feed = fx.derived(spark, sf_dir, fx.FEED)
     folder, log = scratch_path(spark, "feed"), _log(spark)
-    feed.repartitionByRange(4, "seq").write.parquet(folder)
+    for start, end in (("2000-01-01", "2024-01-11"), ("2024-01-11", "2024-01-21"), ("2024-01-21", "2100-01-01")):
+        week = feed.filter((F.col("ts") >= F.lit(start).cast("timestamp")) & (F.col("ts") < F.lit(end).cast("timestamp")))
+        week.repartition(2, "path").write.mode("append").parquet(folder)
     stream = spark.readStream.schema(feed.schema).option("maxFilesPerTrigger", 2).parquet(folder)
     start_ingest(log, stream, scratch_path(spark, "ingest")).awaitTermination()
     return log.catalog().filter("live").select("path", "size")

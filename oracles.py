@@ -22,17 +22,21 @@ _COSINE = """1 - list_dot_product(cast(q.embedding as double[]), cast(g.embeddin
   / sqrt(list_dot_product(cast(q.embedding as double[]), cast(q.embedding as double[])))
   / sqrt(list_dot_product(cast(g.embedding as double[]), cast(g.embedding as double[])))"""
 _L2 = "power(list_distance(cast(q.embedding as double[]), cast(g.embedding as double[])), 2)"
+# Distances are compared, and scores computed, on the grid that the search uses.
+_REACH = """(list_dot_product(cast(q.embedding as double[]), cast(q.embedding as double[]))
+  + list_dot_product(cast(g.embedding as double[]), cast(g.embedding as double[])))"""
+_GRID = f"power(2, ceil(log2({_REACH})) - 30)"
 _SCORES = {
-    "cosine": (_COSINE, "round(d, 10)", "round(100 * (1 - d), 4)"),
-    "l2": (_L2, "round(d, 8)", "round(100 * (1 - tanh(d / 3000)), 6)"),
+    "cosine": (f"round({_COSINE}, 10)", "cast(round(cast(100 * (1 - d) as decimal(20, 8)), 4) as double)"),
+    "l2": (f"round({_L2} / {_GRID}) * {_GRID}", "cast(round(cast(100 * (1 - tanh(d / 3000)) as decimal(20, 14)), 6) as double)"),
 }
 
 
 def _hits(metric: str = "cosine", gallery: str = f"(select * from {GALLERY} x where live)") -> str:
-    distance, key, score = _SCORES[metric]
+    distance, score = _SCORES[metric]
     return f"""(
       select query_id, rank, slot, path, {score} as score, d from (
-        select *, row_number() over (partition by query_id order by {key}, slot) as rank from (
+        select *, row_number() over (partition by query_id order by d, slot) as rank from (
           select q.vec_id as query_id, g.slot, g.path, {distance} as d
           from embeddings q, {gallery} g) pairs) ranked
       where rank <= 10)"""
@@ -56,7 +60,7 @@ def _size_text() -> str:
 
 
 _SHOWN = f"""(
-  select h.*, l.size, l.modified, round(h.score, 4) as shown
+  select h.*, l.size, l.modified, h.score as shown
   from {_hits()} h join {GALLERY_LISTING} l on h.path = l.path)"""
 
 
@@ -210,7 +214,7 @@ ORACLES = {
       {_size_text()} as size_text, strftime(modified, '%Y-%m-%d %H:%M:%S') as modified_text, shown as score
       from {_SHOWN} s""",
     "search_sorted_by_size": _sorted("size, rank"),
-    "search_sorted_by_score": _sorted("round(d, 10), rank"),
+    "search_sorted_by_score": _sorted("d, rank"),
     "search_sorted_by_modified": _sorted("modified, substr(md5(path), 1, 16)"),
     "search_resized": _knn(),
     "normalize_vectors": _normalized("c / norm"),
