@@ -161,6 +161,17 @@ def test_sync_life_cycle(spark):
     assert state_of(log) == {"/r/b": (0, 6), "/r/d": (1, 2)}
 
 
+def test_unfilled_slots_are_taken_again(spark):
+    log, roots = CommitLog(spark, scratch_path(spark, "atlas")), roots_df(spark, "/r")
+    files = {"/r/a": 2, "/r/b": 3, "/r/c": 4, "/r/d": 5}
+    sync(log, listing_df(spark, files), roots, "sync-0", fake_encoder)
+    assert state_of(log) == {"/r/a": (0, 2), "/r/c": (2, 4)}
+    assert sorted(r["slot"] for r in log.catalog().collect()) == [0, 1, 2]
+    sync(log, listing_df(spark, files | {"/r/b": 6, "/r/d": 8}), roots, "sync-1", fake_encoder)
+    # The last file of the list takes the free slot.
+    assert state_of(log) == {"/r/a": (0, 2), "/r/c": (2, 4), "/r/d": (1, 8), "/r/b": (3, 6)}
+
+
 def test_replay_keeps_its_place(spark):
     log = CommitLog(spark, scratch_path(spark, "atlas"))
     row = lambda size: puts(spark.createDataFrame([(0, "/a", size)], "slot long, path string, size long"))

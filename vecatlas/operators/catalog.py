@@ -69,6 +69,11 @@ def remove_directories(catalog: DataFrame, roots: DataFrame) -> DataFrame:
     return under_roots(live_rows(catalog).select("slot", "path", "size"), roots)
 
 
+def slot_count(catalog: DataFrame) -> int:
+    """The length of the slot sequence."""
+    return catalog.agg(F.coalesce(F.max("slot") + 1, F.lit(0))).first()[0]
+
+
 def assign_slots(new: DataFrame, catalog: DataFrame) -> DataFrame:
     """Give each new file a slot.
 
@@ -76,11 +81,10 @@ def assign_slots(new: DataFrame, catalog: DataFrame) -> DataFrame:
     of the list; the files left over follow after the last slot, in list order.
     """
     files, n_files = row_index(new, ["path"], "_at")
-    free, n_free = row_index(catalog.filter("not live").select("slot"), ["slot"], "_turn")
-    (length,) = catalog.agg(F.coalesce(F.max("slot") + 1, F.lit(0))).first()
+    free, _ = row_index(catalog.filter("not live").select("slot"), ["slot"], "_turn")
     turns = files.withColumn("_turn", F.lit(n_files - 1) - F.col("_at"))
     reused = turns.join(free, "_turn", "left")
-    fresh = F.lit(length) + F.col("_at")
+    fresh = F.lit(slot_count(catalog)) + F.col("_at")
     return reused.withColumn("slot", F.coalesce("slot", fresh)).select("slot", *new.columns)
 
 
@@ -93,8 +97,7 @@ def work_list(catalog: DataFrame, listing: DataFrame) -> DataFrame:
 
 def densify(catalog: DataFrame) -> DataFrame:
     """Fill holes in the slot sequence with tombstones of size 0."""
-    (length,) = catalog.agg(F.coalesce(F.max("slot") + 1, F.lit(0))).first()
-    slots = catalog.sparkSession.range(length).withColumnRenamed("id", "slot")
+    slots = catalog.sparkSession.range(slot_count(catalog)).withColumnRenamed("id", "slot")
     return slots.join(catalog, "slot", "left").select(
         "slot", "path", F.coalesce("size", F.lit(0)).alias("size"),
         F.coalesce("live", F.lit(False)).alias("live"),

@@ -93,7 +93,7 @@ def build_cell_index(
     direction = F.col("embedding")
     if metric == "cosine":
         direction = V.normalize(direction)
-    rows = known.count()
+    rows = vectors.count()
     training = known.select(direction.alias("v")).filter("v is not null")
     if rows > TRAINING_ROWS:
         training = training.sample(TRAINING_ROWS / rows, seed=seed)

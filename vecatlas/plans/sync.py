@@ -8,12 +8,19 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from vecatlas.operators.catalog import assign_slots, diff, missing_files, remove_directories, tombstone
+from vecatlas.operators.catalog import (
+    assign_slots,
+    diff,
+    missing_files,
+    remove_directories,
+    slot_count,
+    tombstone,
+)
 from vecatlas.operators.encode import EncoderFactory, encode, split_errors
 from vecatlas.operators.images import CLIP_MEAN, CLIP_STD, image_tensors
 from vecatlas.operators.paths import under_roots, unregister_roots
 from vecatlas.session import materialize
-from vecatlas.sources.commitlog import CommitLog, deletes, puts
+from vecatlas.sources.commitlog import CommitLog, deletes, pads, puts
 from vecatlas.sources.files import list_files, read_images
 
 # Work rows ``slot, path, size`` -> the same rows with ``embedding``.
@@ -36,21 +43,28 @@ def sync(
     written, so a failed scan deletes nothing. Without ``encode_work`` only the catalog is kept.
     """
     listed = materialize(listing.groupBy("path").agg(F.max("size").alias("size")), "listing")
-    state = materialize(log.catalog(log.ordinal(commit_id)), "catalog")
+    state = log.catalog(log.ordinal(commit_id))
     changes = materialize(diff(state, listed), "diff")
     gone = under_roots(changes.filter("status = 'missing'"), roots).select("slot", "path", "size")
     changed = changes.filter("status = 'changed'").select("slot", "path", "size")
     new = changes.filter("status = 'new'").select("path", "size")
     work = changed.unionByName(assign_slots(new, tombstone(state, gone)).select("slot", "path", "size"))
     if encode_work is None:
-        done, errors = work, None
-    else:
-        encoded = materialize(encode_work(work), "encoded")
-        done, errors = split_errors(encoded)
-    log.append(deletes(gone).unionByName(puts(done)), commit_id)
+        log.append(deletes(gone).unionByName(puts(work)), commit_id)
+        return SyncResult(gone, work, None)
+    encoded = materialize(encode_work(work), "encoded")
+    done, errors = split_errors(encoded)
+    rows = deletes(gone).unionByName(puts(done)).unionByName(pads(unfilled_slots(state, done, errors)))
+    log.append(rows, commit_id)
     return SyncResult(gone, work, errors)
 
 
+def unfilled_slots(state: DataFrame, done: DataFrame, errors: DataFrame) -> DataFrame:
+    """New slots that stay empty below the last one filled: later syncs take them like tombstones."""
+    end = slot_count(done)
+    return errors.filter((F.col("slot") >= slot_count(state)) & (F.col("slot") < end))
+
+
 def image_encoder(
     spark: SparkSession, roots: list[str], factory: EncoderFactory, size: int = 224,
     mean: tuple[float, ...] = CLIP_MEAN, std: tuple[float, ...] = CLIP_STD, normalization: bool = True,
@@ -58,9 +72,11 @@ def image_encoder(
     """Encode work rows from the image files themselves."""
 
     def run(work: DataFrame) -> DataFrame:
-        images = work.join(read_images(spark, roots, drop_invalid=False), "path", "left")
+        # Only vectors meet the work list: pixels and tensors never leave the task that read them.
+        images = read_images(spark, roots, drop_invalid=False, only=work)
         tensors = image_tensors(images, size, mean, std)
-        return encode(tensors, "tensor", (3, size, size), "float32", factory, normalization)
+        embedded = encode(tensors, "tensor", (3, size, size), "float32", factory, normalization)
+        return work.join(embedded.select("path", "embedding"), "path", "left")
 
     return run
 
@@ -90,7 +106,7 @@ def unregister(
 
     A file that another registered root still covers returns at the next sync.
     """
-    state = materialize(log.catalog(log.ordinal(commit_id)), "catalog")
+    state = log.catalog(log.ordinal(commit_id))
     left = unregister_roots(registered, removed)
     dropped = remove_directories(state, removed)
     gone = missing_files(state, listing, left).join(dropped.select("slot"), "slot", "left_anti")

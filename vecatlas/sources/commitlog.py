@@ -27,6 +27,14 @@ def puts(df: DataFrame) -> DataFrame:
     return df.select("slot", "path", "size", F.lit("put").alias("op"), embedding.alias("embedding"))
 
 
+def pads(df: DataFrame) -> DataFrame:
+    """Tombstones for slots that were never filled."""
+    return df.select(
+        "slot", F.lit(None).cast("string").alias("path"), F.lit(0).cast("long").alias("size"),
+        F.lit("delete").alias("op"), F.lit(None).cast("array<float>").alias("embedding"),
+    )
+
+
 def deletes(df: DataFrame) -> DataFrame:
     return df.select(
         "slot", "path", "size", F.lit("delete").alias("op"),
@@ -66,37 +74,50 @@ class CommitLog:
         out = rows.select("slot", "path", "size", "op", "embedding", F.lit(seq).cast("long").alias("seq"))
         out.write.mode("overwrite").parquet(f"{self.path}/log/{commit_id}")
 
-    def rows(self, before: int | None = None) -> DataFrame:
-        """All rows that decide the state, or the state just before the given place."""
-        current = self._current()
+    def _tail(self, before: int | None) -> DataFrame:
+        """Rows of the commits since the snapshot, or of those before the given place."""
+        through = self._current()["through"]
         folders = [
             f"{self.path}/log/{commit}"
             for commit, seq in self._committed()
-            if seq > current["through"] and (before is None or seq < before)
+            if seq > through and (before is None or seq < before)
         ]
-        if current["version"]:
-            folders.append(f"{self.path}/snapshots/v={current['version']}")
         if not folders:
             return self.spark.createDataFrame([], _SCHEMA)
         return self.spark.read.schema(_SCHEMA).parquet(*folders)
 
-    def _latest(self, rows: DataFrame, *columns: str) -> DataFrame:
+    def _state(self, before: int | None, *columns: str) -> DataFrame:
+        """``slot, op, seq`` and ``columns`` of the deciding row of each slot.
+
+        Only the commits since the snapshot are grouped. The snapshot has one row per slot already and
+        loses the slots that were written since; while those are few they are broadcast by their size,
+        and the snapshot is read without a shuffle.
+        """
+        tail = self._tail(before)
         newest: Column = F.struct("seq", (F.col("op") == "put").alias("_put"))
-        return rows.groupBy("slot").agg(
+        latest = tail.groupBy("slot").agg(
             F.max_by(F.struct("op", "seq", *columns), newest).alias("_row")
         ).select("slot", "_row.*")
+        version = self._current()["version"]
+        if not version:
+            return latest
+        folded = self.spark.read.schema(_SCHEMA).parquet(f"{self.path}/snapshots/v={version}")
+        unchanged = folded.select("slot", "op", "seq", *columns).join(
+            tail.select("slot").distinct(), "slot", "left_anti"
+        )
+        return unchanged.unionByName(latest)
 
     def catalog(self, before: int | None = None) -> DataFrame:
         """``slot, path, size, live``; embeddings are not read."""
         live = F.col("op") == "put"
-        return self._latest(self.rows(before), "path", "size").select(
+        return self._state(before, "path", "size").select(
             "slot", F.when(live, F.col("path")).alias("path"), "size", live.alias("live")
         )
 
     def vectors(self, before: int | None = None) -> DataFrame:
         """``slot, path, size, embedding`` of the live rows."""
-        latest = self._latest(self.rows(before), "path", "size", "embedding")
-        return latest.filter("op = 'put'").select("slot", "path", "size", "embedding")
+        state = self._state(before, "path", "size", "embedding")
+        return state.filter("op = 'put'").select("slot", "path", "size", "embedding")
 
     def reset(self) -> None:
         """Start again from an empty snapshot; the old state stays on storage until compaction."""
@@ -111,7 +132,7 @@ class CommitLog:
         """Fold all commits into a new snapshot and remove what the snapshot before it had folded."""
         current = self._current()
         version = current["version"] + 1
-        self._latest(self.rows(), "path", "size", "embedding").select(
+        self._state(None, "path", "size", "embedding").select(
             "slot", "path", "size", "op", "embedding", "seq"
         ).write.mode("overwrite").parquet(f"{self.path}/snapshots/v={version}")
         self._publish(version, current)

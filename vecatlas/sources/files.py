@@ -2,12 +2,16 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from vecatlas.functions.paths import is_image_path
 from vecatlas.sources.storage import Storage
 
+# Files that are opened by name; more are found by scanning their roots.
+MAX_NAMED_FILES = 10_000
 _LISTING = "path string, size long, modified timestamp"
 
 
@@ -39,10 +43,25 @@ def list_files(spark: SparkSession, roots: list[str]) -> DataFrame:
     )
 
 
-def read_images(spark: SparkSession, roots: list[str], drop_invalid: bool = True) -> DataFrame:
-    """``path, image`` of the files below ``roots``; invalid files are dropped or have height -1."""
+def _escaped(path: str) -> str:
+    """A path that is not meant as a glob pattern."""
+    return re.sub(r"([\\\[\]{}*?])", r"\\\1", path)
+
+
+def read_images(
+    spark: SparkSession, roots: list[str], drop_invalid: bool = True, only: DataFrame | None = None
+) -> DataFrame:
+    """``path, image`` of the files below ``roots``; invalid files are dropped or have height -1.
+
+    ``only(path)`` names the files that are wanted. Up to a bound these alone are opened; a longer list
+    means that much of the tree is wanted, and the whole tree is scanned.
+    """
     schema = "path string, image struct<origin:string,height:int,width:int,nChannels:int,mode:int,data:binary>"
     present = _existing(spark, roots)
+    if only is not None:
+        wanted = [r["path"] for r in only.select("path").limit(MAX_NAMED_FILES + 1).collect()]
+        if len(wanted) <= MAX_NAMED_FILES:
+            present = [_escaped(path) for path in wanted]
     if not present:
         return spark.createDataFrame([], schema)
     images = (

@@ -8,9 +8,9 @@ from pyspark.sql.streaming import StreamingQuery
 
 from vecatlas.operators.catalog import assign_slots, tombstone
 from vecatlas.operators.encode import split_errors
-from vecatlas.plans.sync import Encode
+from vecatlas.plans.sync import Encode, unfilled_slots
 from vecatlas.session import materialize
-from vecatlas.sources.commitlog import CommitLog, deletes, puts
+from vecatlas.sources.commitlog import CommitLog, deletes, pads, puts
 
 
 def apply_changes(
@@ -20,19 +20,24 @@ def apply_changes(
 
     The state is read as it was before this commit, so applying a batch again writes the same rows.
     """
-    state = materialize(log.catalog(log.ordinal(commit_id)), "catalog")
+    state = log.catalog(log.ordinal(commit_id))
     last = changes.groupBy("path").agg(F.max_by(F.struct("op", "size"), "seq").alias("c"))
-    known = state.filter("live").select("path", "slot")
-    placed = materialize(last.select("path", "c.op", "c.size").join(known, "path", "left"), "changes")
+    last = materialize(last.select("path", "c.op", "c.size"), "batch")
+    # The batch is small beside the catalog: it is broadcast by its size to find its own paths.
+    known = state.filter("live").select("path", "slot").join(last.select("path"), "path", "left_semi")
+    placed = materialize(last.join(known, "path", "left"), "changes")
     gone = placed.filter("op = 'delete' and slot is not null").select("slot", "path", "size")
     wanted = placed.filter("op = 'put'")
     fresh = assign_slots(wanted.filter("slot is null").select("path", "size"), tombstone(state, gone))
     work = wanted.filter("slot is not null").select("slot", "path", "size").unionByName(
         fresh.select("slot", "path", "size")
     )
-    if encode_work is not None:
-        work, _ = split_errors(materialize(encode_work(work), "encoded"))
-    log.append(deletes(gone).unionByName(puts(work)), commit_id)
+    if encode_work is None:
+        log.append(deletes(gone).unionByName(puts(work)), commit_id)
+        return
+    done, errors = split_errors(materialize(encode_work(work), "encoded"))
+    rows = deletes(gone).unionByName(puts(done)).unionByName(pads(unfilled_slots(state, done, errors)))
+    log.append(rows, commit_id)
 
 
 def start_ingest(
