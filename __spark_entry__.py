@@ -19,7 +19,7 @@ from vecatlas.operators import catalog as cat
 from vecatlas.operators.cells import bounded_search, build_cell_index, probed_search
 from vecatlas.operators.encode import HashingEncoder, encode, encode_texts
 from vecatlas.operators.export import export_manifest
-from vecatlas.operators.hits import resized, sorted_by, with_paths, with_result_columns
+from vecatlas.operators.hits import resized, sorted_by, with_paths
 from vecatlas.operators.images import image_metadata, image_tensors
 from vecatlas.operators.paths import register_roots, unregister_roots
 from vecatlas.operators.topk import single_query_topk, topk_search
@@ -120,8 +120,10 @@ def knn_existing_only(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _displayed(spark: SparkSession, sf_dir: str) -> DataFrame:
-    hits = plans.search(fx.gallery_vectors(spark, sf_dir), fx.vector_queries(spark, sf_dir), K)
-    return with_result_columns(hits, fx.derived(spark, sf_dir, fx.GALLERY_LISTING))
+    listing = fx.derived(spark, sf_dir, fx.GALLERY_LISTING)
+    return plans.search(
+        fx.gallery_vectors(spark, sf_dir), fx.vector_queries(spark, sf_dir), K, listing=listing, display=True
+    )
 
 
 def search_result_columns(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -26,7 +26,7 @@ def test_ingest_stream(spark):
 
     def run():
         stream = spark.readStream.schema(FEED).option("maxFilesPerTrigger", 1).parquet(folder)
-        start_ingest(log, stream, checkpoint).awaitTermination()
+        start_ingest(log, stream, checkpoint, compact_every=2).awaitTermination()
 
     feed((2, "/a", "put", 5), (1, "/a", "delete", 0), (3, "/b", "put", 6), (4, "/c", "delete", 1))
     run()

@@ -93,7 +93,6 @@ def test_wordpiece_both_ways(spark):
     for bound in (100, 2):
         rows = wordpiece(df, "k", "t", vocabulary(spark), bound).orderBy("k").collect()
         assert [r["token_ids"] for r in rows] == expected
-        assert [r["t"] for r in rows] == texts
 
 
 def test_model_rows_and_inverse(spark):

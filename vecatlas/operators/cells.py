@@ -215,8 +215,8 @@ def _block_join(index: CellIndex, probes: DataFrame, k: int, schema: str) -> Dat
     """Per-block top-k of vectors and probing queries that share a cell."""
     metric = index.metric
     probes = materialize(probes, "probes")
-    # One row per cell on both sides of the sizes, so the lookups below stay small by construction.
-    sizes = (
+    # One row per cell, and cells are at most MAX_CELLS, so the sizes may be broadcast.
+    sizes = F.broadcast(
         index.stats.select("cell", F.ceil(F.col("rows") / VECTORS_PER_BLOCK).cast("int").alias("nv"))
         .join(
             probes.groupBy("cell").agg(

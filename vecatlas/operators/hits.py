@@ -8,16 +8,30 @@ from pyspark.sql import functions as F
 from vecatlas.functions import display
 
 
-def with_paths(hits: DataFrame, catalog: DataFrame) -> DataFrame:
-    """Look up each hit's path; the small side is left to the optimizer to broadcast by its size."""
-    return hits.join(catalog.select("slot", "path"), "slot").select(
+# Hits up to this number are broadcast, so that the tables they look up are scanned without a shuffle.
+MAX_BROADCAST_HITS = 200_000
+
+
+def _side(hits: DataFrame, bound: int | None) -> DataFrame:
+    return F.broadcast(hits) if bound is not None and bound <= MAX_BROADCAST_HITS else hits
+
+
+def with_paths(hits: DataFrame, catalog: DataFrame, bound: int | None = None) -> DataFrame:
+    """Look up each hit's path; ``bound`` is a proven limit on the number of hits."""
+    return catalog.select("slot", "path").join(_side(hits, bound), "slot").select(
         "query_id", "rank", "slot", "path", "score"
     )
 
 
-def with_result_columns(hits: DataFrame, listing: DataFrame) -> DataFrame:
+def existing_hits(hits: DataFrame, listing: DataFrame, bound: int | None = None) -> DataFrame:
+    """Drop hits whose file is gone, after the top-k; listed paths are distinct."""
+    return listing.select("path").join(_side(hits, bound), "path").select(*hits.columns)
+
+
+def with_result_columns(hits: DataFrame, listing: DataFrame, bound: int | None = None) -> DataFrame:
     """Drop hits whose file is gone (so a query may show fewer than k rows) and add what is shown."""
-    shown = hits.join(listing.select("path", "size", "modified"), "path").select(
+    found = listing.select("path", "size", "modified").join(_side(hits, bound), "path")
+    shown = found.select(
         *hits.columns,
         "size",
         "modified",

@@ -31,7 +31,8 @@ def _with_offsets(stage: DataFrame, total: Column) -> tuple[DataFrame, int | flo
     for row in totals:
         offsets.append((row["_part"], running))
         running += row["t"]
-    table = spark.createDataFrame(offsets, "_part long, _offset long")
+    # One row per partition of the stage, whatever the size of the data.
+    table = F.broadcast(spark.createDataFrame(offsets, "_part long, _offset long"))
     return stage.join(table, "_part"), running
 
 

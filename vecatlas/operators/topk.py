@@ -151,14 +151,22 @@ def topk_search(
     max_broadcast_queries: int = MAX_BROADCAST_QUERIES,
 ) -> DataFrame:
     """The k nearest ``vectors(slot, embedding)`` of each row of ``queries(query_id, embedding)``."""
+    return topk_with_bound(vectors, queries, k, metric, max_broadcast_queries)[0]
+
+
+def topk_with_bound(
+    vectors: DataFrame, queries: DataFrame, k: int, metric: str,
+    max_broadcast_queries: int = MAX_BROADCAST_QUERIES,
+) -> tuple[DataFrame, int | None]:
+    """``topk_search`` with the largest possible number of hits, if the queries were counted."""
     V.check_metric(metric)
     if k <= 0:
-        return rank_hits(queries.sparkSession.createDataFrame([], hits_schema(queries)), 0, metric)
+        return rank_hits(queries.sparkSession.createDataFrame([], hits_schema(queries)), 0, metric), 0
     block = bounded_queries(queries, metric, max_broadcast_queries)
     if block is None:
         from vecatlas.operators.cells import exact_cell_join
 
-        return exact_cell_join(vectors, queries, k, metric)
+        return exact_cell_join(vectors, queries, k, metric), None
     shared = queries.sparkSession.sparkContext.broadcast((block.ids, block.matrix))
 
     def local_topk(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -173,7 +181,8 @@ def topk_search(
         yield best.to_batch(ids)
 
     known = vectors.filter("embedding is not null").select(F.col("slot").cast("long"), "embedding")
-    return rank_hits(known.mapInArrow(local_topk, hits_schema(queries)), k, metric)
+    hits = rank_hits(known.mapInArrow(local_topk, hits_schema(queries)), k, metric)
+    return hits, k * len(block.ids)
 
 
 def single_query_topk(

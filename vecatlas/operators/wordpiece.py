@@ -55,15 +55,17 @@ def special_ids(vocabulary: DataFrame, *tokens: str) -> list[int]:
 def wordpiece(
     df: DataFrame, key: str, text: str, vocabulary: DataFrame, max_broadcast_tokens: int = MAX_BROADCAST_TOKENS
 ) -> DataFrame:
-    """Add ``token_ids ARRAY<BIGINT>`` to ``df``; ``vocabulary`` has ``token, id``, ``key`` is unique."""
+    """Replace ``text`` by ``token_ids ARRAY<BIGINT>``; ``vocabulary`` has ``token, id``, ``key`` is unique."""
     (unknown,) = special_ids(vocabulary, UNKNOWN)
     table = vocabulary.select("token", "id").limit(max_broadcast_tokens + 1).toArrow()
     if table.num_rows > max_broadcast_tokens:
         return _wordpiece_by_join(df, key, text, vocabulary, unknown)
     tokens = dict(zip(table["token"].to_pylist(), table["id"].to_pylist()))
     shared = df.sparkSession.sparkContext.broadcast(tokens)
-    schema = T.StructType([*df.schema.fields, T.StructField("token_ids", T.ArrayType(T.LongType()))])
-    columns = df.columns
+    columns = [c for c in df.columns if c != text]
+    schema = T.StructType(
+        [df.schema[c] for c in columns] + [T.StructField("token_ids", T.ArrayType(T.LongType()))]
+    )
 
     def tokenize(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         vocabulary, known = shared.value, {}
@@ -85,7 +87,8 @@ def wordpiece(
                 [*(batch.column(c) for c in columns), lists], names=[*columns, "token_ids"]
             )
 
-    return df.withColumn("_spaced", spaced_text(F.col(text))).mapInArrow(tokenize, schema)
+    spaced = df.select(*columns, spaced_text(F.col(text)).alias("_spaced"))
+    return spaced.mapInArrow(tokenize, schema)
 
 
 def _wordpiece_by_join(
@@ -135,7 +138,7 @@ def _wordpiece_by_join(
         .agg(F.flatten(F.transform(F.sort_array(F.collect_list(F.struct("pos", "ids"))),
                                    lambda p: p["ids"])).alias("token_ids"))
     )
-    return df.join(pieces, key, "left").withColumn(
+    return df.drop(text).join(pieces, key, "left").withColumn(
         "token_ids", F.coalesce("token_ids", F.array().cast("array<bigint>"))
     )
 

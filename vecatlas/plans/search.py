@@ -5,24 +5,27 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from vecatlas.operators.catalog import existing_only
 from vecatlas.operators.encode import EncoderFactory, encode, encode_queries
-from vecatlas.operators.hits import with_paths
+from vecatlas.operators.hits import existing_hits, with_paths, with_result_columns
 from vecatlas.operators.images import CLIP_MEAN, CLIP_STD, image_tensors
-from vecatlas.operators.topk import topk_search
+from vecatlas.operators.topk import topk_with_bound
 from vecatlas.sources.files import read_images
 
 
 def search(
     vectors: DataFrame, queries: DataFrame, k: int = 10, metric: str = "cosine",
-    listing: DataFrame | None = None,
+    listing: DataFrame | None = None, display: bool = False,
 ) -> DataFrame:
     """Top-k hits with their paths: ``query_id, rank, slot, path, score``.
 
-    With a ``listing``, hits whose file is gone are dropped after the top-k, so a query may get fewer.
+    With a ``listing``, hits whose file is gone are dropped after the top-k, so a query may get fewer;
+    ``display`` adds the formatted result columns.
     """
-    hits = with_paths(topk_search(vectors, queries, k, metric), vectors)
-    return hits if listing is None else existing_only(hits, listing)
+    hits, bound = topk_with_bound(vectors, queries, k, metric)
+    hits = with_paths(hits, vectors, bound)
+    if listing is None:
+        return hits
+    return with_result_columns(hits, listing, bound) if display else existing_hits(hits, listing, bound)
 
 
 def text_search(

@@ -42,12 +42,17 @@ def apply_changes(
 
 def start_ingest(
     log: CommitLog, feed: DataFrame, checkpoint: str, encode_work: Encode | None = None,
-    available_now: bool = True,
+    available_now: bool = True, compact_every: int | None = None,
 ) -> StreamingQuery:
-    """Each path's changes must reach the stream in order; inside a batch ``seq`` decides."""
+    """Each path's changes must reach the stream in order; inside a batch ``seq`` decides.
+
+    ``compact_every`` folds the log into a new snapshot after so many batches.
+    """
 
     def commit(batch: DataFrame, batch_id: int) -> None:
         apply_changes(log, batch, f"stream-{batch_id}", encode_work)
+        if compact_every and (batch_id + 1) % compact_every == 0:
+            log.compact()
 
     writer = feed.writeStream.foreachBatch(commit).option("checkpointLocation", checkpoint)
     trigger = {"availableNow": True} if available_now else {"processingTime": "30 seconds"}
