@@ -50,6 +50,17 @@ def test_tokens_equal_character_rules(spark):
     assert tokens(spark, texts) == [words_of(t) for t in texts]
 
 
+def test_single_steps_compose_to_the_same_tokens(spark):
+    texts = ["ab中𠀁x Élève—ΑΣ.Α", "한글 a≠b\x0bc", "so­ft a　b c\x00�\td", "", "a\x85b"]
+    df = spark.createDataFrame([(t,) for t in texts], "t string")
+    steps = T.fold_accents(T.isolate_cjk(T.clean_text(F.col("t"))))
+    both = df.select(T.split_whitespace(T.isolate_punctuation(steps)), T.basic_tokens(F.col("t"))).collect()
+    assert all(left == right for left, right in both)
+    kept = df.limit(1).select(T.basic_tokens(F.col("t"), lower_case=False)).first()[0]
+    assert kept == ["ab", "中", "𠀁", "x", "Élève", "—", "ΑΣ", ".", "Α"]
+    assert spark.sql("select cast(null as string) as t").select(T.basic_tokens(F.col("t"))).first()[0] is None
+
+
 def test_detokenise(spark):
     words = "un ##aff ##able , is n't it ?".split()
     row = spark.range(1).select(T.tokens_to_string(F.array(*map(F.lit, words))).alias("t"),

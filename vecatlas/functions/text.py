@@ -1,8 +1,10 @@
 """BERT-style basic tokenisation, detokenisation and prompt rewriting as column functions.
 
-Everything runs in the JVM except ``fold_accents``, since Spark has no Unicode decomposition.
-Java and Python may carry different Unicode versions; characters newer than either are the only
-ones that can be classed differently.
+The single steps are JVM expressions, except ``fold_accents``: Spark has no Unicode decomposition.
+``basic_tokens`` does all of them in one Arrow UDF instead. None of the steps looks beyond a word, and
+words repeat, so a task works out each distinct word once; that is several times faster than a chain
+of regular expressions over the text. Java and Python may carry different Unicode versions, so the
+steps can class the newest characters differently; ``basic_tokens`` uses Python's.
 """
 
 from __future__ import annotations
@@ -10,6 +12,8 @@ from __future__ import annotations
 import re
 import sys
 import unicodedata
+from collections.abc import Iterable
+from typing import Iterator
 
 import pyarrow as pa
 import pyarrow.compute as pc
@@ -64,31 +68,49 @@ def isolate_cjk(text: Column) -> Column:
 
 
 def isolate_punctuation(text: Column) -> Column:
-    """Put spaces around punctuation.
-
-    The last four characters are symbols that decompose to ASCII punctuation; with them in the class
-    this step gives the same tokens before accent folding as after it, and folding can come last.
-    """
-    return F.regexp_replace(text, r"([!-/:-@\[-`{-~\p{P}\x{1FEF}\x{2260}\x{226E}\x{226F}])", " $1 ")
+    return F.regexp_replace(text, r"([!-/:-@\[-`{-~\p{P}])", " $1 ")
 
 
 def split_whitespace(text: Column) -> Column:
     return F.filter(F.split(text, f"[{WHITESPACE}]+"), lambda word: word != "")
 
 
-def _mark_pattern() -> re.Pattern[str]:
-    ranges: list[list[int]] = []
-    for code in range(sys.maxunicode + 1):
-        if unicodedata.category(chr(code)) == "Mn":
-            if ranges and ranges[-1][1] == code - 1:
-                ranges[-1][1] = code
-            else:
-                ranges.append([code, code])
-    return re.compile("[" + "".join(f"{chr(a)}-{chr(b)}" for a, b in ranges) + "]+")
+def _ranges(codes: Iterable[int]) -> str:
+    """The body of a character class."""
+    spans: list[list[int]] = []
+    for code in codes:
+        if spans and spans[-1][1] == code - 1:
+            spans[-1][1] = code
+        else:
+            spans.append([code, code])
+    return "".join(rf"\U{low:08x}-\U{high:08x}" for low, high in spans)
 
 
-# Built once on the driver; tasks receive the compiled pattern.
-_MARKS = _mark_pattern()
+def _category_ranges() -> dict[str, str]:
+    codes: dict[str, list[int]] = {"Mn": [], "C": [], "P": []}
+    for code in range(sys.maxunicode + 1):
+        category = unicodedata.category(chr(code))
+        if category == "Mn":
+            codes["Mn"].append(code)
+        elif category in ("Cc", "Cf"):
+            codes["C"].append(code)
+        elif category[0] == "P":
+            codes["P"].append(code)
+    return {name: _ranges(found) for name, found in codes.items()}
+
+
+# Built once on the driver; tasks receive the patterns.
+_CATEGORIES = _category_ranges()
+_MARKS = re.compile(f"[{_CATEGORIES['Mn']}]+")
+_REMOVED = re.compile(f"[{_CATEGORIES['C']}\uFFFD]+")
+_CJK = re.compile("[" + "".join(rf"\U{low:08x}-\U{high:08x}" for low, high in CJK_RANGES) + "]")
+_ASCII_MARKS = r"!-/:-@\[-`{-~"
+_ASCII_TOKENS = re.compile(f"[{_ASCII_MARKS}]|[^{_ASCII_MARKS}]+")
+_TOKENS = re.compile(f"[{_ASCII_MARKS}{_CATEGORIES['P']}]|[^{_ASCII_MARKS}{_CATEGORIES['P']}]+")
+# Control characters that are removed although str.split would split at them.
+_SPLITTING_CONTROLS = re.compile("[\x0b\x0c\x1c-\x1f\x85]")
+
+_CACHED_WORDS = 500_000
 
 
 def fold(text: str) -> str:
@@ -98,26 +120,65 @@ def fold(text: str) -> str:
     return _MARKS.sub("", unicodedata.normalize("NFD", text.lower()))
 
 
-def fold_array(texts: pa.Array) -> pa.Array:
-    """``fold`` for a whole Arrow array; pure ASCII batches never become Python strings."""
+@F.arrow_udf(T.StringType())
+def fold_accents(texts: pa.Array) -> pa.Array:
     if pc.all(pc.string_is_ascii(texts)).as_py() is not False:
         return pc.ascii_lower(texts)
     return pa.array([None if t is None else fold(t) for t in texts.to_pylist()], pa.string())
 
 
-@F.arrow_udf(T.StringType())
-def fold_accents(texts: pa.Array) -> pa.Array:
-    return fold_array(texts)
-
-
-def spaced_text(text: Column) -> Column:
-    """All steps before folding: cleaned, with CJK characters and punctuation set apart."""
-    return isolate_punctuation(isolate_cjk(clean_text(text)))
+def raw_words(text: str) -> list[str]:
+    """Words as they stand between white space."""
+    return _SPLITTING_CONTROLS.sub("", text).split()
+
+
+def word_tokens(word: str, lower_case: bool = True) -> list[str]:
+    """The basic tokens of one raw word."""
+    if not word.isprintable() or "\ufffd" in word:
+        word = _REMOVED.sub("", word)
+    if word.isascii():
+        return _ASCII_TOKENS.findall(word.lower() if lower_case else word)
+    tokens: list[str] = []
+    for part in _CJK.sub(r" \g<0> ", word).split() if _CJK.search(word) else (word,):
+        part = fold(part) if lower_case else part
+        if part.isalnum():
+            tokens.append(part)
+        else:
+            tokens += _TOKENS.findall(part)
+    return tokens
+
+
+def _token_lists(texts: pa.Array, lower_case: bool, known: dict[str, list[int]], places: dict[str, int]) -> pa.Array:
+    """Token lists of a batch; ``known`` maps raw words to places among all tokens seen."""
+    found: list[int] = []
+    ends: list[int | None] = [0]
+    for text in texts.to_pylist():
+        for word in raw_words(text or ""):
+            tokens = known.get(word)
+            if tokens is None:
+                tokens = [places.setdefault(t, len(places)) for t in word_tokens(word, lower_case)]
+                known[word] = tokens
+            found += tokens
+        ends.append(len(found))
+    values = pa.array(list(places), pa.string()).take(pa.array(found, pa.int32()))
+    nulls = texts.is_null() if texts.null_count else None
+    return pa.ListArray.from_arrays(pa.array(ends, pa.int32()), values, mask=nulls)
+
+
+def _tokenizer(lower_case: bool):
+    def tokenize(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        known: dict[str, list[int]] = {}
+        places: dict[str, int] = {}
+        for texts in batches:
+            if len(known) > _CACHED_WORDS:
+                known, places = {}, {}
+            yield _token_lists(texts, lower_case, known, places)
+
+    return F.arrow_udf(tokenize, T.ArrayType(T.StringType()))
 
 
 def basic_tokens(text: Column, lower_case: bool = True) -> Column:
-    spaced = spaced_text(text)
-    return split_whitespace(fold_accents(spaced) if lower_case else spaced)
+    return _tokenizer(lower_case)(text)
 
 
 def tokens_to_string(tokens: Column, clean_up: bool = True) -> Column:

@@ -15,7 +15,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from vecatlas.functions.text import fold_array, basic_tokens, spaced_text
+from vecatlas.functions.text import basic_tokens, raw_words, word_tokens
 
 # Special tokens and the longest word that is split.
 UNKNOWN, CLASS_START, SEPARATOR = "[UNK]", "[CLS]", "[SEP]"
@@ -26,14 +26,17 @@ MAX_BROADCAST_TOKENS = 1_000_000
 _CACHED_WORDS = 500_000
 
 
-def split_word(word: str, vocabulary: dict[str, int], unknown: int) -> list[int]:
-    """Greedy longest match; one missing piece makes the whole word unknown."""
+def split_word(word: str, vocabulary: dict[str, int], unknown: int, longest: int = MAX_WORD_CHARS) -> list[int]:
+    """Greedy longest match; one missing piece makes the whole word unknown.
+
+    ``longest`` is the length of the longest token, so that no longer piece is looked up.
+    """
     if len(word) > MAX_WORD_CHARS:
         return [unknown]
     pieces, start = [], 0
     while start < len(word):
         lead = PREFIX if start else ""
-        for end in range(len(word), start, -1):
+        for end in range(min(len(word), start + longest), start, -1):
             piece = vocabulary.get(lead + word[start:end])
             if piece is not None:
                 break
@@ -61,6 +64,7 @@ def wordpiece(
     if table.num_rows > max_broadcast_tokens:
         return _wordpiece_by_join(df, key, text, vocabulary, unknown)
     tokens = dict(zip(table["token"].to_pylist(), table["id"].to_pylist()))
+    longest = max(map(len, tokens))
     shared = df.sparkSession.sparkContext.broadcast(tokens)
     columns = [c for c in df.columns if c != text]
     schema = T.StructType(
@@ -69,26 +73,30 @@ def wordpiece(
 
     def tokenize(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         vocabulary, known = shared.value, {}
+        # Raw words such as 'Cat' and 'cat,' share tokens, so tokens are remembered too.
+        split: dict[str, list[int]] = {}
         for batch in batches:
-            spaced = fold_array(batch.column("_spaced"))
+            if len(known) > _CACHED_WORDS:
+                known, split = {}, {}
             ids: list[int] = []
-            ends = np.zeros(len(spaced) + 1, dtype=np.int32)
-            for row, line in enumerate(spaced.to_pylist()):
-                for word in (line or "").split():
+            ends = np.zeros(batch.num_rows + 1, dtype=np.int32)
+            for row, line in enumerate(batch.column(text).to_pylist()):
+                for word in raw_words(line or ""):
                     pieces = known.get(word)
                     if pieces is None:
-                        if len(known) >= _CACHED_WORDS:
-                            known.clear()
-                        pieces = known[word] = split_word(word, vocabulary, unknown)
-                    ids.extend(pieces)
+                        pieces = known[word] = []
+                        for token in word_tokens(word):
+                            if token not in split:
+                                split[token] = split_word(token, vocabulary, unknown, longest)
+                            pieces += split[token]
+                    ids += pieces
                 ends[row + 1] = len(ids)
             lists = pa.ListArray.from_arrays(pa.array(ends), pa.array(ids, pa.int64()))
             yield pa.RecordBatch.from_arrays(
                 [*(batch.column(c) for c in columns), lists], names=[*columns, "token_ids"]
             )
 
-    spaced = df.select(*columns, spaced_text(F.col(text)).alias("_spaced"))
-    return spaced.mapInArrow(tokenize, schema)
+    return df.select(*columns, text).mapInArrow(tokenize, schema)
 
 
 def _wordpiece_by_join(
