@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 
 import fixtures as fx
 from vecatlas.functions import display, text as text_functions
+from vecatlas.functions.paths import is_image_path
 from vecatlas.functions.vectors import normalize
 from vecatlas.operators import catalog as cat
 from vecatlas.operators.cells import bounded_search, build_cell_index, probed_search
@@ -195,6 +196,10 @@ def catalog_worklist(spark: SparkSession, sf_dir: str) -> DataFrame:
     return cat.work_list(fx.catalog(spark, sf_dir), fx.derived(spark, sf_dir, fx.LISTING))
 
 
+def catalog_existing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return cat.existing_only(cat.live_rows(fx.catalog(spark, sf_dir)), fx.derived(spark, sf_dir, fx.LISTING))
+
+
 def _after_missing(spark: SparkSession, sf_dir: str) -> DataFrame:
     state = fx.catalog(spark, sf_dir)
     return cat.tombstone(state, cat.missing_files(state, fx.derived(spark, sf_dir, fx.LISTING)))
@@ -365,6 +370,15 @@ def export_names(spark: SparkSession, sf_dir: str) -> DataFrame:
     return export_manifest(fx.derived(spark, sf_dir, fx.EXPORTED)).select("src_path", "target_name")
 
 
+def export_names_beside_taken(spark: SparkSession, sf_dir: str) -> DataFrame:
+    sources, taken = fx.derived(spark, sf_dir, fx.EXPORTED), fx.derived(spark, sf_dir, fx.EXPORT_TAKEN)
+    return export_manifest(sources, taken).select("src_path", "target_name")
+
+
+def listing_accepted(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fx.derived(spark, sf_dir, fx.MIXED_FILES).filter(is_image_path(F.col("path")))
+
+
 def size_display(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fx.derived(spark, sf_dir, fx.LISTING).select(
         "path", display.size_text(F.col("size")).alias("size_text"), display.path_id(F.col("path")).alias("row_id")
@@ -451,6 +465,7 @@ def queries() -> dict[str, Query]:
         "catalog_new": catalog_new,
         "catalog_missing": catalog_missing,
         "catalog_diff": catalog_diff,
+        "catalog_existing": catalog_existing,
         "catalog_worklist": catalog_worklist,
         "catalog_tombstoned": catalog_tombstoned,
         "catalog_assign_slots": catalog_assign_slots,
@@ -478,6 +493,8 @@ def queries() -> dict[str, Query]:
         "log_retention_legacy": _retained(True),
         "log_parsed": log_parsed,
         "export_names": export_names,
+        "export_names_beside_taken": export_names_beside_taken,
+        "listing_accepted": listing_accepted,
         "size_display": size_display,
         "ingest_latest_state": ingest_latest_state,
         "query_stream_topk": query_stream_topk,

@@ -95,6 +95,14 @@ select doc_id as ordinal,
        concat('/', lang, '/', cast(doc_id as string), '/', source, '.txt') as src_path
 from {documents}
 """
+# Names that the export directory holds already.
+EXPORT_TAKEN = "select distinct concat(source, '.txt') as name from {documents} where lang = 'fr'"
+# Files of every kind, some of them images.
+MIXED_FILES = """
+select doc_id, concat('/', source, '/', cast(doc_id as string),
+         case lang when 'en' then '.PNG' when 'fr' then '.txt' when 'de' then '.jpeg' else '/png' end) as path
+from {documents}
+"""
 
 
 def duckdb_sql(sql: str) -> str:

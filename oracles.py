@@ -228,6 +228,8 @@ ORACLES = {
       union all select slot, path, size, 'changed' from {_CHANGED} c
       union all select -1, path, size, 'new' from {_NEW} n""",
     "catalog_worklist": f"select * from {_CHANGED} c union all select * from {_assigned(CATALOG)} a",
+    "catalog_existing": f"""select slot, path, size, live from {CATALOG} c
+      where live and path in (select path from {LISTING} l)""",
     "catalog_tombstoned": f"select * from {_TOMBSTONED} t",
     "catalog_assign_slots": f"select slot, path from {_assigned(_TOMBSTONED)} a",
     "catalog_densify": f"""select slot, path, case when live then size else 0 end as size, live from {CATALOG} c
@@ -270,6 +272,13 @@ ORACLES = {
       from (select *, regexp_extract(src_path, '([^/]+)\\.txt$', 1) as source,
         row_number() over (partition by regexp_extract(src_path, '([^/]+)$') order by ordinal) as n
         from {duckdb_sql(fx.EXPORTED)} e) s""",
+    "export_names_beside_taken": f"""select src_path, case when n = 1 then source || '.txt'
+        else source || ' (' || n || ').txt' end as target_name
+      from (select src_path, source, row_number() over (partition by source order by ordinal)
+          + case when source || '.txt' in (select name from {duckdb_sql(fx.EXPORT_TAKEN)} t) then 1 else 0 end as n
+        from (select *, regexp_extract(src_path, '([^/]+)\\.txt$', 1) as source from {duckdb_sql(fx.EXPORTED)} e) s) r""",
+    "listing_accepted": f"""select * from {duckdb_sql(fx.MIXED_FILES)} m
+      where regexp_matches(lower(path), '[^/]\\.(png|jpg|jpeg|tiff|bmp|gif|webp)$')""",
     "size_display": f"""select path, {_size_text()} as size_text, substr(md5(path), 1, 16) as row_id
       from {LISTING} l""",
     "ingest_latest_state": f"select path, size from {LISTING} l",
