@@ -186,6 +186,17 @@ def test_replay_keeps_its_place(spark):
     assert state_of(log) == {"/a": (0, 3)}
 
 
+def test_snapshot_is_not_shuffled(spark, explain):
+    log, roots = CommitLog(spark, scratch_path(spark, "atlas")), roots_df(spark, "/r")
+    sync(log, listing_df(spark, {"/r/a": 2, "/r/b": 4}), roots, "sync-0", fake_encoder)
+    log.compact()
+    assert "Exchange" not in explain(log.vectors())
+    sync(log, listing_df(spark, {"/r/a": 2, "/r/b": 6}), roots, "sync-1", fake_encoder)
+    plan = explain(log.vectors())
+    assert "BroadcastHashJoin" in plan and "SortMergeJoin" not in plan
+    assert "embedding" not in explain(log.catalog())
+
+
 def test_unregister(spark):
     log = CommitLog(spark, scratch_path(spark, "atlas"))
     roots = roots_df(spark, "/r", "/s")

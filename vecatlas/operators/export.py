@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 
 from vecatlas.functions.paths import base_name, stem, suffix
 from vecatlas.operators.ranking import prefix_sum, rank_within
-from vecatlas.session import materialize
+from vecatlas.session import empty_table, materialize
 
 # ' (n)' as the rule writes it: n >= 2 without leading zeros.
 _COPY = r"^(.+) \(([2-9]|[1-9][0-9]{1,17})\)$"
@@ -47,7 +47,7 @@ def export_manifest(sources: DataFrame, taken: DataFrame | None = None) -> DataF
                            base_name(F.col("src_path")).alias("name"))
     first = asked.groupBy("name").agg(F.min("ordinal").alias("since"))
     if taken is None:
-        taken = spark.createDataFrame([], "name string")
+        taken = empty_table(spark, "name string")
     held = taken.select("name").distinct().withColumn("since", F.lit(-1).cast("long"))
     # One row per name that is taken or asked for: from when on it would be in use.
     nodes = first.unionByName(held).groupBy("name").agg(F.min("since").alias("since"))
@@ -56,8 +56,8 @@ def export_manifest(sources: DataFrame, taken: DataFrame | None = None) -> DataF
     (deepest,) = asked.agg(F.coalesce(F.max("depth"), F.lit(0))).first()
 
     # Names that overflow from a parent reaches, and when.
-    reached = spark.createDataFrame([], "name string, at long")
-    manifest = spark.createDataFrame([], "src_path string, ordinal long, target_name string")
+    reached = empty_table(spark, "name string, at long")
+    manifest = empty_table(spark, "src_path string, ordinal long, target_name string")
     for depth in range(deepest + 1):
         here = asked.filter(F.col("depth") == depth)
         uses = nodes.select("name", "since").join(reached, "name", "left")
@@ -74,7 +74,7 @@ def export_manifest(sources: DataFrame, taken: DataFrame | None = None) -> DataF
         marks = _settle(nodes, spilled)
         if marks is None:
             numbered = spilled.withColumn("n", F.col("i") + 1)
-            reached = spark.createDataFrame([], "name string, at long")
+            reached = empty_table(spark, "name string, at long")
         else:
             numbered = _number(spilled, marks)
             reached = marks.filter("not skipped and at is not null").select(F.col("child").alias("name"), "at")

@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from vecatlas.session import materialize
+from vecatlas.session import materialize, small_table
 
 # monotonically_increasing_id keeps the partition in the upper bits and the row in the lower 33.
 _ROW_BITS = 33
@@ -27,12 +27,13 @@ def _with_offsets(stage: DataFrame, total: Column) -> tuple[DataFrame, int | flo
     """Add ``_offset``, the total of all earlier partitions; the driver sees one row per partition."""
     spark = stage.sparkSession
     totals = stage.groupBy("_part").agg(total.alias("t")).orderBy("_part").collect()
-    offsets, running = [], 0
+    parts, offsets, running = [], [], 0
     for row in totals:
-        offsets.append((row["_part"], running))
+        parts.append(row["_part"])
+        offsets.append(running)
         running += row["t"]
     # One row per partition of the stage, whatever the size of the data.
-    table = F.broadcast(spark.createDataFrame(offsets, "_part long, _offset long"))
+    table = F.broadcast(small_table(spark, {"_part": parts, "_offset": offsets}, "_part long, _offset long"))
     return stage.join(table, "_part"), running
 
 

@@ -20,6 +20,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from vecatlas.functions import vectors as V
+from vecatlas.session import empty_table
 
 # Bound on the query block that every Python worker holds.
 MAX_BROADCAST_QUERIES = 20_000
@@ -161,7 +162,7 @@ def topk_with_bound(
     """``topk_search`` with the largest possible number of hits, if the queries were counted."""
     V.check_metric(metric)
     if k <= 0:
-        return rank_hits(queries.sparkSession.createDataFrame([], hits_schema(queries)), 0, metric), 0
+        return rank_hits(empty_table(queries.sparkSession, hits_schema(queries)), 0, metric), 0
     block = bounded_queries(queries, metric, max_broadcast_queries)
     if block is None:
         from vecatlas.operators.cells import exact_cell_join

@@ -23,6 +23,7 @@ MAX_WORD_CHARS = 200
 PREFIX = "##"
 
 MAX_BROADCAST_TOKENS = 1_000_000
+MAX_BROADCAST_BYTES = 64 * 1024 * 1024
 _CACHED_WORDS = 500_000
 
 
@@ -61,7 +62,7 @@ def wordpiece(
     """Replace ``text`` by ``token_ids ARRAY<BIGINT>``; ``vocabulary`` has ``token, id``, ``key`` is unique."""
     (unknown,) = special_ids(vocabulary, UNKNOWN)
     table = vocabulary.select("token", "id").limit(max_broadcast_tokens + 1).toArrow()
-    if table.num_rows > max_broadcast_tokens:
+    if table.num_rows > max_broadcast_tokens or table.nbytes > MAX_BROADCAST_BYTES:
         return _wordpiece_by_join(df, key, text, vocabulary, unknown)
     tokens = dict(zip(table["token"].to_pylist(), table["id"].to_pylist()))
     longest = max(map(len, tokens))
@@ -173,7 +174,7 @@ def ids_to_tokens(
 ) -> DataFrame:
     """Add the token of each id, in order; an id outside the vocabulary fails the job."""
     table = vocabulary.select("token", "id").limit(max_broadcast_tokens + 1).toArrow()
-    if table.num_rows > max_broadcast_tokens:
+    if table.num_rows > max_broadcast_tokens or table.nbytes > MAX_BROADCAST_BYTES:
         return _ids_to_tokens_by_join(df, key, ids, vocabulary, name)
     shared = df.sparkSession.sparkContext.broadcast(table.sort_by("id").combine_chunks())
     schema = T.StructType([*df.schema.fields, T.StructField(name, T.ArrayType(T.StringType()))])

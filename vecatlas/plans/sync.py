@@ -19,7 +19,7 @@ from vecatlas.operators.catalog import (
 from vecatlas.operators.encode import EncoderFactory, encode, split_errors
 from vecatlas.operators.images import CLIP_MEAN, CLIP_STD, image_tensors
 from vecatlas.operators.paths import under_roots, unregister_roots
-from vecatlas.session import materialize
+from vecatlas.session import materialize, small_table
 from vecatlas.sources.commitlog import CommitLog, deletes, pads, puts
 from vecatlas.sources.files import list_files, read_images
 
@@ -87,7 +87,7 @@ def sync_files(
 ) -> SyncResult:
     """Sync with the image files below ``roots``."""
     spark = log.spark
-    root_rows = spark.createDataFrame([(r,) for r in roots], "root string")
+    root_rows = small_table(spark, {"root": roots}, "root string")
     run = image_encoder(spark, roots, factory, size, normalization=normalization)
     return sync(log, list_files(spark, roots), root_rows, commit_id, run)
 

@@ -5,6 +5,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
 
@@ -63,3 +64,13 @@ def spread(scan: DataFrame) -> DataFrame:
     """
     cores = scan.sparkSession.sparkContext.defaultParallelism
     return scan.repartition(cores) if scan.rdd.getNumPartitions() < cores else scan
+
+
+def small_table(spark: SparkSession, columns: dict[str, list], schema: str) -> DataFrame:
+    """Driver-side rows as a relation whose size the optimizer knows."""
+    return spark.createDataFrame(pa.table(columns), schema)
+
+
+def empty_table(spark: SparkSession, schema: str) -> DataFrame:
+    """A table that the optimizer knows to be empty, so joins with it disappear."""
+    return spark.createDataFrame([], schema).limit(0)

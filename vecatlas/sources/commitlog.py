@@ -16,6 +16,7 @@ import json
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from vecatlas.session import empty_table
 from vecatlas.sources.storage import Storage
 
 _ROWS = "slot long, path string, size long, op string, embedding array<float>"
@@ -83,7 +84,7 @@ class CommitLog:
             if seq > through and (before is None or seq < before)
         ]
         if not folders:
-            return self.spark.createDataFrame([], _SCHEMA)
+            return empty_table(self.spark, _SCHEMA)
         return self.spark.read.schema(_SCHEMA).parquet(*folders)
 
     def _state(self, before: int | None, *columns: str) -> DataFrame:

@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from vecatlas.functions.paths import is_image_path
+from vecatlas.session import empty_table
 from vecatlas.sources.storage import Storage
 
 # Files that are opened by name; more are found by scanning their roots.
@@ -32,7 +33,7 @@ def list_files(spark: SparkSession, roots: list[str]) -> DataFrame:
     """
     present = _existing(spark, roots)
     if not present:
-        return spark.createDataFrame([], _LISTING)
+        return empty_table(spark, _LISTING)
     found = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(present)
     plain = _plain_path(F.col("path"))
     return (
@@ -63,7 +64,7 @@ def read_images(
         if len(wanted) <= MAX_NAMED_FILES:
             present = [_escaped(path) for path in wanted]
     if not present:
-        return spark.createDataFrame([], schema)
+        return empty_table(spark, schema)
     images = (
         spark.read.format("image")
         .option("dropInvalid", drop_invalid)
