@@ -8,7 +8,6 @@ that holds a third of all vectors, or attracts a third of all queries, is cut in
 
 from __future__ import annotations
 
-import json
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -28,7 +27,7 @@ from vecatlas.operators.topk import (
     to_matrix,
     unit_rows,
 )
-from vecatlas.session import materialize, scratch_path
+from vecatlas.session import materialize, scratch_path, small_table
 
 VECTORS_PER_BLOCK = 65_536
 QUERIES_PER_BLOCK = 8_192
@@ -58,9 +57,8 @@ class CellIndex:
 
     @classmethod
     def load(cls, spark: SparkSession, path: str) -> CellIndex:
-        meta = json.loads(spark.read.text(f"{path}/meta").first()["value"])
         rows = spark.read.parquet(f"{path}/centers").orderBy("cell").collect()
-        return cls(path, meta["metric"], np.array([r["center"] for r in rows]), spark)
+        return cls(path, rows[0]["metric"], np.array([r["center"] for r in rows]), spark)
 
 
 def _nearest_center(metric: str, centers: np.ndarray, batch: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray]:
@@ -119,13 +117,12 @@ def build_cell_index(
     spark.read.parquet(f"{path}/vectors").groupBy("cell").agg(
         F.count(F.lit(1)).alias("rows"), F.max("reach").alias("radius")
     ).coalesce(1).write.parquet(f"{path}/stats")
-    center_rows = [(i, [float(x) for x in c]) for i, c in enumerate(centers)]
-    spark.createDataFrame(center_rows, "cell int, center array<double>").coalesce(1).write.parquet(
+    kept = {
+        "cell": list(range(len(centers))), "center": centers.tolist(), "metric": [metric] * len(centers)
+    }
+    small_table(spark, kept, "cell long, center array<double>, metric string").coalesce(1).write.parquet(
         f"{path}/centers"
     )
-    spark.createDataFrame([(json.dumps({"metric": metric}),)], "value string").coalesce(1).write.text(
-        f"{path}/meta"
-    )
     return CellIndex(path, metric, centers, spark)
 
 
