@@ -342,7 +342,7 @@ def _rewritten(legacy: bool) -> Query:
 
 def text_search_hashed(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents as items, benchmark passages as queries, the hashing stand-in as the model."""
-    vocabulary, encoder = materialize(fx.vocabulary(spark, sf_dir), "vocabulary"), HashingEncoder(64)
+    vocabulary, encoder = fx.vocabulary(spark, sf_dir), HashingEncoder(64)
     items = encode_texts(fx.documents(spark, sf_dir), "doc_id", "text", vocabulary, encoder)
     vectors = materialize(
         items.select(F.col("doc_id").alias("slot"), F.concat(F.lit("/doc/"), "doc_id").alias("path"), "embedding"),

@@ -156,7 +156,7 @@ def vocabulary(spark: SparkSession, sf_dir: str) -> DataFrame:
     special = spark.createDataFrame(
         [("[PAD]", 0), ("[UNK]", 1), ("[CLS]", 2), ("[SEP]", 3)], "token string, id long"
     )
-    return special.unionByName(numbered.select("token", (F.col("id") + 4).alias("id")))
+    return materialize(special.unionByName(numbered.select("token", (F.col("id") + 4).alias("id"))), "vocabulary")
 
 
 # A picture of 4 x 4 BGRA pixels out of each 64-component embedding.

@@ -60,11 +60,13 @@ def wordpiece(
     df: DataFrame, key: str, text: str, vocabulary: DataFrame, max_broadcast_tokens: int = MAX_BROADCAST_TOKENS
 ) -> DataFrame:
     """Replace ``text`` by ``token_ids ARRAY<BIGINT>``; ``vocabulary`` has ``token, id``, ``key`` is unique."""
-    (unknown,) = special_ids(vocabulary, UNKNOWN)
     table = vocabulary.select("token", "id").limit(max_broadcast_tokens + 1).toArrow()
     if table.num_rows > max_broadcast_tokens or table.nbytes > MAX_BROADCAST_BYTES:
-        return _wordpiece_by_join(df, key, text, vocabulary, unknown)
+        return _wordpiece_by_join(df, key, text, vocabulary, special_ids(vocabulary, UNKNOWN)[0])
     tokens = dict(zip(table["token"].to_pylist(), table["id"].to_pylist()))
+    if UNKNOWN not in tokens:
+        raise ValueError(f"vocabulary lacks ['{UNKNOWN}']")
+    unknown = tokens[UNKNOWN]
     longest = max(map(len, tokens))
     shared = df.sparkSession.sparkContext.broadcast(tokens)
     columns = [c for c in df.columns if c != text]
