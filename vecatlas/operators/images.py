@@ -7,7 +7,6 @@ the bytes in row order and channels as gray, BGR or BGRA.
 from __future__ import annotations
 
 from collections.abc import Iterator, Sequence
-from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -42,9 +41,15 @@ def _cubic(x: np.ndarray) -> np.ndarray:
     return np.where(x < 1.0, near, np.where(x < 2.0, far, 0.0))
 
 
-@lru_cache(maxsize=4096)
+# Weights by size and target. A plain dictionary: a decorated cache would not travel by value.
+_WEIGHTS: dict[tuple[int, int], np.ndarray] = {}
+_MAX_WEIGHTS = 1024
+
+
 def bicubic_weights(size: int, target: int) -> np.ndarray:
     """Fixed-point weights ``[target, size]``; the kernel widens when the image shrinks."""
+    if (size, target) in _WEIGHTS:
+        return _WEIGHTS[size, target]
     scale = size / target
     stretch = max(scale, 1.0)
     centers = (np.arange(target) + 0.5) * scale
@@ -54,7 +59,10 @@ def bicubic_weights(size: int, target: int) -> np.ndarray:
     weights = _cubic((source[None, :] - centers[:, None] + 0.5) / stretch)
     weights *= (source[None, :] >= low[:, None]) & (source[None, :] < high[:, None])
     weights /= weights.sum(axis=1, keepdims=True)
-    return np.floor(weights * (1 << _WEIGHT_BITS) + 0.5)
+    if len(_WEIGHTS) >= _MAX_WEIGHTS:
+        _WEIGHTS.clear()
+    _WEIGHTS[size, target] = np.floor(weights * (1 << _WEIGHT_BITS) + 0.5)
+    return _WEIGHTS[size, target]
 
 
 def _resize_axis(pixels: np.ndarray, target: int, axis: int) -> np.ndarray:
