@@ -35,6 +35,12 @@ from vecatlas.sources.vocabulary import read_vocabulary, vocabulary_size
 from vecatlas.streaming.ingest import start_ingest
 from vecatlas.streaming.queries import start_search
 
+try:  # the operators for training data are optional
+    import corpus_pipeline
+    from vecatlas.llm import queries as llm
+except ModuleNotFoundError:
+    corpus_pipeline = llm = None
+
 Query = Callable[[SparkSession, str], DataFrame]
 
 K = 10
@@ -442,7 +448,9 @@ def entry(spark: SparkSession) -> DataFrame:
 
 
 def queries() -> dict[str, Query]:
+    extra = {**llm.QUERIES, "pipeline": corpus_pipeline.run} if llm else {}
     return {
+        **extra,
         "knn_cosine_topk": knn_cosine_topk,
         "knn_l2_topk": knn_l2_topk,
         "knn_single_query": knn_single_query,
@@ -508,4 +516,7 @@ def queries() -> dict[str, Query]:
 def oracle_sql() -> dict[str, str]:
     from oracles import ORACLES
 
-    return dict(ORACLES)
+    extra = dict(llm.ORACLE_SQL) if llm else {}
+    if llm and corpus_pipeline.ORACLE_SQL:
+        extra["pipeline"] = corpus_pipeline.ORACLE_SQL
+    return {**ORACLES, **extra}
