@@ -9,12 +9,23 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from vecatlas.llm import bpe, chat, lines, quality
+from vecatlas.llm import bpe, chat, classifier, decontam, lines, quality, sharding, simhash
 from vecatlas.llm.tables import documents
 
 TOKENIZER = "byte_bpe_multi_50k.tiktoken"
 
 
+def op1_label_propagation(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = documents(spark, sf_dir)
+    rows = sharding.numbered(docs.select(
+        F.col("doc_id").cast("long").alias("doc_id"), (F.coalesce(F.octet_length("text"), F.lit(0)) + 1).cast("long").alias("size"),
+        F.coalesce(F.crc32("text"), F.lit(0)).cast("long").alias("text_crc32"),
+        F.when(F.col("text").isNotNull(), F.xxhash64("text")).alias("h1"), F.xxhash64(F.lit(1), "text").alias("h2")))
+    placed = sharding.shard_by_groups(rows, ["h1", "h2"], shards=8)
+    return placed.select("doc_id", "size", "text_crc32", F.lit("rows").alias("law"), "shard", "slot",
+                         F.lit(None).cast("int").alias("grown_shard"))
+
+
 def op2_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = documents(spark, sf_dir).select("doc_id", "lang", "text")
     judged, names = quality.judge(docs)
@@ -44,14 +55,35 @@ def op4_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
         run, "doc_id long, n_lines long, n_dropped long, kept_sha256 string")
 
 
+def op6_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    groups = simhash.near_groups(documents(spark, sf_dir), shingle=3, tau=2)
+    return groups.select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
+
+
+def op7_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Which documents hold which benchmark items."""
+    return decontam.contaminated(documents(spark, sf_dir), documents(spark, sf_dir, "benchmark")).drop("doc_row")
+
+
+def op8_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = documents(spark, sf_dir)
+    model = classifier.train(docs, documents(spark, sf_dir, "labels"), "quality")
+    scored = classifier.score(docs, model)
+    return scored.select("doc_id", classifier.held_out().alias("held_out"), "score", (F.col("score") >= 0.3).cast("int").alias("predicted"))
+
+
 def op9_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.digests(documents(spark, sf_dir), public_tokenizers.path(TOKENIZER), public_tokenizers.PATTERN)
 
 
 QUERIES = {
+    "op1_label_propagation": op1_label_propagation,
     "op2_quality_rules": op2_quality_rules,
     "op3_chat_format": op3_chat_format,
     "op4_line_dedup": op4_line_dedup,
+    "op6_simhash": op6_simhash,
+    "op7_decontamination": op7_decontamination,
+    "op8_quality_classifier": op8_quality_classifier,
     "op9_byte_bpe": op9_byte_bpe,
 }
 
