@@ -9,7 +9,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from vecatlas.llm import bpe, chat, classifier, decontam, lines, quality, sharding, simhash
+from vecatlas.llm import bpe, chat, classifier, decontam, lines, quality, repeats, sharding, simhash
 from vecatlas.llm.tables import documents
 
 TOKENIZER = "byte_bpe_multi_50k.tiktoken"
@@ -76,6 +76,10 @@ def op9_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.digests(documents(spark, sf_dir), public_tokenizers.path(TOKENIZER), public_tokenizers.PATTERN)
 
 
+def op10_suffix_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return repeats.digests(documents(spark, sf_dir))
+
+
 QUERIES = {
     "op1_label_propagation": op1_label_propagation,
     "op2_quality_rules": op2_quality_rules,
@@ -85,6 +89,7 @@ QUERIES = {
     "op7_decontamination": op7_decontamination,
     "op8_quality_classifier": op8_quality_classifier,
     "op9_byte_bpe": op9_byte_bpe,
+    "op10_suffix_repeats": op10_suffix_repeats,
 }
 
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
