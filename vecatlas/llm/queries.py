@@ -9,7 +9,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from vecatlas.llm import bpe, chat, classifier, decontam, lines, quality, repeats, sharding, simhash
+from vecatlas.llm import bpe, chat, classifier, decontam, lines, lm, quality, repeats, sharding, simhash
 from vecatlas.llm.tables import documents
 
 TOKENIZER = "byte_bpe_multi_50k.tiktoken"
@@ -55,6 +55,10 @@ def op4_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
         run, "doc_id long, n_lines long, n_dropped long, kept_sha256 string")
 
 
+def op5_deleted_interpolation(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lm.score(documents(spark, sf_dir))
+
+
 def op6_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     groups = simhash.near_groups(documents(spark, sf_dir), shingle=3, tau=2)
     return groups.select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
@@ -85,6 +89,7 @@ QUERIES = {
     "op2_quality_rules": op2_quality_rules,
     "op3_chat_format": op3_chat_format,
     "op4_line_dedup": op4_line_dedup,
+    "op5_deleted_interpolation": op5_deleted_interpolation,
     "op6_simhash": op6_simhash,
     "op7_decontamination": op7_decontamination,
     "op8_quality_classifier": op8_quality_classifier,
