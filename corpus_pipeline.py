@@ -7,8 +7,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.functions import udf
 
-from vecatlas.llm import bpe, lines, quality
+from vecatlas.llm import bpe, decontam, lines, quality, simhash
 from vecatlas.llm.queries import TOKENIZER
+from vecatlas.llm.tables import documents
 from vecatlas.session import materialize
 
 
@@ -25,6 +26,16 @@ def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return marked.withColumn("text", left("text", keep)).select(*docs.columns)
 
 
+def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group of near copies (five-word shingles, Jaccard similarity 0.8 or more)."""
+    return simhash.without_near_copies(docs, shingle=5, least=0.8)
+
+
+def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that hold no benchmark item, word for word or with other numbers and names."""
+    return decontam.without_items(docs, documents(spark, sf_dir, "benchmark"))
+
+
 def byte_bpe(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Every document with its token ids."""
     return bpe.with_tokens(docs, public_tokenizers.path(TOKENIZER), public_tokenizers.PATTERN)[0]
@@ -33,6 +44,8 @@ def byte_bpe(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 STAGES = [
     ("quality_rules", quality_rules),
     ("line_dedup", line_dedup),
+    ("near_dedup", near_dedup),
+    ("decontamination", decontamination),
     ("byte_bpe", byte_bpe),
 ]
 

@@ -22,7 +22,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from vecatlas.llm.tables import column_bytes
+from vecatlas.llm.tables import column_bytes, free_name
 from vecatlas.session import materialize
 
 WINDOW = 8
@@ -192,3 +192,16 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, share: float = SHARE, en
     found = found.withColumn("n_covered", covered.cast("long")).withColumn("n_tokens", F.col("n_tokens").cast("long"))
     return found.where((F.col("n_covered") >= share * F.col("n_tokens")) | (F.col("n_covered") >= enough)).select(
         "doc_id", "doc_row", "item_id", "n_tokens", "n_covered", "n_changed")
+
+
+def without_items(docs: DataFrame, benchmark: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+    """The rows that hold no item of the benchmark.
+
+    Hits carry the id and a hash of the text; the rows' own ids and texts are compared with them in an anti join,
+    which Spark broadcasts while the hits are few. Rows with equal id and text are judged alike, also without an id.
+    """
+    own_id, own_row = free_name("hit_doc", docs.columns), free_name("hit_row", docs.columns)
+    hits = contaminated(docs, benchmark, doc_id=doc_id, text=text).select(F.col("doc_id").alias(own_id), F.col("doc_row").alias(own_row))
+    found = materialize(hits.distinct(), "contaminated")
+    same = F.col(doc_id).cast("long").eqNullSafe(F.col(own_id)) & (F.xxhash64(text) == F.col(own_row))
+    return docs.join(found, same, "left_anti")

@@ -191,3 +191,154 @@ def near_groups(docs: DataFrame, shingle: int = 3, tau: int = 2, doc_id: str = "
     least = rooted.groupBy("root").agg(F.min("least").alias("component_id"))
     named = materialize(rooted.join(least, "root").select("fp", "component_id"), "named")
     return rows.join(named, "fp").select("doc_id", "fp", "component_id")
+
+
+CLASSES = 8
+SKETCH = 96
+_SALT = np.uint64(0xA0761D6478BD642F)
+
+
+def class_fingerprints(hashes: np.ndarray, classes: int = CLASSES) -> list[int]:
+    """Fingerprints of small parts of a text's shingle set, which near copies have in common.
+
+    Shingles are dealt by their hash into 2^level classes, one to four shingles each; the first ``classes`` of two
+    levels are taken, so texts whose sizes differ by less than half have a level in common. A pair of Jaccard
+    similarity 0.8 agrees in any one class with about even odds, in one of the eight with over 0.99.
+    """
+    mixed = (hashes ^ (hashes >> np.uint64(29))) * _SALT
+    out, level = [], max(0, int(np.log2(max(1, len(hashes)) / 2)))
+    for depth in (level, level + 1):
+        number = mixed >> np.uint64(64 - depth) if depth else np.zeros(len(mixed), np.uint64)
+        for c in range(min(classes, 1 << depth)):
+            members = hashes[number == c]
+            if len(members):
+                marked = int(fingerprint(members)) ^ xxhash.xxh64_intdigest(f"{depth}/{c}".encode())
+                out.append((marked & (1 << 64) - 1) - (1 << 64) * ((marked >> 63) & 1))
+    return out
+
+
+def _profiles(chunks: DataFrame, doc_id: str, text: str, shingle: int) -> DataFrame:
+    """Per row: its number, id, fingerprint, a hash of its shingle set, class fingerprints and a bottom sketch."""
+    def run(batches):
+        for batch in batches:
+            for chunk, data in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+                table, rows = chunk_rows(data), []
+                for row, (doc, whole) in enumerate(zip(table[doc_id].to_pylist(), column_bytes(table[text].combine_chunks()))):
+                    hashes = shingle_hashes(whole, shingle)
+                    own = np.unique(hashes)
+                    digest = xxhash.xxh3_128_digest(own.tobytes())
+                    low = np.sort((own * _SALT).astype(np.uint64) >> np.uint64(32))[:SKETCH].astype(np.uint32)
+                    rows.append((row, doc, fingerprint(hashes), digest, class_fingerprints(own), low.tobytes()))
+                kinds = (pa.int32(), pa.int64(), pa.int64(), pa.binary(), pa.list_(pa.int64()), pa.binary())
+                columns = [pa.array(c, k) for c, k in zip(zip(*rows), kinds)]
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(rows), chunk, np.int64)), *columns],
+                                                 names=["chunk", "row", "doc", "fp", "set", "classes", "sketch"])
+
+    return chunks.select("chunk", "rows").mapInArrow(
+        run, "chunk long, row int, doc long, fp long, set binary, classes array<long>, sketch binary")
+
+
+def sketch_similarity(x: bytes, y: bytes) -> float:
+    """Estimated Jaccard similarity from two bottom sketches; exact where both hold their whole sets."""
+    a, b = np.frombuffer(x, np.uint32), np.frombuffer(y, np.uint32)
+    union = np.union1d(a, b)[:SKETCH]
+    return len(np.intersect1d(np.intersect1d(a, b), union)) / max(1, len(union))
+
+
+def similarity(x: bytes, y: bytes) -> float:
+    """Jaccard similarity of two sets of hashes."""
+    a, b = np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)
+    both = len(np.intersect1d(a, b, assume_unique=True))
+    return both / max(1, len(a) + len(b) - both)
+
+
+def without_near_copies(docs: DataFrame, shingle: int = 5, least: float = 0.8, tau: int = 2, doc_id: str = "doc_id",
+                        text: str = "text") -> DataFrame:
+    """``docs`` with one row (of smallest id, then the first read) of each group of near copies.
+
+    Rows are near copies if the sets of their shingles of ``shingle`` words have a Jaccard similarity of ``least``
+    or more; groups are connected over such pairs. Candidates: equal sets; whole-text fingerprints within ``tau``
+    bits; and one equal class fingerprint, where each row meets the first row that has it. All candidates are
+    verified by the whole sets. Null texts and texts without a word are copies of each other.
+    """
+    chunks = write_chunks(docs, text)
+    profiles = materialize(_profiles(chunks, doc_id, text, shingle), "profiles")
+    rows = materialize(profiles.select(_node().alias("node"), "chunk", "row", "doc", "set", "fp", "classes"), "rows")
+    # One row stands for all rows of an equal set.
+    heads = materialize(rows.groupBy("set").agg(F.min("node").alias("head"), F.first("fp").alias("fp")), "heads")
+    classes = rows.join(heads.select("set", F.col("head").alias("node")), ["set", "node"], "left_semi").select(
+        "node", F.explode("classes").alias("class"))
+    classes = materialize(classes, "classes")
+    firsts = classes.groupBy("class").agg(F.min("node").alias("a"), F.count(F.lit(1)).alias("n")).where("n > 1").drop("n")
+    by_class = classes.join(firsts, "class").where("node <> a").select("a", F.col("node").alias("b"))
+    fps = materialize(heads.groupBy("fp").agg(F.min("head").alias("a")), "fps")
+    same_fp = heads.join(fps, "fp").where("head <> a").select("a", F.col("head").alias("b"))
+    near = links(fps.select("fp"), tau)
+    near = near.join(fps.select(F.col("fp").alias("a"), F.col("a").alias("x")), "a").join(
+        fps.select(F.col("fp").alias("b"), F.col("a").alias("y")), "b")
+    near = near.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b"))
+    candidates = materialize(by_class.unionByName(same_fp).unionByName(near).distinct(), "candidates")
+    verified = _verified(candidates, chunks, profiles, least, text, shingle)
+    roots = components(verified)
+    # A group's row is the one of smallest (doc, node) among the rows of all its sets.
+    grouped = heads.join(roots.withColumnRenamed("v", "head"), "head", "left").select(
+        "set", F.coalesce("root", "head").alias("root"))
+    placed = materialize(rows.select("node", "chunk", "row", "doc", "set").join(grouped, "set"), "groups")
+    order = F.struct(F.coalesce("doc", F.lit(-(1 << 63))).alias("doc"), "node")
+    best = placed.groupBy("root").agg(F.min(order)["node"].alias("node"))
+    gone = placed.select("node", "chunk", "row").join(best.select("node"), "node", "left_anti")
+    answers = gone.groupBy("chunk").agg(F.collect_list("row").alias("gone"))
+
+    def run(batches):
+        for batch in batches:
+            for data, out in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+                table = chunk_rows(data)
+                keep = np.ones(len(table), bool)
+                keep[np.array(out or [], np.int64)] = False
+                yield from table.filter(pa.array(keep)).to_batches(max_chunksize=2000)
+
+    return answer_chunks(chunks, answers).select("rows", "gone").mapInArrow(run, docs.schema)
+
+
+def _node():
+    """One number for a row's chunk and place."""
+    return F.shiftleft(F.shiftright("chunk", 32), 40) + F.shiftleft(F.col("chunk").bitwiseAND(0xFFFFFFFF), 20) + F.col("row")
+
+
+def _judged(pairs: DataFrame, sides: DataFrame, test) -> DataFrame:
+    """The pairs (a, b) whose values (``sides``: node, value) pass the test."""
+    side = lambda name: sides.select(F.col("node").alias(name), F.col("value").alias(f"{name}_value"))
+    both = pairs.join(side("a"), "a").join(side("b"), "b").select("a", "b", "a_value", "b_value")
+
+    def run(batches):
+        for batch in batches:
+            good = [test(x, y) for x, y in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist())]
+            yield pa.RecordBatch.from_arrays([c.filter(pa.array(good, pa.bool_())) for c in batch.columns[:2]], names=["a", "b"])
+
+    return both.mapInArrow(run, "a long, b long")
+
+
+def _verified(candidates: DataFrame, chunks: DataFrame, profiles: DataFrame, least: float, text: str, shingle: int) -> DataFrame:
+    """The candidate pairs of enough similarity.
+
+    A sketch first rules out those that are far below it; the sets of the rest are made again from their texts.
+    """
+    margin = 4 * (least * (1 - least) / SKETCH) ** 0.5
+    sketches = profiles.select(_node().alias("node"), F.col("sketch").alias("value"))
+    likely = materialize(_judged(candidates, sketches, lambda x, y: sketch_similarity(x, y) >= least - margin), "likely")
+    nodes = likely.select(F.col("a").alias("node")).unionByName(likely.select(F.col("b").alias("node"))).distinct()
+    chunk = F.shiftleft(F.shiftright("node", 40), 32) + F.shiftright("node", 20).bitwiseAND((1 << 20) - 1)
+    asked = nodes.select(chunk.alias("chunk"), F.col("node").bitwiseAND((1 << 20) - 1).alias("row"), "node")
+    asked = asked.groupBy("chunk").agg(F.collect_list(F.struct("row", "node")).alias("asked"))
+
+    def run(batches):
+        for batch in batches:
+            for data, wanted in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+                if wanted:
+                    texts = column_bytes(chunk_rows(data)[text].combine_chunks())
+                    sets = [np.unique(shingle_hashes(texts[w["row"]], shingle)).tobytes() for w in wanted]
+                    yield pa.RecordBatch.from_arrays([pa.array([w["node"] for w in wanted], pa.int64()), pa.array(sets, pa.binary())],
+                                                     names=["node", "value"])
+
+    sets = materialize(answer_chunks(chunks, asked).select("rows", "asked").mapInArrow(run, "node long, value binary"), "sets")
+    return _judged(likely, sets, lambda x, y: similarity(x, y) >= least)
