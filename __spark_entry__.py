@@ -29,7 +29,7 @@ from vecatlas.plans import search as plans
 from vecatlas.plans.sync import rebuild, sync, unregister
 from vecatlas.session import materialize, scratch_path
 from vecatlas.sources import logs
-from vecatlas.sources.commitlog import CommitLog, puts
+from vecatlas.sources.commitlog import CommitLog, deletes, puts
 from vecatlas.sources.snapshots import read_catalog_json, write_catalog_json
 from vecatlas.sources.vocabulary import read_vocabulary, vocabulary_size
 from vecatlas.streaming.ingest import start_ingest
@@ -251,6 +251,18 @@ def catalog_after_compaction(spark: SparkSession, sf_dir: str) -> DataFrame:
     return log.catalog().filter("live").select("slot", "path", "size")
 
 
+def search_after_sync(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Vectors through the commit log: all committed, some deleted, the log folded, some replaced, then searched."""
+    log, vectors = _log(spark), fx.gallery_vectors(spark, sf_dir)
+    log.append(puts(vectors), "sync-0")
+    removed = fx.derived(spark, sf_dir, fx.GALLERY_REMOVED)
+    log.append(deletes(cat.remove_directories(log.catalog(), removed)), "sync-1")
+    log.compact()
+    turned = log.vectors().filter(F.element_at("embedding", 2) > 0.1)
+    log.append(puts(turned.withColumn("embedding", F.transform("embedding", lambda x: -x))), "sync-2")
+    return _hit_columns(plans.search(log.vectors(), fx.vector_queries(spark, sf_dir), K))
+
+
 def catalog_rebuilt(spark: SparkSession, sf_dir: str) -> DataFrame:
     log = _synced(spark, sf_dir)
     listing, roots = fx.derived(spark, sf_dir, fx.LISTING), fx.derived(spark, sf_dir, fx.USER_ROOTS)
@@ -391,11 +403,14 @@ def size_display(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-def ingest_latest_state(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The change feed as a stream of files that arrive week by week, each path in one file a week."""
+_WEEKS = (("2000-01-01", "2024-01-11"), ("2024-01-11", "2024-01-21"), ("2024-01-21", "2100-01-01"))
+
+
+def _ingested(spark: SparkSession, sf_dir: str, weeks) -> DataFrame:
+    """The change feed as a stream of files, each path in one file a week."""
     feed = fx.derived(spark, sf_dir, fx.FEED)
     folder, log = scratch_path(spark, "feed"), _log(spark)
-    for start, end in (("2000-01-01", "2024-01-11"), ("2024-01-11", "2024-01-21"), ("2024-01-21", "2100-01-01")):
+    for start, end in weeks:
         week = feed.filter((F.col("ts") >= F.lit(start).cast("timestamp")) & (F.col("ts") < F.lit(end).cast("timestamp")))
         week.repartition(2, "path").write.mode("append").parquet(folder)
     stream = spark.readStream.schema(feed.schema).option("maxFilesPerTrigger", 2).parquet(folder)
@@ -403,6 +418,15 @@ def ingest_latest_state(spark: SparkSession, sf_dir: str) -> DataFrame:
     return log.catalog().filter("live").select("path", "size")
 
 
+def ingest_latest_state(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _ingested(spark, sf_dir, _WEEKS)
+
+
+def ingest_out_of_order(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The weeks arrive in reverse, so almost every change of the second and third batch comes late."""
+    return _ingested(spark, sf_dir, reversed(_WEEKS))
+
+
 def query_stream_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All queries as a stream of several files."""
     asked = fx.vector_queries(spark, sf_dir)
@@ -460,6 +484,7 @@ def queries() -> dict[str, Query]:
         "knn_ivf_recall": knn_ivf_recall,
         "knn_after_directory_removal": knn_after_directory_removal,
         "knn_existing_only": knn_existing_only,
+        "search_after_sync": search_after_sync,
         "search_result_columns": search_result_columns,
         "search_sorted_by_size": _sorted("size", False),
         "search_sorted_by_score": _sorted("score", True),
@@ -505,6 +530,7 @@ def queries() -> dict[str, Query]:
         "listing_accepted": listing_accepted,
         "size_display": size_display,
         "ingest_latest_state": ingest_latest_state,
+        "ingest_out_of_order": ingest_out_of_order,
         "query_stream_topk": query_stream_topk,
         "image_size_report": image_size_report,
         "image_tensor": image_tensor,

@@ -4,7 +4,6 @@ from __future__ import annotations
 
 import fixtures as fx
 from fixtures import duckdb_sql
-from vecatlas.functions.text import CLEAN_UP
 
 GALLERY = duckdb_sql(fx.GALLERY)
 GALLERY_LISTING = duckdb_sql(fx.GALLERY_LISTING)
@@ -49,6 +48,10 @@ def _knn(metric: str = "cosine", **gallery: str) -> str:
 _LEFT_GALLERY = f"""(select * from {GALLERY} x where live and not exists (
   select 1 from {GALLERY_REMOVED} r where starts_with(x.path, r.root || '/')))"""
 
+# Directories removed, and vectors turned round where their second component is high.
+_LATER_GALLERY = f"""(select slot, path, case when embedding[2] > 0.1
+    then list_transform(embedding, lambda x: -x) else embedding end as embedding from {_LEFT_GALLERY} l)"""
+
 _SIZE_TEXT = """(((size * 100 // 1048576) + case
     when size * 100 % 1048576 > 524288 then 1
     when size * 100 % 1048576 = 524288 and (size * 100 // 1048576) % 2 = 1 then 1 else 0 end))"""
@@ -127,8 +130,15 @@ _WORDS = rf"""list_filter(regexp_split_to_array(
   '[\s\x{{2028}}\x{{2029}}]+'), lambda x: x <> '')"""
 
 
+# What joined tokens are cleaned of, in this order.
+_CLEAN_UP = (
+    (" .", "."), (" ?", "?"), (" !", "!"), (" ,", ","), (" ' ", "'"),
+    (" n't", "n't"), (" 'm", "'m"), (" 's", "'s"), (" 've", "'ve"), (" 're", "'re"),
+)
+
+
 def _cleaned(text: str) -> str:
-    for found, written in CLEAN_UP:
+    for found, written in _CLEAN_UP:
         quoted_found, quoted_written = (s.replace("'", "''") for s in (found, written))
         text = f"replace({text}, '{quoted_found}', '{quoted_written}')"
     return text
@@ -213,6 +223,7 @@ ORACLES = {
     "search_result_columns": f"""select query_id, rank, path, substr(md5(path), 1, 16) as row_id,
       {_size_text()} as size_text, strftime(modified, '%Y-%m-%d %H:%M:%S') as modified_text, shown as score
       from {_SHOWN} s""",
+    "search_after_sync": _knn(gallery=_LATER_GALLERY),
     "search_sorted_by_size": _sorted("size, rank"),
     "search_sorted_by_score": _sorted("d, rank"),
     "search_sorted_by_modified": _sorted("modified, substr(md5(path), 1, 16)"),
@@ -282,6 +293,7 @@ ORACLES = {
     "size_display": f"""select path, {_size_text()} as size_text, substr(md5(path), 1, 16) as row_id
       from {LISTING} l""",
     "ingest_latest_state": f"select path, size from {LISTING} l",
+    "ingest_out_of_order": f"select path, size from {LISTING} l",
     "query_stream_topk": _knn(),
     "image_size_report": """select '/gallery/' || vec_id || '.png' as origin,
       case when embedding[4] >= -0.15 then 4 else 0 end as width,

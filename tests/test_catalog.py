@@ -231,3 +231,38 @@ def test_display(spark):
     df = spark.createDataFrame([(s,) for s in sizes], "s long")
     got = [r[0] for r in df.select(display.size_text(F.col("s"))).collect()]
     assert got == [f"{s / 1024 / 1024:.2f}MB" for s in sizes]
+
+
+def _paths(log):
+    return sorted(r["path"] for r in log.catalog().filter("live").collect())
+
+
+def _row(spark, slot, path):
+    return puts(spark.createDataFrame([(slot, path, 1)], "slot long, path string, size long"))
+
+
+def test_a_replayed_rebuild_keeps_the_catalog(spark):
+    from vecatlas.plans.sync import rebuild
+
+    log, roots = CommitLog(spark, scratch_path(spark, "atlas")), roots_df(spark, "/r")
+    log.append(_row(spark, 0, "/r/old"), "first")
+    listing = spark.createDataFrame([("/r/a", 1), ("/r/b", 2)], "path string, size long")
+    for _ in range(2):
+        rebuild(log, listing, roots, "again")
+        assert _paths(log) == ["/r/a", "/r/b"]
+    log.append(_row(spark, 5, "/r/lost"), "first")  # its place lies before the reset
+    assert _paths(log) == ["/r/a", "/r/b"]
+
+
+def test_a_late_commit_is_not_folded_away(spark):
+    log = CommitLog(spark, scratch_path(spark, "atlas"))
+    log.append(_row(spark, 0, "/first"), "first")
+    log.ordinal("slow")
+    log.append(_row(spark, 1, "/fast"), "fast")
+    log.compact()
+    assert _paths(log) == ["/fast", "/first"]
+    log.append(_row(spark, 2, "/slow"), "slow")
+    assert _paths(log) == ["/fast", "/first", "/slow"]
+    log.compact()
+    log.compact()
+    assert _paths(log) == ["/fast", "/first", "/slow"]

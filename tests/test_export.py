@@ -51,3 +51,19 @@ def test_random_clashes(spark, seed):
     paths = [f"/d{i}/{name()}" for i in range(60)]
     taken = {name() for _ in range(6)}
     assert exported(spark, paths, taken) == sequential(paths, taken)
+
+
+def test_many_held_copies_take_few_passes(spark, monkeypatch):
+    from vecatlas.operators import export
+
+    passes, real = [], export.prefix_sum
+
+    def counted(*args, **kwargs):
+        passes.append(1)
+        return real(*args, **kwargs)
+
+    monkeypatch.setattr(export, "prefix_sum", counted)
+    taken = ["a.png", *(f"a ({n}).png" for n in range(2, 502))]
+    paths = ["/x/a.png", "/y/a.png", "/z/b.png"]
+    assert exported(spark, paths, taken) == sequential(paths, taken)
+    assert len(passes) <= 5

@@ -186,3 +186,18 @@ def test_text_queries(spark):
     assert np.isclose(np.linalg.norm(rows[0]), 1)
     with pytest.raises(ValueError, match="vocabulary lacks"):
         encode_queries(queries, vocabulary.filter("token <> '[CLS]'"), HashingEncoder(32), 8)
+
+
+def test_names_with_special_characters(spark, tmp_path):
+    folder = tmp_path / "odd names"
+    folder.mkdir()
+    names = ["plain.png", "a b.png", "a#b.png", "a%20b.png", "a+b.png", "ä€.png", "a[1].png", "100%.png"]
+    for i, name in enumerate(names):
+        (folder / name).write_bytes(png([[(i, 20, 30)] * 3] * 2, 2))
+    want = sorted(f"{folder}/{name}" for name in names)
+    assert sorted(r["path"] for r in list_files(spark, [str(folder)]).collect()) == want
+    images = read_images(spark, [str(folder)])
+    assert sorted(r["path"] for r in images.collect()) == want
+    assert sorted(r["o"] for r in images.selectExpr("image.origin as o").collect()) == want
+    asked = spark.createDataFrame([(p,) for p in [*want[:4], f"{folder}/gone.png"]], "path string")
+    assert sorted(r["path"] for r in read_images(spark, [str(folder)], only=asked).collect()) == want[:4]

@@ -147,3 +147,25 @@ def test_search_drops_missing_files_after_topk(spark):
     gone = vectors.select("path").filter("path <> '/p0'")
     assert (everything, search(vectors, queries, 5, listing=gone).count()) == (5, 4)
     assert neighbours(vectors, 2).filter("rank = 1").count() == 20
+
+
+@pytest.mark.parametrize("metric", ["cosine", "l2"])
+def test_near_copies_rank_alike_on_every_route(spark, metric, tmp_path):
+    """Groups of vectors that differ by less than the grid of distances, spread over cells."""
+    import numpy as np
+
+    from vecatlas.operators.cells import bounded_search, build_cell_index, probed_search
+
+    pick = np.random.default_rng(4)
+    centers = pick.normal(size=(40, 8))
+    rows = []
+    for c in centers:
+        for _ in range(6):
+            rows.append((c + pick.normal(scale=2e-6, size=8)).astype(np.float32))
+    order = pick.permutation(len(rows))
+    vectors = spark.createDataFrame([(int(s), rows[i].tolist()) for s, i in enumerate(order)], "slot long, embedding array<float>")
+    queries = vectors.selectExpr("slot as query_id", "embedding")
+    index = build_cell_index(vectors, str(tmp_path / metric), 24, metric)
+    routes = [topk.topk_search(vectors, queries, 3, metric), bounded_search(index, queries, 3), probed_search(index, queries, 3, 24)]
+    found = [{(r["query_id"], r["rank"], r["slot"]) for r in hits.collect()} for hits in routes]
+    assert found[0] == found[1] == found[2]

@@ -98,3 +98,28 @@ def test_json_lines(spark):
 
 def test_shared_folder_comes_from_the_session(spark):
     assert shared_dir(spark) == spark.conf.get("spark.checkpoint.dir")
+
+
+def test_a_late_change_does_not_win(spark):
+    log = CommitLog(spark, scratch_path(spark, "atlas"))
+    batches = [[(9, "/a", "put", 9), (8, "/b", "delete", 0)], [(1, "/a", "put", 1), (2, "/b", "put", 2), (3, "/c", "put", 3)],
+               [(10, "/c", "delete", 3), (4, "/a", "delete", 1)], [(5, "/c", "put", 5), (11, "/b", "put", 11)]]
+    for n, rows in enumerate(batches):
+        apply_changes(log, spark.createDataFrame(rows, FEED), f"stream-{n}")
+        if n == 1:
+            log.compact()
+    assert state_of(log) == {"/a": 9, "/b": 11}
+    apply_changes(log, spark.createDataFrame(batches[1], FEED), "stream-1")  # folded: nothing changes
+    assert state_of(log) == {"/a": 9, "/b": 11}
+
+
+def test_rows_that_cannot_be_encoded_are_kept(spark):
+    log = CommitLog(spark, scratch_path(spark, "atlas"))
+
+    def encode(work):
+        good = F.col("path") != "/bad"
+        return work.withColumn("embedding", F.when(good, F.array(F.col("size").cast("float"))))
+
+    apply_changes(log, spark.createDataFrame([(1, "/a", "put", 1), (2, "/bad", "put", 2)], FEED), "stream-0", encode)
+    assert [(r["path"], r["size"]) for r in log.errors().collect()] == [("/bad", 2)]
+    assert state_of(log) == {"/a": 1}

@@ -31,11 +31,11 @@ from vecatlas.session import materialize, scratch_path, small_table
 
 VECTORS_PER_BLOCK = 65_536
 QUERIES_PER_BLOCK = 8_192
-# Rows the quantizer is trained on; all rows are assigned and searched.
-TRAINING_ROWS = 200_000
 MAX_CELLS = 16_384
 MAX_DIRECT_QUERIES = 2_000
 _SLACK = 1e-6
+# Distances are rounded to a grid: of 1e-10 (cosine), or of the squared lengths' sum over 2^29 at most (L2).
+_COSINE_STEP, _L2_STEP = 1e-10, 2.0**-28
 
 
 @dataclass
@@ -91,10 +91,7 @@ def build_cell_index(
     direction = F.col("embedding")
     if metric == "cosine":
         direction = V.normalize(direction)
-    rows = vectors.count()
     training = known.select(direction.alias("v")).filter("v is not null")
-    if rows > TRAINING_ROWS:
-        training = training.sample(TRAINING_ROWS / rows, seed=seed)
     training = materialize(training.select(array_to_vector("v").alias("features")), "training")
     if training.isEmpty():
         raise ValueError("no vector to train the cells on")
@@ -116,7 +113,7 @@ def build_cell_index(
     assigned.hint("rebalance", "cell").write.partitionBy("cell").parquet(f"{path}/vectors")
     spark.read.parquet(f"{path}/vectors").groupBy("cell").agg(
         F.count(F.lit(1)).alias("rows"), F.max("reach").alias("radius")
-    ).coalesce(1).write.parquet(f"{path}/stats")
+    ).write.parquet(f"{path}/stats")
     kept = {
         "cell": list(range(len(centers))), "center": centers.tolist(), "metric": [metric] * len(centers)
     }
@@ -264,8 +261,15 @@ def bounded_search(index: CellIndex, queries: DataFrame, k: int = 10) -> DataFra
         rank_hits(_block_join(index, _probes(index, queries, 1), k, schema), k, metric), "seeds"
     )
     # A cosine distance d is the chord sqrt(2 d) between unit vectors; an L2 distance is squared.
-    chord = F.sqrt(F.greatest(F.col("distance"), F.lit(0.0)) * F.lit(2.0 if metric == "cosine" else 1.0))
-    bounds = seeds.filter(F.col("rank") == k).select("query_id", chord.alias("bound"))
+    # Hits are ranked by rounded distances, so a neighbour up to a step of the grid farther may still rank first.
+    distance = F.greatest(F.col("distance"), F.lit(0.0))
+    last = seeds.filter(F.col("rank") == k)
+    if metric == "cosine":
+        chord = F.sqrt((distance + F.lit(_COSINE_STEP)) * F.lit(2.0))
+    else:
+        last = last.join(queries.select("query_id", F.expr("aggregate(embedding, 0d, (s, x) -> s + double(x) * double(x))").alias("q2")), "query_id")
+        chord = F.sqrt(distance + F.lit(_L2_STEP) * (F.lit(3.0) * F.col("q2") + F.lit(2.0) * distance))
+    bounds = last.select("query_id", chord.alias("bound"))
     rest = _block_join(index, _probes(index, queries, 1, bounds), k, schema)
     partial = seeds.select("query_id", "slot", "distance").unionByName(rest)
     return rank_hits(partial, k, metric)
@@ -274,5 +278,7 @@ def bounded_search(index: CellIndex, queries: DataFrame, k: int = 10) -> DataFra
 def exact_cell_join(vectors: DataFrame, queries: DataFrame, k: int, metric: str) -> DataFrame:
     """Exact top-k through a cell index written for this one search."""
     spark = vectors.sparkSession
-    index = build_cell_index(vectors, scratch_path(spark, "cells"), 256, metric)
+    rows = vectors.filter("embedding is not null").count()
+    cells = max(16, min(MAX_CELLS, int(rows**0.5)))
+    index = build_cell_index(vectors, scratch_path(spark, "cells"), cells, metric)
     return bounded_search(index, queries, k)

@@ -99,7 +99,9 @@ def _settle(nodes: DataFrame, spilled: DataFrame) -> DataFrame | None:
     marks = nodes.filter("n is not null").select(
         "parent", F.col("name").alias("child"), "n", F.col("since").alias("in_use")
     ).join(overflowing, "parent", "left_semi")
-    marks = materialize(marks.withColumn("skipped", F.lit(False)), "marks")
+    # Names held from the beginning are skipped if they are reached, and where they are not, nothing used lies
+    # above them; so they may count as skipped at once, and a run of them takes one pass.
+    marks = materialize(marks.withColumn("skipped", F.col("in_use") < 0), "marks")
     if marks.isEmpty():
         return None
     places = spilled.select(F.col("name").alias("parent"), "i", F.col("ordinal").alias("at"))

@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from vecatlas.functions.text import basic_tokens, raw_words, word_tokens
+from vecatlas.session import materialize
 
 # Special tokens and the longest word that is split.
 UNKNOWN, CLASS_START, SEPARATOR = "[UNK]", "[CLS]", "[SEP]"
@@ -59,7 +60,7 @@ def special_ids(vocabulary: DataFrame, *tokens: str) -> list[int]:
 def wordpiece(
     df: DataFrame, key: str, text: str, vocabulary: DataFrame, max_broadcast_tokens: int = MAX_BROADCAST_TOKENS
 ) -> DataFrame:
-    """Replace ``text`` by ``token_ids ARRAY<BIGINT>``; ``vocabulary`` has ``token, id``, ``key`` is unique."""
+    """Replace ``text`` by ``token_ids ARRAY<BIGINT>``; ``vocabulary`` has ``token, id``."""
     table = vocabulary.select("token", "id").limit(max_broadcast_tokens + 1).toArrow()
     if table.num_rows > max_broadcast_tokens or table.nbytes > MAX_BROADCAST_BYTES:
         return _wordpiece_by_join(df, key, text, vocabulary, special_ids(vocabulary, UNKNOWN)[0])
@@ -105,7 +106,11 @@ def wordpiece(
 def _wordpiece_by_join(
     df: DataFrame, key: str, text: str, vocabulary: DataFrame, unknown: int
 ) -> DataFrame:
-    """The same result by joins: every piece of every distinct word is looked up in the vocabulary."""
+    """The same result by joins: every piece of every distinct word is looked up in the vocabulary.
+
+    Rows are joined back by a number of their own, so rows with an equal key stay apart.
+    """
+    df, key = materialize(df.withColumn("_row", F.monotonically_increasing_id()), "texts"), "_row"
     words = df.select(key, F.posexplode(basic_tokens(F.col(text))).alias("pos", "word"))
     distinct = words.select("word").distinct()
     size = F.length("word")
@@ -151,7 +156,7 @@ def _wordpiece_by_join(
     )
     return df.drop(text).join(pieces, key, "left").withColumn(
         "token_ids", F.coalesce("token_ids", F.array().cast("array<bigint>"))
-    )
+    ).drop(key)
 
 
 def model_input(df: DataFrame, vocabulary: DataFrame, context_length: int = 52) -> DataFrame:
@@ -201,6 +206,7 @@ def ids_to_tokens(
 def _ids_to_tokens_by_join(
     df: DataFrame, key: str, ids: str, vocabulary: DataFrame, name: str
 ) -> DataFrame:
+    df, key = materialize(df.withColumn("_row", F.monotonically_increasing_id()), "ids"), "_row"
     long = df.select(key, F.posexplode(ids).alias("pos", "id"))
     absent = F.raise_error(F.lit("an id is outside the vocabulary")).cast("string")
     named = long.join(vocabulary.select("id", "token"), "id", "left").withColumn(
@@ -209,4 +215,5 @@ def _ids_to_tokens_by_join(
     gathered = named.groupBy(key).agg(
         F.transform(F.sort_array(F.collect_list(F.struct("pos", "token"))), lambda p: p["token"]).alias(name)
     )
-    return df.join(gathered, key, "left").withColumn(name, F.coalesce(name, F.array().cast("array<string>")))
+    joined = df.join(gathered, key, "left").withColumn(name, F.coalesce(name, F.array().cast("array<string>")))
+    return joined.drop(key)

@@ -55,7 +55,7 @@ def sync(
     encoded = materialize(encode_work(work), "encoded")
     done, errors = split_errors(encoded)
     rows = deletes(gone).unionByName(puts(done)).unionByName(pads(unfilled_slots(state, done, errors)))
-    log.append(rows, commit_id)
+    log.append(rows, commit_id, errors=errors)
     return SyncResult(gone, work, errors)
 
 
@@ -83,19 +83,20 @@ def image_encoder(
 
 def sync_files(
     log: CommitLog, roots: list[str], factory: EncoderFactory, commit_id: str, size: int = 224,
-    normalization: bool = True,
+    normalization: bool = True, mean: tuple[float, ...] = CLIP_MEAN, std: tuple[float, ...] = CLIP_STD,
 ) -> SyncResult:
-    """Sync with the image files below ``roots``."""
+    """Sync with the image files below ``roots``; ``mean`` and ``std`` are those of the model."""
     spark = log.spark
     root_rows = small_table(spark, {"root": roots}, "root string")
-    run = image_encoder(spark, roots, factory, size, normalization=normalization)
+    run = image_encoder(spark, roots, factory, size, mean, std, normalization)
     return sync(log, list_files(spark, roots), root_rows, commit_id, run)
 
 
 def rebuild(
     log: CommitLog, listing: DataFrame, roots: DataFrame, commit_id: str, encode_work: Encode | None = None
 ) -> SyncResult:
-    log.reset()
+    """Sync from nothing; replaying the commit gives the same catalog."""
+    log.reset(commit_id)
     return sync(log, listing, roots, commit_id, encode_work)
 
 

@@ -2,11 +2,15 @@
 
     log/<commit_id>/      rows: slot, path, size, op, embedding, seq
     meta/<seq>.<commit_id>   written before the data, so a replayed commit keeps its place
+    heard/<commit_id>/    a change feed's paths with the feed's own number of their last change
+    errors/<commit_id>/   rows that could not be encoded
     snapshots/v=<n>/      the folded state
+    feeds/v=<n>/          the folded feed numbers
     CURRENT               the snapshot in use and the last seq folded into it, written last
 
 The state is the row with the highest ``seq`` of each slot; within a commit a put beats a delete,
-since a freed slot may be taken again at once. One writer at a time is assumed.
+since a freed slot may be taken again at once. One writer at a time is assumed. A snapshot folds the
+commits before the first one that has a place but no data yet; that one can still be replayed.
 """
 
 from __future__ import annotations
@@ -21,6 +25,8 @@ from vecatlas.sources.storage import Storage
 
 _ROWS = "slot long, path string, size long, op string, embedding array<float>"
 _SCHEMA = f"{_ROWS}, seq long"
+_HEARD = "path string, source_seq long"
+_ERRORS = "path string, size long, error string, seq long"
 
 
 def puts(df: DataFrame) -> DataFrame:
@@ -56,10 +62,11 @@ class CommitLog:
         names = (name.split(".", 1) for name in self._storage.names(f"{self.path}/meta"))
         return {commit: int(seq) for seq, commit in names}
 
-    def _committed(self) -> list[tuple[str, int]]:
-        """Commits whose data is complete, oldest first."""
-        ordered = sorted(self._ordinals().items(), key=lambda item: item[1])
-        return [(c, n) for c, n in ordered if self._storage.exists(f"{self.path}/log/{c}/_SUCCESS")]
+    def _pending(self) -> list[tuple[str, int, bool]]:
+        """Commits since the snapshot, oldest first, and whether their data is complete."""
+        through = self._current()["through"]
+        ordered = sorted((n, c) for c, n in self._ordinals().items() if n > through)
+        return [(c, n, self._storage.exists(f"{self.path}/log/{c}/_SUCCESS")) for n, c in ordered]
 
     def ordinal(self, commit_id: str) -> int:
         """The place of a commit; a new commit gets the next one, a replayed commit keeps its own."""
@@ -70,22 +77,50 @@ class CommitLog:
             self._storage.touch(f"{self.path}/meta/{last + 1:012d}.{commit_id}")
         return known[commit_id]
 
-    def append(self, rows: DataFrame, commit_id: str) -> None:
+    def append(
+        self, rows: DataFrame, commit_id: str, heard: DataFrame | None = None, errors: DataFrame | None = None
+    ) -> None:
+        """Write a commit; ``heard(path, source_seq)`` and ``errors(path, size, error)`` come before its data.
+
+        A commit whose place is folded is part of the state, or was before a reset: replaying it changes nothing.
+        """
         seq = self.ordinal(commit_id)
+        if seq <= self._current()["through"]:
+            return
+        if heard is not None:
+            heard.select("path", "source_seq").write.mode("overwrite").parquet(f"{self.path}/heard/{commit_id}")
+        if errors is not None:
+            kept = errors.select("path", "size", "error", F.lit(seq).cast("long").alias("seq"))
+            kept.write.mode("overwrite").parquet(f"{self.path}/errors/{commit_id}")
         out = rows.select("slot", "path", "size", "op", "embedding", F.lit(seq).cast("long").alias("seq"))
         out.write.mode("overwrite").parquet(f"{self.path}/log/{commit_id}")
 
     def _tail(self, before: int | None) -> DataFrame:
         """Rows of the commits since the snapshot, or of those before the given place."""
-        through = self._current()["through"]
+        return self._read("log", _SCHEMA, before)
+
+    def _read(self, kind: str, schema: str, before: int | None) -> DataFrame:
         folders = [
-            f"{self.path}/log/{commit}"
-            for commit, seq in self._committed()
-            if seq > through and (before is None or seq < before)
+            f"{self.path}/{kind}/{commit}"
+            for commit, seq, done in self._pending()
+            if done and (before is None or seq < before)
         ]
+        if kind != "log":
+            folders = [folder for folder in folders if self._storage.exists(folder)]
         if not folders:
-            return empty_table(self.spark, _SCHEMA)
-        return self.spark.read.schema(_SCHEMA).parquet(*folders)
+            return empty_table(self.spark, schema)
+        return self.spark.read.schema(schema).parquet(*folders)
+
+    def heard(self, before: int | None = None) -> DataFrame:
+        """``path, source_seq``: the number of the last change that a feed brought for each path."""
+        told, version = self._read("heard", _HEARD, before), self._current()["version"]
+        if version and self._storage.exists(f"{self.path}/feeds/v={version}"):
+            told = told.unionByName(self.spark.read.schema(_HEARD).parquet(f"{self.path}/feeds/v={version}"))
+        return told.groupBy("path").agg(F.max("source_seq").alias("source_seq"))
+
+    def errors(self) -> DataFrame:
+        """``path, size, error, seq`` of the rows that commits since the snapshot could not encode."""
+        return self._read("errors", _ERRORS, None)
 
     def _state(self, before: int | None, *columns: str) -> DataFrame:
         """``slot, op, seq`` and ``columns`` of the deciding row of each slot.
@@ -120,32 +155,42 @@ class CommitLog:
         state = self._state(before, "path", "size", "embedding")
         return state.filter("op = 'put'").select("slot", "path", "size", "embedding")
 
-    def reset(self) -> None:
-        """Start again from an empty snapshot; the old state stays on storage until compaction."""
-        current = self._current()
+    def reset(self, commit_id: str) -> None:
+        """Start again from an empty snapshot, as the first act of the given commit; a replay changes nothing.
+
+        The old state stays on storage until compaction.
+        """
+        place, current = self.ordinal(commit_id), self._current()
+        if place - 1 <= current["through"]:
+            return
         version = current["version"] + 1
-        self.spark.createDataFrame([], _SCHEMA).write.mode("overwrite").parquet(
-            f"{self.path}/snapshots/v={version}"
-        )
-        self._publish(version, current)
+        self._write_snapshot(version, empty_table(self.spark, _SCHEMA), empty_table(self.spark, _HEARD))
+        self._publish(version, current, place - 1)
 
     def compact(self) -> None:
-        """Fold all commits into a new snapshot and remove what the snapshot before it had folded."""
+        """Fold the finished commits into a new snapshot and remove what the snapshot before it had folded."""
         current = self._current()
-        version = current["version"] + 1
-        self._state(None, "path", "size", "embedding").select(
-            "slot", "path", "size", "op", "embedding", "seq"
-        ).write.mode("overwrite").parquet(f"{self.path}/snapshots/v={version}")
-        self._publish(version, current)
+        version, through = current["version"] + 1, current["through"]
+        for _, seq, done in self._pending():
+            if not done:
+                break
+            through = seq
+        state = self._state(through + 1, "path", "size", "embedding").select("slot", "path", "size", "op", "embedding", "seq")
+        self._write_snapshot(version, state, self.heard(through + 1))
+        self._publish(version, current, through)
         for commit, seq in self._ordinals().items():
             if seq <= current["through"]:
-                self._storage.delete(f"{self.path}/log/{commit}")
+                for kind in ("log", "heard", "errors"):
+                    self._storage.delete(f"{self.path}/{kind}/{commit}")
                 self._storage.delete(f"{self.path}/meta/{seq:012d}.{commit}")
         if current["version"] > 1:
-            self._storage.delete(f"{self.path}/snapshots/v={current['version'] - 1}")
+            for kind in ("snapshots", "feeds"):
+                self._storage.delete(f"{self.path}/{kind}/v={current['version'] - 1}")
+
+    def _write_snapshot(self, version: int, state: DataFrame, heard: DataFrame) -> None:
+        state.write.mode("overwrite").parquet(f"{self.path}/snapshots/v={version}")
+        heard.write.mode("overwrite").parquet(f"{self.path}/feeds/v={version}")
 
-    def _publish(self, version: int, current: dict) -> None:
-        # A commit that has a place but no data yet is still to be replayed, so it is not folded.
-        through = max([*(n for _, n in self._committed()), current["through"]], default=-1)
+    def _publish(self, version: int, current: dict, through: int) -> None:
         text = json.dumps({"version": version, "through": through, "previous": current["through"]})
         self._storage.write_text(f"{self.path}/CURRENT", text)

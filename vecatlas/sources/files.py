@@ -55,22 +55,25 @@ def read_images(
     """``path, image`` of the files below ``roots``; invalid files are dropped or have height -1.
 
     ``only(path)`` names the files that are wanted. Up to a bound these alone are opened; a longer list
-    means that much of the tree is wanted, and the whole tree is scanned.
+    means that much of the tree is wanted, and the whole tree is scanned. Either way a file that has vanished
+    has no row.
     """
     schema = "path string, image struct<origin:string,height:int,width:int,nChannels:int,mode:int,data:binary>"
     present = _existing(spark, roots)
     if only is not None:
         wanted = [r["path"] for r in only.select("path").limit(MAX_NAMED_FILES + 1).collect()]
         if len(wanted) <= MAX_NAMED_FILES:
-            present = [_escaped(path) for path in wanted]
+            present = [_escaped(path) for path in _existing(spark, wanted)]
     if not present:
         return empty_table(spark, schema)
     images = (
         spark.read.format("image")
         .option("dropInvalid", drop_invalid)
         .option("recursiveFileLookup", True)
+        .option("ignoreMissingFiles", True)
         .load(present)
     )
-    return images.filter(is_image_path(F.col("image.origin"))).select(
-        _plain_path(F.col("image.origin")).alias("path"), "image"
-    )
+    # The reader gives the name as an encoded URI; a plus sign in it is meant as such.
+    decoded = F.url_decode(F.replace(F.col("image.origin"), F.lit("+"), F.lit("%2B")))
+    named = images.select(_plain_path(decoded).alias("path"), "image").filter(is_image_path(F.col("path")))
+    return named.withColumn("image", F.col("image").withField("origin", F.col("path")))

@@ -16,13 +16,18 @@ from vecatlas.sources.commitlog import CommitLog, deletes, pads, puts
 def apply_changes(
     log: CommitLog, changes: DataFrame, commit_id: str, encode_work: Encode | None = None
 ) -> None:
-    """Commit one batch; the last change of each path wins.
+    """Commit one batch; the last change of each path wins, also over changes of earlier batches.
 
-    The state is read as it was before this commit, so applying a batch again writes the same rows.
+    The state is read as it was before this commit, so applying a batch again writes the same rows. Rows that
+    cannot be encoded keep their old state and are found in ``log.errors()``.
     """
-    state = log.catalog(log.ordinal(commit_id))
-    last = changes.groupBy("path").agg(F.max_by(F.struct("op", "size"), "seq").alias("c"))
-    last = materialize(last.select("path", "c.op", "c.size"), "batch")
+    place = log.ordinal(commit_id)
+    state = log.catalog(place)
+    batch = changes.groupBy("path").agg(F.max_by(F.struct("op", "size", "seq"), "seq").alias("c"))
+    batch = materialize(batch.select("path", "c.op", "c.size", F.col("c.seq").alias("source_seq")), "batch")
+    told = log.heard(place).join(batch.select("path"), "path", "left_semi").withColumnRenamed("source_seq", "_told")
+    newer = F.col("_told").isNull() | (F.col("source_seq") > F.col("_told"))
+    last = materialize(batch.join(told, "path", "left").filter(newer).drop("_told"), "newer")
     # The batch is small beside the catalog: it is broadcast by its size to find its own paths.
     known = state.filter("live").select("path", "slot").join(last.select("path"), "path", "left_semi")
     placed = materialize(last.join(known, "path", "left"), "changes")
@@ -33,20 +38,20 @@ def apply_changes(
         fresh.select("slot", "path", "size")
     )
     if encode_work is None:
-        log.append(deletes(gone).unionByName(puts(work)), commit_id)
+        log.append(deletes(gone).unionByName(puts(work)), commit_id, last)
         return
     done, errors = split_errors(materialize(encode_work(work), "encoded"))
     rows = deletes(gone).unionByName(puts(done)).unionByName(pads(unfilled_slots(state, done, errors)))
-    log.append(rows, commit_id)
+    log.append(rows, commit_id, last, errors)
 
 
 def start_ingest(
     log: CommitLog, feed: DataFrame, checkpoint: str, encode_work: Encode | None = None,
-    available_now: bool = True, compact_every: int | None = None,
+    available_now: bool = True, compact_every: int | None = 20,
 ) -> StreamingQuery:
-    """Each path's changes must reach the stream in order; inside a batch ``seq`` decides.
+    """Changes may arrive in any order: of each path the one with the highest ``seq`` decides.
 
-    ``compact_every`` folds the log into a new snapshot after so many batches.
+    ``compact_every`` folds the log into a new snapshot after so many batches (None: never).
     """
 
     def commit(batch: DataFrame, batch_id: int) -> None:
