@@ -44,11 +44,12 @@ _PRIME = np.uint64(0x9E3779B97F4A7C15)
 HITS = "doc_id long, doc_row long, pos int, hash long, words array<string>"
 
 
-def token(word: bytes) -> tuple[int, int, bool]:
-    """(hash of the literal, kind, whether it is a unit after a number); hash 0 for a word of punctuation only."""
+def token(word: bytes) -> int:
+    """A hash of the lower-case word, with its kind in the two low bits and whether it is a unit in the third; 0 for
+    a word of punctuation only."""
     text = _EDGE.sub("", word.decode(errors="replace"))
     if not text:
-        return 0, LITERAL, False
+        return 0
     lower = text.lower()
     if _NUMBER.fullmatch(text):
         kind = NUMBER
@@ -56,13 +57,13 @@ def token(word: bytes) -> tuple[int, int, bool]:
         kind = NAME
     else:
         kind = LITERAL
-    return xxhash.xxh64_intdigest(lower.encode()) | 1, kind, lower in UNITS
+    return (xxhash.xxh64_intdigest(lower.encode()) | 15) - 7 + kind + 4 * (lower in UNITS)
 
 
 class Tokens(dict):
     """Remembers the tokens of words."""
 
-    def __missing__(self, word: bytes) -> tuple[int, int, bool]:
+    def __missing__(self, word: bytes) -> int:
         if len(self) > 300_000:
             self.clear()
         found = self[word] = token(word)
@@ -71,15 +72,15 @@ class Tokens(dict):
 
 def canonical(words: list[bytes], known: Tokens) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Literal hashes and kinds of a text's tokens, and which words they are."""
-    found = [known[w] for w in words]
-    literal = np.fromiter((t[0] for t in found), np.uint64, len(found))
-    kinds = np.fromiter((t[1] for t in found), np.int64, len(found))
-    unit = np.fromiter((t[2] for t in found), bool, len(found))
-    at = np.flatnonzero(literal)
-    literal, kinds, unit = literal[at], kinds[at], unit[at]
-    if unit.any():
-        kinds[1:][unit[1:] & (kinds[:-1] == NUMBER)] = UNIT
-    return literal, kinds, at
+    found = np.fromiter(map(known.__getitem__, words), np.uint64, len(words))
+    at = np.flatnonzero(found)
+    found = found[at]
+    kinds = (found & np.uint64(3)).astype(np.int8)
+    unit = np.flatnonzero(found & np.uint64(4))
+    if len(unit):
+        unit = unit[unit > 0]
+        kinds[unit[kinds[unit - 1] == NUMBER]] = UNIT
+    return found | np.uint64(7), kinds, at
 
 
 def window_hashes(literal: np.ndarray, kinds: np.ndarray, size: int = WINDOW) -> np.ndarray:
@@ -87,15 +88,22 @@ def window_hashes(literal: np.ndarray, kinds: np.ndarray, size: int = WINDOW) ->
     n = len(literal) - size + 1
     if n <= 0:
         return np.zeros(0, np.int64)
-    slots = np.where(kinds == LITERAL, literal, (kinds.astype(np.uint64) + np.uint64(2)) * _PRIME)
-    plain = np.concatenate([[0], np.cumsum(kinds == LITERAL)])
+    is_literal = kinds == LITERAL
+    slots = np.where(is_literal, literal, (kinds.astype(np.uint64) + np.uint64(2)) * _PRIME)
+    plain = np.concatenate([[0], np.cumsum(is_literal)])
     enough = plain[size:] - plain[:-size] >= MIN_LITERAL
-    template, words, power = np.zeros(n, np.uint64), np.zeros(n, np.uint64), 1
-    for j in range(size):
-        template += slots[j : j + n] * np.uint64(power)
-        words += literal[j : j + n] * np.uint64(power)
-        power = (power * int(_PRIME) + 2) % (1 << 64)
-    out = np.where(enough, template, ~words)
+
+    def rolled(values: np.ndarray) -> np.ndarray:
+        """Polynomial hashes of all windows, by doubling (the size is a power of two)."""
+        width, power = 1, int(_PRIME)
+        while width < size:
+            values = values[:-width] * np.uint64(power) + values[width:]
+            width, power = 2 * width, power * power % (1 << 64)
+        return values
+
+    out = rolled(slots)
+    if not enough.all():
+        out = np.where(enough, out, ~rolled(literal))
     out ^= out >> np.uint64(31)
     return (out * _PRIME).view(np.int64)
 
