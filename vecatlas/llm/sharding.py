@@ -3,7 +3,7 @@
 Documents that share a group (equal texts, a site, a cluster) are neighbours. Every document starts on a shard by
 hash; in each round linked documents ask to move to the shard where most of their neighbours are, and shards
 grant moves up to a quota, largest gains first, sending documents without links elsewhere to make room. A group
-larger than a shard fills one shard after the other. Loads may exceed the mean by ``SLACK`` meanwhile; a last pass
+larger than a shard fills one shard after the other. The quota is the mean load, and ``SLACK`` of it; a last pass
 moves just so many documents (without links first) that counts differ by one at most, and numbers each shard.
 
 Groups are counted per shard with partial sums, never gathered: a group of a third of all documents is as many
@@ -21,13 +21,13 @@ from pyspark.sql import functions as F
 from vecatlas.operators.ranking import row_index
 from vecatlas.session import materialize, small_table
 
-SLACK = 0.04
+SLACK = 0.0
 ROUNDS = 16
 
 
-def _chance(round_: int) -> Column:
-    """A number in [0, 1) for each node, another one in each round."""
-    return F.pmod(F.xxhash64("node", F.lit(round_)), F.lit(1 << 30)) / float(1 << 30)
+def _chance(round_: int, of: Column | None = None) -> Column:
+    """A number in [0, 1) for each node (or other value), another one in each round."""
+    return F.pmod(F.xxhash64(F.col("node") if of is None else of, F.lit(round_)), F.lit(1 << 30)) / float(1 << 30)
 
 
 def _wishes(labels: DataFrame, links: DataFrame, open_shards: list[int]) -> DataFrame:
@@ -75,12 +75,15 @@ def _grants(demand: list, loads: list[int], idle: list[int], quota: float) -> tu
 
 
 def propagate(nodes: DataFrame, links: DataFrame, shards: int, slack: float = SLACK, rounds: int = ROUNDS) -> DataFrame:
-    """(node, shard, grp) with loads up to about (1 + slack) of the mean; ``grp`` is null for nodes without links.
+    """(node, shard, grp, size) with loads up to about (1 + slack) of the mean.
+
+    ``grp`` is a node's first group and ``size`` that group's members, null for nodes without links.
 
     ``nodes`` has unique longs; ``links`` (node, grp) has groups of two members or more.
     """
     spark = nodes.sparkSession
-    first = links.groupBy("node").agg(F.min("grp").alias("grp"))
+    sizes = materialize(links.groupBy("grp").agg(F.count(F.lit(1)).alias("size")), "sizes")  # so that joins with it may be split
+    first = links.join(sizes, "grp").groupBy("node").agg(F.min(F.struct("grp", "size")).alias("g")).select("node", "g.grp", "g.size")
     labels = nodes.select("node").join(first, "node", "left").withColumn(
         "shard", F.pmod(F.xxhash64("node"), F.lit(shards)).cast("int"))
     labels = materialize(labels, "labels")
@@ -101,20 +104,25 @@ def propagate(nodes: DataFrame, links: DataFrame, shards: int, slack: float = SL
         table = small_table(spark, {"shard": [k[0] for k in keys], "to": [k[1] for k in keys], "size": [k[2] for k in keys],
                                     "share": [granted[k] for k in keys]}, "shard int, to int, size int, share double")
         moves = wishes.withColumn("size", size).join(F.broadcast(table), ["shard", "to", "size"])  # as many rows as ``demand``
-        moves = moves.where(_chance(round_) < F.col("share")).select("node", "to")
+        moves = moves.select("node", "to", "share")
+        unit = F.when(F.col("size") * 20 <= quota, F.col("grp")).otherwise(F.col("node"))  # small groups move as a whole
+        granted_to = F.when(_chance(round_, unit) < F.col("share"), F.col("to"))
         edges = [sum(spare[: s + 1]) for s in range(shards - 1)]
         other = F.size(F.filter(F.array(*map(F.lit, edges)), lambda e: e <= _chance(-1 - round_))) if edges else F.lit(0)
         goes = F.col("grp").isNull() & (_chance(round_) < F.element_at(F.array(*map(F.lit, leave)), F.col("shard") + 1))
         labels = labels.join(moves, "node", "left").select(
-            "node", "grp", F.coalesce("to", F.when(goes, other).otherwise(F.col("shard"))).cast("int").alias("shard"))
+            "node", "grp", "size", F.coalesce(granted_to, F.when(goes, other).otherwise(F.col("shard"))).cast("int").alias("shard"))
         labels = materialize(labels, "labels")
     return labels
 
 
 def even_out(labels: DataFrame, shards: int) -> DataFrame:
-    """(node, shard, slot): counts at most one apart, slots from 0 without gaps."""
+    """(node, shard, slot): counts at most one apart, slots from 0 without gaps.
+
+    Nodes without links move first, then small groups, each as a whole where it fits.
+    """
     ordered = labels.withColumn("tied", F.col("grp").isNotNull())
-    indexed, n = row_index(ordered, ["shard", "tied", "grp", "node"], "place")
+    indexed, n = row_index(ordered, ["shard", "tied", "size", "grp", "node"], "place")
     held = {r["shard"]: r["n"] for r in labels.groupBy("shard").agg(F.count(F.lit(1)).alias("n")).collect()}
     loads = [held.get(s, 0) for s in range(shards)]
     targets = [n // shards + (s < n % shards) for s in range(shards)]
@@ -137,6 +145,7 @@ def shard_by_groups(rows: DataFrame, keys: list[str], shards: int, rounds: int =
     """``rows`` (each with a unique long ``node``) with shard and slot; rows with equal, non-null keys are linked."""
     known = rows.where(F.col(keys[0]).isNotNull())
     groups = known.groupBy(*keys).agg(F.min("node").alias("grp"), F.count(F.lit(1)).alias("n")).where("n > 1").drop("n")
+    groups = materialize(groups, "groups")
     links = materialize(known.select("node", *keys).join(groups, keys).select("node", "grp"), "links")
     placed = even_out(propagate(rows.select("node"), links, shards, rounds=rounds), shards)
     return rows.join(placed, "node")
