@@ -359,14 +359,14 @@ def _rewritten(legacy: bool) -> Query:
 
 
 def text_search_hashed(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Documents as items, benchmark passages as queries, the hashing stand-in as the model."""
+    """Whole documents as items, by windows; benchmark passages as queries, the hashing stand-in as the model."""
     vocabulary, encoder = fx.vocabulary(spark, sf_dir), HashingEncoder(64)
-    items = encode_texts(fx.documents(spark, sf_dir), "doc_id", "text", vocabulary, encoder)
+    items = encode_texts(fx.documents(spark, sf_dir), "doc_id", "text", vocabulary, encoder, windows=True)
     vectors = materialize(
         items.select(F.col("doc_id").alias("slot"), F.concat(F.lit("/doc/"), "doc_id").alias("path"), "embedding"),
         "vectors",
     )
-    hits = plans.text_search(vectors, fx.derived(spark, sf_dir, fx.KEYWORDS), vocabulary, encoder, K)
+    hits = plans.window_search(vectors, fx.derived(spark, sf_dir, fx.KEYWORDS), vocabulary, encoder, K)
     return _hit_columns(hits)
 
 

@@ -169,3 +169,22 @@ def test_near_copies_rank_alike_on_every_route(spark, metric, tmp_path):
     routes = [topk.topk_search(vectors, queries, 3, metric), bounded_search(index, queries, 3), probed_search(index, queries, 3, 24)]
     found = [{(r["query_id"], r["rank"], r["slot"]) for r in hits.collect()} for hits in routes]
     assert found[0] == found[1] == found[2]
+
+
+@pytest.mark.parametrize("metric", ["cosine", "l2"])
+@pytest.mark.parametrize("bound", [4, 1000])
+def test_the_nearest_window_counts(spark, metric, bound):
+    pick = np.random.default_rng(9)
+    matrix = pick.normal(size=(400, 5)).astype(np.float32)
+    slots = np.sort(pick.integers(0, 60, 400))
+    matrix[slots == 7] = matrix[0] + 0.01 * matrix[slots == 7]  # one slot could take all places
+    vectors = spark.createDataFrame([(int(s), v.tolist()) for s, v in zip(slots, matrix)], "slot long, embedding array<float>")
+    queries = spark.createDataFrame([(i, matrix[i * 9].tolist()) for i in range(12)], "query_id long, embedding array<float>")
+    hits = topk.topk_windows(vectors.repartition(3), queries, 8, metric, bound).collect()
+    for i in range(12):
+        q = matrix[i * 9].astype(float)
+        v = matrix.astype(float)
+        d = ((v - q) ** 2).sum(1) if metric == "l2" else 1 - v @ q / np.linalg.norm(v, axis=1) / np.linalg.norm(q)
+        best = {int(s): min(d[slots == s]) for s in set(slots.tolist())}
+        want = sorted(best, key=lambda s: (round(best[s], 9), s))[:8]
+        assert [r["slot"] for r in sorted((r for r in hits if r["query_id"] == i), key=lambda r: r["rank"])] == want

@@ -18,7 +18,7 @@ from pyspark.sql import types as T
 
 from vecatlas.functions.text import rewrite_prompt, strip
 from vecatlas.functions.vectors import normalize
-from vecatlas.operators.wordpiece import model_input, wordpiece
+from vecatlas.operators.wordpiece import model_input, model_windows, wordpiece
 
 BatchEncoder = Callable[[np.ndarray], np.ndarray]
 EncoderFactory = Callable[[], BatchEncoder]
@@ -133,9 +133,14 @@ def encode_texts(
     context_length: int = 52,
     normalization: bool = True,
     legacy: bool = False,
+    windows: bool = False,
 ) -> DataFrame:
-    """``df`` with the embedding of ``text``: tokenise, fit to the model's context, run the model."""
-    rows = model_input(wordpiece(df, key, text, vocabulary), vocabulary, context_length)
+    """``df`` with the embedding of ``text``: tokenise, fit to the model's context, run the model.
+
+    The model sees a text's first ids only; with ``windows`` there is a row for each part of the text.
+    """
+    fit = model_windows if windows else model_input
+    rows = fit(wordpiece(df, key, text, vocabulary), vocabulary, context_length)
     return encode(rows.drop("token_ids"), "input_ids", (context_length,), "int64", factory,
                   normalization, legacy)
 

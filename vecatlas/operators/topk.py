@@ -13,6 +13,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -58,14 +59,21 @@ def distances(metric: str, queries: np.ndarray, vectors: np.ndarray) -> np.ndarr
 
 
 class RunningTopK:
-    """The k nearest slots seen so far for each query of a block."""
+    """The k nearest slots seen so far for each query of a block.
 
-    def __init__(self, n_queries: int, k: int) -> None:
-        self.k = k
+    With ``windows`` a slot may come with several vectors, and its nearest one counts.
+    """
+
+    def __init__(self, n_queries: int, k: int, windows: bool = False) -> None:
+        self.k, self.windows = k, windows
         self.distance = np.full((n_queries, k), np.inf)
         self.slot = np.full((n_queries, k), _NO_SLOT, dtype=np.int64)
 
     def update(self, rows: np.ndarray, found: np.ndarray, slots: np.ndarray) -> None:
+        if self.windows and len(slots):
+            order = np.argsort(slots, kind="stable")
+            starts = np.flatnonzero(np.diff(slots[order], prepend=slots[order[0]] - 1))
+            found, slots = np.minimum.reduceat(found[:, order], starts, axis=1), slots[order[starts]]
         worst, worst_slot = self.distance[rows, -1:], self.slot[rows, -1:]
         better = (found < worst) | ((found == worst) & (slots[None, :] < worst_slot))
         if found.shape[1] > self.k and better.sum() > 2 * self.k * len(rows):
@@ -77,6 +85,10 @@ class RunningTopK:
         query = np.concatenate([np.repeat(np.arange(len(rows)), self.k), q])
         dist = np.concatenate([self.distance[rows].ravel(), found[q, v]])
         slot = np.concatenate([self.slot[rows].ravel(), slots[v]])
+        if self.windows:  # a slot that was known already counts once
+            near = np.lexsort((dist, slot, query))
+            again = (np.diff(query[near]) == 0) & (np.diff(slot[near]) == 0) & (slot[near][1:] != _NO_SLOT)
+            dist[near[1:][again]], slot[near[1:][again]] = np.inf, _NO_SLOT
         order = np.lexsort((slot, dist, query))
         first = np.searchsorted(query[order], np.arange(len(rows)))
         keep = order[(first[:, None] + np.arange(self.k)[None, :]).ravel()]
@@ -186,6 +198,38 @@ def topk_with_bound(
     return hits, k * len(block.ids)
 
 
+def topk_windows(
+    vectors: DataFrame, queries: DataFrame, k: int = 10, metric: str = "cosine",
+    max_broadcast_queries: int = MAX_BROADCAST_QUERIES,
+) -> DataFrame:
+    """The k nearest slots of each query where a slot has a vector per window and its nearest window counts.
+
+    More queries than one block may hold are searched block by block.
+    """
+    V.check_metric(metric)
+    block = bounded_queries(queries, metric, max_broadcast_queries)
+    if block is None:
+        blocks = -(-2 * queries.count() // max_broadcast_queries)
+        part = F.pmod(F.xxhash64("query_id"), F.lit(blocks))
+        found = [topk_windows(vectors, queries.filter(part == i), k, metric, max_broadcast_queries) for i in range(blocks)]
+        return reduce(DataFrame.unionByName, found)
+    shared = queries.sparkSession.sparkContext.broadcast((block.ids, block.matrix))
+
+    def local_topk(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        ids, targets = shared.value
+        best = RunningTopK(len(ids), k, windows=True)
+        for batch in batches:
+            matrix = to_matrix(batch.column("embedding"), targets.shape[1] if len(ids) else None)
+            if metric == "cosine":
+                matrix = unit_rows(matrix)
+            best.scan(metric, targets, np.arange(len(ids)), matrix, batch.column("slot").to_numpy())
+        yield best.to_batch(ids)
+
+    known = vectors.filter("embedding is not null").select(F.col("slot").cast("long"), "embedding")
+    hits = known.mapInArrow(local_topk, hits_schema(queries))
+    return rank_hits(hits.groupBy("query_id", "slot").agg(F.min("distance").alias("distance")), k, metric)
+
+
 def single_query_topk(
     vectors: DataFrame, embedding: list[float], k: int = 10, metric: str = "cosine"
 ) -> DataFrame:

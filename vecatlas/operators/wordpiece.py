@@ -171,6 +171,15 @@ def model_input(df: DataFrame, vocabulary: DataFrame, context_length: int = 52)
     return df.withColumn("input_ids", F.concat(row, padding))
 
 
+def model_windows(df: DataFrame, vocabulary: DataFrame, context_length: int = 52) -> DataFrame:
+    """A row per ``window`` of ``context_length - 2`` ids, so that no part of a long text is left out."""
+    step = context_length - 2
+    last = F.greatest(F.lit(0), F.ceil(F.size("token_ids") / step).cast("int") - 1)
+    parts = df.withColumn("window", F.explode(F.sequence(F.lit(0), last)))
+    parts = parts.withColumn("token_ids", F.slice("token_ids", F.col("window") * step + 1, F.lit(step)))
+    return model_input(parts, vocabulary, context_length)
+
+
 def ids_to_tokens(
     df: DataFrame,
     key: str,

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from vecatlas.operators.encode import EncoderFactory, encode, encode_queries
 from vecatlas.operators.hits import existing_hits, with_paths, with_result_columns
 from vecatlas.operators.images import CLIP_MEAN, CLIP_STD, image_tensors
-from vecatlas.operators.topk import topk_with_bound
+from vecatlas.operators.topk import topk_windows, topk_with_bound
 from vecatlas.sources.files import read_images
 
 
@@ -37,6 +37,16 @@ def text_search(
     return search(vectors, encoded, k, metric)
 
 
+def window_search(
+    windows: DataFrame, queries: DataFrame, vocabulary: DataFrame, factory: EncoderFactory, k: int = 10,
+    metric: str = "cosine", context_length: int = 52, legacy: bool = False,
+) -> DataFrame:
+    """Search texts by their best window; ``windows`` has ``slot, path, embedding`` with a row per window."""
+    encoded = encode_queries(queries, vocabulary, factory, context_length, legacy)
+    hits = topk_windows(windows, encoded, k, metric)
+    return with_paths(hits, windows.select("slot", "path").distinct())
+
+
 def example_search(
     spark: SparkSession, vectors: DataFrame, folders: list[str], factory: EncoderFactory, k: int = 10,
     metric: str = "cosine", size: int = 224, mean: tuple[float, ...] = CLIP_MEAN,
