@@ -18,7 +18,7 @@ the one of least hash (the last of equals). Only anchors are sent around, about
 An anchor that more than ``CROWD`` chunks hold sends its strings one by one, by their own 128-bit hashes, so that a
 passage with ever different surroundings does not gather in one bucket.
 
-Memory: a task holds one chunk, or one bucket; there are four buckets per shuffle partition, so buckets stay small
+Memory: a task holds one chunk, or one bucket; there are eight buckets per shuffle partition, so buckets stay small
 if ``spark.sql.shuffle.partitions`` grows with the input, as it should for Spark's own shuffles.
 """
 
@@ -39,7 +39,8 @@ from vecatlas.session import materialize
 LENGTH = 100
 K = 20
 BASE = 0x9E3779B97F4A7C15 | 1
-BLOCK = 1 << 20
+BLOCK = 1 << 18
+CHUNK = 4 << 20
 CROWD = 4096
 _PLACE = 24  # low bits that hold a place inside a block
 _MIX = np.uint64(0xD6E8FEB86659FD93)
@@ -125,7 +126,8 @@ def anchors(texts: Texts) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarra
         last = np.concatenate([cut[1:], [starts]]) - 1
         real = place[cut] >= 0
         cut, last = cut[real], last[real]
-        found.append((hashes[place[cut]], place[cut] + base, cut + base, last + base))
+        # Anchors have the least hashes; mixed once more they are even again, as buckets need them.
+        found.append((_mixed(hashes[place[cut]]), place[cut] + base, cut + base, last + base))
     if not found:
         none = np.zeros(0, np.int64)
         return none.view(np.uint64), none, none, none
@@ -415,8 +417,8 @@ def removed_bytes(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -
     they are, not by what is left of others. Null and short texts lose nothing. Also returns the column's name.
     """
     spark, name = docs.sparkSession, free_name("removed", docs.columns)
-    buckets = 4 * partitions(spark)
-    chunks = write_chunks(docs, text)
+    buckets = 8 * partitions(spark)
+    chunks = write_chunks(docs, text, CHUNK)
     told = _ask(chunks, doc_id, text, buckets).groupBy("bucket").applyInArrow(
         lambda table: _tell(table), "bucket int, chunk long, n int, told binary")
     told = materialize(told.groupBy("chunk").agg(F.collect_list(F.struct("bucket", "n", "told")).alias("told")), "told")
