@@ -69,3 +69,12 @@ def test_query(spark):
         assert (r["n_turns"], r["turns_sha256"], r["loss_chars"], r["loss_sha256"]) == expected(
             [(x["conv_id"], x["turn"], x["role"], x["text"]) for x in rows if x["conv_id"] == conv])
     assert got[-7]["n_turns"] == 2 and got[-7]["loss_chars"] == 26
+
+
+def test_query_matches_sql(spark):
+    import duckdb
+
+    duckdb.sql("CREATE OR REPLACE VIEW conversations AS SELECT * FROM '/root/testdata/sf0.001/conversations.parquet'")
+    want = duckdb.sql(queries.ORACLE_SQL["op3_chat_format"])
+    got = queries.op3_chat_format(spark, "/root/testdata/sf0.001").select(*want.columns)
+    assert {tuple(r) for r in got.collect()} == set(want.fetchall())
