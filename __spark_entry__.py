@@ -263,6 +263,17 @@ def search_after_sync(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _hit_columns(plans.search(log.vectors(), fx.vector_queries(spark, sf_dir), K))
 
 
+def knn_cells_after_upserts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The cells keep up with deletes and replaced vectors; probing all of them is exact."""
+    index, vectors = _cell_index(spark, sf_dir, "cosine"), fx.gallery_vectors(spark, sf_dir)
+    gone = cat.remove_directories(fx.gallery(spark, sf_dir), fx.derived(spark, sf_dir, fx.GALLERY_REMOVED))
+    index.apply(gone.select("slot", F.lit(None).cast("array<float>").alias("embedding")), 1)
+    turned = vectors.filter(F.element_at("embedding", 2) > 0.1).join(gone.select("slot"), "slot", "left_anti")
+    index.apply(turned.select("slot", F.transform("embedding", lambda x: -x).alias("embedding")), 2)
+    hits = probed_search(index, fx.vector_queries(spark, sf_dir), K, CELLS)
+    return _hit_columns(with_paths(hits, vectors))
+
+
 def catalog_rebuilt(spark: SparkSession, sf_dir: str) -> DataFrame:
     log = _synced(spark, sf_dir)
     listing, roots = fx.derived(spark, sf_dir, fx.LISTING), fx.derived(spark, sf_dir, fx.USER_ROOTS)
@@ -485,6 +496,7 @@ def queries() -> dict[str, Query]:
         "knn_after_directory_removal": knn_after_directory_removal,
         "knn_existing_only": knn_existing_only,
         "search_after_sync": search_after_sync,
+        "knn_cells_after_upserts": knn_cells_after_upserts,
         "search_result_columns": search_result_columns,
         "search_sorted_by_size": _sorted("size", False),
         "search_sorted_by_score": _sorted("score", True),

@@ -224,6 +224,7 @@ ORACLES = {
       {_size_text()} as size_text, strftime(modified, '%Y-%m-%d %H:%M:%S') as modified_text, shown as score
       from {_SHOWN} s""",
     "search_after_sync": _knn(gallery=_LATER_GALLERY),
+    "knn_cells_after_upserts": _knn(gallery=_LATER_GALLERY),
     "search_sorted_by_size": _sorted("size, rank"),
     "search_sorted_by_score": _sorted("d, rank"),
     "search_sorted_by_modified": _sorted("modified, substr(md5(path), 1, 16)"),

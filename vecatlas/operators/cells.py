@@ -28,6 +28,7 @@ from vecatlas.operators.topk import (
     unit_rows,
 )
 from vecatlas.session import materialize, scratch_path, small_table
+from vecatlas.sources.storage import Storage
 
 VECTORS_PER_BLOCK = 65_536
 QUERIES_PER_BLOCK = 8_192
@@ -38,22 +39,59 @@ _SLACK = 1e-6
 _COSINE_STEP, _L2_STEP = 1e-10, 2.0**-28
 
 
+_CHANGES = "slot long, embedding array<float>, reach double, cell int, seq long"
+
+
 @dataclass
 class CellIndex:
-    """A written index: ``vectors/cell=*``, ``stats`` (one row per cell) and ``centers``."""
+    """A written index: ``vectors/cell=*``, ``stats`` (one row per cell), ``centers`` and ``changes/seq=*``.
+
+    Changes are small beside the index: the slots they name are dropped from the base on reading (Spark
+    broadcasts them while they are few), and their latest vectors are read beside it.
+    """
 
     path: str
     metric: str
     centers: np.ndarray
     spark: SparkSession
 
+    def _changes(self) -> DataFrame | None:
+        folder = f"{self.path}/changes"
+        return self.spark.read.schema(_CHANGES).parquet(folder) if Storage(self.spark).exists(folder) else None
+
     @property
     def vectors(self) -> DataFrame:
-        return self.spark.read.parquet(f"{self.path}/vectors")
+        base, changes = self.spark.read.parquet(f"{self.path}/vectors"), self._changes()
+        if changes is None:
+            return base
+        last = changes.groupBy("slot").agg(F.max_by(F.struct("embedding", "reach", "cell"), "seq").alias("c"))
+        last = last.select("slot", "c.*").filter("cell >= 0")
+        kept = base.join(changes.select("slot").distinct(), "slot", "left_anti")
+        return kept.select("slot", "embedding", "reach", "cell").unionByName(last)
 
     @property
     def stats(self) -> DataFrame:
-        return self.spark.read.parquet(f"{self.path}/stats")
+        """Rows (at most) and radius of each cell."""
+        base, changes = self.spark.read.parquet(f"{self.path}/stats"), self._changes()
+        if changes is None:
+            return base
+        more = changes.filter("cell >= 0").groupBy("cell").agg(
+            F.count(F.lit(1)).alias("rows"), F.max("reach").alias("radius"))
+        return base.select("cell", "rows", "radius").unionByName(more).groupBy("cell").agg(
+            F.sum("rows").alias("rows"), F.max("radius").alias("radius"))
+
+    def apply(self, changes: DataFrame, seq: int) -> None:
+        """Upsert ``changes(slot, embedding)``; a null embedding deletes. Applying a ``seq`` again rewrites it."""
+        shared, metric = self.spark.sparkContext.broadcast(self.centers), self.metric
+        known = changes.select(F.col("slot").cast("long").alias("slot"), "embedding")
+
+        def assign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            yield from (_with_cells(metric, shared.value, batch) for batch in batches)
+
+        put = known.filter("embedding is not null").mapInArrow(assign, "slot long, embedding array<float>, reach double, cell int")
+        gone = known.filter("embedding is null").select(
+            "slot", "embedding", F.lit(0.0).alias("reach"), F.lit(-1).alias("cell"))
+        put.unionByName(gone).write.mode("overwrite").parquet(f"{self.path}/changes/seq={seq}")
 
     @classmethod
     def load(cls, spark: SparkSession, path: str) -> CellIndex:
@@ -70,6 +108,14 @@ def _nearest_center(metric: str, centers: np.ndarray, batch: pa.RecordBatch) ->
     return cell, reach[np.arange(len(cell)), cell]
 
 
+def _with_cells(metric: str, centers: np.ndarray, batch: pa.RecordBatch) -> pa.RecordBatch:
+    cell, reach = _nearest_center(metric, centers, batch)
+    return pa.RecordBatch.from_arrays(
+        [batch.column("slot"), batch.column("embedding"), pa.array(reach), pa.array(cell.astype(np.int32))],
+        names=["slot", "embedding", "reach", "cell"],
+    )
+
+
 def center_distances(points: np.ndarray, centers: np.ndarray) -> np.ndarray:
     squares = (
         np.einsum("ij,ij->i", points, points)[:, None]
@@ -100,13 +146,7 @@ def build_cell_index(
     shared = spark.sparkContext.broadcast(centers)
 
     def assign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            cell, reach = _nearest_center(metric, shared.value, batch)
-            yield pa.RecordBatch.from_arrays(
-                [batch.column("slot"), batch.column("embedding"),
-                 pa.array(reach), pa.array(cell.astype(np.int32))],
-                names=["slot", "embedding", "reach", "cell"],
-            )
+        yield from (_with_cells(metric, shared.value, batch) for batch in batches)
 
     assigned = known.mapInArrow(assign, "slot long, embedding array<float>, reach double, cell int")
     # Rebalancing gathers each cell into few files and splits a cell that is too large for one task.
