@@ -25,7 +25,7 @@ from pyspark.sql import functions as F
 from vecatlas.llm.tables import answer_chunks, blob, chunk_rows, column_bytes, partitions, unblob, write_chunks
 from vecatlas.session import materialize
 
-CHUNK = 16 << 20
+CHUNK = 8 << 20
 FOLDS = 10  # of the hash of the id: 0 is never learned from, 1 is deleted while the weights are learned
 HELD_OUT, DELETED, NO_FOLD = 0, 1, 2
 END, START = np.uint64(0xE5D0E5D0E5D0E5D1), np.uint64(0x57A2757A2757A275)
@@ -63,7 +63,7 @@ class Tokens:
             parts.append(np.fromiter((get(w) or hashed(w) for w in words), np.uint64, len(words)))
             parts.append(END[None])
             sizes.append(len(words) + 1)
-            if len(memory) > 300_000:
+            if len(memory) > 100_000:
                 memory.clear()
         self.sizes = np.array(sizes, np.int64)
         self.starts = np.cumsum(self.sizes) - self.sizes

@@ -19,9 +19,23 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from vecatlas.session import scratch_path
+from vecatlas.sources.storage import Storage
 
 CHUNK_BYTES = 8 << 20
 NO_ID = -(1 << 63)
+_CHUNKS = "vecatlas_chunks_"
+
+
+_BATCH, _DEFAULT = "spark.sql.execution.arrow.maxBytesPerBatch", 64 << 20
+
+
+def small_batches(spark: SparkSession) -> None:
+    """Let Arrow batches hold 4 MB of text (a session that has set another size keeps it).
+
+    Spark's 64 MB, several times over on either side of a pipe, crowd an executor of a few GB.
+    """
+    if int(spark.conf.get(_BATCH).rstrip("b")) == _DEFAULT:
+        spark.conf.set(_BATCH, "4194304b")
 
 
 def documents(spark: SparkSession, sf_dir: str, name: str = "documents") -> DataFrame:
@@ -71,6 +85,7 @@ def write_chunks(docs: DataFrame, text: str, limit: int = CHUNK_BYTES) -> DataFr
     Columns: chunk (long), n_rows (int), rows (an Arrow stream with every column of ``docs``).
     """
     spark, at = docs.sparkSession, docs.columns.index(text)
+    small_batches(spark)
 
     def pack(batches):
         part, made, held, size = TaskContext.get().partitionId(), 0, [], 0
@@ -95,13 +110,26 @@ def write_chunks(docs: DataFrame, text: str, limit: int = CHUNK_BYTES) -> DataFr
             yield packed()
 
     path = scratch_path(spark, "chunks")
-    name = f"chunks_{uuid.uuid4().hex}"
+    name = f"{_CHUNKS}{uuid.uuid4().hex}"
     packed_rows = docs.mapInArrow(pack, "chunk long, n_rows int, rows binary")
     (packed_rows.write.bucketBy(partitions(spark), "chunk").format("parquet")
      .option("path", path).option("compression", "uncompressed").saveAsTable(name))
     return spark.table(name)
 
 
+def chunk_tables(spark: SparkSession) -> set[str]:
+    """Names of the chunk tables that exist; results that were not written yet may still read them."""
+    return {t.name for t in spark.catalog.listTables() if t.name.startswith(_CHUNKS)}
+
+
+def drop_chunks(spark: SparkSession, names: set[str]) -> None:
+    """Remove chunk tables and their files, once what was made from them is written."""
+    for name in names:
+        (path,) = {r["data_type"] for r in spark.sql(f"DESCRIBE FORMATTED {name}").collect() if r["col_name"] == "Location"}
+        spark.sql(f"DROP TABLE {name}")
+        Storage(spark).delete(path)
+
+
 def chunk_rows(data: bytes) -> pa.Table:
     return pa.ipc.open_stream(pa.BufferReader(data)).read_all().combine_chunks()
 
