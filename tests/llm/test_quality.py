@@ -71,7 +71,7 @@ def test_verdicts(spark, words):
     got = {r["doc_id"]: r for r in judged.collect()}
     assert all(got[i]["kept"] for i in range(60))
     assert not any(got[i]["kept"] for i in (100, 101, 102, 103, 104, 105))
-    assert got[100]["class_distance"] > quality.MAX_CLASS_DISTANCE and got[101]["word_distance"] > quality.MAX_WORD_DISTANCE
+    assert got[100]["class_distance"] > quality.limit(quality.CLASS_LIMIT, 300) and got[101]["word_distance"] > quality.limit(quality.WORD_LIMIT, 300)
     assert got[102]["base_failed"] and got[105]["base_failed"] and not got[100]["base_failed"]
     assert got[106]["class_distance"] is None and got[106]["word_distance"] is None  # too short to judge
 

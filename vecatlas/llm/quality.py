@@ -23,14 +23,15 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from vecatlas.llm.tables import free_name
+from vecatlas.llm.tables import free_name, small_batches
 
 LANGUAGE_SHARE = 1 / 1000
 WORD_SHARE = 1 / 200
 ALL = ""  # stands for the rows without such a language
 CLASSES = ("lower", "upper", "other letter", "digit", "white space", "punctuation", "symbol", "other")
 MIN_CHARS, MIN_WORDS = 300, 100
-MAX_CLASS_DISTANCE, MAX_WORD_DISTANCE = 0.26, 0.27
+#: A distance's limit is floor + noise / sqrt(number of words): short texts stray from their language by chance.
+CLASS_LIMIT, WORD_LIMIT = (0.13, 1.4), (0.16, 1.6)
 
 SYMBOLS = b"#*$%&|<>"
 WHITE = b"\x20\x09\x0a\x0b\x0c\x0d"
@@ -80,6 +81,10 @@ def distance(counts: np.ndarray, reference: np.ndarray) -> float:
     return float(np.sqrt(max(0.0, (part(p) + part(q)) / 2)))
 
 
+def limit(of: tuple[float, float], n_words: int) -> float:
+    return of[0] + of[1] / max(1, n_words) ** 0.5
+
+
 def languages(docs: DataFrame, lang: str) -> list[str]:
     """Languages with enough rows; at most 1 / LANGUAGE_SHARE of them."""
     counts = docs.groupBy(F.col(lang).cast("string").alias("lang")).count()
@@ -91,6 +96,7 @@ def languages(docs: DataFrame, lang: str) -> list[str]:
 def _tally(pairs: DataFrame, wanted: dict[str, set[bytes]] | None, names: list[str], share: float) -> DataFrame:
     """Sums by language: words (only ``wanted`` ones, or those common in a part of the scan), classes, number of words."""
     common = frozenset(names)
+    small_batches(pairs.sparkSession)
 
     def run(batches):
         table = class_table() if wanted is None else None
@@ -121,7 +127,7 @@ def _tally(pairs: DataFrame, wanted: dict[str, set[bytes]] | None, names: list[s
                         totals[group] += len(found)
                     else:
                         words[group].update(compress(found, map(wanted.get(group, frozenset()).__contains__, found)))
-            if sum(map(len, words.values())) > 400_000:
+            if sum(map(len, words.values())) > 150_000:
                 yield rows(words, classes, totals)
                 words, classes, totals = fresh()
         yield rows(words, classes, totals)
@@ -175,8 +181,9 @@ def judge(docs: DataFrame, lang: str = "lang", text: str = "text", references: d
 
     A null text has no words. ``base_failed``: under 50 words, or over half of the words in repeated three-word
     windows. A distance is null where the text is under MIN_CHARS characters or MIN_WORDS words, or the reference
-    is empty. ``kept`` is false for a failed base and for a distance over its limit.
+    is empty. ``kept`` is false for a failed base and for a distance over its ``limit``.
     """
+    small_batches(docs.sparkSession)
     known = references if references is not None else language_references(docs, lang, text)
     names = {name: free_name(name, docs.columns) for name, _ in ADDED}
 
@@ -198,7 +205,8 @@ def judge(docs: DataFrame, lang: str = "lang", text: str = "text", references: d
                     by_class = distance(counts, classes)
                 if len(words) >= MIN_WORDS and common:
                     by_word = distance(word_counts(words, common), reference)
-                kept = not failed and (by_class or 0) <= MAX_CLASS_DISTANCE and (by_word or 0) <= MAX_WORD_DISTANCE
+                far = (by_class or 0) > limit(CLASS_LIMIT, len(words)) or (by_word or 0) > limit(WORD_LIMIT, len(words))
+                kept = not failed and not far
                 rows.append((len(words), chars, symbols, dup_lines, repeat, failed, by_class, by_word, kept))
             kinds = (*(pa.int64(),) * 5, pa.bool_(), pa.float64(), pa.float64(), pa.bool_())
             new = [pa.array(c, k) for c, k in zip(zip(*rows) if rows else ((),) * 9, kinds)]
