@@ -188,3 +188,16 @@ def test_the_nearest_window_counts(spark, metric, bound):
         best = {int(s): min(d[slots == s]) for s in set(slots.tolist())}
         want = sorted(best, key=lambda s: (round(best[s], 9), s))[:8]
         assert [r["slot"] for r in sorted((r for r in hits if r["query_id"] == i), key=lambda r: r["rank"])] == want
+
+
+def test_cells_take_changes(spark):
+    matrix = make_vectors()
+    index = cells.build_cell_index(vector_df(spark, matrix), scratch_path(spark, "cells"), 6, "l2")
+    changed = matrix.copy()
+    changed[::3] = -changed[::3] + 1
+    schema = "slot long, embedding array<float>"
+    index.apply(spark.createDataFrame([(i, None) for i in range(0, len(matrix), 6)], schema), 1)
+    index.apply(spark.createDataFrame([(i, changed[i].tolist()) for i in range(0, len(matrix), 3)], schema), 2)
+    queries = vector_df(spark, matrix, "query_id")
+    same(collected(cells.probed_search(index, queries, 5, 6)), brute_force(changed, matrix, 5, "l2"))
+    same(collected(cells.bounded_search(cells.CellIndex.load(spark, index.path), queries, 5)), brute_force(changed, matrix, 5, "l2"))

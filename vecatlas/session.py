@@ -42,8 +42,20 @@ def shared_dir(spark: SparkSession) -> str:
     return folder.rstrip("/")
 
 
+def _scratch(spark: SparkSession) -> str:
+    """This application's folder for staged tables."""
+    return f"{shared_dir(spark)}/vecatlas/{spark.sparkContext.applicationId}"
+
+
 def scratch_path(spark: SparkSession, tag: str) -> str:
-    return f"{shared_dir(spark)}/vecatlas/{tag}-{uuid.uuid4().hex}"
+    return f"{_scratch(spark)}/{tag}-{uuid.uuid4().hex}"
+
+
+def clear_scratch(spark: SparkSession) -> None:
+    """Remove the tables this application has staged, once all results made from them are written."""
+    from vecatlas.sources.storage import Storage
+
+    Storage(spark).delete(_scratch(spark))
 
 
 def materialize(df: DataFrame, tag: str = "stage") -> DataFrame:
