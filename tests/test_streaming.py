@@ -125,20 +125,15 @@ def test_rows_that_cannot_be_encoded_are_kept(spark):
     assert state_of(log) == {"/a": 1}
 
 
-def test_scratch_can_be_cleared(spark):
+def test_scratch_can_be_cleared(spark, monkeypatch):
     """In a folder of its own, since other tests' tables are staged in the session's."""
     from vecatlas import session
     from vecatlas.sources.storage import Storage
 
-    old = spark.conf.get("spark.checkpoint.dir")
-    kept = scratch_path(spark, "atlas")
-    spark.conf.set("spark.checkpoint.dir", f"{old}/own")
-    try:
-        log = CommitLog(spark, kept)
-        apply_changes(log, spark.createDataFrame([(1, "/a", "put", 5)], FEED), "stream-0")
-        assert Storage(spark).names(session._scratch(spark))
-        session.clear_scratch(spark)
-        assert not Storage(spark).exists(session._scratch(spark))
-        assert state_of(log) == {"/a": 5}
-    finally:
-        spark.conf.set("spark.checkpoint.dir", old)
+    log, own = CommitLog(spark, scratch_path(spark, "atlas")), scratch_path(spark, "own")
+    monkeypatch.setattr(session, "_scratch", lambda spark: own)
+    apply_changes(log, spark.createDataFrame([(1, "/a", "put", 5)], FEED), "stream-0")
+    assert Storage(spark).names(own)
+    session.clear_scratch(spark)
+    assert not Storage(spark).exists(own)
+    assert state_of(log) == {"/a": 5}
