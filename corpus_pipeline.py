@@ -5,11 +5,10 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.functions import udf
 
 from vecatlas.llm import bpe, decontam, lines, quality, simhash
 from vecatlas.llm.queries import TOKENIZER
-from vecatlas.llm.tables import documents
+from vecatlas.llm.tables import chunk_tables, documents, drop_chunks
 from vecatlas.session import materialize
 
 
@@ -21,9 +20,7 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Every document without the lines that stand in ten documents or more."""
-    marked, _, _, keep = lines.keep_bitmaps(docs, min_docs=10, min_chars=1)
-    left = udf(lines.kept_text, "string", useArrow=True)
-    return marked.withColumn("text", left("text", keep)).select(*docs.columns)
+    return lines.keep_bitmaps(docs, min_docs=10, min_chars=1, apply=True)[0].select(*docs.columns)
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -53,7 +50,9 @@ STAGES = [
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     for name, stage in STAGES[:-1]:
+        before = chunk_tables(spark)
         docs = materialize(stage(spark, docs, sf_dir), name)
+        drop_chunks(spark, chunk_tables(spark) - before)
     return STAGES[-1][1](spark, docs, sf_dir)
 
 

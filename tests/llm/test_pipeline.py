@@ -106,3 +106,11 @@ def test_odd_and_empty_inputs(spark, name):
     assert stage(spark, spark.createDataFrame(rows, schema), SF).columns[:7] == [x.split()[0] for x in schema.split(", ")]
     stage(spark, spark.createDataFrame(rows, schema), SF).collect()
     assert stage(spark, spark.createDataFrame([], schema), SF).count() == 0
+
+
+def test_run_leaves_no_chunks(spark):
+    from vecatlas.llm.tables import chunk_tables
+
+    before = chunk_tables(spark)
+    corpus_pipeline.run(spark, SF).collect()
+    assert chunk_tables(spark) == before

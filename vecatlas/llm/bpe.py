@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from vecatlas.llm.tables import free_name, slices
+from vecatlas.llm.tables import free_name, slices, small_batches
 
 NO_RANK = np.int64(1 << 40)
 
@@ -195,8 +195,8 @@ class ByteBpe:
         return b"".join(map(self.bytes_of.__getitem__, ids.tolist()))
 
 
-def encode_column(batch: pa.RecordBatch, column: str, bpe: ByteBpe, known: dict, limit: int = 2 << 20,
-                  most: int = 200_000) -> Iterator[np.ndarray]:
+def encode_column(batch: pa.RecordBatch, column: str, bpe: ByteBpe, known: dict, limit: int = 1 << 20,
+                  most: int = 80_000) -> Iterator[np.ndarray]:
     """Ids of each row's text (null: none), some megabytes of text at a time."""
     held, size = [], 0
     for text in batch.column(column).to_pylist():
@@ -213,6 +213,7 @@ def encode_column(batch: pa.RecordBatch, column: str, bpe: ByteBpe, known: dict,
 def with_tokens(docs: DataFrame, path: str, pattern: str, text: str = "text") -> tuple[DataFrame, str]:
     """All rows with an ``ids`` column (array of int) and its name; a null text has no ids."""
     name = free_name("ids", docs.columns)
+    small_batches(docs.sparkSession)
     shared = docs.sparkSession.sparkContext.broadcast(read_ranks(path, pattern))  # as large as the vocabulary file
 
     def run(batches):
@@ -231,6 +232,7 @@ def with_tokens(docs: DataFrame, path: str, pattern: str, text: str = "text") ->
 
 def digests(docs: DataFrame, path: str, pattern: str, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """Per row: number of ids, SHA-256 of the ids in decimal joined by commas, SHA-256 of the decoded bytes."""
+    small_batches(docs.sparkSession)
     shared = docs.sparkSession.sparkContext.broadcast(read_ranks(path, pattern))
 
     def run(batches):

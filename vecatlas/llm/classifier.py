@@ -17,7 +17,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from vecatlas.llm.tables import column_bytes
+from vecatlas.llm.tables import column_bytes, small_batches
 
 SAMPLE = 8_000
 DIMENSIONS = 1 << 18
@@ -136,6 +136,7 @@ def train(docs: DataFrame, labels: DataFrame, label: str, sample: int = SAMPLE,
     Ids with several labels take the smallest; null labels do not count; repeated rows count each time, up to the
     bound. Without any row every text scores one half.
     """
+    small_batches(docs.sparkSession)
     known = labels.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(label).cast("int").alias("y")).where("y in (0, 1)")
     known = known.groupBy("doc_id").agg(F.min("y").alias("y")).where(~held_out("doc_id"))
     chosen = known.orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample)
@@ -162,6 +163,7 @@ def train(docs: DataFrame, labels: DataFrame, label: str, sample: int = SAMPLE,
 def score(docs: DataFrame, model, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """(doc_id, score) of every row; a null text is empty."""
     sc = docs.sparkSession.sparkContext
+    small_batches(docs.sparkSession)
     shared = sc.broadcast(bytes(model["model"]) if model else b"")  # 2^18 dimensions
     n, slope, offset = (model["n"], model["slope"], model["offset"]) if model else (0, 0.0, 0.0)
 

@@ -22,7 +22,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from vecatlas.llm.tables import column_bytes, free_name
+from vecatlas.llm.tables import column_bytes, free_name, small_batches
 from vecatlas.session import materialize
 
 WINDOW = 8
@@ -64,7 +64,7 @@ class Tokens(dict):
     """Remembers the tokens of words."""
 
     def __missing__(self, word: bytes) -> int:
-        if len(self) > 300_000:
+        if len(self) > 100_000:
             self.clear()
         found = self[word] = token(word)
         return found
@@ -167,6 +167,7 @@ def _hits(docs: DataFrame, shared, doc_id: str, text: str) -> DataFrame:
                 [pa.array(c, k) for c, k in zip(out.values(), (pa.int64(), pa.int64(), pa.int32(), pa.int64(), pa.list_(pa.string())))],
                 names=list(out))
 
+    small_batches(docs.sparkSession)
     rows = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.xxhash64(text).alias("doc_row"), F.col(text).cast("string").alias("text"))
     return rows.mapInArrow(run, HITS)
 

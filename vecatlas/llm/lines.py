@@ -10,6 +10,7 @@ bitmap per document; the texts stay in their chunks.
 from __future__ import annotations
 
 import zlib
+from itertools import compress
 
 import numpy as np
 import pyarrow as pa
@@ -156,11 +157,11 @@ def repeated_lines(chunks: DataFrame, doc_id: str, text: str, min_docs: int, min
 
 
 def keep_bitmaps(docs: DataFrame, min_docs: int = 10, min_chars: int = 1, keep_first: bool = False,
-                 doc_id: str = "doc_id", text: str = "text") -> tuple[DataFrame, str, str, str]:
+                 apply: bool = False, doc_id: str = "doc_id", text: str = "text") -> tuple[DataFrame, str, str, str]:
     """Every row of ``docs`` with its number of lines, of dropped lines, and a zlib-compressed keep bitmap.
 
     Returns the table and the names of the three added columns (n_lines, n_dropped, keep; with underscores in
-    front where ``docs`` has such a column). A bit per line, first line in the highest bit, 1 for a kept line. A
+    front where ``docs`` has such a column). With ``apply`` the text column holds the kept lines. A bit per line, first line in the highest bit, 1 for a kept line. A
     null text counts as one empty line. Documents are told apart by ``doc_id``: rows with an equal one count
     once towards ``min_docs``, as do all rows without one.
     """
@@ -182,6 +183,11 @@ def keep_bitmaps(docs: DataFrame, min_docs: int = 10, min_chars: int = 1, keep_f
                     kept[starts[rows] + pos] = False
                 lost = sizes - np.add.reduceat(kept, starts[:-1]).astype(np.int64)
                 maps = [zlib.compress(np.packbits(kept[a:b]).tobytes(), 1) for a, b in zip(starts[:-1], starts[1:])]
+                if apply:
+                    pairs = zip(texts, np.split(kept, starts[1:-1]), lost.tolist())
+                    left = [b"\n".join(compress(t.split(b"\n"), bits)) if gone else t for t, bits, gone in pairs]
+                    at = table.schema.get_field_index(text)
+                    table = table.set_column(at, table.schema.field(at), pa.array(left, pa.binary()).cast(pa.string()))
                 table = table.append_column(n_lines, pa.array(sizes)).append_column(n_dropped, pa.array(lost))
                 yield from table.append_column(keep, pa.array(maps, pa.binary())).to_batches()
 

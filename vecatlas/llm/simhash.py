@@ -25,7 +25,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from vecatlas.llm.graph import components
-from vecatlas.llm.tables import answer_chunks, chunk_rows, column_bytes, write_chunks
+from vecatlas.llm.tables import answer_chunks, chunk_rows, column_bytes, small_batches, write_chunks
 from vecatlas.session import materialize
 
 BITS = 64
@@ -62,6 +62,7 @@ def fingerprints(docs: DataFrame, shingle: int = 3, doc_id: str = "doc_id", text
             fps = [fingerprint(shingle_hashes(t, shingle)) for t in column_bytes(batch.column(1))]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(fps, pa.int64())], names=["doc_id", "fp"])
 
+    small_batches(docs.sparkSession)
     rows = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text"))
     return rows.mapInArrow(run, "doc_id long, fp long")
 
