@@ -122,6 +122,69 @@ def test_near_copies_are_removed(spark, words):
     assert sorted(r["doc_id"] for r in got.collect()) == sorted(d for d in sets if root(d) == d)
 
 
+def brute_groups(rows):
+    """The rows that stay: of smallest id in their groups over all pairs."""
+    sets = {d: set(simhash.shingle_hashes(t.encode(), 5).tolist()) for d, t in rows}
+    group = {d: d for d in sets}
+
+    def root(x):
+        while group[x] != x:
+            x = group[x]
+        return x
+
+    for a in sets:
+        for b in sets:
+            if a < b and len(sets[a] & sets[b]) >= 0.8 * len(sets[a] | sets[b]):
+                group[max(root(a), root(b))] = min(root(a), root(b))
+    return sorted(d for d in sets if root(d) == d), sets
+
+
+def families(words):
+    """Families of a template, variants just under 0.8 of it, and a near copy of each variant."""
+    pick, rows, pairs = random.Random(11), [], []
+    for g in range(60):
+        ws = words(1000 + g, 120).split()
+        rows.append((100 * g, " ".join(ws)))
+        for v in range(1, 4):
+            own = [*ws[: 120 - 15], *words(5000 + 10 * g + v, 15).split()]
+            copy = list(own)
+            copy[110] = pick.choice(["edited", "changed"])
+            rows += [(100 * g + 10 * v, " ".join(own)), (100 * g + 10 * v + 1, " ".join(copy))]
+            pairs.append((100 * g + 10 * v, 100 * g + 10 * v + 1))
+    return rows, pairs
+
+
+@pytest.mark.parametrize("block, rounds", [(simhash.BLOCK, simhash.ROUNDS), (2, (1, 1 << 62))])
+def test_variants_of_a_template_meet_each_other(spark, words, monkeypatch, block, rounds):
+    monkeypatch.setattr(simhash, "BLOCK", block)
+    monkeypatch.setattr(simhash, "ROUNDS", rounds)
+    # Only one bucket per text, so no other one brings the variants together.
+    monkeypatch.setattr(simhash, "class_fingerprints", lambda hashes: [1])
+    rows, pairs = families(words)
+    rows = rows[:140]
+    want, sets = brute_groups(rows)
+    assert any(len(sets[0] & sets[d]) < 0.8 * len(sets[0] | sets[d]) for d in (10, 20, 30)) and len(want) < len(rows)
+    got = simhash.without_near_copies(spark.createDataFrame(rows, "doc_id long, text string"))
+    assert sorted(r["doc_id"] for r in got.collect()) == want
+
+
+def test_families_against_brute_force(spark, words):
+    rows, _ = families(words)
+    got = simhash.without_near_copies(spark.createDataFrame(rows, "doc_id long, text string"))
+    assert sorted(r["doc_id"] for r in got.collect()) == brute_groups(rows)[0]
+
+
+def test_profiles_never_rule_out_a_pair():
+    pick = np.random.default_rng(5)
+    for n in (1, 5, 40, 300, 5000, 90_000):
+        whole = np.unique(pick.integers(0, 1 << 63, 2 * n + 2, dtype=np.uint64) << np.uint64(1))
+        for share in (0.0, 0.5, 0.9, 1.0):
+            y = np.unique(np.concatenate([whole[: int(n * share)], whole[n : 2 * n - int(n * share)]]))
+            x = whole[:n]
+            bound = simhash.most_similarity(simhash.unpacked([simhash.set_profile(x)]), simhash.unpacked([simhash.set_profile(y)]))
+            assert bound[0] >= simhash.similarity(x.tobytes(), y.tobytes())
+
+
 def test_near_copies_of_odd_rows(odd_wide, none):
     got = [r["text"] for r in simhash.without_near_copies(odd_wide).collect()]
     assert len(got) == len(set(got)) and sum(t is None or not t.strip() for t in got) == 1

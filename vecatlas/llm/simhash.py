@@ -195,7 +195,11 @@ def near_groups(docs: DataFrame, shingle: int = 3, tau: int = 2, doc_id: str = "
 
 
 CLASSES = 8
-SKETCH = 96
+BINS = 256
+#: Rows of a bucket are compared in blocks of about so many with each other.
+BLOCK = 512
+#: Partners that a row names per pair of blocks, round by round; the last round has no limit.
+ROUNDS = (4, 64, 1 << 62)
 _SALT = np.uint64(0xA0761D6478BD642F)
 
 
@@ -219,7 +223,7 @@ def class_fingerprints(hashes: np.ndarray, classes: int = CLASSES) -> list[int]:
 
 
 def _profiles(chunks: DataFrame, doc_id: str, text: str, shingle: int) -> DataFrame:
-    """Per row: its number, id, fingerprint, a hash of its shingle set, class fingerprints and a bottom sketch."""
+    """Per row: its number, id, fingerprint, a hash of its shingle set, class fingerprints and a profile of its set."""
     def run(batches):
         for batch in batches:
             for chunk, data in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
@@ -228,22 +232,33 @@ def _profiles(chunks: DataFrame, doc_id: str, text: str, shingle: int) -> DataFr
                     hashes = shingle_hashes(whole, shingle)
                     own = np.unique(hashes)
                     digest = xxhash.xxh3_128_digest(own.tobytes())
-                    low = np.sort((own * _SALT).astype(np.uint64) >> np.uint64(32))[:SKETCH].astype(np.uint32)
-                    rows.append((row, doc, fingerprint(hashes), digest, class_fingerprints(own), low.tobytes()))
+                    rows.append((row, doc, fingerprint(hashes), digest, class_fingerprints(own), set_profile(own)))
                 kinds = (pa.int32(), pa.int64(), pa.int64(), pa.binary(), pa.list_(pa.int64()), pa.binary())
                 columns = [pa.array(c, k) for c, k in zip(zip(*rows), kinds)]
                 yield pa.RecordBatch.from_arrays([pa.array(np.full(len(rows), chunk, np.int64)), *columns],
-                                                 names=["chunk", "row", "doc", "fp", "set", "classes", "sketch"])
+                                                 names=["chunk", "row", "doc", "fp", "set", "classes", "profile"])
 
     return chunks.select("chunk", "rows").mapInArrow(
-        run, "chunk long, row int, doc long, fp long, set binary, classes array<long>, sketch binary")
+        run, "chunk long, row int, doc long, fp long, set binary, classes array<long>, profile binary")
 
 
-def sketch_similarity(x: bytes, y: bytes) -> float:
-    """Estimated Jaccard similarity from two bottom sketches; exact where both hold their whole sets."""
-    a, b = np.frombuffer(x, np.uint32), np.frombuffer(y, np.uint32)
-    union = np.union1d(a, b)[:SKETCH]
-    return len(np.intersect1d(np.intersect1d(a, b), union)) / max(1, len(union))
+def set_profile(own: np.ndarray) -> bytes:
+    """The size of a set of hashes and how many of them are in each of ``BINS`` ranges, up to 255."""
+    counts = np.bincount((own >> np.uint64(56)).astype(np.int64), minlength=BINS)
+    return np.uint32(len(own)).tobytes() + np.minimum(counts, 255).astype(np.uint8).tobytes()
+
+
+def unpacked(profiles: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Sizes, ranges' counts, and how many hashes are beyond those counts."""
+    data = np.frombuffer(b"".join(profiles), np.uint8).reshape(-1, 4 + BINS)
+    sizes, bins = np.ascontiguousarray(data[:, :4]).view(np.uint32)[:, 0].astype(np.int64), data[:, 4:]
+    return sizes, bins, sizes - bins.sum(1, dtype=np.int64)
+
+
+def most_similarity(x: tuple, y: tuple) -> np.ndarray:
+    """Upper bounds of the sets' Jaccard similarities: no range has more in common than the smaller count."""
+    both = np.minimum(x[1], y[1]).sum(-1, dtype=np.int64) + np.minimum(x[2], y[2])
+    return both / np.maximum(1, x[0] + y[0] - both)
 
 
 def similarity(x: bytes, y: bytes) -> float:
@@ -259,8 +274,9 @@ def without_near_copies(docs: DataFrame, shingle: int = 5, least: float = 0.8, t
 
     Rows are near copies if the sets of their shingles of ``shingle`` words have a Jaccard similarity of ``least``
     or more; groups are connected over such pairs. Candidates: equal sets; whole-text fingerprints within ``tau``
-    bits; and one equal class fingerprint, where each row meets the first row that has it. All candidates are
-    verified by the whole sets. Null texts and texts without a word are copies of each other.
+    bits; and one equal class fingerprint. Each row meets the first row of its bucket, and then every row of it that
+    is not yet in its own group. Candidates whose profiles rule out ``least`` cannot have it; all others are verified
+    by the whole sets. Null texts and texts without a word are copies of each other.
     """
     chunks = write_chunks(docs, text)
     profiles = materialize(_profiles(chunks, doc_id, text, shingle), "profiles")
@@ -273,14 +289,31 @@ def without_near_copies(docs: DataFrame, shingle: int = 5, least: float = 0.8, t
     firsts = classes.groupBy("class").agg(F.min("node").alias("a"), F.count(F.lit(1)).alias("n")).where("n > 1").drop("n")
     by_class = classes.join(firsts, "class").where("node <> a").select("a", F.col("node").alias("b"))
     fps = materialize(heads.groupBy("fp").agg(F.min("head").alias("a")), "fps")
-    same_fp = heads.join(fps, "fp").where("head <> a").select("a", F.col("head").alias("b"))
-    near = links(fps.select("fp"), tau)
-    near = near.join(fps.select(F.col("fp").alias("a"), F.col("a").alias("x")), "a").join(
+    same_fp = heads.join(fps, "fp").where("head <> a").select("a", F.col("head").alias("b"), "fp")
+    linked = materialize(links(fps.select("fp"), tau), "links")
+    near = linked.join(fps.select(F.col("fp").alias("a"), F.col("a").alias("x")), "a").join(
         fps.select(F.col("fp").alias("b"), F.col("a").alias("y")), "b")
     near = near.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b"))
-    candidates = materialize(by_class.unionByName(same_fp).unionByName(near).distinct(), "candidates")
-    verified = _verified(candidates, chunks, profiles, least, text, shingle)
+    candidates = materialize(by_class.unionByName(same_fp.drop("fp")).unionByName(near).distinct(), "candidates")
+    sides = profiles.select(_node().alias("node"), F.col("profile").alias("value"))
+    bounded = lambda x, y: most_similarity(unpacked(x), unpacked(y)) >= least
+    likely = materialize(_judged(candidates, sides, bounded), "likely")
+    verified = materialize(_verified(likely, chunks, least, text, shingle), "verified")
     roots = components(verified)
+    # A bucket's first row has met all others of it.
+    rest = classes.join(firsts, "class").where("node <> a").select(F.xxhash64(F.lit("class"), "class").alias("key"), "node")
+    rest = materialize(rest.unionByName(same_fp.select(F.xxhash64(F.lit("fp"), "fp").alias("key"), F.col("b").alias("node"))), "rest")
+    for most in ROUNDS:
+        rooted = heads.join(roots.withColumnRenamed("v", "head"), "head", "left").select(
+            F.col("head").alias("node"), "fp", F.coalesce("root", "head").alias("root"))
+        found = materialize(_unsettled(rest, linked, materialize(rooted, "rooted"), sides, least, most), "unsettled")
+        if not found.limit(1).count():
+            break
+        more = _verified(found.select("a", "b").distinct(), chunks, least, text, shingle)
+        verified = materialize(verified.unionByName(more), "verified")
+        roots = components(verified)
+        if not found.where("more").limit(1).count():
+            break
     # A group's row is the one of smallest (doc, node) among the rows of all its sets.
     grouped = heads.join(roots.withColumnRenamed("v", "head"), "head", "left").select(
         "set", F.coalesce("root", "head").alias("root"))
@@ -307,26 +340,77 @@ def _node():
 
 
 def _judged(pairs: DataFrame, sides: DataFrame, test) -> DataFrame:
-    """The pairs (a, b) whose values (``sides``: node, value) pass the test."""
+    """The pairs (a, b) whose values (``sides``: node, value) pass the test, which sees lists of both sides."""
     side = lambda name: sides.select(F.col("node").alias(name), F.col("value").alias(f"{name}_value"))
     both = pairs.join(side("a"), "a").join(side("b"), "b").select("a", "b", "a_value", "b_value")
 
     def run(batches):
         for batch in batches:
-            good = [test(x, y) for x, y in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist())]
+            good = test(batch.column(2).to_pylist(), batch.column(3).to_pylist())
             yield pa.RecordBatch.from_arrays([c.filter(pa.array(good, pa.bool_())) for c in batch.columns[:2]], names=["a", "b"])
 
     return both.mapInArrow(run, "a long, b long")
 
 
-def _verified(candidates: DataFrame, chunks: DataFrame, profiles: DataFrame, least: float, text: str, shingle: int) -> DataFrame:
-    """The candidate pairs of enough similarity.
+def _unsettled(rest: DataFrame, linked: DataFrame, rooted: DataFrame, sides: DataFrame, least: float, most: int) -> DataFrame:
+    """(a, b, more): pairs of a bucket that are in different groups and that their profiles do not rule out.
 
-    A sketch first rules out those that are far below it; the sets of the rest are made again from their texts.
+    Buckets: ``rest`` (key, node), and the rows of both fingerprints of a link. Those of one group are left out; the
+    others are compared block by block, and no pair becomes a row before its profiles are compared. A row names its
+    ``most`` likeliest partners per pair of blocks; ``more`` says that it has others.
     """
-    margin = 4 * (least * (1 - least) / SKETCH) ** 0.5
-    sketches = profiles.select(_node().alias("node"), F.col("sketch").alias("value"))
-    likely = materialize(_judged(candidates, sketches, lambda x, y: sketch_similarity(x, y) >= least - margin), "likely")
+    sizes = rooted.groupBy("fp").agg(F.count(F.lit(1)).alias("n"), F.min("root").alias("lo"), F.max("root").alias("hi"))
+    side = lambda name: sizes.select(F.col("fp").alias(name), *(F.col(c).alias(f"{name}_{c}") for c in ("n", "lo", "hi")))
+    both = linked.join(side("a"), "a").join(side("b"), "b").where("a_n + b_n > 2").where(
+        F.least("a_lo", "b_lo") != F.greatest("a_hi", "b_hi"))
+    both = both.select(F.xxhash64(F.lit("link"), "a", "b").alias("key"), F.explode(F.array("a", "b")).alias("fp"))
+    members = rest.join(rooted.select("node", "root"), "node").select("key", "node", "root").unionByName(
+        both.join(rooted, "fp").select("key", "node", "root"))
+    members = materialize(members, "members")
+    mixed = members.groupBy("key").agg(
+        F.count(F.lit(1)).alias("n"), F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo <> hi").select(
+        "key", F.ceil(F.col("n") / BLOCK).cast("int").alias("blocks"))
+    placed = members.join(mixed, "key").withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
+    placed = placed.join(sides, "node").withColumn("other", F.explode(F.expr("sequence(0, blocks - 1)")))
+    cells = placed.groupBy("key", F.least("block", "other").alias("x"), F.greatest("block", "other").alias("y")).agg(
+        F.collect_list(F.struct("node", "root", "block", "value")).alias("cell"))
+
+    def run(batches):
+        for batch in batches:
+            out = [[], [], []]
+            for at, across in enumerate((batch.column(0).to_numpy() != batch.column(1).to_numpy()).tolist()):
+                node, root, block, value = batch.column(2)[at].values.flatten()
+                node, root, block = node.to_numpy(), root.to_numpy(), block.to_numpy()
+                sizes, bins, over = unpacked(value.to_pylist())
+                order = np.argsort(sizes, kind="stable")
+                node, root, block, sizes, bins, over = (v[order] for v in (node, root, block, sizes, bins, over))
+                # The smaller set has at least this share of the larger; one less leaves room for rounding.
+                starts = np.searchsorted(sizes, least * sizes - 1)
+                for i, start in enumerate(starts.tolist()):
+                    apart = root[start:i] != root[i]
+                    if across:
+                        apart &= block[start:i] != block[i]
+                    near = start + np.flatnonzero(apart)
+                    if not len(near):
+                        continue
+                    bound = most_similarity((sizes[near], bins[near], over[near]), (sizes[i], bins[i], over[i]))
+                    good = np.flatnonzero(bound >= least)
+                    more = len(good) > most
+                    if more:
+                        good = good[np.argsort(-bound[good], kind="stable")[:most]]
+                    partners = node[near[good]]
+                    out[0].append(np.minimum(partners, node[i]))
+                    out[1].append(np.maximum(partners, node[i]))
+                    out[2].append(np.full(len(good), more))
+            columns = [np.concatenate(c) if c else np.zeros(0, np.int64) for c in out]
+            yield pa.RecordBatch.from_arrays([pa.array(columns[0], pa.int64()), pa.array(columns[1], pa.int64()),
+                                              pa.array(columns[2].astype(bool), pa.bool_())], names=["a", "b", "more"])
+
+    return cells.select("x", "y", "cell").mapInArrow(run, "a long, b long, more boolean")
+
+
+def _verified(likely: DataFrame, chunks: DataFrame, least: float, text: str, shingle: int) -> DataFrame:
+    """The candidate pairs of enough similarity, by the sets made again from their texts."""
     nodes = likely.select(F.col("a").alias("node")).unionByName(likely.select(F.col("b").alias("node"))).distinct()
     chunk = F.shiftleft(F.shiftright("node", 40), 32) + F.shiftright("node", 20).bitwiseAND((1 << 20) - 1)
     asked = nodes.select(chunk.alias("chunk"), F.col("node").bitwiseAND((1 << 20) - 1).alias("row"), "node")
@@ -342,4 +426,4 @@ def _verified(candidates: DataFrame, chunks: DataFrame, profiles: DataFrame, lea
                                                      names=["node", "value"])
 
     sets = materialize(answer_chunks(chunks, asked).select("rows", "asked").mapInArrow(run, "node long, value binary"), "sets")
-    return _judged(likely, sets, lambda x, y: similarity(x, y) >= least)
+    return _judged(likely, sets, lambda x, y: [similarity(p, q) >= least for p, q in zip(x, y)])
