@@ -64,3 +64,12 @@ def test_query_finds_every_planted_item(spark):
         text = " ".join(next(d["text"] for d in docs if d["doc_id"] == doc).lower().split())
         ws = next(i["text"] for i in items if i["item_id"] == item).lower().split()
         assert any(" ".join(ws[k : k + 8]) in text for k in range(len(ws) - 7))
+
+
+def test_one_inconsistent_slot_leaves_the_rest(spark, words):
+    name, number = QUESTION.replace("then Alice", "then Bob"), QUESTION.replace("has 12", "has 7")
+    start, many = "The " + words(21, 20) + " the " + words(22, 20), words(23, 30) + " 7 " + words(24, 12) + " 7 " + words(25, 30)
+    docs = [(1, name), (2, number), (3, start.replace("The ", "A ")), (4, many.replace(" 7 ", " 8 ", 1)),
+            (5, QUESTION.replace("Alice", "Clara").replace("does Clara", "does Alice"))]
+    got = run(spark, docs, [(10, QUESTION), (11, start), (12, many)])
+    assert set(got) == {(1, 10), (2, 10), (3, 11), (4, 12), (5, 10)}

@@ -4,8 +4,9 @@ Words lose the punctuation around them and become tokens: numbers, capitalised w
 number become typed placeholders, all else its lower-case form. A question whose numbers or names were replaced
 so keeps its template. Windows of ``WINDOW`` tokens are hashed; a window with too few literal tokens to mean
 anything is hashed by its literal words instead. Document windows meet benchmark windows in a hash join; hits on
-one alignment of a document with an item are put together, and the slots must agree: a value of the item always
-stands for the same value of the document, and the other way round. An item is reported where at least ``SHARE``
+one alignment of a document with an item are put together. Windows that are the item's word for word count; the slots
+of windows with other values must agree: a value of the item stands for its most frequent value in the document, and
+the other way round. An item is reported where at least ``SHARE``
 of its tokens are covered.
 
 All windows of all documents are looked up, but only those that a bit filter lets pass are shuffled. The filter has
@@ -15,6 +16,7 @@ All windows of all documents are looked up, but only those that a bit filter let
 from __future__ import annotations
 
 import re
+from collections import Counter, defaultdict
 
 import numpy as np
 import pyarrow as pa
@@ -172,6 +174,38 @@ def _hits(docs: DataFrame, shared, doc_id: str, text: str) -> DataFrame:
     return rows.mapInArrow(run, HITS)
 
 
+def _plain(word: str) -> str:
+    return _EDGE.sub("", word).lower()
+
+
+def judged(n_tokens: int, windows: list[dict], share: float, enough: int) -> tuple[list[int], int]:
+    """The item's token positions that an alignment's windows cover, and how many of its words are changed there.
+
+    Where an item's value stands for no value of the document in at least half of its places, its names and numbers
+    contradict each other: then only passages word for word that are long enough by themselves count.
+    """
+    slots = {w["item_pos"]: [(_plain(i), _plain(d)) for i, d in zip(w["item_words"], w["words"])] for w in windows}
+    own, other = defaultdict(Counter), defaultdict(Counter)
+    for i, d in {pos + k: pair for pos, pairs in slots.items() for k, pair in enumerate(pairs)}.values():
+        own[i][d] += 1
+        other[d][i] += 1
+    same = {pos for pos, pairs in slots.items() if all(i == d for i, d in pairs)}
+    tokens = lambda at: sorted({pos + k for pos in at for k in range(len(slots[pos]))})
+    if any(2 * max(c.values()) < sum(c.values()) for c in own.values()):
+        runs = []
+        for x in tokens(same):
+            if runs and runs[-1][-1] == x - 1:
+                runs[-1].append(x)
+            else:
+                runs.append([x])
+        return [x for r in runs if len(r) >= share * n_tokens or len(r) >= enough for x in r], 0
+    # Of equally frequent values the unchanged one counts.
+    first = lambda table: {v: max(c, key=lambda x: (c[x], x == v, x)) for v, c in table.items()}
+    ahead, back = first(own), first(other)
+    good = same | {pos for pos, pairs in slots.items() if all(ahead[i] == d and back[d] == i for i, d in pairs)}
+    return tokens(good), len({pair for pos in good for pair in slots[pos] if pair[0] != pair[1]})
+
+
 def contaminated(docs: DataFrame, benchmark: DataFrame, share: float = SHARE, enough: int = ENOUGH, doc_id: str = "doc_id", text: str = "text",
                  item_id: str = "item_id", item_text: str = "text") -> DataFrame:
     """(doc_id, doc_row, item_id, n_tokens, n_covered, n_changed): the items that each document holds.
@@ -184,20 +218,23 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, share: float = SHARE, en
     windows = materialize(_items(benchmark, item_id, item_text), "items")
     shared = docs.sparkSession.sparkContext.broadcast(_filter(windows))  # 8 MB, always
     hits = _hits(docs, shared, doc_id, text).join(windows, "hash")
-    clean = lambda w: F.regexp_replace(F.lower(w), r"^[^\p{L}\p{N}$€£%+-]+|[^\p{L}\p{N}%]+$", "")
-    slots = F.transform(F.arrays_zip("item_words", "words"), lambda z: F.struct(
-        clean(z["item_words"]).alias("item"), clean(z["words"]).alias("doc")))
-    side = ["doc_id", "doc_row", "item_id", "n_tokens", "shift"]
-    hits = hits.select("doc_id", "doc_row", "item_id", "n_tokens", (F.col("pos") - F.col("item_pos")).alias("shift"), "item_pos",
-                       slots.alias("slots"))
+    side = ["doc_id", "doc_row", "item_id", "n_tokens"]
+    hits = hits.select(*side, (F.col("pos") - F.col("item_pos")).alias("shift"), F.struct("item_pos", "item_words", "words").alias("window"))
     # An alignment has at most as many windows as its item, so its lists are bounded by the item.
-    aligned = hits.groupBy(*side).agg(F.collect_set("item_pos").alias("at"), F.array_distinct(F.flatten(F.collect_list("slots"))).alias("slots"))
-    one_way = lambda part: F.size(F.array_distinct(F.transform("slots", lambda s: s[part]))) == F.size("slots")
-    agreed = aligned.where(one_way("item") & one_way("doc")).withColumn(
-        "changed", F.size(F.filter("slots", lambda s: s["item"] != s["doc"])))
-    found = agreed.groupBy("doc_id", "doc_row", "item_id", "n_tokens").agg(
+    aligned = hits.groupBy(*side, "shift").agg(F.collect_set("window").alias("windows"))
+
+    def run(batches):
+        for batch in batches:
+            found = [judged(n, w, share, enough) for n, w in zip(batch.column(3).to_pylist(), batch.column(4).to_pylist())]
+            yield pa.RecordBatch.from_arrays(
+                [*batch.columns[:4], pa.array([f[0] for f in found], pa.list_(pa.int32())), pa.array([f[1] for f in found], pa.int32())],
+                names=[*side, "at", "changed"])
+
+    agreed = aligned.select(*side, "windows").mapInArrow(
+        run, "doc_id long, doc_row long, item_id long, n_tokens int, at array<int>, changed int").where(F.size("at") > 0)
+    found = agreed.groupBy(*side).agg(
         F.array_distinct(F.flatten(F.collect_list("at"))).alias("at"), F.min("changed").cast("long").alias("n_changed"))
-    covered = F.size(F.array_distinct(F.flatten(F.transform("at", lambda p: F.sequence(p, p + (WINDOW - 1))))))
+    covered = F.size("at")
     found = found.withColumn("n_covered", covered.cast("long")).withColumn("n_tokens", F.col("n_tokens").cast("long"))
     return found.where((F.col("n_covered") >= share * F.col("n_tokens")) | (F.col("n_covered") >= enough)).select(
         "doc_id", "doc_row", "item_id", "n_tokens", "n_covered", "n_changed")
