@@ -73,3 +73,10 @@ def test_one_inconsistent_slot_leaves_the_rest(spark, words):
             (5, QUESTION.replace("Alice", "Clara").replace("does Clara", "does Alice"))]
     got = run(spark, docs, [(10, QUESTION), (11, start), (12, many)])
     assert set(got) == {(1, 10), (2, 10), (3, 11), (4, 12), (5, 10)}
+
+
+def test_copies_in_another_letter_case(spark):
+    items = documents(spark, "/root/testdata/sf0.001", "benchmark").collect()
+    docs = [(2 * k + upper, f(r["text"])) for k, r in enumerate(items) for upper, f in enumerate((str.lower, str.upper))]
+    got = run(spark, docs, [(r["item_id"], r["text"]) for r in items])
+    assert {(2 * k + upper, r["item_id"]) for k, r in enumerate(items) for upper in (0, 1)} <= set(got)

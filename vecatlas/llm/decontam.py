@@ -3,7 +3,8 @@
 Words lose the punctuation around them and become tokens: numbers, capitalised words (names) and units after a
 number become typed placeholders, all else its lower-case form. A question whose numbers or names were replaced
 so keeps its template. Windows of ``WINDOW`` tokens are hashed; a window with too few literal tokens to mean
-anything is hashed by its literal words instead. Document windows meet benchmark windows in a hash join; hits on
+anything is hashed by its literal words instead. Every window is also looked up by its lower-case words, so that
+copies in another letter case are found. Document windows meet benchmark windows in a hash join; hits on
 one alignment of a document with an item are put together. Windows that are the item's word for word count; the slots
 of windows with other values must agree: a value of the item stands for its most frequent value in the document, and
 the other way round. An item is reported where at least ``SHARE``
@@ -85,11 +86,12 @@ def canonical(words: list[bytes], known: Tokens) -> tuple[np.ndarray, np.ndarray
     return found | np.uint64(7), kinds, at
 
 
-def window_hashes(literal: np.ndarray, kinds: np.ndarray, size: int = WINDOW) -> np.ndarray:
-    """A hash per window of ``size`` tokens: of the template, or of the words where too few are literal."""
+def window_hashes(literal: np.ndarray, kinds: np.ndarray, size: int = WINDOW) -> tuple[np.ndarray, np.ndarray]:
+    """Two hashes per window of ``size`` tokens: of the template (of the words where too few are literal), and of the
+    lower-case words, which are the same in any letter case."""
     n = len(literal) - size + 1
     if n <= 0:
-        return np.zeros(0, np.int64)
+        return np.zeros(0, np.int64), np.zeros(0, np.int64)
     is_literal = kinds == LITERAL
     slots = np.where(is_literal, literal, (kinds.astype(np.uint64) + np.uint64(2)) * _PRIME)
     plain = np.concatenate([[0], np.cumsum(is_literal)])
@@ -103,11 +105,9 @@ def window_hashes(literal: np.ndarray, kinds: np.ndarray, size: int = WINDOW) ->
             width, power = 2 * width, power * power % (1 << 64)
         return values
 
-    out = rolled(slots)
-    if not enough.all():
-        out = np.where(enough, out, ~rolled(literal))
-    out ^= out >> np.uint64(31)
-    return (out * _PRIME).view(np.int64)
+    plainly = ~rolled(literal)
+    mixed = lambda x: ((x ^ (x >> np.uint64(31))) * _PRIME).view(np.int64)
+    return mixed(np.where(enough, rolled(slots), plainly)), mixed(plainly)
 
 
 def _spot(hashes: np.ndarray) -> np.ndarray:
@@ -123,8 +123,9 @@ def _items(benchmark: DataFrame, item_id: str, text: str) -> DataFrame:
             for item, whole in zip(batch.column(0).to_pylist(), column_bytes(batch.column(1))):
                 words = whole.split()
                 literal, kinds, at = canonical(words, known)
-                for pos, h in enumerate(window_hashes(literal, kinds).tolist()):
-                    rows.append((item, len(literal), pos, h, [words[i].decode() for i in at[pos : pos + WINDOW]]))
+                for pos, both in enumerate(zip(*(h.tolist() for h in window_hashes(literal, kinds)))):
+                    for h in set(both):
+                        rows.append((item, len(literal), pos, h, [words[i].decode() for i in at[pos : pos + WINDOW]]))
             yield pa.RecordBatch.from_arrays(
                 [pa.array(c, k) for c, k in zip(zip(*rows) if rows else ((),) * 5, (
                     pa.int64(), pa.int32(), pa.int32(), pa.int64(), pa.list_(pa.string())))],
@@ -159,12 +160,13 @@ def _hits(docs: DataFrame, shared, doc_id: str, text: str) -> DataFrame:
             for doc, row, whole in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), column_bytes(batch.column(2))):
                 words = whole.split()
                 literal, kinds, at = canonical(words, known)
-                hashes = window_hashes(literal, kinds)
-                spots = _spot(hashes)
-                passed = np.flatnonzero(bits[spots >> np.uint64(3)] >> (np.uint64(7) - (spots & np.uint64(7))).astype(np.uint8) & 1)
-                for pos in passed.tolist():
-                    for name, value in zip(out, (doc, row, pos, int(hashes[pos]), [words[i].decode() for i in at[pos : pos + WINDOW]])):
-                        out[name].append(value)
+                template, plain = window_hashes(literal, kinds)
+                for hashes, asked in ((template, True), (plain, plain != template)):
+                    spots = _spot(hashes)
+                    passed = bits[spots >> np.uint64(3)] >> (np.uint64(7) - (spots & np.uint64(7))).astype(np.uint8) & 1
+                    for pos in np.flatnonzero((passed > 0) & asked).tolist():
+                        for name, value in zip(out, (doc, row, pos, int(hashes[pos]), [words[i].decode() for i in at[pos : pos + WINDOW]])):
+                            out[name].append(value)
             yield pa.RecordBatch.from_arrays(
                 [pa.array(c, k) for c, k in zip(out.values(), (pa.int64(), pa.int64(), pa.int32(), pa.int64(), pa.list_(pa.string())))],
                 names=list(out))
