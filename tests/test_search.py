@@ -201,3 +201,16 @@ def test_cells_take_changes(spark):
     queries = vector_df(spark, matrix, "query_id")
     same(collected(cells.probed_search(index, queries, 5, 6)), brute_force(changed, matrix, 5, "l2"))
     same(collected(cells.bounded_search(cells.CellIndex.load(spark, index.path), queries, 5)), brute_force(changed, matrix, 5, "l2"))
+
+
+def test_wide_queries_of_windows_are_split_by_bytes(spark, monkeypatch):
+    from vecatlas.operators import topk
+
+    pick = np.random.default_rng(4)
+    rows = lambda n: [(i, pick.normal(size=16).tolist()) for i in range(n)]
+    vectors = spark.createDataFrame(rows(20), "slot long, embedding array<float>")
+    queries = spark.createDataFrame(rows(9), "query_id long, embedding array<float>")
+    found = lambda: sorted((r["query_id"], r["rank"], r["slot"]) for r in topk.topk_windows(vectors, queries, 2).collect())
+    want = found()
+    monkeypatch.setattr(topk, "MAX_BROADCAST_BYTES", 600)
+    assert found() == want and len(want) == 18

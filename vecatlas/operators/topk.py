@@ -200,7 +200,7 @@ def topk_with_bound(
 
 def topk_windows(
     vectors: DataFrame, queries: DataFrame, k: int = 10, metric: str = "cosine",
-    max_broadcast_queries: int = MAX_BROADCAST_QUERIES,
+    max_broadcast_queries: int = MAX_BROADCAST_QUERIES, depth: int = 0,
 ) -> DataFrame:
     """The k nearest slots of each query where a slot has a vector per window and its nearest window counts.
 
@@ -209,9 +209,11 @@ def topk_windows(
     V.check_metric(metric)
     block = bounded_queries(queries, metric, max_broadcast_queries)
     if block is None:
-        blocks = -(-2 * queries.count() // max_broadcast_queries)
-        part = F.pmod(F.xxhash64("query_id"), F.lit(blocks))
-        found = [topk_windows(vectors, queries.filter(part == i), k, metric, max_broadcast_queries) for i in range(blocks)]
+        rows, floats = queries.agg(F.count(F.lit(1)), F.coalesce(F.sum(F.size("embedding").cast("long")), F.lit(0))).first()
+        blocks = max(2, -(-2 * rows // max_broadcast_queries), -(-2 * 8 * floats // MAX_BROADCAST_BYTES))
+        # Each depth deals the queries anew.
+        part = F.pmod(F.xxhash64(F.lit(depth), "query_id"), F.lit(blocks))
+        found = [topk_windows(vectors, queries.filter(part == i), k, metric, max_broadcast_queries, depth + 1) for i in range(blocks)]
         return reduce(DataFrame.unionByName, found)
     shared = queries.sparkSession.sparkContext.broadcast((block.ids, block.matrix))
 
