@@ -9,7 +9,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from vecatlas.llm import bpe, chat, classifier, decontam, lines, lm, quality, repeats, sharding, simhash
+from vecatlas.llm import ann, bpe, chat, classifier, decontam, lines, lm, manifest, quality, repeats, sharding, simhash, whitening
 from vecatlas.llm.tables import documents
 
 TOKENIZER = "byte_bpe_multi_50k.tiktoken"
@@ -84,6 +84,20 @@ def op10_suffix_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
     return repeats.digests(documents(spark, sf_dir))
 
 
+def op11_pstable_multiprobe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ann.nearest(documents(spark, sf_dir, "embeddings"))
+
+
+def op12_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return manifest.document_manifest(documents(spark, sf_dir))
+
+
+def op13_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The deviation is exact in the operator; where it is no long any more (from millions of vectors on) it is null here."""
+    rows = whitening.whitened_rows(documents(spark, sf_dir, "embeddings"))
+    return rows.withColumn("deviation", F.expr("try_cast(deviation AS long)"))
+
+
 QUERIES = {
     "op1_label_propagation": op1_label_propagation,
     "op2_quality_rules": op2_quality_rules,
@@ -95,6 +109,9 @@ QUERIES = {
     "op8_quality_classifier": op8_quality_classifier,
     "op9_byte_bpe": op9_byte_bpe,
     "op10_suffix_repeats": op10_suffix_repeats,
+    "op11_pstable_multiprobe": op11_pstable_multiprobe,
+    "op12_merkle_manifest": op12_merkle_manifest,
+    "op13_whitening": op13_whitening,
 }
 
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
@@ -108,6 +125,15 @@ def _escaped_length(text: str) -> str:
     return f"(length({text}){marks})"
 
 
+def _hashed(value: str) -> str:
+    """A value as the manifest hashes it."""
+    return f"CASE WHEN {value} IS NULL THEN '-' ELSE strlen(CAST({value} AS VARCHAR)) || ':' || CAST({value} AS VARCHAR) END"
+
+
+def _leaf(n_chars: str) -> str:
+    return "sha256(" + " || ".join(_hashed(c) for c in ("doc_id", "source", "lang", n_chars, "text")) + ")"
+
+
 ORACLE_SQL = {
     "op3_chat_format": rf"""
         WITH turns AS (
@@ -134,4 +160,42 @@ ORACLE_SQL = {
         SELECT doc_id, count(*) AS n_lines, count(*) FILTER (WHERE o.key IS NOT NULL) AS n_dropped,
                sha256(coalesce(string_agg(line, chr(10) ORDER BY pos) FILTER (WHERE o.key IS NULL), '')) AS kept_sha256
         FROM lines LEFT JOIN often o ON lines.key = o.key GROUP BY doc_id""",
+    "op12_merkle_manifest": f"""
+        WITH RECURSIVE
+        crc AS (SELECT list_transform(range(256), lambda n: list_reduce(list_prepend(n, range(8)), lambda c, i:
+                    CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END)) AS steps),
+        leaves AS (
+            SELECT doc_id, lang, {_leaf("n_chars")} AS leaf, {_leaf("n_chars + 1")} AS changed,
+                   xor(list_reduce(list_prepend(4294967295, list_transform(string_split(CAST(doc_id AS VARCHAR), ''), lambda x: CAST(ascii(x) AS BIGINT))),
+                       lambda c, b: xor(c >> 8, steps[(xor(c, b) & 255) + 1])), 4294967295) % 7 = 0 AND n_chars IS NOT NULL AS hit
+            FROM documents, crc),
+        placed AS (
+            SELECT *, row_number() OVER () AS id, row_number() OVER (PARTITION BY lang ORDER BY doc_id NULLS FIRST, leaf) - 1 AS pos,
+                   count(*) OVER (PARTITION BY lang) AS n, dense_rank() OVER (ORDER BY lang NULLS FIRST) - 1 AS grp FROM leaves),
+        tree AS (
+            SELECT grp, 0 AS lvl, pos AS idx, n, leaf AS h FROM placed
+            UNION ALL
+            SELECT grp, lvl + 1, idx // 2, (n + 1) // 2, sha256(string_agg(h, '' ORDER BY idx)) FROM tree WHERE n > 1 GROUP BY grp, lvl, idx // 2, n),
+        top AS (
+            SELECT 0 AS lvl, grp AS idx, (SELECT count(DISTINCT grp) FROM placed) AS n, h FROM tree WHERE n = 1
+            UNION ALL
+            SELECT lvl + 1, idx // 2, (n + 1) // 2, sha256(string_agg(h, '' ORDER BY idx)) FROM top WHERE n > 1 GROUP BY lvl, idx // 2, n),
+        steps AS (
+            SELECT p.id, t.lvl, t.idx % 2 = 1 AS on_left, s.h AS sibling
+            FROM placed p JOIN tree t ON t.grp = p.grp AND t.n > 1 AND t.idx = p.pos >> t.lvl
+            LEFT JOIN tree s ON s.grp = t.grp AND s.lvl = t.lvl AND s.idx = xor(t.idx, 1)
+            UNION ALL
+            SELECT p.id, 1000 + t.lvl, t.idx % 2 = 1, s.h
+            FROM placed p JOIN top t ON t.n > 1 AND t.idx = p.grp >> t.lvl LEFT JOIN top s ON s.lvl = t.lvl AND s.idx = xor(t.idx, 1)),
+        numbered AS (SELECT *, row_number() OVER (PARTITION BY id ORDER BY lvl) AS step FROM steps),
+        fold AS (
+            SELECT id, 0 AS step, CASE WHEN hit THEN changed ELSE leaf END AS h FROM placed
+            UNION ALL
+            SELECT f.id, f.step + 1, sha256(CASE WHEN s.sibling IS NULL THEN f.h WHEN s.on_left THEN s.sibling || f.h ELSE f.h || s.sibling END)
+            FROM fold f JOIN numbered s ON s.id = f.id AND s.step = f.step + 1),
+        ends AS (SELECT id, arg_max(h, step) AS folded_root FROM fold GROUP BY id),
+        proofs AS (SELECT id, sha256(coalesce(string_agg(sibling, '' ORDER BY lvl), '')) AS proof_sha256 FROM steps GROUP BY id),
+        root AS (SELECT h AS root FROM top WHERE n = 1)
+        SELECT p.doc_id, p.leaf, t.h AS subroot, root, coalesce(proof_sha256, sha256('')) AS proof_sha256, folded_root, folded_root = root AS verified
+        FROM placed p JOIN tree t ON t.grp = p.grp AND t.n = 1 JOIN ends USING (id) LEFT JOIN proofs USING (id), root""",
 }
