@@ -9,6 +9,7 @@ from collections.abc import Callable
 
 sys.path.insert(0, os.path.dirname(os.path.abspath(__file__)))
 
+import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -22,7 +23,9 @@ from vecatlas.operators.encode import HashingEncoder, encode, encode_texts
 from vecatlas.operators.export import export_manifest
 from vecatlas.operators.hits import resized, sorted_by, with_paths
 from vecatlas.operators.images import image_metadata, image_tensors
+from vecatlas.operators.neighbour_graph import graph_neighbours
 from vecatlas.operators.paths import register_roots, unregister_roots
+from vecatlas.operators.quantize import pq_search, train_codebooks
 from vecatlas.operators.topk import single_query_topk, topk_search
 from vecatlas.operators.wordpiece import ids_to_tokens, model_input, wordpiece
 from vecatlas.plans import search as plans
@@ -38,7 +41,9 @@ from vecatlas.streaming.queries import start_search
 try:  # the operators for training data are optional
     import corpus_pipeline
     from vecatlas.llm import queries as llm
-except ModuleNotFoundError:
+except ModuleNotFoundError as missing:
+    if missing.name not in ("corpus_pipeline", "vecatlas.llm"):
+        raise
     corpus_pipeline = llm = None
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -99,20 +104,58 @@ def knn_ivf_full_probe(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def knn_ivf_recall(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Share of the exact hits that each number of probed cells finds."""
-    index, asked = _cell_index(spark, sf_dir, "cosine"), fx.vector_queries(spark, sf_dir)
-    exact = materialize(topk_search(fx.gallery_vectors(spark, sf_dir), asked, K), "exact")
-    exact = exact.select("query_id", "slot")
+    """Share of the exact hits that each number of probed cells finds; the cells' centres are the labels' mean vectors."""
+    vectors, asked = fx.gallery_vectors(spark, sf_dir), fx.vector_queries(spark, sf_dir)
+    parts = fx.table(spark, sf_dir, "embeddings").select("label", F.posexplode("embedding").alias("i", "x"))
+    means = parts.groupBy("label", "i").agg(F.avg(F.col("x").cast("double")).alias("x")).groupBy("label").agg(
+        F.transform(F.sort_array(F.collect_list(F.struct("i", "x"))), lambda c: c["x"]).alias("center"))
+    centers = np.array([r["center"] for r in means.orderBy("label").collect()])  # a row per label
+    index = build_cell_index(vectors, scratch_path(spark, "cells"), len(centers), "cosine", centers=centers)
+    exact = materialize(topk_search(vectors, asked, K), "exact").select("query_id", "slot")
     runs = [
-        exact.join(probed_search(index, asked, K, n).select("query_id", "slot", F.lit(1).alias("hit")),
-                   ["query_id", "slot"], "left")
-        .agg((F.count("hit") / F.count(F.lit(1))).alias("recall"))
+        _found(exact, probed_search(index, asked, K, n)).agg(F.round(F.avg("hit"), 6).alias("recall"))
         .select(F.lit(n).alias("nprobe"), "recall")
-        for n in (1, 4, CELLS)
+        for n in (1, 4, 10)
     ]
     return runs[0].unionByName(runs[1]).unionByName(runs[2])
 
 
+def _found(exact: DataFrame, hits: DataFrame) -> DataFrame:
+    """The exact hits, with ``hit`` 1.0 where another search has them too."""
+    both = exact.join(hits.select("query_id", "slot", F.lit(1.0).alias("_hit")), ["query_id", "slot"], "left")
+    return both.withColumn("hit", F.coalesce("_hit", F.lit(0.0))).drop("_hit")
+
+
+def _enough(spark: SparkSession, sf_dir: str, exact: DataFrame, hits: DataFrame) -> DataFrame:
+    """Per label of the query: its queries, their exact hits, and whether a search finds 90 % of them."""
+    labels = fx.table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("query_id"), "label")
+    return _found(exact.select("query_id", "slot"), hits).join(labels, "query_id").groupBy("label").agg(
+        F.count_distinct("query_id").alias("queries"), F.count(F.lit(1)).alias("hits"), (F.avg("hit") >= 0.9).alias("enough"))
+
+
+def knn_pq_rerank(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every vector as a query by codes of product quantisation; reranking all candidates is exact."""
+    vectors, asked = fx.gallery_vectors(spark, sf_dir), fx.vector_queries(spark, sf_dir)
+    books = train_codebooks(vectors, rounds=2)
+    hits = pq_search(books, books.encode(vectors), vectors, asked, K, refine=vectors.count())
+    return _hit_columns(with_paths(hits, vectors))
+
+
+def knn_pq_recall(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Codes with the default number of reranked candidates against the exact search."""
+    vectors, asked = fx.gallery_vectors(spark, sf_dir), fx.vector_queries(spark, sf_dir)
+    books = train_codebooks(vectors)
+    codes = materialize(books.encode(vectors), "codes")
+    return _enough(spark, sf_dir, topk_search(vectors, asked, K), pq_search(books, codes, vectors, asked, K))
+
+
+def knn_graph_self(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The refined graph's neighbours of every live vector against the exact ones."""
+    vectors = materialize(fx.gallery_vectors(spark, sf_dir).select("slot", "embedding"), "vectors")
+    asked = vectors.select(F.col("slot").alias("query_id"), "embedding")
+    return _enough(spark, sf_dir, topk_search(vectors, asked, K), graph_neighbours(vectors, K))
+
+
 def knn_after_directory_removal(spark: SparkSession, sf_dir: str) -> DataFrame:
     gallery = fx.gallery(spark, sf_dir)
     gone = cat.remove_directories(gallery, fx.derived(spark, sf_dir, fx.GALLERY_REMOVED))
@@ -493,6 +536,9 @@ def queries() -> dict[str, Query]:
         "knn_cell_join_l2": _cell_join("l2", 6),
         "knn_ivf_full_probe": knn_ivf_full_probe,
         "knn_ivf_recall": knn_ivf_recall,
+        "knn_pq_rerank": knn_pq_rerank,
+        "knn_pq_recall": knn_pq_recall,
+        "knn_graph_self": knn_graph_self,
         "knn_after_directory_removal": knn_after_directory_removal,
         "knn_existing_only": knn_existing_only,
         "search_after_sync": search_after_sync,

@@ -120,6 +120,39 @@ select root, ordinal, case
   when since < ordinal then 'covered' else 'added' end as status
 from judged"""
 
+_LIVE = f"(select * from {GALLERY} x where live)"
+
+
+def _enough(asked: str) -> str:
+    """Queries per label, their exact hits, and that a search finds enough of them."""
+    return f"""select label, count(*) as queries, cast(count(*) * least(10, (select count(*) from {_LIVE} l)) as bigint) as hits,
+      true as enough from {asked} a group by label"""
+
+
+# Cells around the labels' mean vectors; a vector belongs to the nearest one, a query probes the nearest ones.
+_PROBED = f"""
+with means as (
+  select label, list(x order by i) as center from (
+    select label, i, avg(cast(x as double)) as x from (
+      select label, unnest(embedding) as x, unnest(range(len(embedding))) as i from embeddings) c group by label, i) m
+  group by label),
+units as (
+  select vec_id, list_transform(v, lambda x: x / sqrt(list_dot_product(v, v))) as u
+  from (select vec_id, cast(embedding as double[]) as v from embeddings) e),
+cells as (
+  select vec_id, label, row_number() over (partition by vec_id order by list_distance(u, center), label) as place
+  from units, means),
+exact as (select query_id, slot from {_hits()} h),
+probed as (
+  select query_id, slot, n from (
+    select q.query_id, g.slot, n, row_number() over (partition by q.query_id, n order by q.d, g.slot) as rank
+    from (select q.vec_id as query_id, g.slot, {_SCORES["cosine"][0]} as d from embeddings q, {_LIVE} g) q
+    join (select slot from {_LIVE} l) g on g.slot = q.slot
+    join cells c on c.vec_id = g.slot and c.place = 1
+    join cells a on a.vec_id = q.query_id and a.label = c.label
+    join (select unnest([1, 4, 10]) as n) p on a.place <= n) r
+  where rank <= 10)"""
+
 _SPACED = r"""regexp_replace(regexp_replace(regexp_replace(regexp_replace(text,
   '[\t\n\r\p{Zs}]', ' ', 'g'),
   '[\x00\x{FFFD}\p{Cc}\p{Cf}]', '', 'g'),
@@ -217,6 +250,12 @@ ORACLES = {
     "knn_cell_join_cosine": _knn(),
     "knn_cell_join_l2": _knn("l2"),
     "knn_ivf_full_probe": _knn(),
+    "knn_ivf_recall": f"""{_PROBED}
+      select n as nprobe, round(count(p.slot) / count(*), 6) as recall
+      from (select *, unnest([1, 4, 10]) as n from exact) e left join probed p using (query_id, slot, n) group by n""",
+    "knn_pq_rerank": _knn(),
+    "knn_pq_recall": _enough("embeddings"),
+    "knn_graph_self": _enough(f"(select label from embeddings where vec_id in (select slot from {_LIVE} l))"),
     "knn_after_directory_removal": _knn(gallery=_LEFT_GALLERY),
     "knn_existing_only": f"""select query_id, rank, slot, path, score from {_hits()} h
       where path in (select path from {GALLERY_LISTING} l)""",

@@ -125,15 +125,7 @@ def center_distances(points: np.ndarray, centers: np.ndarray) -> np.ndarray:
     return np.sqrt(np.maximum(squares, 0.0))
 
 
-def build_cell_index(
-    vectors: DataFrame, path: str, cells: int = 32, metric: str = "cosine", seed: int = 42
-) -> CellIndex:
-    """Train the quantizer, assign every vector to its cell and write the index to ``path``."""
-    V.check_metric(metric)
-    if not 0 < cells <= MAX_CELLS:
-        raise ValueError(f"cells must be in 1..{MAX_CELLS}")
-    spark = vectors.sparkSession
-    known = vectors.filter("embedding is not null").select(F.col("slot").cast("long"), "embedding")
+def _trained_centers(known: DataFrame, cells: int, metric: str, seed: int) -> np.ndarray:
     direction = F.col("embedding")
     if metric == "cosine":
         direction = V.normalize(direction)
@@ -142,7 +134,20 @@ def build_cell_index(
     if training.isEmpty():
         raise ValueError("no vector to train the cells on")
     model = KMeans(k=cells, seed=seed, maxIter=8, initSteps=1).fit(training)
-    centers = np.array(model.clusterCenters(), dtype=np.float64)
+    return np.array(model.clusterCenters(), dtype=np.float64)
+
+
+def build_cell_index(
+    vectors: DataFrame, path: str, cells: int = 32, metric: str = "cosine", seed: int = 42, centers: np.ndarray | None = None
+) -> CellIndex:
+    """Train the quantizer (or take the given centres), assign every vector to its cell and write the index to ``path``."""
+    V.check_metric(metric)
+    if not 0 < cells <= MAX_CELLS:
+        raise ValueError(f"cells must be in 1..{MAX_CELLS}")
+    spark = vectors.sparkSession
+    known = vectors.filter("embedding is not null").select(F.col("slot").cast("long"), "embedding")
+    if centers is None:
+        centers = _trained_centers(known, cells, metric, seed)
     shared = spark.sparkContext.broadcast(centers)
 
     def assign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

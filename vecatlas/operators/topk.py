@@ -50,10 +50,22 @@ def unit_rows(matrix: np.ndarray) -> np.ndarray:
 
 def distances(metric: str, queries: np.ndarray, vectors: np.ndarray) -> np.ndarray:
     """Distance matrix; for the cosine metric both sides are unit rows already."""
-    product = queries @ vectors.T
     if metric == "cosine":
-        return np.round(1.0 - product, 10) + 0.0
+        return _on_grid(metric, queries @ vectors.T, None)
     reach = np.einsum("ij,ij->i", queries, queries)[:, None] + np.einsum("ij,ij->i", vectors, vectors)
+    return _on_grid(metric, queries @ vectors.T, reach)
+
+
+def pair_distances(metric: str, queries: np.ndarray, vectors: np.ndarray) -> np.ndarray:
+    """Distances of the rows of two equally long matrices."""
+    reach = np.einsum("ij,ij->i", queries, queries) + np.einsum("ij,ij->i", vectors, vectors)
+    return _on_grid(metric, np.einsum("ij,ij->i", queries, vectors), reach)
+
+
+def _on_grid(metric: str, product: np.ndarray, reach: np.ndarray | None) -> np.ndarray:
+    """Distances from inner products and (L2) the sums of squared lengths."""
+    if metric == "cosine":
+        return np.round(1.0 - product, 10) + 0.0
     grid = np.exp2(np.ceil(np.log2(np.maximum(reach, np.finfo(float).tiny))) - 30)
     return np.maximum(np.round((reach - 2.0 * product) / grid) * grid, 0.0)
 
