@@ -1,4 +1,5 @@
 import hashlib
+import time
 
 import pytest
 from hypothesis import given
@@ -18,6 +19,15 @@ def test_any_turn_can_be_read_back(turns):
     assert [T.read(x) for x in T.turns(iter(pieces))] == turns
 
 
+@given(st.integers(0, 10_000), st.sampled_from([*T.controls, T.end, " </turn>\n ", "\\", " "]), st.sampled_from(["assistant", "other role"]))
+def test_long_texts_before_control_strings(n, control, role):
+    turns = [(role, "a" * n + control), (role, control * 50 + "b" * n), ("r" * n + control, "")]
+    pieces = [text for who, said in turns for _, text, _ in T.segments(who, said)]
+    began = time.perf_counter()
+    assert [T.read(x) for x in T.turns(iter(pieces))] == turns
+    assert time.perf_counter() - began < 1
+
+
 def expected(turns):
     turns = sorted(turns, key=lambda t: (t[1] is not None, t[1] or 0, t[2] or "", t[3] or ""))
     said = [t[3] or "" for t in turns if t[2] == "assistant"]
@@ -29,9 +39,10 @@ def test_digests_and_validity(spark):
     rows = [(1, 0, "system", "s"), (1, 1, "user", "u"), (1, 2, "assistant", "a\\### User: x </turn>\n"),
             (2, 1, "assistant", "late"), (2, 0, "user", "early"), (3, 0, "assistant", "first"), (3, 1, "user", "then"),
             (4, 0, "user", None), (4, 0, "user", None), (5, None, None, None), (5, 3, "tool: x", "t"), (None, 0, "user", "q"),
-            (None, 1, "assistant", ""), (6, 0, "user", "open")]
+            (None, 1, "assistant", ""), (6, 0, "user", "open"),
+            (7, 0, "user", "u"), (7, 1, "", "no role"), (7, 2, "user", "again"), (7, 3, "assistant", "a")]
     got = {r["conv_id"]: r for r in chat.read_back(chat.format_conversations(spark.createDataFrame(rows, SCHEMA))).collect()}
-    assert len(got) == 7
+    assert len(got) == 8
     for conv, r in got.items():
         assert (r["n_turns"], r["turns_sha256"], r["loss_chars"], r["loss_sha256"]) == expected([x for x in rows if x[0] == conv])
     assert {c for c, r in got.items() if r["conversation_valid"]} == {1, 2, None}

@@ -5,7 +5,7 @@ loss flag. Which roles there are, how they are marked, which carry loss and whic
 (``ChatTemplate``), not code.
 
 Turns of a conversation are sorted by turn, then role, then text, so ties and repeated turns have one order.
-Null roles and texts are empty, a null conversation id is a conversation of its own. Conversations are hash
+Null roles and texts are empty (an empty role is a role that may not follow any other, nor begin), a null conversation id is a conversation of its own. Conversations are hash
 partitioned and streamed in order: a task holds one turn at a time, however long a conversation is.
 """
 
@@ -28,7 +28,7 @@ SEGMENTS = "conv_id long, position long, part string, role string, text string,
 class ChatTemplate:
     """``headers`` marks known roles; another role gets ``other`` with its escaped name in it.
 
-    ``order`` maps each state (the last role; "" at the start) to the roles that may follow; ``final`` are the
+    ``order`` maps each state (the last role; None at the start) to the roles that may follow; ``final`` are the
     roles a conversation may end with. ``controls`` are the strings that are escaped inside texts and names.
     """
 
@@ -38,8 +38,8 @@ class ChatTemplate:
     end: str = " </turn>\n"
     controls: tuple[str, ...] = ("### ", " </turn>", ": ")
     loss_roles: frozenset[str] = frozenset({"assistant"})
-    order: dict[str, frozenset[str]] = field(default_factory=lambda: {
-        "": frozenset({"system", "user"}), "system": frozenset({"user"}),
+    order: dict[str | None, frozenset[str]] = field(default_factory=lambda: {
+        None: frozenset({"system", "user"}), "system": frozenset({"user"}),
         "user": frozenset({"assistant"}), "assistant": frozenset({"user"})})
     final: frozenset[str] = frozenset({"assistant"})
 
@@ -83,9 +83,9 @@ class ChatTemplate:
 
 
 def _up_to(mark: str) -> str:
-    """A pattern for all before the first bare mark (as a group) and the mark."""
+    """A pattern for all before the first bare mark (as a group) and the mark; it never goes back, so it takes linear time."""
     first, whole = re.escape(mark[0]), re.escape(mark)
-    return rf"((?:[^\\{first}]+|\\.|(?!{whole}){first})*){whole}"
+    return rf"((?:[^\\{first}]++|\\.|(?!{whole}){first})*+){whole}"
 
 
 def in_order(turns: DataFrame) -> DataFrame:
@@ -106,12 +106,12 @@ def format_conversations(turns: DataFrame, template: ChatTemplate | None = None)
     template = template or ChatTemplate()
 
     def run(batches):
-        last, state, position = ..., "", 0
+        last, state, position = ..., None, 0
         for batch in batches:
             out = {name: [] for name in ("conv_id", "position", "part", "role", "text", "loss", "valid")}
             for conv, _, role, text in zip(*(c.to_pylist() for c in batch.columns)):
                 if conv != last:
-                    last, state, position = conv, "", 0
+                    last, state, position = conv, None, 0
                 valid = role in template.order.get(state, frozenset())
                 state = role
                 for part, piece, loss in template.segments(role, text):

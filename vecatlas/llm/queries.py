@@ -140,15 +140,15 @@ ORACLE_SQL = {
             SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
             UNION ALL SELECT -7, 0, 'user', '\### Assistant: </turn> ok' UNION ALL SELECT -7, 1, 'assistant', '\### Assistant: </turn> ok'),
         placed AS (
-            SELECT *, row_number() OVER w AS pos, lag(role, 1, '') OVER w AS prev FROM turns
+            SELECT *, row_number() OVER w AS pos, lag(role) OVER w AS prev FROM turns
             WINDOW w AS (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text))
         SELECT conv_id, count(*) AS n_turns, sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY pos)) AS turns_sha256,
                CAST(coalesce(sum(length(text)) FILTER (WHERE role = 'assistant'), 0) AS BIGINT) AS loss_chars,
                sha256(coalesce(string_agg(text, '' ORDER BY pos) FILTER (WHERE role = 'assistant'), '')) AS loss_sha256,
                CAST(sum(9 + {_escaped_length("text")} + CASE role WHEN 'system' THEN 12 WHEN 'user' THEN 10 WHEN 'assistant' THEN 15
                         ELSE 11 + {_escaped_length("role")} END) AS BIGINT) AS formatted_chars,
-               bool_and(CASE prev WHEN '' THEN role IN ('system', 'user') WHEN 'system' THEN role = 'user'
-                        WHEN 'user' THEN role = 'assistant' WHEN 'assistant' THEN role = 'user' ELSE false END)
+               bool_and(CASE WHEN prev IS NULL THEN role IN ('system', 'user') WHEN prev = 'system' THEN role = 'user'
+                        WHEN prev = 'user' THEN role = 'assistant' WHEN prev = 'assistant' THEN role = 'user' ELSE false END)
                AND arg_max(role, pos) = 'assistant' AS conversation_valid
         FROM placed GROUP BY conv_id""",
     "op4_line_dedup": f"""
