@@ -24,7 +24,7 @@ def test_new_numbers_and_names_in_consistent_slots(spark, words):
     mixed = QUESTION.replace("then Alice", "then Clara").replace("does Alice", "does Emma")
     docs = [(1, f"{words(1, 50)} {QUESTION} {words(2, 50)}"), (2, f"{words(3, 50)} {other} {words(4, 50)}"),
             (3, f"{words(5, 50)} {mixed} {words(6, 50)}"), (4, words(7, 200)), (5, None), (6, ""), (None, QUESTION), (2, words(8, 30))]
-    got = run(spark, docs, [(10, QUESTION), (11, words(9, 40)), (12, "too short"), (13, None)])
+    got = run(spark, docs, [(10, QUESTION), (11, words(9, 40)), (12, "not there"), (13, None), (14, ""), (15, " , ")])
     assert set(got) == {(1, 10), (2, 10), (None, 10)}
     assert got[1, 10]["n_changed"] == 0 and got[2, 10]["n_changed"] >= 4
 
@@ -80,3 +80,46 @@ def test_copies_in_another_letter_case(spark):
     docs = [(2 * k + upper, f(r["text"])) for k, r in enumerate(items) for upper, f in enumerate((str.lower, str.upper))]
     got = run(spark, docs, [(r["item_id"], r["text"]) for r in items])
     assert {(2 * k + upper, r["item_id"]) for k, r in enumerate(items) for upper in (0, 1)} <= set(got)
+
+
+def test_short_items_word_for_word(spark, words):
+    item = "What is the capital of New Caledonia?".split()
+    items = [(n, " ".join(item[:n])) for n in range(1, 8)]
+    for n in range(1, 8):
+        said = " ".join(item[:n])
+        docs = [(1, f"{words(1, 30)} {said} {words(2, 30)}"), (2, said.upper()), (3, f"({said})"), (4, words(3, 60)), (5, " ".join(item[: n - 1])),
+                (6, " ".join(reversed(item[:n]))), (7, f"{' '.join(item[: n - 1])} else"), (8, None), (9, "")]
+        got = {d for d, i in run(spark, docs, items) if i == n}
+        assert got == {1, 2, 3} | ({6} if n == 1 else set())
+
+
+def brute(text, item, share, enough):
+    """Whether an item stands in a text word for word, or all its words in order with other numbers."""
+    fold = lambda t: [w for w in (decontam._EDGE.sub("", x).lower() for x in t.split()) if w]
+    a, b = fold(text), fold(item)
+    run_ = longest = 0
+    table = {}
+    for i, w in enumerate(b):
+        table.setdefault(w, []).append(i)
+    last = {}
+    covered = {}
+    for i, w in enumerate(a):
+        now = {}
+        for j in table.get(w, ()):
+            now[j] = run_ = last.get(j - 1, 0) + 1
+            longest = max(longest, run_)
+            if run_ >= min(decontam.WINDOW, len(b)):
+                covered.setdefault(i - j, set()).update(range(j - run_ + 1, j + 1))
+        last = now
+    whole = set().union(*covered.values()) if covered else set()
+    return len(b) > 0 and (len(whole) >= share * len(b) or len(whole) >= enough)
+
+
+def test_passages_word_for_word_against_brute_force(spark):
+    """Every item that brute force finds word for word is found, and other hits have changed names or numbers."""
+    sf = "/root/testdata/sf0.001"
+    items, docs = documents(spark, sf, "benchmark").collect(), documents(spark, sf).collect()
+    want = {(d["doc_id"], i["item_id"]) for d in docs for i in items if brute(d["text"] or "", i["text"], decontam.SHARE, decontam.ENOUGH)}
+    found = decontam.contaminated(documents(spark, sf), documents(spark, sf, "benchmark")).collect()
+    assert want and want <= {(r["doc_id"], r["item_id"]) for r in found}
+    assert {(r["doc_id"], r["item_id"]) for r in found if not r["n_changed"]} <= want

@@ -4,7 +4,7 @@ Words lose the punctuation around them and become tokens: numbers, capitalised w
 number become typed placeholders, all else its lower-case form. A question whose numbers or names were replaced
 so keeps its template. Windows of ``WINDOW`` tokens are hashed; a window with too few literal tokens to mean
 anything is hashed by its literal words instead. Every window is also looked up by its lower-case words, so that
-copies in another letter case are found. Document windows meet benchmark windows in a hash join; hits on
+copies in another letter case are found. An item with fewer tokens is one window of its own length. Document windows meet benchmark windows in a hash join; hits on
 one alignment of a document with an item are put together. Windows that are the item's word for word count; the slots
 of windows with other values must agree: a value of the item stands for its most frequent value in the document, and
 the other way round. An item is reported where at least ``SHARE``
@@ -47,10 +47,28 @@ _PRIME = np.uint64(0x9E3779B97F4A7C15)
 HITS = "doc_id long, doc_row long, pos int, hash long, words array<string>"
 
 
+# The ASCII characters that _EDGE takes off the front and the end.
+_FRONT, _BACK = (bytes(c for c in range(128) if not (chr(c).isalnum() or chr(c) in kept)) for kept in ("_$%+-", "_%"))
+_UNIT_BYTES = frozenset(u.encode() for u in UNITS)
+
+
+def _marked(lower: bytes, kind: int) -> int:
+    return (xxhash.xxh64_intdigest(lower) | 15) - 7 + kind + 4 * (lower in _UNIT_BYTES)
+
+
 def token(word: bytes) -> int:
     """A hash of the lower-case word, with its kind in the two low bits and whether it is a unit in the third; 0 for
     a word of punctuation only."""
-    text = _EDGE.sub("", word.decode(errors="replace"))
+    if word.isascii():
+        core = word.lstrip(_FRONT).rstrip(_BACK)
+        if core.isalpha():  # most words: letters alone are no number
+            return _marked(core.lower(), NAME if core.istitle() else LITERAL)
+        text = core.decode()
+    else:
+        text = word.decode(errors="replace")
+        if text.isalpha() and text.islower():
+            return _marked(word, LITERAL)
+        text = _EDGE.sub("", text)
     if not text:
         return 0
     lower = text.lower()
@@ -60,16 +78,22 @@ def token(word: bytes) -> int:
         kind = NAME
     else:
         kind = LITERAL
-    return (xxhash.xxh64_intdigest(lower.encode()) | 15) - 7 + kind + 4 * (lower in UNITS)
+    return _marked(lower.encode(), kind)
 
 
 class Tokens(dict):
-    """Remembers the tokens of words."""
+    """Remembers the tokens of the last words seen: two generations, so that frequent words stay."""
+
+    older: dict = {}
 
     def __missing__(self, word: bytes) -> int:
-        if len(self) > 100_000:
+        if len(self) >= 100_000:
+            self.older = dict(self)
             self.clear()
-        found = self[word] = token(word)
+        found = self.older.get(word)
+        if found is None:
+            found = token(word)
+        self[word] = found
         return found
 
 
@@ -97,17 +121,34 @@ def window_hashes(literal: np.ndarray, kinds: np.ndarray, size: int = WINDOW) ->
     plain = np.concatenate([[0], np.cumsum(is_literal)])
     enough = plain[size:] - plain[:-size] >= MIN_LITERAL
 
-    def rolled(values: np.ndarray) -> np.ndarray:
-        """Polynomial hashes of all windows, by doubling (the size is a power of two)."""
-        width, power = 1, int(_PRIME)
-        while width < size:
+    plainly = ~_rolled(literal, size)
+    return _mixed(np.where(enough, _rolled(slots, size), plainly)), _mixed(plainly)
+
+
+def _rolled(values: np.ndarray, size: int) -> np.ndarray:
+    """Polynomial hashes of all windows, by doubling; the windows of other sizes than powers of two are put together."""
+    n, whole, at = len(values) - size + 1, None, 0
+    width, power = 1, int(_PRIME)
+    while width <= size:
+        if size & width:
+            part = values[at : at + n]
+            whole = part if whole is None else whole * np.uint64(power) + part
+            at += width
+        if 2 * width <= size:
             values = values[:-width] * np.uint64(power) + values[width:]
-            width, power = 2 * width, power * power % (1 << 64)
-        return values
+        width, power = 2 * width, power * power % (1 << 64)
+    return whole
+
+
+def _mixed(x: np.ndarray) -> np.ndarray:
+    return ((x ^ (x >> np.uint64(31))) * _PRIME).view(np.int64)
+
 
-    plainly = ~rolled(literal)
-    mixed = lambda x: ((x ^ (x >> np.uint64(31))) * _PRIME).view(np.int64)
-    return mixed(np.where(enough, rolled(slots), plainly)), mixed(plainly)
+def short_hashes(literal: np.ndarray, size: int) -> np.ndarray:
+    """A hash of the lower-case words of each window of ``size`` tokens, fewer than WINDOW."""
+    if len(literal) < size:
+        return np.zeros(0, np.int64)
+    return _mixed(_rolled(literal, size) ^ np.uint64(size))
 
 
 def _spot(hashes: np.ndarray) -> np.ndarray:
@@ -123,9 +164,12 @@ def _items(benchmark: DataFrame, item_id: str, text: str) -> DataFrame:
             for item, whole in zip(batch.column(0).to_pylist(), column_bytes(batch.column(1))):
                 words = whole.split()
                 literal, kinds, at = canonical(words, known)
-                for pos, both in enumerate(zip(*(h.tolist() for h in window_hashes(literal, kinds)))):
-                    for h in set(both):
-                        rows.append((item, len(literal), pos, h, [words[i].decode() for i in at[pos : pos + WINDOW]]))
+                windows = zip(*(h.tolist() for h in window_hashes(literal, kinds)))
+                if 0 < len(literal) < WINDOW:
+                    windows = zip(short_hashes(literal, len(literal)).tolist())
+                for pos, found in enumerate(windows):
+                    for h in set(found):
+                        rows.append((item, len(literal), pos, h, [words[i].decode(errors="replace") for i in at[pos : pos + WINDOW]]))
             yield pa.RecordBatch.from_arrays(
                 [pa.array(c, k) for c, k in zip(zip(*rows) if rows else ((),) * 5, (
                     pa.int64(), pa.int32(), pa.int32(), pa.int64(), pa.list_(pa.string())))],
@@ -151,8 +195,8 @@ def _filter(windows: DataFrame) -> bytes:
     return b"".join(out.get(k, bytes(per // 8)) for k in range(slices))
 
 
-def _hits(docs: DataFrame, shared, doc_id: str, text: str) -> DataFrame:
-    """Windows of the documents that pass the filter."""
+def _hits(docs: DataFrame, shared, short: list[int], doc_id: str, text: str) -> DataFrame:
+    """Windows of the documents that pass the filter, of WINDOW tokens and of the lengths of shorter items."""
     def run(batches):
         bits, known = np.frombuffer(shared.value, np.uint8), Tokens()
         for batch in batches:
@@ -161,11 +205,12 @@ def _hits(docs: DataFrame, shared, doc_id: str, text: str) -> DataFrame:
                 words = whole.split()
                 literal, kinds, at = canonical(words, known)
                 template, plain = window_hashes(literal, kinds)
-                for hashes, asked in ((template, True), (plain, plain != template)):
+                for hashes, asked, size in ((template, True, WINDOW), (plain, plain != template, WINDOW),
+                                            *((short_hashes(literal, size), True, size) for size in short)):
                     spots = _spot(hashes)
                     passed = bits[spots >> np.uint64(3)] >> (np.uint64(7) - (spots & np.uint64(7))).astype(np.uint8) & 1
                     for pos in np.flatnonzero((passed > 0) & asked).tolist():
-                        for name, value in zip(out, (doc, row, pos, int(hashes[pos]), [words[i].decode() for i in at[pos : pos + WINDOW]])):
+                        for name, value in zip(out, (doc, row, pos, int(hashes[pos]), [words[i].decode(errors="replace") for i in at[pos : pos + size]])):
                             out[name].append(value)
             yield pa.RecordBatch.from_arrays(
                 [pa.array(c, k) for c, k in zip(out.values(), (pa.int64(), pa.int64(), pa.int32(), pa.int64(), pa.list_(pa.string())))],
@@ -213,13 +258,15 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, share: float = SHARE, en
     """(doc_id, doc_row, item_id, n_tokens, n_covered, n_changed): the items that each document holds.
 
     ``n_covered`` of the item's ``n_tokens`` tokens stand in the document; ``n_changed`` of the item's distinct words
-    are other values there, in consistent slots. Items under WINDOW tokens cannot be told from chance and are not
-    searched; null and empty texts hold nothing. Equal rows give one result; ``doc_row`` (a hash of the text) tells
+    are other values there, in consistent slots. Items under WINDOW tokens are one window of their own length and
+    must stand in the document word for word, in any letter case; null and empty texts hold nothing. Equal rows give one result; ``doc_row`` (a hash of the text) tells
     different rows with one id apart.
     """
     windows = materialize(_items(benchmark, item_id, item_text), "items")
     shared = docs.sparkSession.sparkContext.broadcast(_filter(windows))  # 8 MB, always
-    hits = _hits(docs, shared, doc_id, text).join(windows, "hash")
+    short = sorted(r["n_tokens"] for r in windows.where(F.col("n_tokens") < WINDOW).select("n_tokens").distinct().collect())
+    hits = _hits(docs, shared, short, doc_id, text).join(windows, "hash")
+    hits = hits.where(F.size("words") == F.size("item_words"))
     side = ["doc_id", "doc_row", "item_id", "n_tokens"]
     hits = hits.select(*side, (F.col("pos") - F.col("item_pos")).alias("shift"), F.struct("item_pos", "item_words", "words").alias("window"))
     # An alignment has at most as many windows as its item, so its lists are bounded by the item.
