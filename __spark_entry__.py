@@ -35,8 +35,9 @@ from vecatlas.sources import logs
 from vecatlas.sources.commitlog import CommitLog, deletes, puts
 from vecatlas.sources.snapshots import read_catalog_json, write_catalog_json
 from vecatlas.sources.vocabulary import read_vocabulary, vocabulary_size
-from vecatlas.streaming.ingest import start_ingest
+from vecatlas.streaming.ingest import apply_changes, start_ingest
 from vecatlas.streaming.queries import start_search
+from vecatlas.streaming.standing import StandingQueries
 
 try:  # the operators for training data are optional
     import corpus_pipeline
@@ -275,10 +276,7 @@ def _log(spark: SparkSession) -> CommitLog:
 def _synced(spark: SparkSession, sf_dir: str) -> CommitLog:
     log = _log(spark)
     state = materialize(fx.catalog(spark, sf_dir), "state")
-    tombstones = state.filter("not live").select(
-        "slot", "path", "size", F.lit("delete").alias("op"), F.lit(None).cast("array<float>").alias("embedding")
-    )
-    log.append(puts(state.filter("live")).unionByName(tombstones), "sync-0")
+    log.append(puts(state.filter("live")).unionByName(deletes(state.filter("not live"))), "sync-0")
     sync(log, fx.derived(spark, sf_dir, fx.LISTING), fx.derived(spark, sf_dir, fx.USER_ROOTS), "sync-1")
     return log
 
@@ -306,6 +304,23 @@ def search_after_sync(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _hit_columns(plans.search(log.vectors(), fx.vector_queries(spark, sf_dir), K))
 
 
+def standing_topk_after_commits(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All queries stand while the log takes new, deleted, replaced and returning vectors; results follow from the changes."""
+    log, vectors, asked = _log(spark), fx.gallery_vectors(spark, sf_dir), fx.vector_queries(spark, sf_dir)
+    standing = StandingQueries(log, asked, scratch_path(spark, "standing"), K)
+    removed = cat.remove_directories(fx.gallery(spark, sf_dir), fx.derived(spark, sf_dir, fx.GALLERY_REMOVED))
+    left = materialize(vectors.join(removed.select("slot"), "slot", "left_anti"), "left")
+    turned = left.filter(F.element_at("embedding", 2) > 0.1).withColumn("embedding", F.transform("embedding", lambda x: -x))
+    log.append(puts(vectors.filter(F.element_at("embedding", 3) > -0.1)), "sync-0")
+    standing.refresh()
+    log.append(puts(vectors.filter(F.element_at("embedding", 3) <= -0.1)), "sync-1")
+    standing.refresh()
+    log.append(deletes(removed), "sync-2")
+    standing.refresh()
+    log.append(puts(turned), "sync-3")
+    return _hit_columns(with_paths(standing.refresh(), log.catalog()))
+
+
 def knn_cells_after_upserts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The cells keep up with deletes and replaced vectors; probing all of them is exact."""
     index, vectors = _cell_index(spark, sf_dir, "cosine"), fx.gallery_vectors(spark, sf_dir)
@@ -481,6 +496,22 @@ def ingest_out_of_order(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _ingested(spark, sf_dir, reversed(_WEEKS))
 
 
+def ingest_with_failures(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Changes of every third path fail in the first two batches and succeed later without coming again."""
+    feed, log = fx.derived(spark, sf_dir, fx.FEED), _log(spark)
+    tries = iter((True, True, False, False))
+
+    def encode_work(work: DataFrame) -> DataFrame:
+        broken = (F.length("path") % 3 == 0) & F.lit(next(tries))
+        return work.withColumn("embedding", F.when(~broken, F.array(F.col("size").cast("float"))))
+
+    for n, (start, end) in enumerate(_WEEKS):
+        week = feed.filter((F.col("ts") >= F.lit(start).cast("timestamp")) & (F.col("ts") < F.lit(end).cast("timestamp")))
+        apply_changes(log, week, f"stream-{n}", encode_work)
+        log.compact()
+    return log.vectors().select("path", "size", F.element_at("embedding", 1).cast("double").alias("first"))
+
+
 def query_stream_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All queries as a stream of several files."""
     asked = fx.vector_queries(spark, sf_dir)
@@ -543,6 +574,7 @@ def queries() -> dict[str, Query]:
         "knn_existing_only": knn_existing_only,
         "search_after_sync": search_after_sync,
         "knn_cells_after_upserts": knn_cells_after_upserts,
+        "standing_topk_after_commits": standing_topk_after_commits,
         "search_result_columns": search_result_columns,
         "search_sorted_by_size": _sorted("size", False),
         "search_sorted_by_score": _sorted("score", True),
@@ -589,6 +621,7 @@ def queries() -> dict[str, Query]:
         "size_display": size_display,
         "ingest_latest_state": ingest_latest_state,
         "ingest_out_of_order": ingest_out_of_order,
+        "ingest_with_failures": ingest_with_failures,
         "query_stream_topk": query_stream_topk,
         "image_size_report": image_size_report,
         "image_tensor": image_tensor,

@@ -264,6 +264,7 @@ ORACLES = {
       from {_SHOWN} s""",
     "search_after_sync": _knn(gallery=_LATER_GALLERY),
     "knn_cells_after_upserts": _knn(gallery=_LATER_GALLERY),
+    "standing_topk_after_commits": _knn(gallery=_LATER_GALLERY),
     "search_sorted_by_size": _sorted("size, rank"),
     "search_sorted_by_score": _sorted("d, rank"),
     "search_sorted_by_modified": _sorted("modified, substr(md5(path), 1, 16)"),
@@ -334,6 +335,7 @@ ORACLES = {
       from {LISTING} l""",
     "ingest_latest_state": f"select path, size from {LISTING} l",
     "ingest_out_of_order": f"select path, size from {LISTING} l",
+    "ingest_with_failures": f"select path, size, cast(cast(size as float) as double) as first from {LISTING} l",
     "query_stream_topk": _knn(),
     "image_size_report": """select '/gallery/' || vec_id || '.png' as origin,
       case when embedding[4] >= -0.15 then 4 else 0 end as width,

@@ -154,7 +154,7 @@ def test_sync_life_cycle(spark):
         log.compact()
         assert state_of(log) == before
         assert log.vectors().count() == 2
-    assert log._storage.names(f"{log.path}/log") == []
+    assert log._storage.names(f"{log.path}/rows") == [] and len(log._storage.names(f"{log.path}/base")) == 2
     sync(log, listing_df(spark, {"/r/b": 6, "/r/c": 8, "/r/d": 2}), roots, "sync-5", fake_encoder)
     assert state_of(log)["/r/d"] == (2, 2)
     rebuild(log, listing_df(spark, {"/r/d": 2, "/r/b": 6}), roots, "sync-6", fake_encoder)

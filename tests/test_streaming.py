@@ -137,3 +137,83 @@ def test_scratch_can_be_cleared(spark, monkeypatch):
     session.clear_scratch(spark)
     assert not Storage(spark).exists(own)
     assert state_of(log) == {"/a": 5}
+
+
+def test_failed_changes_are_tried_again(spark):
+    log, broken = CommitLog(spark, scratch_path(spark, "atlas")), {"/b", "/c", "/d"}
+
+    def encode(work):
+        good = ~F.col("path").isin(*broken) if broken else F.lit(True)
+        return work.withColumn("embedding", F.when(good, F.array(F.col("size").cast("float"))))
+
+    def batch(n, *rows):
+        apply_changes(log, spark.createDataFrame(rows, FEED), f"stream-{n}", encode)
+
+    def errors():
+        return {(r["path"], r["size"], r["source_seq"]) for r in log.errors().collect()}
+
+    batch(0, (1, "/a", "put", 1), (2, "/b", "put", 2), (3, "/c", "put", 3), (4, "/d", "put", 4))
+    assert state_of(log) == {"/a": 1} and errors() == {("/b", 2, 2), ("/c", 3, 3), ("/d", 4, 4)}
+    batch(1, (5, "/e", "put", 5))  # /b fails a second time
+    log.compact()
+    log.compact()
+    assert state_of(log) == {"/a": 1, "/e": 5} and errors() == {("/b", 2, 2), ("/c", 3, 3), ("/d", 4, 4)}
+    # A newer change replaces the pending one, a delete ends it, an older change is late.
+    batch(2, (6, "/c", "put", 33), (7, "/d", "delete", 0), (1, "/b", "put", 9))
+    assert state_of(log) == {"/a": 1, "/e": 5} and errors() == {("/b", 2, 2), ("/c", 33, 6)}
+    broken.clear()
+    batch(3)
+    assert state_of(log) == {"/a": 1, "/e": 5, "/b": 2, "/c": 33} and errors() == set()
+    log.compact()
+    assert state_of(log) == {"/a": 1, "/e": 5, "/b": 2, "/c": 33} and errors() == set()
+    # A change in place that fails keeps the old row; the same change offered again is not late.
+    broken.add("/a")
+    batch(4, (8, "/a", "put", 10))
+    assert state_of(log)["/a"] == 1
+    broken.clear()
+    batch(5, (8, "/a", "put", 10))
+    assert state_of(log)["/a"] == 10 and errors() == set()
+
+
+def test_slots_come_from_intervals(spark):
+    """Allocation from the base's intervals and the commits since equals allocation from the whole catalog."""
+    import random
+
+    from vecatlas.operators.catalog import assign_slots
+
+    pick, log, live, seq = random.Random(5), CommitLog(spark, scratch_path(spark, "atlas")), set(), 0
+    for n in range(6):
+        rows = []
+        for path in pick.sample(sorted(live), len(live) // 3):
+            rows.append((path, "delete"))
+        rows += [(f"/p{n}-{i}", "put") for i in range(pick.randrange(1, 25))]
+        batch = [(seq + i, path, op, 1) for i, (path, op) in enumerate(rows)]
+        seq += len(rows)
+        state = log.catalog()
+        gone = {p for p, op in rows if op == "delete"}
+        freed = state.withColumn("live", F.col("live") & ~F.col("path").isin("", *gone))
+        new = spark.createDataFrame([(p,) for p, op in rows if op == "put"], "path string")
+        want = {r["path"]: r["slot"] for r in assign_slots(new, freed).collect()}
+        want |= {r["path"]: r["slot"] for r in state.filter("live").collect() if r["path"] not in gone}
+        apply_changes(log, spark.createDataFrame(batch, FEED), f"stream-{n}")
+        assert {r["path"]: r["slot"] for r in log.catalog().filter("live").collect()} == want
+        live = set(want)
+        if n in (1, 3):
+            log.compact()
+
+
+def test_a_batch_does_not_scan_the_catalog(spark, explain, monkeypatch):
+    log = CommitLog(spark, scratch_path(spark, "atlas"))
+    apply_changes(log, spark.createDataFrame([(i, f"/p{i}", "put", i) for i in range(200)], FEED), "stream-0")
+    log.compact()
+    asked = spark.createDataFrame([("/p7",)], "path string")
+    plan = explain(log.paths(None, asked))
+    assert "bucket" in plan.split("PartitionFilters: [")[1].split("]")[0] and "embedding" not in plan
+
+    def forbidden(*_):
+        raise AssertionError("the catalog is read")
+
+    monkeypatch.setattr(CommitLog, "_state", forbidden)
+    apply_changes(log, spark.createDataFrame([(300, "/p7", "delete", 0), (301, "/new", "put", 1)], FEED), "stream-1")
+    monkeypatch.undo()
+    assert len(state_of(log)) == 200 and {r["path"]: r["slot"] for r in log.catalog().filter("path = '/new'").collect()}.keys() == {"/new"}

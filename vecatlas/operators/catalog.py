@@ -80,12 +80,20 @@ def assign_slots(new: DataFrame, catalog: DataFrame) -> DataFrame:
     Files are listed by path. Free slots are taken in ascending order by files popped from the end
     of the list; the files left over follow after the last slot, in list order.
     """
-    files, n_files = row_index(new, ["path"], "_at")
-    free, _ = row_index(catalog.filter("not live").select("slot"), ["slot"], "_turn")
-    turns = files.withColumn("_turn", F.lit(n_files - 1) - F.col("_at"))
-    reused = turns.join(free, "_turn", "left")
-    fresh = F.lit(slot_count(catalog)) + F.col("_at")
-    return reused.withColumn("slot", F.coalesce("slot", fresh)).select("slot", *new.columns)
+    files, count = row_index(new, ["path"], "_at")
+    return allocate(files, count, catalog.filter("not live").select("slot"), slot_count(catalog))
+
+
+def allocate(files: DataFrame, count: int, free: DataFrame | None, end: int) -> DataFrame:
+    """Slots for ``count`` files, numbered by ``_at``, out of the lowest ``free(slot)`` and from ``end`` on."""
+    columns = [c for c in files.columns if c != "_at"]
+    fresh = F.lit(end) + F.col("_at")
+    if free is None:
+        return files.select(fresh.alias("slot"), *columns)
+    places, _ = row_index(free, ["slot"], "_turn")
+    turns = files.withColumn("_turn", F.lit(count - 1) - F.col("_at"))
+    reused = turns.join(places, "_turn", "left")
+    return reused.withColumn("slot", F.coalesce("slot", fresh)).select("slot", *columns)
 
 
 def work_list(catalog: DataFrame, listing: DataFrame) -> DataFrame:

@@ -20,7 +20,7 @@ from vecatlas.operators.encode import EncoderFactory, encode, split_errors
 from vecatlas.operators.images import CLIP_MEAN, CLIP_STD, image_tensors
 from vecatlas.operators.paths import under_roots, unregister_roots
 from vecatlas.session import materialize, small_table
-from vecatlas.sources.commitlog import CommitLog, deletes, pads, puts
+from vecatlas.sources.commitlog import CommitLog, deletes, failed, pads, puts
 from vecatlas.sources.files import list_files, read_images
 
 # Work rows ``slot, path, size`` -> the same rows with ``embedding``.
@@ -54,15 +54,14 @@ def sync(
         return SyncResult(gone, work, None)
     encoded = materialize(encode_work(work), "encoded")
     done, errors = split_errors(encoded)
-    rows = deletes(gone).unionByName(puts(done)).unionByName(pads(unfilled_slots(state, done, errors)))
-    log.append(rows, commit_id, errors=errors)
+    rows = deletes(gone).unionByName(puts(done)).unionByName(failed(errors))
+    log.append(rows.unionByName(pads(unfilled_slots(slot_count(state), done, errors))), commit_id)
     return SyncResult(gone, work, errors)
 
 
-def unfilled_slots(state: DataFrame, done: DataFrame, errors: DataFrame) -> DataFrame:
-    """New slots that stay empty below the last one filled: later syncs take them like tombstones."""
-    end = slot_count(done)
-    return errors.filter((F.col("slot") >= slot_count(state)) & (F.col("slot") < end))
+def unfilled_slots(end: int, done: DataFrame, errors: DataFrame) -> DataFrame:
+    """New slots, from ``end`` on, that stay empty below the last one filled: later syncs take them like tombstones."""
+    return errors.filter((F.col("slot") >= end) & (F.col("slot") < slot_count(done)))
 
 
 def image_encoder(

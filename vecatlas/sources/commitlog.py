@@ -1,52 +1,62 @@
-"""Catalog and vectors as one append-only commit log on plain Parquet.
+"""Catalog and vectors as rows of one append-only Parquet table, partitioned by the commits' places.
 
-    log/<commit_id>/      rows: slot, path, size, op, embedding, seq
-    meta/<seq>.<commit_id>   written before the data, so a replayed commit keeps its place
-    heard/<commit_id>/    a change feed's paths with the feed's own number of their last change
-    errors/<commit_id>/   rows that could not be encoded
-    snapshots/v=<n>/      the folded state
-    feeds/v=<n>/          the folded feed numbers
-    CURRENT               the snapshot in use and the last seq folded into it, written last
+    rows/seq=<n>/            what a commit did: op is put, delete, told (a feed's change without effect) or failed
+    places/<n>.<commit_id>   marked before the rows, so a replayed commit keeps its place
+    base/<version>-<through>/   all commits up to ``through`` folded: ``slots``, ``paths`` (by hash of path), ``free``
 
 The state is the row with the highest ``seq`` of each slot; within a commit a put beats a delete,
-since a freed slot may be taken again at once. One writer at a time is assumed. A snapshot folds the
-commits before the first one that has a place but no data yet; that one can still be replayed.
+since a freed slot may be taken again at once. One writer at a time is assumed. A base folds the
+commits before the first one that has a place but no rows yet; that one can still be replayed.
 """
 
 from __future__ import annotations
 
-import json
-
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from vecatlas.operators.ranking import row_index
 from vecatlas.session import empty_table
 from vecatlas.sources.storage import Storage
 
-_ROWS = "slot long, path string, size long, op string, embedding array<float>"
-_SCHEMA = f"{_ROWS}, seq long"
-_HEARD = "path string, source_seq long"
-_ERRORS = "path string, size long, error string, seq long"
+_COLUMNS = {"slot": "long", "path": "string", "size": "long", "op": "string", "embedding": "array<float>", "source_seq": "long",
+            "error": "string"}
+_SCHEMA = ", ".join(f"{name} {kind}" for name, kind in _COLUMNS.items()) + ", seq long"
+_PATHS = "path string, slot long, size long, told long, failed struct<size:long,source_seq:long,error:string>, seq long"
+_FREE = "start long, length long, before long"
+BUCKETS = 64
+
+
+def _rows(df: DataFrame, op: str, **given: Column) -> DataFrame:
+    """Rows of a commit; columns that ``df`` does not have are null."""
+    column = lambda name, kind: given.get(name, F.col(name) if name in df.columns else F.lit(None)).cast(kind)
+    return df.select(*(F.lit(op).alias(name) if name == "op" else column(name, kind).alias(name) for name, kind in _COLUMNS.items()))
 
 
 def puts(df: DataFrame) -> DataFrame:
-    embedding = F.col("embedding") if "embedding" in df.columns else F.lit(None).cast("array<float>")
-    return df.select("slot", "path", "size", F.lit("put").alias("op"), embedding.alias("embedding"))
+    return _rows(df, "put")
+
+
+def deletes(df: DataFrame) -> DataFrame:
+    return _rows(df, "delete", embedding=F.lit(None))
 
 
 def pads(df: DataFrame) -> DataFrame:
     """Tombstones for slots that were never filled."""
-    return df.select(
-        "slot", F.lit(None).cast("string").alias("path"), F.lit(0).cast("long").alias("size"),
-        F.lit("delete").alias("op"), F.lit(None).cast("array<float>").alias("embedding"),
-    )
+    return _rows(df.select("slot"), "delete", size=F.lit(0))
 
 
-def deletes(df: DataFrame) -> DataFrame:
-    return df.select(
-        "slot", "path", "size", F.lit("delete").alias("op"),
-        F.lit(None).cast("array<float>").alias("embedding"),
-    )
+def told(df: DataFrame) -> DataFrame:
+    """Changes of a feed that changed nothing, so that older ones are known to be late."""
+    return _rows(df.select("path", "source_seq"), "told")
+
+
+def failed(df: DataFrame) -> DataFrame:
+    """Rows that could not be encoded. They have no slot: what the path had before stays."""
+    return _rows(df, "failed", slot=F.lit(None))
+
+
+def bucket(path: Column) -> Column:
+    return F.pmod(F.xxhash64(path), F.lit(BUCKETS)).cast("int")
 
 
 class CommitLog:
@@ -54,94 +64,70 @@ class CommitLog:
         self.spark, self.path = spark, path.rstrip("/")
         self._storage = Storage(spark)
 
-    def _current(self) -> dict:
-        text = self._storage.read_text(f"{self.path}/CURRENT")
-        return json.loads(text) if text else {"version": 0, "through": -1, "previous": -1}
+    def _bases(self) -> list[tuple[int, int, str]]:
+        """Version, last place folded, and folder of the finished bases, oldest first."""
+        names = self._storage.names(f"{self.path}/base")
+        found = sorted((*map(int, name.split("-", 1)), f"{self.path}/base/{name}") for name in names)
+        return [base for base in found if self._storage.exists(f"{base[2]}/free/_SUCCESS")]  # written last
 
-    def _ordinals(self) -> dict[str, int]:
-        names = (name.split(".", 1) for name in self._storage.names(f"{self.path}/meta"))
+    def _base(self) -> tuple[int, int, str | None]:
+        return (self._bases() or [(0, -1, None)])[-1]
+
+    def _places(self) -> dict[str, int]:
+        names = (name.split(".", 1) for name in self._storage.names(f"{self.path}/places"))
         return {commit: int(seq) for seq, commit in names}
 
-    def _pending(self) -> list[tuple[str, int, bool]]:
-        """Commits since the snapshot, oldest first, and whether their data is complete."""
-        through = self._current()["through"]
-        ordered = sorted((n, c) for c, n in self._ordinals().items() if n > through)
-        return [(c, n, self._storage.exists(f"{self.path}/log/{c}/_SUCCESS")) for n, c in ordered]
+    def _pending(self) -> list[tuple[int, bool]]:
+        """Places since the base, oldest first, and whether their rows are complete."""
+        through = self._base()[1]
+        return [(n, self._storage.exists(f"{self.path}/rows/seq={n}/_SUCCESS")) for n in sorted(self._places().values()) if n > through]
 
     def ordinal(self, commit_id: str) -> int:
         """The place of a commit; a new commit gets the next one, a replayed commit keeps its own."""
-        known = self._ordinals()
+        known = self._places()
         if commit_id not in known:
-            last = max([*known.values(), self._current()["through"]], default=-1)
-            known[commit_id] = last + 1
-            self._storage.touch(f"{self.path}/meta/{last + 1:012d}.{commit_id}")
+            known[commit_id] = max([*known.values(), self._base()[1]], default=-1) + 1
+            self._storage.touch(f"{self.path}/places/{known[commit_id]:012d}.{commit_id}")
         return known[commit_id]
 
-    def append(
-        self, rows: DataFrame, commit_id: str, heard: DataFrame | None = None, errors: DataFrame | None = None
-    ) -> None:
-        """Write a commit; ``heard(path, source_seq)`` and ``errors(path, size, error)`` come before its data.
+    def last(self) -> int:
+        """The place of the last finished commit; -1 for none."""
+        return max([seq for seq, done in self._pending() if done], default=self._base()[1])
 
-        A commit whose place is folded is part of the state, or was before a reset: replaying it changes nothing.
-        """
+    def holds(self, since: int) -> bool:
+        """Whether all commits after the given place can still be told from the state."""
+        return since >= self._base()[1]
+
+    def append(self, rows: DataFrame, commit_id: str) -> None:
+        """Write a commit. One whose place is folded is part of the state, or was before a reset: nothing changes."""
         seq = self.ordinal(commit_id)
-        if seq <= self._current()["through"]:
-            return
-        if heard is not None:
-            heard.select("path", "source_seq").write.mode("overwrite").parquet(f"{self.path}/heard/{commit_id}")
-        if errors is not None:
-            kept = errors.select("path", "size", "error", F.lit(seq).cast("long").alias("seq"))
-            kept.write.mode("overwrite").parquet(f"{self.path}/errors/{commit_id}")
-        out = rows.select("slot", "path", "size", "op", "embedding", F.lit(seq).cast("long").alias("seq"))
-        out.write.mode("overwrite").parquet(f"{self.path}/log/{commit_id}")
-
-    def _tail(self, before: int | None) -> DataFrame:
-        """Rows of the commits since the snapshot, or of those before the given place."""
-        return self._read("log", _SCHEMA, before)
-
-    def _read(self, kind: str, schema: str, before: int | None) -> DataFrame:
-        folders = [
-            f"{self.path}/{kind}/{commit}"
-            for commit, seq, done in self._pending()
-            if done and (before is None or seq < before)
-        ]
-        if kind != "log":
-            folders = [folder for folder in folders if self._storage.exists(folder)]
-        if not folders:
-            return empty_table(self.spark, schema)
-        return self.spark.read.schema(schema).parquet(*folders)
+        if seq > self._base()[1]:
+            rows.select(*_COLUMNS).write.mode("overwrite").parquet(f"{self.path}/rows/seq={seq}")
 
-    def heard(self, before: int | None = None) -> DataFrame:
-        """``path, source_seq``: the number of the last change that a feed brought for each path."""
-        told, version = self._read("heard", _HEARD, before), self._current()["version"]
-        if version and self._storage.exists(f"{self.path}/feeds/v={version}"):
-            told = told.unionByName(self.spark.read.schema(_HEARD).parquet(f"{self.path}/feeds/v={version}"))
-        return told.groupBy("path").agg(F.max("source_seq").alias("source_seq"))
+    def tail(self, before: int | None = None) -> DataFrame:
+        """Rows of the commits since the base, or of those before the given place."""
+        folders = [f"{self.path}/rows/seq={seq}" for seq, done in self._pending() if done and (before is None or seq < before)]
+        if not folders:
+            return empty_table(self.spark, _SCHEMA)
+        return self.spark.read.schema(_SCHEMA).option("basePath", f"{self.path}/rows").parquet(*folders)
 
-    def errors(self) -> DataFrame:
-        """``path, size, error, seq`` of the rows that commits since the snapshot could not encode."""
-        return self._read("errors", _ERRORS, None)
+    def _folded(self, kind: str, schema: str) -> DataFrame:
+        folder = self._base()[2]
+        return self.spark.read.schema(schema).parquet(f"{folder}/{kind}") if folder else empty_table(self.spark, schema)
 
     def _state(self, before: int | None, *columns: str) -> DataFrame:
         """``slot, op, seq`` and ``columns`` of the deciding row of each slot.
 
-        Only the commits since the snapshot are grouped. The snapshot has one row per slot already and
+        Only the commits since the base are grouped. The base has one row per slot already and
         loses the slots that were written since; while those are few they are broadcast by their size,
-        and the snapshot is read without a shuffle.
+        and the base is read without a shuffle.
         """
-        tail = self._tail(before)
-        newest: Column = F.struct("seq", (F.col("op") == "put").alias("_put"))
-        latest = tail.groupBy("slot").agg(
-            F.max_by(F.struct("op", "seq", *columns), newest).alias("_row")
-        ).select("slot", "_row.*")
-        version = self._current()["version"]
-        if not version:
+        tail = self.tail(before).filter("slot is not null")
+        latest = tail.groupBy("slot").agg(F.max_by(F.struct("op", "seq", *columns), _newest()).alias("_row")).select("slot", "_row.*")
+        if not self._base()[2]:
             return latest
-        folded = self.spark.read.schema(_SCHEMA).parquet(f"{self.path}/snapshots/v={version}")
-        unchanged = folded.select("slot", "op", "seq", *columns).join(
-            tail.select("slot").distinct(), "slot", "left_anti"
-        )
-        return unchanged.unionByName(latest)
+        base = self._folded("slots", _SCHEMA).select("slot", "op", "seq", *columns)
+        return base.join(tail.select("slot").distinct(), "slot", "left_anti").unionByName(latest)
 
     def catalog(self, before: int | None = None) -> DataFrame:
         """``slot, path, size, live``; embeddings are not read."""
@@ -155,42 +141,100 @@ class CommitLog:
         state = self._state(before, "path", "size", "embedding")
         return state.filter("op = 'put'").select("slot", "path", "size", "embedding")
 
+    def paths(self, before: int | None = None, only: DataFrame | None = None) -> DataFrame:
+        """What is known of each path: its slot (null if it has none), size, last change told by a feed, and failure.
+
+        ``failed`` is null unless the path's last change could not be encoded. With ``only(path)``, a small table,
+        just its paths are looked up, in their buckets of the base.
+        """
+        tail, base = self.tail(before).filter("path is not null"), self._folded("paths", f"{_PATHS}, bucket int")
+        if only is not None:
+            wanted = [r["bucket"] for r in only.select(bucket(F.col("path")).alias("bucket")).distinct().collect()]  # at most BUCKETS
+            tail = tail.join(only.select("path"), "path", "left_semi")
+            base = base.filter(F.col("bucket").isin(wanted)).join(only.select("path"), "path", "left_semi")
+        kept = F.col("op").isin("put", "delete")
+        last = F.max_by(F.when(kept, F.struct(F.when(F.col("op") == "put", F.col("slot")).alias("slot"), "size")), F.when(kept, _newest()))
+        failure = F.struct("size", "source_seq", "error")
+        new = tail.groupBy("path").agg(
+            last.alias("last"), F.max(F.when(F.col("op") != "failed", F.col("source_seq"))).alias("told"),
+            F.max_by(F.when(F.col("op") == "failed", failure), F.struct("seq", (F.col("op") != "failed").alias("done"))).alias("failed"),
+            F.max("seq").alias("seq"), F.max(kept).alias("kept"))
+        new = new.select("path", F.col("last.slot").alias("slot"), F.col("last.size").alias("size"), "told", "failed", "seq", "kept")
+        both = base.drop("bucket").withColumn("kept", F.lit(True)).unionByName(new)
+        newest = F.struct("seq", "kept")
+        at = F.when(F.col("kept"), newest)
+        return both.groupBy("path").agg(
+            F.max_by("slot", at).alias("slot"), F.max_by("size", at).alias("size"), F.max("told").alias("told"),
+            F.max_by("failed", newest).alias("failed"), F.max("seq").alias("seq"))
+
+    def errors(self, before: int | None = None) -> DataFrame:
+        """``path, size, source_seq, error, seq`` of the paths whose last change could not be encoded."""
+        failures = self.tail(before).filter("op = 'failed'").select("path").distinct()
+        base = self._folded("paths", f"{_PATHS}, bucket int").filter("failed is not null").select("path")
+        some = failures.unionByName(base).distinct()
+        known = self.paths(before).join(some, "path", "left_semi")
+        return known.filter("failed is not null").select("path", "failed.*", "seq")
+
+    def free(self, before: int | None, wanted: int, gone: DataFrame) -> tuple[DataFrame | None, int]:
+        """``slot``: the lowest free slots, at least ``wanted`` if there are so many, and the length of the slot sequence.
+
+        ``gone(slot)`` are freed in this commit. The base keeps its free slots as intervals with running totals: only so
+        many are opened as the commits since then can have taken, and the catalog is not read. None if no slot is free.
+        """
+        tail = self.tail(before).filter("slot is not null").groupBy("slot").agg(F.max_by("op", _newest()).alias("op"))
+        freed = tail.filter("op = 'delete'").select("slot").unionByName(gone.select("slot"))
+        intervals = self._folded("free", _FREE)
+        # The interval of length 0 closes the base: its start is the length of the slot sequence.
+        ends = tail.select((F.col("slot") + 1).alias("end"), F.lit(1).alias("n"), F.lit(0).cast("long").alias("free")).unionByName(
+            freed.select(F.lit(0).cast("long").alias("end"), F.lit(0).alias("n"), F.lit(1).cast("long").alias("free"))).unionByName(
+            intervals.filter("length = 0").select(F.col("start").alias("end"), F.lit(0).alias("n"), F.col("before").alias("free")))
+        n, end, some = ends.agg(*(F.coalesce(f(c), F.lit(0)) for f, c in ((F.sum, "n"), (F.max, "end"), (F.sum, "free")))).first()
+        if not some:
+            return None, end
+        most = F.least("length", F.lit(wanted + n) - F.col("before"))
+        opened = intervals.filter((F.col("length") > 0) & (F.col("before") < wanted + n)).select(
+            F.explode(F.sequence("start", F.col("start") + most - 1)).alias("slot"))
+        return opened.join(tail, "slot", "left_anti").unionByName(freed).distinct(), end
+
     def reset(self, commit_id: str) -> None:
-        """Start again from an empty snapshot, as the first act of the given commit; a replay changes nothing.
+        """Start again from an empty base, as the first act of the given commit; a replay changes nothing.
 
         The old state stays on storage until compaction.
         """
-        place, current = self.ordinal(commit_id), self._current()
-        if place - 1 <= current["through"]:
-            return
-        version = current["version"] + 1
-        self._write_snapshot(version, empty_table(self.spark, _SCHEMA), empty_table(self.spark, _HEARD))
-        self._publish(version, current, place - 1)
+        place, (version, through, _) = self.ordinal(commit_id), self._base()
+        if place - 1 > through:
+            self._fold(version + 1, place - 1, empty_table(self.spark, _SCHEMA), empty_table(self.spark, _PATHS))
 
     def compact(self) -> None:
-        """Fold the finished commits into a new snapshot and remove what the snapshot before it had folded."""
-        current = self._current()
-        version, through = current["version"] + 1, current["through"]
-        for _, seq, done in self._pending():
+        """Fold the finished commits into a new base and remove what the base before it had folded."""
+        version, through, _ = self._base()
+        last = through
+        for seq, done in self._pending():
             if not done:
                 break
-            through = seq
-        state = self._state(through + 1, "path", "size", "embedding").select("slot", "path", "size", "op", "embedding", "seq")
-        self._write_snapshot(version, state, self.heard(through + 1))
-        self._publish(version, current, through)
-        for commit, seq in self._ordinals().items():
-            if seq <= current["through"]:
-                for kind in ("log", "heard", "errors"):
-                    self._storage.delete(f"{self.path}/{kind}/{commit}")
-                self._storage.delete(f"{self.path}/meta/{seq:012d}.{commit}")
-        if current["version"] > 1:
-            for kind in ("snapshots", "feeds"):
-                self._storage.delete(f"{self.path}/{kind}/v={current['version'] - 1}")
-
-    def _write_snapshot(self, version: int, state: DataFrame, heard: DataFrame) -> None:
-        state.write.mode("overwrite").parquet(f"{self.path}/snapshots/v={version}")
-        heard.write.mode("overwrite").parquet(f"{self.path}/feeds/v={version}")
-
-    def _publish(self, version: int, current: dict, through: int) -> None:
-        text = json.dumps({"version": version, "through": through, "previous": current["through"]})
-        self._storage.write_text(f"{self.path}/CURRENT", text)
+            last = seq
+        state = self._state(last + 1, "path", "size", "embedding")
+        self._fold(version + 1, last, state, self.paths(last + 1))
+        for commit, seq in self._places().items():
+            if seq <= through:
+                self._storage.delete(f"{self.path}/rows/seq={seq}")
+                self._storage.delete(f"{self.path}/places/{seq:012d}.{commit}")
+        for _, _, folder in self._bases()[:-2]:
+            self._storage.delete(folder)
+
+    def _fold(self, version: int, through: int, state: DataFrame, paths: DataFrame) -> None:
+        folder = f"{self.path}/base/{version}-{through}"
+        state.select("slot", "path", "size", "op", "embedding", "seq").write.mode("overwrite").parquet(f"{folder}/slots")
+        by_path = paths.withColumn("bucket", bucket(F.col("path")))
+        by_path.repartition("bucket").write.mode("overwrite").partitionBy("bucket").parquet(f"{folder}/paths")
+        slots = self.spark.read.schema(_SCHEMA).parquet(f"{folder}/slots").select("slot", "op")
+        ranked, count = row_index(slots.filter("op <> 'put'").select("slot"), ["slot"], "place")
+        runs = ranked.groupBy(F.col("slot") - F.col("place")).agg(
+            F.min("slot").alias("start"), F.count(F.lit(1)).alias("length"), F.min("place").alias("before"))
+        closing = slots.agg(F.coalesce(F.max("slot") + 1, F.lit(0)).alias("start")).select(
+            "start", F.lit(0).cast("long").alias("length"), F.lit(count).cast("long").alias("before"))
+        runs.select("start", "length", "before").unionByName(closing).write.mode("overwrite").parquet(f"{folder}/free")
+
+
+def _newest() -> Column:
+    return F.struct("seq", (F.col("op") == "put").alias("_put"))

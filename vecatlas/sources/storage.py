@@ -1,4 +1,4 @@
-"""Small metadata files through Hadoop's file system API, so that every Spark storage works."""
+"""Marks and folders through Hadoop's file system API, so that every Spark storage works."""
 
 from __future__ import annotations
 
@@ -9,45 +9,23 @@ class Storage:
     def __init__(self, spark: SparkSession) -> None:
         self._spark = spark
 
-    def _path(self, path: str):
-        return self._spark._jvm.org.apache.hadoop.fs.Path(path)
-
-    def _fs(self, path: str):
-        return self._path(path).getFileSystem(self._spark._jsc.hadoopConfiguration())
+    def _at(self, path: str):
+        place = self._spark._jvm.org.apache.hadoop.fs.Path(path)
+        return place.getFileSystem(self._spark._jsc.hadoopConfiguration()), place
 
     def exists(self, path: str) -> bool:
-        return self._fs(path).exists(self._path(path))
+        fs, place = self._at(path)
+        return fs.exists(place)
 
     def names(self, folder: str) -> list[str]:
-        if not self.exists(folder):
-            return []
-        entries = self._fs(folder).listStatus(self._path(folder))
-        names = (entry.getPath().getName() for entry in entries)
+        fs, place = self._at(folder)
+        names = [entry.getPath().getName() for entry in fs.listStatus(place)] if fs.exists(place) else []
         return sorted(name for name in names if not name.startswith((".", "_")))
 
     def touch(self, path: str) -> None:
-        self._fs(path).create(self._path(path), True).close()
-
-    def write_text(self, path: str, text: str) -> None:
-        """Write beside the target, then rename, so a reader sees the old or the new text."""
-        draft = f"{path}.draft"
-        stream = self._fs(path).create(self._path(draft), True)
-        stream.write(bytearray(text.encode()))
-        stream.close()
-        fs = self._fs(path)
-        fs.delete(self._path(path), False)
-        fs.rename(self._path(draft), self._path(path))
-
-    def read_text(self, path: str) -> str | None:
-        # A crash between delete and rename leaves only the finished draft.
-        for candidate in (path, f"{path}.draft"):
-            if self.exists(candidate):
-                stream = self._fs(candidate).open(self._path(candidate))
-                try:
-                    return bytes(stream.readAllBytes()).decode()
-                finally:
-                    stream.close()
-        return None
+        fs, place = self._at(path)
+        fs.create(place, True).close()
 
     def delete(self, path: str) -> None:
-        self._fs(path).delete(self._path(path), True)
+        fs, place = self._at(path)
+        fs.delete(place, True)

@@ -6,11 +6,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
-from vecatlas.operators.catalog import assign_slots, tombstone
+from vecatlas.operators.catalog import allocate
 from vecatlas.operators.encode import split_errors
+from vecatlas.operators.ranking import row_index
 from vecatlas.plans.sync import Encode, unfilled_slots
 from vecatlas.session import materialize
-from vecatlas.sources.commitlog import CommitLog, deletes, pads, puts
+from vecatlas.sources.commitlog import CommitLog, deletes, failed, pads, puts, told
 
 
 def apply_changes(
@@ -18,31 +19,36 @@ def apply_changes(
 ) -> None:
     """Commit one batch; the last change of each path wins, also over changes of earlier batches.
 
-    The state is read as it was before this commit, so applying a batch again writes the same rows. Rows that
-    cannot be encoded keep their old state and are found in ``log.errors()``.
+    Changes that could not be encoded before are tried again with every batch, until they succeed or a newer change of
+    the path replaces them; until then the path keeps its old state. The batch reads what the log knows of its own
+    paths, and free slots as intervals, but not the catalog. The log is read as it was before this commit, so applying a
+    batch again writes the same rows.
     """
     place = log.ordinal(commit_id)
-    state = log.catalog(place)
-    batch = changes.groupBy("path").agg(F.max_by(F.struct("op", "size", "seq"), "seq").alias("c"))
-    batch = materialize(batch.select("path", "c.op", "c.size", F.col("c.seq").alias("source_seq")), "batch")
-    told = log.heard(place).join(batch.select("path"), "path", "left_semi").withColumnRenamed("source_seq", "_told")
-    newer = F.col("_told").isNull() | (F.col("source_seq") > F.col("_told"))
-    last = materialize(batch.join(told, "path", "left").filter(newer).drop("_told"), "newer")
-    # The batch is small beside the catalog: it is broadcast by its size to find its own paths.
-    known = state.filter("live").select("path", "slot").join(last.select("path"), "path", "left_semi")
-    placed = materialize(last.join(known, "path", "left"), "changes")
-    gone = placed.filter("op = 'delete' and slot is not null").select("slot", "path", "size")
-    wanted = placed.filter("op = 'put'")
-    fresh = assign_slots(wanted.filter("slot is null").select("path", "size"), tombstone(state, gone))
-    work = wanted.filter("slot is not null").select("slot", "path", "size").unionByName(
-        fresh.select("slot", "path", "size")
-    )
+    given = changes.select("path", "op", "size", F.col("seq").alias("source_seq"))
+    if encode_work is not None:
+        again = log.errors(place).filter("source_seq is not null")
+        given = given.unionByName(again.select("path", F.lit("put").alias("op"), "size", "source_seq"))
+    last = given.groupBy("path").agg(F.max_by(F.struct("op", "size", "source_seq"), "source_seq").alias("c"))
+    batch = last.select("path", "c.*").persist()
+    known = log.paths(place, batch).select("path", "slot", "told")
+    newer = F.col("told").isNull() | (F.col("source_seq") > F.col("told"))
+    placed = batch.join(known, "path", "left").filter(newer).drop("told").persist()
+    gone = placed.filter("op = 'delete' and slot is not null")
+    wanted = placed.filter("op = 'put'").drop("op")
+    files, count = row_index(wanted.filter("slot is null").drop("slot"), ["path"], "_at")
+    free, end = log.free(place, count, gone)
+    work = wanted.filter("slot is not null").unionByName(allocate(files, count, free, end))
+    rows = deletes(gone).unionByName(told(placed.filter("op = 'delete' and slot is null")))
     if encode_work is None:
-        log.append(deletes(gone).unionByName(puts(work)), commit_id, last)
-        return
-    done, errors = split_errors(materialize(encode_work(work), "encoded"))
-    rows = deletes(gone).unionByName(puts(done)).unionByName(pads(unfilled_slots(state, done, errors)))
-    log.append(rows, commit_id, last, errors)
+        rows = rows.unionByName(puts(work))
+    else:
+        encoded = encode_work(work.select("slot", "path", "size")).join(work.select("path", "source_seq"), "path")
+        done, errors = split_errors(materialize(encoded, "encoded"))
+        rows = rows.unionByName(puts(done)).unionByName(failed(errors)).unionByName(pads(unfilled_slots(end, done, errors)))
+    log.append(rows, commit_id)
+    for kept in (placed, batch):
+        kept.unpersist()
 
 
 def start_ingest(
@@ -51,7 +57,7 @@ def start_ingest(
 ) -> StreamingQuery:
     """Changes may arrive in any order: of each path the one with the highest ``seq`` decides.
 
-    ``compact_every`` folds the log into a new snapshot after so many batches (None: never).
+    ``compact_every`` folds the log into a new base after so many batches (None: never).
     """
 
     def commit(batch: DataFrame, batch_id: int) -> None:
