@@ -31,9 +31,10 @@ from vecatlas.operators.wordpiece import ids_to_tokens, model_input, wordpiece
 from vecatlas.plans import search as plans
 from vecatlas.plans.sync import rebuild, sync, unregister
 from vecatlas.session import materialize, scratch_path
-from vecatlas.sources import logs
+from vecatlas.sources import logs, sinks
 from vecatlas.sources.commitlog import CommitLog, deletes, puts
-from vecatlas.sources.snapshots import read_catalog_json, write_catalog_json
+from vecatlas.sources.files import list_files, list_inventory
+from vecatlas.sources.snapshots import read_catalog_array, read_catalog_json, write_catalog_array, write_catalog_json
 from vecatlas.sources.vocabulary import read_vocabulary, vocabulary_size
 from vecatlas.streaming.ingest import apply_changes, start_ingest
 from vecatlas.streaming.queries import start_search
@@ -301,7 +302,7 @@ def search_after_sync(spark: SparkSession, sf_dir: str) -> DataFrame:
     log.compact()
     turned = log.vectors().filter(F.element_at("embedding", 2) > 0.1)
     log.append(puts(turned.withColumn("embedding", F.transform("embedding", lambda x: -x))), "sync-2")
-    return _hit_columns(plans.search(log.vectors(), fx.vector_queries(spark, sf_dir), K))
+    return _hit_columns(plans.log_search(log, fx.vector_queries(spark, sf_dir), K))
 
 
 def standing_topk_after_commits(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -355,6 +356,13 @@ def catalog_json_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read_catalog_json(spark, path)
 
 
+def catalog_json_array(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The catalog as one array on one line, written and read by many tasks."""
+    path = scratch_path(spark, "catalog-array")
+    write_catalog_array(cat.densify(fx.catalog(spark, sf_dir)), path)
+    return read_catalog_array(spark, path)
+
+
 def catalog_remove_directories(spark: SparkSession, sf_dir: str) -> DataFrame:
     return cat.remove_directories(fx.catalog(spark, sf_dir), fx.derived(spark, sf_dir, fx.REMOVED_ROOTS))
 
@@ -428,7 +436,7 @@ def _rewritten(legacy: bool) -> Query:
 
 
 def text_search_hashed(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Whole documents as items, by windows; benchmark passages as queries, the hashing stand-in as the model."""
+    """Whole documents as items and whole benchmark passages as queries, both by windows; the hashing stand-in as the model."""
     vocabulary, encoder = fx.vocabulary(spark, sf_dir), HashingEncoder(64)
     items = encode_texts(fx.documents(spark, sf_dir), "doc_id", "text", vocabulary, encoder, windows=True)
     vectors = materialize(
@@ -462,6 +470,31 @@ def export_names_beside_taken(spark: SparkSession, sf_dir: str) -> DataFrame:
     return export_manifest(sources, taken).select("src_path", "target_name")
 
 
+def export_copies(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents as files, each tenth one missing, copied into one folder; names clash."""
+    folder, docs = scratch_path(spark, "export"), fx.documents(spark, sf_dir)
+    name = F.concat(F.col("doc_id").cast("string"), F.lit("/"), (F.col("doc_id") % 50).cast("string"), F.lit(".txt"))
+    files = docs.filter("doc_id % 10 <> 0").select(name.alias("name"), F.col("text").cast("binary").alias("content"))
+    materialize(sinks.write_files(files, f"{folder}/from"), "written")
+    sources = docs.select(F.col("doc_id").alias("ordinal"), F.concat(F.lit(f"{folder}/from/"), name).alias("src_path"))
+    copies = materialize(sinks.export_copies(export_manifest(sources), f"{folder}/to"), "copied")
+    return copies.select(F.replace("src_path", F.lit(f"{folder}/from/"), F.lit("")).alias("src_path"), "target_name", "ok", "bytes")
+
+
+def listing_from_inventory(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = list_inventory(fx.derived(spark, sf_dir, fx.INVENTORY), fx.derived(spark, sf_dir, fx.INVENTORY_ROOTS))
+    return found.select("path", "size", F.col("modified").cast("string").alias("modified"))
+
+
+def listing_of_written_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents written as files in a folder per source and language, and the folders listed."""
+    folder, docs = scratch_path(spark, "listed"), fx.table(spark, sf_dir, "documents")
+    name = F.concat_ws("/", "source", "lang", F.concat(F.col("doc_id").cast("string"), F.lit(".png")))
+    materialize(sinks.write_files(docs.select(name.alias("name"), F.col("text").cast("binary").alias("content")), folder), "written")
+    found = list_files(spark, [folder])
+    return found.select(F.regexp_replace("path", r"^.*/(?=[^/]+/[^/]+/[^/]+$)", "").alias("path"), "size")
+
+
 def listing_accepted(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fx.derived(spark, sf_dir, fx.MIXED_FILES).filter(is_image_path(F.col("path")))
 
@@ -543,6 +576,10 @@ def image_tensor_resized(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _tensor_rows(image_tensors(fx.pictures(spark, sf_dir), 8))
 
 
+def image_tensor_shrunk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _tensor_rows(image_tensors(fx.pictures(spark, sf_dir), 3))
+
+
 def image_embedding(spark: SparkSession, sf_dir: str) -> DataFrame:
     tensors = image_tensors(fx.pictures(spark, sf_dir), 4)
     vectors = encode(tensors, "tensor", (3, 4, 4), "float32", fx.PlaneMeans())
@@ -598,6 +635,7 @@ def queries() -> dict[str, Query]:
         "catalog_rebuilt": catalog_rebuilt,
         "catalog_unregistered": catalog_unregistered,
         "catalog_json_lines": catalog_json_lines,
+        "catalog_json_array": catalog_json_array,
         "catalog_remove_directories": catalog_remove_directories,
         "roots_register": roots_register,
         "roots_unregister": roots_unregister,
@@ -617,6 +655,9 @@ def queries() -> dict[str, Query]:
         "log_parsed": log_parsed,
         "export_names": export_names,
         "export_names_beside_taken": export_names_beside_taken,
+        "export_copies": export_copies,
+        "listing_from_inventory": listing_from_inventory,
+        "listing_of_written_files": listing_of_written_files,
         "listing_accepted": listing_accepted,
         "size_display": size_display,
         "ingest_latest_state": ingest_latest_state,
@@ -626,6 +667,7 @@ def queries() -> dict[str, Query]:
         "image_size_report": image_size_report,
         "image_tensor": image_tensor,
         "image_tensor_resized": image_tensor_resized,
+        "image_tensor_shrunk": image_tensor_shrunk,
         "image_embedding": image_embedding,
     }
 

@@ -103,6 +103,16 @@ select doc_id, concat('/', source, '/', cast(doc_id as string),
          case lang when 'en' then '.PNG' when 'fr' then '.txt' when 'de' then '.jpeg' else '/png' end) as path
 from {documents}
 """
+# An inventory of the files: two versions of some, of which the later may be a delete.
+INVENTORY = f"""
+select m.path, cast(length(d.text) as bigint) as size, cast('2024-01-01 00:00:00' as timestamp) as modified
+from ({MIXED_FILES.strip()}) m join {{documents}} d on m.doc_id = d.doc_id
+union all
+select m.path, case when d.doc_id % 6 = 0 then null else cast(d.n_chars + 1 as bigint) end as size,
+       cast('2024-01-02 00:00:00' as timestamp) as modified
+from ({MIXED_FILES.strip()}) m join {{documents}} d on m.doc_id = d.doc_id where d.doc_id % 3 = 0
+"""
+INVENTORY_ROOTS = "select concat('/', source) as root from {documents} group by source having count(*) % 2 = 0"
 
 
 def duckdb_sql(sql: str) -> str:

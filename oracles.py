@@ -223,6 +223,38 @@ def _rewritten(lead: str) -> str:
       from (select query_id, trim(text) as t, {_SPLIT} as w from {duckdb_sql(fx.KEYWORDS)} k) s"""
 
 
+# Documents, and the queries' prompts under negative numbers.
+_TEXTS = f"""(select doc_id, text from documents union all
+  select -1 - query_id, prompt from ({_rewritten("w[:-2]")}) r where prompt <> '')"""
+# The signs of each token id, out of a hash of id and place; products are taken modulo 2^64.
+_HASHED = "cast((cast({x} as uhugeint) * {factor}) % 18446744073709551616 as ubigint)"
+_MIXED = _HASHED.format(x="xor(x, x >> 30)", factor=0xBF58476D1CE4E5B9)
+_MIXED = _MIXED, _HASHED.format(x="xor(y, y >> 27)", factor=0x94D049BB133111EB)
+_TEXT_SEARCH = f"""{_DOC_PIECES.replace("from documents", f"from {_TEXTS} t")},
+long as (
+  select doc_id, pos // 50 as part, id
+  from (select doc_id, unnest(ids) as id, unnest(range(len(ids))) as pos from doc_pieces) a),
+frames as (
+  select distinct doc_id, part from long union select doc_id, 0 from doc_pieces),
+counted as (
+  select doc_id, part, id, count(*) as n from (
+    select * from long union all select doc_id, part, unnest([2, 3]) from frames) a where id <> 0 group by all),
+signs as (
+  select id, j, case when xor(z, z >> 31) & 1 = 1 then 1 else -1 end as s from (
+    select id, j, {_MIXED[1]} as z from (
+      select id, j, {_MIXED[0]} as y from (
+        select id, j, cast(id * 64 + j as ubigint) as x from (select distinct id from counted), (select unnest(range(64)) as j)) a) b) c),
+sums as (select doc_id, part, j, cast(sum(n * s) as double) as v from counted join signs using (id) group by doc_id, part, j),
+raw as (select doc_id, part, list(v order by j) as v from sums group by doc_id, part),
+vectors as (
+  select doc_id, list_transform(v, lambda x: cast(x / sqrt(list_dot_product(v, v)) as float)) as embedding
+  from raw where list_dot_product(v, v) > 0),
+pairs as (
+  select -1 - q.doc_id as query_id, g.doc_id as slot, min({_SCORES["cosine"][0]}) as d
+  from vectors q, vectors g where q.doc_id < 0 and g.doc_id >= 0 group by all),
+ranked as (select *, row_number() over (partition by query_id order by d, slot) as rank from pairs)
+select query_id, rank, slot, '/doc/' || slot as path, {_SCORES["cosine"][1]} as score from ranked where rank <= 10"""
+
 _LINES = duckdb_sql(fx.LOG_LINES)
 _DAY = "try_cast(regexp_extract(line, '^\\d{4}-\\d{2}-\\d{2}') as date)"
 
@@ -237,6 +269,34 @@ _TENSOR = f"""(
   from (select vec_id, cast({_PIXELS} as bigint[]) as p from embeddings where embedding[4] >= -0.15) e,
        (select unnest(range(3)) as c) planes, (select unnest(range(16)) as i) pixels)"""
 
+_CUBIC = """case when abs(d) < 1 then (1.5 * abs(d) - 2.5) * d * d + 1
+    when abs(d) < 2 then ((-0.5 * abs(d) + 2.5) * abs(d) - 4) * abs(d) + 2 else 0 end"""
+
+
+def _resized(size: int, target: int) -> str:
+    """The pictures at another size: bicubic weights as whole numbers, first along the lines, then along the columns."""
+    scale, wide = size / target, max(size / target, 1.0)
+    step = f"least(greatest((sum(w * v) + {1 << 21}) >> 22, 0), 255)"
+    return f"""
+      with parts as (
+        select o, i, {_CUBIC} as k from (
+          select o, i, (i - (o + 0.5) * {scale} + 0.5) / {wide} as d,
+            greatest(trunc((o + 0.5) * {scale} - 2 * {wide} + 0.5), 0) as low,
+            least(trunc((o + 0.5) * {scale} + 2 * {wide} + 0.5), {size}) as high
+          from (select unnest(range({target})) as o) os, (select unnest(range({size})) as i) inputs) p
+        where i >= low and i < high),
+      weights as (select o, i, cast(floor(k / sum(k) over (partition by o) * {1 << 22} + 0.5) as bigint) as w from parts),
+      pixels as (
+        select vec_id, c, i // {size} as y, i % {size} as x, (({_BLEND} >> 8) + {_BLEND}) >> 8 as v
+        from (select vec_id, cast({_PIXELS} as bigint[]) as p from embeddings where embedding[4] >= -0.15) e,
+             (select unnest(range(3)) as c) planes, (select unnest(range({size * size})) as i) places),
+      wider as (select vec_id, c, y, o as x, cast({step} as bigint) as v from pixels join weights on x = i group by vec_id, c, y, o),
+      higher as (select vec_id, c, o as y, x, cast({step} as bigint) as v from wider join weights on y = i group by vec_id, c, o, x)
+      select vec_id, c * {target * target} + y * {target} + x as pos, round(cast((cast(v as float) / cast(255 as float)
+        - cast([0.48145466, 0.4578275, 0.40821073][c + 1] as float))
+        / cast([0.26862954, 0.26130258, 0.27577711][c + 1] as float) as double), 4) as x from higher"""
+
+
 ORACLES = {
     "knn_cosine_topk": _knn(),
     "knn_l2_topk": _knn("l2"),
@@ -291,6 +351,7 @@ ORACLES = {
     "catalog_rebuilt": f"select row_number() over (order by path) - 1 as slot, path, size from {LISTING} l",
     "catalog_unregistered": f"""select path, size from {LISTING} l
       where not exists (select 1 from {REMOVED_ROOTS} r where starts_with(l.path, r.root || '/'))""",
+    "catalog_json_array": f"select * from {CATALOG} c",
     "catalog_json_lines": f"select * from {CATALOG} c",
     "catalog_remove_directories": f"""select slot, path, size from {CATALOG} c
       where live and exists (select 1 from {REMOVED_ROOTS} r where starts_with(c.path, r.root || '/'))""",
@@ -314,6 +375,7 @@ ORACLES = {
     "vocab_size": f"select count(distinct token) as vocab_size from {_VOCABULARY} v",
     "query_rewrite": _rewritten("w[:-2]"),
     "query_rewrite_legacy": _rewritten("w[:-3]"),
+    "text_search_hashed": _TEXT_SEARCH,
     "log_retention": f"""select event_id, line from {_LINES} l
       where date_diff('day', {_DAY}, date '2024-01-31') < 7""",
     "log_retention_legacy": f"select event_id, line from {_LINES} l where {_DAY} < date '2024-02-07'",
@@ -329,6 +391,17 @@ ORACLES = {
       from (select src_path, source, row_number() over (partition by source order by ordinal)
           + case when source || '.txt' in (select name from {duckdb_sql(fx.EXPORT_TAKEN)} t) then 1 else 0 end as n
         from (select *, regexp_extract(src_path, '([^/]+)\\.txt$', 1) as source from {duckdb_sql(fx.EXPORTED)} e) s) r""",
+    "export_copies": """select src_path, case when n = 1 then stem || '.txt' else stem || ' (' || n || ').txt' end as target_name,
+      doc_id % 10 <> 0 as ok, case when doc_id % 10 <> 0 then strlen(text) else 0 end as bytes
+      from (select *, doc_id || '/' || stem || '.txt' as src_path, row_number() over (partition by stem order by doc_id) as n
+        from (select *, cast(doc_id % 50 as varchar) as stem from documents) d) s""",
+    "listing_from_inventory": f"""select path, size, strftime(modified, '%Y-%m-%d %H:%M:%S') as modified from (
+        select *, row_number() over (partition by path order by modified desc) as n from {duckdb_sql(fx.INVENTORY)} i
+        where regexp_matches(lower(path), '[^/]\\.(png|jpg|jpeg|tiff|bmp|gif|webp)$')
+          and exists (select 1 from {duckdb_sql(fx.INVENTORY_ROOTS)} r where starts_with(i.path, r.root || '/'))) v
+      where n = 1 and size is not null""",
+    "listing_of_written_files": """select source || '/' || lang || '/' || doc_id || '.png' as path, strlen(text) as size
+      from documents""",
     "listing_accepted": f"""select * from {duckdb_sql(fx.MIXED_FILES)} m
       where regexp_matches(lower(path), '[^/]\\.(png|jpg|jpeg|tiff|bmp|gif|webp)$')""",
     "size_display": f"""select path, {_size_text()} as size_text, substr(md5(path), 1, 16) as row_id
@@ -342,6 +415,8 @@ ORACLES = {
       case when embedding[4] >= -0.15 then 4 else 0 end as height,
       case when embedding[4] >= -0.15 then '' else 'image could not be decoded' end as error from embeddings""",
     "image_tensor": f"select vec_id, pos, round(x, 4) as x from {_TENSOR} t",
+    "image_tensor_resized": _resized(4, 8),
+    "image_tensor_shrunk": _resized(4, 3),
     "image_embedding": f"""
       with planes as (select vec_id, pos // 16 as c, avg(x) as mean, stddev_pop(x) as deviation
         from {_TENSOR} t group by all),

@@ -214,3 +214,32 @@ def test_wide_queries_of_windows_are_split_by_bytes(spark, monkeypatch):
     want = found()
     monkeypatch.setattr(topk, "MAX_BROADCAST_BYTES", 600)
     assert found() == want and len(want) == 18
+
+
+def test_paths_come_from_the_catalog(spark, explain):
+    from vecatlas.plans.search import log_search
+    from vecatlas.sources.commitlog import CommitLog, puts
+
+    log = CommitLog(spark, scratch_path(spark, "atlas"))
+    rows = spark.createDataFrame([(i, f"/{i}", 1, [float(i), 1.0]) for i in range(9)], "slot long, path string, size long, embedding array<float>")
+    log.append(puts(rows), "c-0")
+    hits = log_search(log, rows.select(F.col("slot").alias("query_id"), "embedding"), 1)
+    assert {(r["query_id"], r["path"]) for r in hits.collect()} == {(i, f"/{i}") for i in range(9)}
+    scans = [line.split("ReadSchema")[-1] for line in explain(hits).splitlines() if "FileScan" in line]
+    assert len(scans) == 2 and sum("embedding" in line for line in scans) == 1  # the search's own scan
+
+
+def test_all_of_a_query_counts(spark):
+    from vecatlas.operators.encode import HashingEncoder, encode_texts
+    from vecatlas.plans.search import window_search
+
+    words = [f"w{i}" for i in range(200)]
+    vocabulary = spark.createDataFrame([(t, i) for i, t in enumerate(["[PAD]", "[UNK]", "[CLS]", "[SEP]", *words])], "token string, id long")
+    docs = spark.createDataFrame([(0, "/a", " ".join(words[100:150])), (1, "/b", " ".join(words[150:200]))], "slot long, path string, text string")
+    windows = encode_texts(docs, "slot", "text", vocabulary, HashingEncoder(32), windows=True).select("slot", "path", "embedding")
+    # The rewritten query begins with the words of no document; a later window is one document's, word for word.
+    asked = spark.createDataFrame([(7, "x" * 3 + "".join(f".{w}" for w in words[:25]))], "query_id long, text string")
+    long = spark.createDataFrame([(8, ".".join(words[:25] + words[100:150]))], "query_id long, text string")
+    assert window_search(windows, asked, vocabulary, HashingEncoder(32), 2).count() == 2
+    found = window_search(windows, long, vocabulary, HashingEncoder(32), 2).orderBy("rank").collect()
+    assert [r["slot"] for r in found] == [0, 1] and found[0]["score"] > found[1]["score"]

@@ -147,15 +147,17 @@ def encode_texts(
 
 def encode_queries(
     queries: DataFrame, vocabulary: DataFrame, factory: EncoderFactory, context_length: int = 52,
-    legacy: bool = False,
+    legacy: bool = False, windows: bool = False,
 ) -> DataFrame:
-    """Text queries ``query_id, text`` -> ``query_id, embedding``; blank queries give no row."""
+    """Text queries ``query_id, text`` -> ``query_id, embedding``; blank queries give no row.
+
+    The model sees a query's first ids only; with ``windows`` there is a row ``query_id, window, embedding`` for each part.
+    """
     asked = queries.filter(strip(F.col("text")) != "").select(
         "query_id", rewrite_prompt(F.col("text"), legacy).alias("text")
     )
-    return encode_texts(asked, "query_id", "text", vocabulary, factory, context_length).select(
-        "query_id", "embedding"
-    )
+    encoded = encode_texts(asked, "query_id", "text", vocabulary, factory, context_length, windows=windows)
+    return encoded.select("query_id", *(["window"] if windows else []), "embedding")
 
 
 def split_errors(encoded: DataFrame) -> tuple[DataFrame, DataFrame]:

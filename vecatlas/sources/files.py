@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from vecatlas.functions.paths import is_image_path
+from vecatlas.operators.paths import under_roots
 from vecatlas.session import empty_table
 from vecatlas.sources.storage import Storage
 
@@ -28,8 +29,8 @@ def _plain_path(path):
 def list_files(spark: SparkSession, roots: list[str]) -> DataFrame:
     """All accepted image files below ``roots``, each once; a root that does not exist is empty.
 
-    Only names and sizes are read: ``content`` is pruned from the scan. Spark does not list names
-    that start with '.' or '_'.
+    Only names and sizes are read: ``content`` is pruned from the scan. Spark does not list empty files, nor names
+    that start with '.' or '_'. The driver holds the files' status; for very many files ``list_inventory`` is the way.
     """
     present = _existing(spark, roots)
     if not present:
@@ -44,6 +45,18 @@ def list_files(spark: SparkSession, roots: list[str]) -> DataFrame:
     )
 
 
+def list_inventory(inventory: DataFrame, roots: DataFrame) -> DataFrame:
+    """The listing of ``roots(root)`` out of an inventory ``path, size, modified`` as object stores write it.
+
+    No folder is walked and no file status passes the driver, so this is the way for very many files. An inventory may
+    name a file several times (its versions): the last one counts, and one of null size is a deleted file.
+    """
+    accepted = inventory.filter(is_image_path(F.col("path"))).select(
+        _plain_path(F.col("path")).alias("path"), F.struct(F.col("modified"), F.col("size")).alias("version"))
+    last = under_roots(accepted, roots).groupBy("path").agg(F.max("version").alias("version"))
+    return last.select("path", "version.size", "version.modified").filter("size is not null").select("path", "size", "modified")
+
+
 def _escaped(path: str) -> str:
     """A path that is not meant as a glob pattern."""
     return re.sub(r"([\\\[\]{}*?])", r"\\\1", path)
