@@ -19,6 +19,7 @@ from vecatlas.functions.paths import is_image_path
 from vecatlas.functions.vectors import normalize
 from vecatlas.operators import catalog as cat
 from vecatlas.operators.cells import bounded_search, build_cell_index, probed_search
+from vecatlas.operators.digests import diff_by_digest, directory_digests, outermost_unchanged
 from vecatlas.operators.encode import HashingEncoder, encode, encode_texts
 from vecatlas.operators.export import export_manifest
 from vecatlas.operators.hits import resized, sorted_by, with_paths
@@ -29,6 +30,7 @@ from vecatlas.operators.quantize import pq_search, train_codebooks
 from vecatlas.operators.topk import single_query_topk, topk_search
 from vecatlas.operators.wordpiece import ids_to_tokens, model_input, wordpiece
 from vecatlas.plans import search as plans
+from vecatlas.plans.index import KeptIndex
 from vecatlas.plans.sync import rebuild, sync, unregister
 from vecatlas.session import materialize, scratch_path
 from vecatlas.sources import logs, sinks
@@ -243,6 +245,19 @@ def catalog_diff(spark: SparkSession, sf_dir: str) -> DataFrame:
     return changes.withColumn("slot", F.coalesce("slot", F.lit(-1).cast("long")))
 
 
+def catalog_diff_by_digest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    changes = diff_by_digest(fx.catalog(spark, sf_dir), fx.derived(spark, sf_dir, fx.LISTING))
+    return changes.withColumn("slot", F.coalesce("slot", F.lit(-1).cast("long")))
+
+
+def catalog_unchanged_trees(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Users with an even number have changed nothing."""
+    even = F.regexp_extract("path", "^/lib/u([0-9]+)/", 1).cast("long") % 2 == 0
+    old = materialize(cat.live_rows(fx.catalog(spark, sf_dir)).select("path", "size"), "old")
+    new = old.filter(even).unionByName(fx.derived(spark, sf_dir, fx.LISTING).select("path", "size").filter(~even))
+    return outermost_unchanged(directory_digests(old), directory_digests(new))
+
+
 def catalog_worklist(spark: SparkSession, sf_dir: str) -> DataFrame:
     return cat.work_list(fx.catalog(spark, sf_dir), fx.derived(spark, sf_dir, fx.LISTING))
 
@@ -305,6 +320,20 @@ def search_after_sync(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _hit_columns(plans.log_search(log, fx.vector_queries(spark, sf_dir), K))
 
 
+def search_kept_index(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """An index kept beside the log through deletes and replaced vectors, then searched exactly from its cells."""
+    log, vectors = _log(spark), fx.gallery_vectors(spark, sf_dir)
+    kept = KeptIndex(log, scratch_path(spark, "kept"), CELLS)
+    log.append(puts(vectors), "sync-0")
+    kept.refresh()
+    log.append(deletes(cat.remove_directories(log.catalog(), fx.derived(spark, sf_dir, fx.GALLERY_REMOVED))), "sync-1")
+    kept.refresh()
+    turned = log.vectors().filter(F.element_at("embedding", 2) > 0.1)
+    log.append(puts(turned.withColumn("embedding", F.transform("embedding", lambda x: -x))), "sync-2")
+    kept.refresh()
+    return _hit_columns(kept.search(fx.vector_queries(spark, sf_dir), K))
+
+
 def standing_topk_after_commits(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All queries stand while the log takes new, deleted, replaced and returning vectors; results follow from the changes."""
     log, vectors, asked = _log(spark), fx.gallery_vectors(spark, sf_dir), fx.vector_queries(spark, sf_dir)
@@ -611,6 +640,7 @@ def queries() -> dict[str, Query]:
         "knn_existing_only": knn_existing_only,
         "search_after_sync": search_after_sync,
         "knn_cells_after_upserts": knn_cells_after_upserts,
+        "search_kept_index": search_kept_index,
         "standing_topk_after_commits": standing_topk_after_commits,
         "search_result_columns": search_result_columns,
         "search_sorted_by_size": _sorted("size", False),
@@ -625,6 +655,8 @@ def queries() -> dict[str, Query]:
         "catalog_new": catalog_new,
         "catalog_missing": catalog_missing,
         "catalog_diff": catalog_diff,
+        "catalog_diff_by_digest": catalog_diff_by_digest,
+        "catalog_unchanged_trees": catalog_unchanged_trees,
         "catalog_existing": catalog_existing,
         "catalog_worklist": catalog_worklist,
         "catalog_tombstoned": catalog_tombstoned,

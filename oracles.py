@@ -324,6 +324,7 @@ ORACLES = {
       from {_SHOWN} s""",
     "search_after_sync": _knn(gallery=_LATER_GALLERY),
     "knn_cells_after_upserts": _knn(gallery=_LATER_GALLERY),
+    "search_kept_index": _knn(gallery=_LATER_GALLERY),
     "standing_topk_after_commits": _knn(gallery=_LATER_GALLERY),
     "search_sorted_by_size": _sorted("size, rank"),
     "search_sorted_by_score": _sorted("d, rank"),
@@ -339,6 +340,18 @@ ORACLES = {
     "catalog_diff": f"""select slot, path, size, 'missing' as status from {_MISSING} m
       union all select slot, path, size, 'changed' from {_CHANGED} c
       union all select -1, path, size, 'new' from {_NEW} n""",
+    "catalog_diff_by_digest": f"""select slot, path, size, 'missing' as status from {_MISSING} m
+      union all select slot, path, size, 'changed' from {_CHANGED} c
+      union all select -1, path, size, 'new' from {_NEW} n""",
+    # Users' directories lie side by side below /lib, so an unchanged one is outermost unless all of /lib is.
+    "catalog_unchanged_trees": f"""
+      with old as (select regexp_replace(path, '/[^/]*$', '') as dir, list((path, size) order by path) as files
+          from {CATALOG} c where live group by 1),
+      now as (select path, size, cast(regexp_extract(path, '^/lib/u([0-9]+)/', 1) as bigint) % 2 = 0 as even from {LISTING} l),
+      mixed as (select path, size from now where not even union all
+        select path, size from {CATALOG} c where live and cast(regexp_extract(path, '^/lib/u([0-9]+)/', 1) as bigint) % 2 = 0),
+      new as (select regexp_replace(path, '/[^/]*$', '') as dir, list((path, size) order by path) as files from mixed group by 1)
+      select old.dir from old join new on old.dir = new.dir and old.files = new.files""",
     "catalog_worklist": f"select * from {_CHANGED} c union all select * from {_assigned(CATALOG)} a",
     "catalog_existing": f"""select slot, path, size, live from {CATALOG} c
       where live and path in (select path from {LISTING} l)""",

@@ -64,10 +64,8 @@ class CellIndex:
         base, changes = self.spark.read.parquet(f"{self.path}/vectors"), self._changes()
         if changes is None:
             return base
-        last = changes.groupBy("slot").agg(F.max_by(F.struct("embedding", "reach", "cell"), "seq").alias("c"))
-        last = last.select("slot", "c.*").filter("cell >= 0")
         kept = base.join(changes.select("slot").distinct(), "slot", "left_anti")
-        return kept.select("slot", "embedding", "reach", "cell").unionByName(last)
+        return kept.select("slot", "embedding", "reach", "cell").unionByName(_latest(changes))
 
     @property
     def stats(self) -> DataFrame:
@@ -93,12 +91,48 @@ class CellIndex:
             "slot", "embedding", F.lit(0.0).alias("reach"), F.lit(-1).alias("cell"))
         put.unionByName(gone).write.mode("overwrite").parquet(f"{self.path}/changes/seq={seq}")
 
+    def changed_share(self) -> float:
+        """Changes beside the base, by its rows."""
+        changes = self._changes()
+        rows = self.spark.read.parquet(f"{self.path}/stats").agg(F.sum("rows")).first()[0] or 0
+        return changes.count() / max(1, rows) if changes is not None else 0.0
+
+    def fold(self) -> None:
+        """Write the changes into the cells they touch; the other cells stay as they are.
+
+        The changes go last: while they are there, they hide what the cells say about their slots.
+        """
+        changes = self._changes()
+        if changes is None:
+            return
+        base, stats = self.spark.read.parquet(f"{self.path}/vectors"), f"{self.path}/stats"
+        slots = changes.select("slot").distinct()
+        old = base.join(slots, "slot", "left_semi").select("cell")
+        touched = sorted(r["cell"] for r in old.unionByName(changes.filter("cell >= 0").select("cell")).distinct().collect())  # at most MAX_CELLS
+        kept = base.filter(F.col("cell").isin(touched)).join(slots, "slot", "left_anti").select("slot", "embedding", "reach", "cell")
+        new = materialize(kept.unionByName(_latest(changes)), "cells")
+        new.hint("rebalance", "cell").write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("cell").parquet(f"{self.path}/vectors")
+        counted = new.groupBy("cell").agg(F.count(F.lit(1)).alias("rows"), F.max("reach").alias("radius"))
+        emptied = set(touched) - {r["cell"] for r in counted.select("cell").collect()}
+        others = self.spark.read.parquet(stats).filter(~F.col("cell").isin(touched))
+        materialize(others.select("cell", "rows", "radius").unionByName(counted.select("cell", "rows", "radius")), "stats").write.mode("overwrite").parquet(stats)
+        for cell in emptied:
+            Storage(self.spark).delete(f"{self.path}/vectors/cell={cell}")
+        Storage(self.spark).delete(f"{self.path}/changes")
+
     @classmethod
     def load(cls, spark: SparkSession, path: str) -> CellIndex:
         rows = spark.read.parquet(f"{path}/centers").orderBy("cell").collect()
         return cls(path, rows[0]["metric"], np.array([r["center"] for r in rows]), spark)
 
 
+def _latest(changes: DataFrame) -> DataFrame:
+    """``slot, embedding, reach, cell`` of the slots' last changes, without deletes; in one change a put beats a delete."""
+    newest = F.struct("seq", (F.col("cell") >= 0).alias("put"))
+    last = changes.groupBy("slot").agg(F.max_by(F.struct("embedding", "reach", "cell"), newest).alias("c"))
+    return last.select("slot", "c.*").filter("cell >= 0")
+
+
 def _nearest_center(metric: str, centers: np.ndarray, batch: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray]:
     matrix = to_matrix(batch.column("embedding"), centers.shape[1])
     if metric == "cosine":

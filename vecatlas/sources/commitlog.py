@@ -238,3 +238,13 @@ class CommitLog:
 
 def _newest() -> Column:
     return F.struct("seq", (F.col("op") == "put").alias("_put"))
+
+
+def changed_slots(log: CommitLog, since: int) -> DataFrame:
+    """``slot, embedding`` of the slots written by commits after the place ``since``; the embedding is null where the slot is empty now.
+
+    The commits must not be folded yet (``CommitLog.holds``).
+    """
+    rows = log.tail().filter((F.col("seq") > since) & F.col("slot").isNotNull())
+    last = rows.groupBy("slot").agg(F.max_by(F.struct("op", "embedding"), _newest()).alias("c"))
+    return last.select("slot", F.when(F.col("c.op") == "put", F.col("c.embedding")).alias("embedding"))

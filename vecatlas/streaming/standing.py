@@ -17,7 +17,7 @@ from pyspark.sql.streaming import StreamingQuery
 from vecatlas.functions import vectors as V
 from vecatlas.operators.topk import rank_hits, topk_search
 from vecatlas.session import materialize
-from vecatlas.sources.commitlog import CommitLog
+from vecatlas.sources.commitlog import CommitLog, changed_slots
 from vecatlas.sources.storage import Storage
 
 _KEPT = ("query_id", "slot", "distance")
@@ -48,17 +48,6 @@ def refreshed(
     return merged.join(open_.select("query_id"), "query_id", "left_anti").select(*again.columns).unionByName(again)
 
 
-def changed_slots(log: CommitLog, since: int) -> DataFrame:
-    """``slot, embedding`` of the slots written by commits after the place ``since``; the embedding is null where the slot is empty now.
-
-    The commits must not be folded yet (``CommitLog.holds``).
-    """
-    rows = log.tail().filter((F.col("seq") > since) & F.col("slot").isNotNull())
-    newest = F.struct("seq", (F.col("op") == "put").alias("put"))
-    last = rows.groupBy("slot").agg(F.max_by(F.struct("op", "embedding"), newest).alias("c"))
-    return last.select("slot", F.when(F.col("c.op") == "put", F.col("c.embedding")).alias("embedding"))
-
-
 class StandingQueries:
     """The kept results of ``queries(query_id, embedding)`` over a log's vectors, a folder per refresh.
 
