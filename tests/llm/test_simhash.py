@@ -168,6 +168,60 @@ def test_variants_of_a_template_meet_each_other(spark, words, monkeypatch, block
     assert sorted(r["doc_id"] for r in got.collect()) == want
 
 
+def with_passage(words, n):
+    """Different texts, a third of which hold one long passage, and near copies of some."""
+    pick, passage, rows = random.Random(9), words(77, 40), []
+    for i in range(n):
+        ws = words(20_000 + i, 50).split()
+        if i % 3 == 0:
+            ws[25:25] = passage.split()
+        rows.append((2 * i, " ".join(ws)))
+        if i % 10 == 0:
+            ws[pick.randrange(len(ws))] = "edited"
+            rows.append((2 * i + 1, " ".join(ws)))
+    return rows
+
+
+def test_a_passage_in_a_third_of_the_rows(spark, words, monkeypatch):
+    """Its classes are crowded: rows meet in rarer ones, and what is compared grows with the rows."""
+    monkeypatch.setattr(simhash, "CROWD", 64)
+    compared, cells = [], simhash._unsettled
+
+    def counted(rest, held, *others):
+        assert held is None  # each row has enough rare classes
+        compared[-1] += rest.groupBy("key").count().selectExpr("sum(count * count)").first()[0] or 0
+        return cells(rest, held, *others)
+
+    monkeypatch.setattr(simhash, "_unsettled", counted)
+    for n in (300, 1200):
+        rows = with_passage(words, n)
+        compared.append(0)
+        got = simhash.without_near_copies(spark.createDataFrame(rows, "doc_id long, text string"))
+        assert sorted(r["doc_id"] for r in got.collect()) == brute_groups(rows)[0]
+    assert compared[1] < 8 * compared[0] + 1000
+
+
+def test_rows_of_crowded_classes_alone_meet_all(spark, words, monkeypatch):
+    monkeypatch.setattr(simhash, "CROWD", 16)
+    monkeypatch.setattr(simhash, "BLOCK", 8)
+    monkeypatch.setattr(simhash, "QUIET", 1 << 20)  # all rows are lonely
+    rows = with_passage(words, 150) + [(10_000 + d, t) for d, t in families(words)[0][:70]]
+    got = simhash.without_near_copies(spark.createDataFrame(rows, "doc_id long, text string"))
+    assert sorted(r["doc_id"] for r in got.collect()) == brute_groups(rows)[0]
+
+
+def test_share_of_pairs_found():
+    """Texts just above the limit share a class in nearly all cases, whatever their length."""
+    pick = np.random.default_rng(2)
+    for n in (9, 30, 200, 1000):
+        found = 0
+        for _ in range(200):
+            both = pick.integers(0, 1 << 63, int(np.ceil(0.8 * n / 0.9)), dtype=np.uint64)
+            a, b = (np.unique(np.concatenate([both, pick.integers(0, 1 << 63, (n - len(both)), dtype=np.uint64)])) for _ in range(2))
+            found += bool(set(simhash.class_fingerprints(a)) & set(simhash.class_fingerprints(b)))
+        assert found >= 196
+
+
 def test_families_against_brute_force(spark, words):
     rows, _ = families(words)
     got = simhash.without_near_copies(spark.createDataFrame(rows, "doc_id long, text string"))

@@ -195,6 +195,8 @@ def near_groups(docs: DataFrame, shingle: int = 3, tau: int = 2, doc_id: str = "
 
 
 CLASSES = 8
+#: Classes of each level for rows with a class that over ``CROWD`` others have too, and how many of them must be rarer.
+MORE_CLASSES, QUIET = 64, 8
 BINS = 256
 #: Rows of a bucket are compared in blocks of about so many with each other.
 BLOCK = 512
@@ -275,8 +277,10 @@ def without_near_copies(docs: DataFrame, shingle: int = 5, least: float = 0.8, t
     Rows are near copies if the sets of their shingles of ``shingle`` words have a Jaccard similarity of ``least``
     or more; groups are connected over such pairs. Candidates: equal sets; whole-text fingerprints within ``tau``
     bits; and one equal class fingerprint. Each row meets the first row of its bucket, and then every row of it that
-    is not yet in its own group. Candidates whose profiles rule out ``least`` cannot have it; all others are verified
-    by the whole sets. Null texts and texts without a word are copies of each other.
+    is not yet in its own group. A class of over ``CROWD`` different sets (a passage that very many texts hold) says
+    little: its rows get many more classes instead and meet in the rarer ones, so that work grows with the rows; only a
+    row with too few rare classes still meets all rows of its crowded ones. Candidates whose profiles rule out ``least``
+    cannot have it; all others are verified by the whole sets. Null texts and texts without a word are copies of each other.
     """
     chunks = write_chunks(docs, text)
     profiles = materialize(_profiles(chunks, doc_id, text, shingle), "profiles")
@@ -285,7 +289,7 @@ def without_near_copies(docs: DataFrame, shingle: int = 5, least: float = 0.8, t
     heads = materialize(rows.groupBy("set").agg(F.min("node").alias("head"), F.first("fp").alias("fp")), "heads")
     classes = rows.join(heads.select("set", F.col("head").alias("node")), ["set", "node"], "left_semi").select(
         "node", F.explode("classes").alias("class"))
-    classes = materialize(classes, "classes")
+    classes, crowded, lonely = _with_more_classes(materialize(classes, "classes"), chunks, text, shingle)
     firsts = classes.groupBy("class").agg(F.min("node").alias("a"), F.count(F.lit(1)).alias("n")).where("n > 1").drop("n")
     by_class = classes.join(firsts, "class").where("node <> a").select("a", F.col("node").alias("b"))
     fps = materialize(heads.groupBy("fp").agg(F.min("head").alias("a")), "fps")
@@ -301,12 +305,14 @@ def without_near_copies(docs: DataFrame, shingle: int = 5, least: float = 0.8, t
     verified = materialize(_verified(likely, chunks, least, text, shingle), "verified")
     roots = components(verified)
     # A bucket's first row has met all others of it.
-    rest = classes.join(firsts, "class").where("node <> a").select(F.xxhash64(F.lit("class"), "class").alias("key"), "node")
+    quiet = classes.join(crowded, "class", "left_anti")
+    rest = quiet.join(firsts, "class").where("node <> a").select(F.xxhash64(F.lit("class"), "class").alias("key"), "node")
+    held = _held_crowds(classes, crowded, lonely)
     rest = materialize(rest.unionByName(same_fp.select(F.xxhash64(F.lit("fp"), "fp").alias("key"), F.col("b").alias("node"))), "rest")
     for most in ROUNDS:
         rooted = heads.join(roots.withColumnRenamed("v", "head"), "head", "left").select(
             F.col("head").alias("node"), "fp", F.coalesce("root", "head").alias("root"))
-        found = materialize(_unsettled(rest, linked, materialize(rooted, "rooted"), sides, least, most), "unsettled")
+        found = materialize(_unsettled(rest, held, linked, materialize(rooted, "rooted"), sides, least, most), "unsettled")
         if not found.limit(1).count():
             break
         more = _verified(found.select("a", "b").distinct(), chunks, least, text, shingle)
@@ -352,12 +358,61 @@ def _judged(pairs: DataFrame, sides: DataFrame, test) -> DataFrame:
     return both.mapInArrow(run, "a long, b long")
 
 
-def _unsettled(rest: DataFrame, linked: DataFrame, rooted: DataFrame, sides: DataFrame, least: float, most: int) -> DataFrame:
+def _with_more_classes(classes: DataFrame, chunks: DataFrame, text: str, shingle: int) -> tuple[DataFrame, DataFrame, DataFrame | None]:
+    """All classes (node, class), the crowded ones (class), and the rows with too few others (node); None for no rows.
+
+    Rows that have a crowded class get ``MORE_CLASSES`` of each level, made again from their texts.
+    """
+    crowd = lambda c: materialize(c.groupBy("class").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > CROWD).select("class"), "crowded")
+    crowded = crowd(classes)
+    if crowded.isEmpty():
+        return classes, crowded, None
+    busy = materialize(classes.join(crowded, "class", "left_semi").select("node").distinct(), "busy")
+
+    def run(batches):
+        for nodes, texts in _texts(batches, text):
+            made = [class_fingerprints(np.unique(shingle_hashes(t, shingle)), MORE_CLASSES) for t in texts]
+            yield pa.RecordBatch.from_arrays([pa.array(nodes, pa.int64()), pa.array(made, pa.list_(pa.int64()))], names=["node", "classes"])
+
+    more = _asked(busy, chunks).mapInArrow(run, "node long, classes array<long>").select("node", F.explode("classes").alias("class"))
+    classes = materialize(classes.unionByName(more).distinct(), "classes")
+    crowded = crowd(classes)
+    rare = classes.join(busy, "node", "left_semi").join(crowded, "class", "left_anti").groupBy("node").agg(F.count(F.lit(1)).alias("n"))
+    # Both levels count, and a pair has one of them in common at least.
+    lonely = busy.join(rare.where(F.col("n") >= 2 * QUIET), "node", "left_anti")
+    return classes, crowded, materialize(lonely, "lonely")
+
+
+def _held_crowds(classes: DataFrame, crowded: DataFrame, lonely: DataFrame | None) -> DataFrame | None:
+    """(key, node, lonely): the rows of the crowded classes that hold a lonely row."""
+    if lonely is None or lonely.isEmpty():
+        return None
+    rows = classes.join(crowded, "class", "left_semi").join(lonely.withColumn("own", F.lit(True)), "node", "left")
+    rows = rows.select("class", "node", F.coalesce("own", F.lit(False)).alias("lonely"))
+    some = rows.where("lonely").select("class").distinct()
+    return materialize(rows.join(some, "class", "left_semi").select(F.xxhash64(F.lit("class"), "class").alias("key"), "node", "lonely"), "held")
+
+
+def _crowd_cells(held: DataFrame, rooted: DataFrame) -> DataFrame:
+    """Members of cells (key, x, y) where a block of lonely rows (block 0) meets a block of all rows of its class (block 1)."""
+    members = held.join(rooted.select("node", "root"), "node")
+    sizes = members.groupBy("key").agg(
+        F.ceil(F.count(F.lit(1)) / BLOCK).cast("int").alias("all"), F.ceil(F.count(F.when(F.col("lonely"), 1)) / BLOCK).cast("int").alias("own"))
+    members = members.join(sizes, "key")
+    dealt = lambda name: F.pmod(F.xxhash64("node"), F.col(name)).cast("int")
+    every = lambda name: F.explode(F.expr(f"sequence(0, {name} - 1)"))
+    asking = members.where("lonely").withColumn("x", dealt("own")).withColumn("y", every("all")).withColumn("block", F.lit(0))
+    others = members.withColumn("y", dealt("all")).withColumn("x", every("own")).withColumn("block", F.lit(1))
+    return asking.unionByName(others).select("key", "node", "root", "block", "x", (-1 - F.col("y")).alias("y"))
+
+
+def _unsettled(rest: DataFrame, held: DataFrame | None, linked: DataFrame, rooted: DataFrame, sides: DataFrame, least: float, most: int) -> DataFrame:
     """(a, b, more): pairs of a bucket that are in different groups and that their profiles do not rule out.
 
-    Buckets: ``rest`` (key, node), and the rows of both fingerprints of a link. Those of one group are left out; the
-    others are compared block by block, and no pair becomes a row before its profiles are compared. A row names its
-    ``most`` likeliest partners per pair of blocks; ``more`` says that it has others.
+    Buckets: ``rest`` (key, node), the rows of both fingerprints of a link, and ``held`` (crowded classes, where only lonely
+    rows meet the others). Those of one group are left out; the others are compared block by block, and no pair
+    becomes a row before its profiles are compared. A row names its ``most`` likeliest partners per pair of blocks;
+    ``more`` says that it has others.
     """
     sizes = rooted.groupBy("fp").agg(F.count(F.lit(1)).alias("n"), F.min("root").alias("lo"), F.max("root").alias("hi"))
     side = lambda name: sizes.select(F.col("fp").alias(name), *(F.col(c).alias(f"{name}_{c}") for c in ("n", "lo", "hi")))
@@ -371,8 +426,11 @@ def _unsettled(rest: DataFrame, linked: DataFrame, rooted: DataFrame, sides: Dat
         F.count(F.lit(1)).alias("n"), F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo <> hi").select(
         "key", F.ceil(F.col("n") / BLOCK).cast("int").alias("blocks"))
     placed = members.join(mixed, "key").withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
-    placed = placed.join(sides, "node").withColumn("other", F.explode(F.expr("sequence(0, blocks - 1)")))
-    cells = placed.groupBy("key", F.least("block", "other").alias("x"), F.greatest("block", "other").alias("y")).agg(
+    placed = placed.withColumn("other", F.explode(F.expr("sequence(0, blocks - 1)"))).select(
+        "key", "node", "root", "block", F.least("block", "other").alias("x"), F.greatest("block", "other").alias("y"))
+    if held is not None:
+        placed = placed.unionByName(_crowd_cells(held, rooted))
+    cells = placed.join(sides, "node").groupBy("key", "x", "y").agg(
         F.collect_list(F.struct("node", "root", "block", "value")).alias("cell"))
 
     def run(batches):
@@ -412,18 +470,28 @@ def _unsettled(rest: DataFrame, linked: DataFrame, rooted: DataFrame, sides: Dat
 def _verified(likely: DataFrame, chunks: DataFrame, least: float, text: str, shingle: int) -> DataFrame:
     """The candidate pairs of enough similarity, by the sets made again from their texts."""
     nodes = likely.select(F.col("a").alias("node")).unionByName(likely.select(F.col("b").alias("node"))).distinct()
+
+    def run(batches):
+        for asked, texts in _texts(batches, text):
+            sets = [np.unique(shingle_hashes(t, shingle)).tobytes() for t in texts]
+            yield pa.RecordBatch.from_arrays([pa.array(asked, pa.int64()), pa.array(sets, pa.binary())], names=["node", "value"])
+
+    sets = materialize(_asked(nodes, chunks).mapInArrow(run, "node long, value binary"), "sets")
+    return _judged(likely, sets, lambda x, y: [similarity(p, q) >= least for p, q in zip(x, y)])
+
+
+def _asked(nodes: DataFrame, chunks: DataFrame) -> DataFrame:
+    """(rows, asked): the chunks with the numbers of the wanted rows (node) in each."""
     chunk = F.shiftleft(F.shiftright("node", 40), 32) + F.shiftright("node", 20).bitwiseAND((1 << 20) - 1)
     asked = nodes.select(chunk.alias("chunk"), F.col("node").bitwiseAND((1 << 20) - 1).alias("row"), "node")
     asked = asked.groupBy("chunk").agg(F.collect_list(F.struct("row", "node")).alias("asked"))
+    return answer_chunks(chunks, asked).select("rows", "asked")
 
-    def run(batches):
-        for batch in batches:
-            for data, wanted in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                if wanted:
-                    texts = column_bytes(chunk_rows(data)[text].combine_chunks())
-                    sets = [np.unique(shingle_hashes(texts[w["row"]], shingle)).tobytes() for w in wanted]
-                    yield pa.RecordBatch.from_arrays([pa.array([w["node"] for w in wanted], pa.int64()), pa.array(sets, pa.binary())],
-                                                     names=["node", "value"])
-
-    sets = materialize(answer_chunks(chunks, asked).select("rows", "asked").mapInArrow(run, "node long, value binary"), "sets")
-    return _judged(likely, sets, lambda x, y: [similarity(p, q) >= least for p, q in zip(x, y)])
+
+def _texts(batches, text: str):
+    """Numbers and texts of the wanted rows, chunk by chunk."""
+    for batch in batches:
+        for data, wanted in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+            if wanted:
+                texts = column_bytes(chunk_rows(data)[text].combine_chunks())
+                yield [w["node"] for w in wanted], [texts[w["row"]] for w in wanted]
