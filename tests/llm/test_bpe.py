@@ -55,3 +55,16 @@ def test_odd_rows(odd, odd_wide, none):
     assert {(r["text"], tuple(r["_ids"])) for r in wide.collect()} == {
         (r["text"], tuple(REFERENCE.encode_ordinary(r["text"] or ""))) for r in odd.collect()}
     assert bpe.digests(none, PATH, public_tokenizers.PATTERN).count() == 0
+
+
+def test_query(spark):
+    """The registered query on the whole table against the library."""
+    sf = "/root/testdata/sf0.001"
+    texts = {r["doc_id"]: r["text"] or "" for r in spark.read.parquet(f"{sf}/documents.parquet").collect()}
+    got = {r["doc_id"]: r for r in queries.op9_byte_bpe(spark, sf).collect()}
+    assert set(got) == set(texts)
+    for doc, text in texts.items():
+        ids = REFERENCE.encode_ordinary(text)
+        assert got[doc]["n_tokens"] == len(ids)
+        assert got[doc]["ids_sha256"] == hashlib.sha256(",".join(map(str, ids)).encode()).hexdigest()
+        assert got[doc]["decoded_sha256"] == hashlib.sha256(text.encode()).hexdigest()

@@ -85,3 +85,20 @@ def test_odd_rows_and_clashing_names(odd_wide, none, spark):
         assert (r["n_words"], *base(text or "")) == (len(words_of(text or "")), r["word_chars"], r["n_symbols"], r["n_dup_lines"], r["n_repeat_words"])
     empty = spark.createDataFrame([], "doc_id long, text string, lang string")
     assert quality.judge(empty)[0].count() == 0
+
+
+def test_query(spark):
+    """The registered query on whole tables: base counts and the base verdict by another way, and the method's verdict from the distances."""
+    from vecatlas.llm import queries
+
+    sf = "/root/testdata/sf0.001"
+    texts = {r["doc_id"]: r["text"] or "" for r in spark.read.parquet(f"{sf}/documents.parquet").collect()}
+    got = queries.op2_quality_rules(spark, sf).collect()
+    assert sorted(r["doc_id"] for r in got) == sorted(texts)
+    for r in got:
+        words = words_of(texts[r["doc_id"]])
+        if len(words) < 3000:  # the plain count of windows takes the square of a text
+            assert (r["word_chars"], r["n_symbols"], r["n_dup_lines"], r["n_repeat_words"]) == base(texts[r["doc_id"]])
+        assert r["n_words"] == len(words)
+        assert r["base_failed"] == (len(words) < 50 or 100 * r["n_repeat_words"] > 50 * len(words))
+        assert not (r["base_failed"] and r["kept"])
