@@ -22,8 +22,8 @@ from vecatlas.operators.cells import bounded_search, build_cell_index, probed_se
 from vecatlas.operators.digests import diff_by_digest, directory_digests, outermost_unchanged
 from vecatlas.operators.encode import HashingEncoder, encode, encode_texts
 from vecatlas.operators.export import export_manifest
-from vecatlas.operators.hits import resized, sorted_by, with_paths
-from vecatlas.operators.images import image_metadata, image_tensors
+from vecatlas.operators.hits import resized, sorted_by, with_paths, with_row_ids
+from vecatlas.operators.images import IMAGENET_MEAN, IMAGENET_STD, image_metadata, image_tensors
 from vecatlas.operators.neighbour_graph import graph_neighbours
 from vecatlas.operators.paths import register_roots, unregister_roots
 from vecatlas.operators.quantize import pq_search, train_codebooks
@@ -187,6 +187,17 @@ def search_result_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def search_score_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _displayed(spark, sf_dir).select("query_id", "path", "score_text")
+
+
+def search_repeated_paths(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Hits that share a path (here: their directory) get ids of their own."""
+    hits = plans.search(fx.gallery_vectors(spark, sf_dir), fx.vector_queries(spark, sf_dir), K)
+    named = with_row_ids(hits.withColumn("path", F.regexp_replace("path", "/[^/]*$", "")))
+    return named.select("query_id", F.col("rank").cast("long").alias("rank"), "row_id")
+
+
 def _sorted(column: str, descending: bool) -> Query:
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
         return sorted_by(_displayed(spark, sf_dir), column, descending).select(
@@ -609,6 +620,15 @@ def image_tensor_shrunk(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _tensor_rows(image_tensors(fx.pictures(spark, sf_dir), 3))
 
 
+def image_embedding_second_model(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The second model configuration: other mean and deviation, vectors not normalised."""
+    tensors = image_tensors(fx.pictures(spark, sf_dir), 4, IMAGENET_MEAN, IMAGENET_STD)
+    vectors = encode(tensors, "tensor", (3, 4, 4), "float32", fx.PlaneMeans(), normalization=False)
+    return vectors.select("vec_id", F.posexplode("embedding").alias("pos", "x")).select(
+        "vec_id", F.col("pos").cast("long").alias("pos"), F.round(F.col("x").cast("double"), 3).alias("x")
+    )
+
+
 def image_embedding(spark: SparkSession, sf_dir: str) -> DataFrame:
     tensors = image_tensors(fx.pictures(spark, sf_dir), 4)
     vectors = encode(tensors, "tensor", (3, 4, 4), "float32", fx.PlaneMeans())
@@ -643,6 +663,8 @@ def queries() -> dict[str, Query]:
         "search_kept_index": search_kept_index,
         "standing_topk_after_commits": standing_topk_after_commits,
         "search_result_columns": search_result_columns,
+        "search_score_text": search_score_text,
+        "search_repeated_paths": search_repeated_paths,
         "search_sorted_by_size": _sorted("size", False),
         "search_sorted_by_score": _sorted("score", True),
         "search_sorted_by_modified": _sorted("modified", False),
@@ -701,6 +723,7 @@ def queries() -> dict[str, Query]:
         "image_tensor_resized": image_tensor_resized,
         "image_tensor_shrunk": image_tensor_shrunk,
         "image_embedding": image_embedding,
+        "image_embedding_second_model": image_embedding_second_model,
     }
 
 

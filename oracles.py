@@ -261,13 +261,14 @@ _DAY = "try_cast(regexp_extract(line, '^\\d{4}-\\d{2}-\\d{2}') as date)"
 _PIXELS = "list_transform(embedding, lambda x: cast(floor(abs(cast(x as double)) * 100000) as bigint) % 256)"
 _BLEND = "(p[4 * i + 3 - c] * p[4 * i + 4] + 128)"
 # float32 arithmetic, as in the model input.
-_TENSOR = f"""(
+_MODELS = ("[0.48145466, 0.4578275, 0.40821073]", "[0.26862954, 0.26130258, 0.27577711]"), ("[0.485, 0.456, 0.406]", "[0.229, 0.224, 0.225]")
+_TENSOR, _OTHER_TENSOR = (f"""(
   select vec_id, c * 16 + i as pos,
     cast((cast((({_BLEND} >> 8) + {_BLEND}) >> 8 as float) / cast(255 as float)
-      - cast([0.48145466, 0.4578275, 0.40821073][c + 1] as float))
-      / cast([0.26862954, 0.26130258, 0.27577711][c + 1] as float) as double) as x
+      - cast({mean}[c + 1] as float))
+      / cast({std}[c + 1] as float) as double) as x
   from (select vec_id, cast({_PIXELS} as bigint[]) as p from embeddings where embedding[4] >= -0.15) e,
-       (select unnest(range(3)) as c) planes, (select unnest(range(16)) as i) pixels)"""
+       (select unnest(range(3)) as c) planes, (select unnest(range(16)) as i) pixels)""" for mean, std in _MODELS)
 
 _CUBIC = """case when abs(d) < 1 then (1.5 * abs(d) - 2.5) * d * d + 1
     when abs(d) < 2 then ((-0.5 * abs(d) + 2.5) * abs(d) - 4) * abs(d) + 2 else 0 end"""
@@ -322,6 +323,10 @@ ORACLES = {
     "search_result_columns": f"""select query_id, rank, path, substr(md5(path), 1, 16) as row_id,
       {_size_text()} as size_text, strftime(modified, '%Y-%m-%d %H:%M:%S') as modified_text, shown as score
       from {_SHOWN} s""",
+    "search_score_text": f"select query_id, path, printf('%.2f%%', 100 * (1 - d)) as score_text from {_SHOWN} s",
+    "search_repeated_paths": f"""select query_id, rank, substr(md5(dir), 1, 16)
+        || repeat('#', cast(row_number() over (partition by query_id, dir order by rank) - 1 as int)) as row_id
+      from (select query_id, rank, regexp_replace(path, '/[^/]*$', '') as dir from {_hits()} h) s""",
     "search_after_sync": _knn(gallery=_LATER_GALLERY),
     "knn_cells_after_upserts": _knn(gallery=_LATER_GALLERY),
     "search_kept_index": _knn(gallery=_LATER_GALLERY),
@@ -430,6 +435,10 @@ ORACLES = {
     "image_tensor": f"select vec_id, pos, round(x, 4) as x from {_TENSOR} t",
     "image_tensor_resized": _resized(4, 8),
     "image_tensor_shrunk": _resized(4, 3),
+    "image_embedding_second_model": f"""
+      with planes as (select vec_id, pos // 16 as c, avg(x) as mean, stddev_pop(x) as deviation
+        from {_OTHER_TENSOR} t group by all)
+      select vec_id, c as pos, round(mean, 3) as x from planes union all select vec_id, 3 + c, round(deviation, 3) from planes""",
     "image_embedding": f"""
       with planes as (select vec_id, pos // 16 as c, avg(x) as mean, stddev_pop(x) as deviation
         from {_TENSOR} t group by all),

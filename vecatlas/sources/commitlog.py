@@ -149,8 +149,9 @@ class CommitLog:
         """
         tail, base = self.tail(before).filter("path is not null"), self._folded("paths", f"{_PATHS}, bucket int")
         if only is not None:
-            wanted = [r["bucket"] for r in only.select(bucket(F.col("path")).alias("bucket")).distinct().collect()]  # at most BUCKETS
             tail = tail.join(only.select("path"), "path", "left_semi")
+        if only is not None and self._base()[2]:
+            wanted = [r["bucket"] for r in only.select(bucket(F.col("path")).alias("bucket")).distinct().collect()]  # at most BUCKETS
             base = base.filter(F.col("bucket").isin(wanted)).join(only.select("path"), "path", "left_semi")
         kept = F.col("op").isin("put", "delete")
         last = F.max_by(F.when(kept, F.struct(F.when(F.col("op") == "put", F.col("slot")).alias("slot"), "size")), F.when(kept, _newest()))
