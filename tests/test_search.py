@@ -243,3 +243,27 @@ def test_all_of_a_query_counts(spark):
     assert window_search(windows, asked, vocabulary, HashingEncoder(32), 2).count() == 2
     found = window_search(windows, long, vocabulary, HashingEncoder(32), 2).orderBy("rank").collect()
     assert [r["slot"] for r in found] == [0, 1] and found[0]["score"] > found[1]["score"]
+
+
+@pytest.mark.parametrize("metric", ["cosine", "l2"])
+def test_cells_in_two_steps(spark, metric, monkeypatch):
+    """With a lowered limit the centres form a tree: the same hits, kept and changed as with one list."""
+    monkeypatch.setattr(cells, "BRANCH", 4)
+    pick = np.random.default_rng(8)
+    data = np.concatenate([pick.normal(size=(60, 6)) * 0.1 + 3, pick.normal(size=(240, 6))]).astype(np.float32)
+    vectors = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(data)] + [(900, None)], "slot long, embedding array<float>")
+    asked = vectors.select(F.col("slot").alias("query_id"), "embedding").filter("slot % 5 = 0")
+    found = lambda hits: sorted((r["query_id"], r["rank"], r["slot"]) for r in hits.collect())
+    want = found(topk.topk_search(vectors, asked, 6, metric))
+    path = scratch_path(spark, "cells")
+    built = cells.build_cell_index(vectors, path, 30, metric)
+    index = cells.CellIndex.load(spark, path)
+    assert built.tree is not None and len(index.tree.coarse) == 6 and (index.tree.starts == built.tree.starts).all()
+    assert 20 <= len(index.centers) <= 40 and index.tree.starts[-1] == len(index.centers)
+    assert found(cells.probed_search(index, asked, 6, len(index.centers))) == want == found(cells.bounded_search(index, asked, 6))
+    index.apply(vectors.filter("slot = 3").select("slot", F.transform("embedding", lambda x: -x).alias("embedding")), 1)
+    turned = vectors.withColumn("embedding", F.when(F.col("slot") == 3, F.transform("embedding", lambda x: -x)).otherwise(F.col("embedding")))
+    assert found(cells.bounded_search(index, asked, 6)) == found(topk.topk_search(turned, asked, 6, metric))
+    monkeypatch.setattr(cells, "MAX_CENTER_BYTES", 480)
+    with pytest.raises(ValueError):
+        cells.build_cell_index(vectors, scratch_path(spark, "cells"), 30, metric)

@@ -8,6 +8,7 @@ that holds a third of all vectors, or attracts a third of all queries, is cut in
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -19,6 +20,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from vecatlas.functions import vectors as V
+from vecatlas.operators.sums import summed
 from vecatlas.operators.topk import (
     RunningTopK,
     bounded_queries,
@@ -32,7 +34,12 @@ from vecatlas.sources.storage import Storage
 
 VECTORS_PER_BLOCK = 65_536
 QUERIES_PER_BLOCK = 8_192
-MAX_CELLS = 16_384
+#: Beyond so many cells they are found in two steps: the nearest of about as many coarse centres as their square root, then
+#: the nearest centre of that branch.
+BRANCH = 1024
+#: All centres are held by driver and tasks, within this bound.
+MAX_CENTER_BYTES = 256 << 20
+_CENTER_ROUNDS, _POINTS_PER_CELL, _BLOCK_CELLS = 4, 8, 4_000_000
 MAX_DIRECT_QUERIES = 2_000
 _SLACK = 1e-6
 # Distances are rounded to a grid: of 1e-10 (cosine), or of the squared lengths' sum over 2^29 at most (L2).
@@ -54,6 +61,7 @@ class CellIndex:
     metric: str
     centers: np.ndarray
     spark: SparkSession
+    tree: CenterTree | None = None
 
     def _changes(self) -> DataFrame | None:
         folder = f"{self.path}/changes"
@@ -80,11 +88,11 @@ class CellIndex:
 
     def apply(self, changes: DataFrame, seq: int) -> None:
         """Upsert ``changes(slot, embedding)``; a null embedding deletes. Applying a ``seq`` again rewrites it."""
-        shared, metric = self.spark.sparkContext.broadcast(self.centers), self.metric
+        shared, metric = self.spark.sparkContext.broadcast((self.centers, self.tree)), self.metric
         known = changes.select(F.col("slot").cast("long").alias("slot"), "embedding")
 
         def assign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            yield from (_with_cells(metric, shared.value, batch) for batch in batches)
+            yield from (_with_cells(metric, *shared.value, batch) for batch in batches)
 
         put = known.filter("embedding is not null").mapInArrow(assign, "slot long, embedding array<float>, reach double, cell int")
         gone = known.filter("embedding is null").select(
@@ -108,7 +116,7 @@ class CellIndex:
         base, stats = self.spark.read.parquet(f"{self.path}/vectors"), f"{self.path}/stats"
         slots = changes.select("slot").distinct()
         old = base.join(slots, "slot", "left_semi").select("cell")
-        touched = sorted(r["cell"] for r in old.unionByName(changes.filter("cell >= 0").select("cell")).distinct().collect())  # at most MAX_CELLS
+        touched = sorted(r["cell"] for r in old.unionByName(changes.filter("cell >= 0").select("cell")).distinct().collect())  # at most all cells
         kept = base.filter(F.col("cell").isin(touched)).join(slots, "slot", "left_anti").select("slot", "embedding", "reach", "cell")
         new = materialize(kept.unionByName(_latest(changes)), "cells")
         new.hint("rebalance", "cell").write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("cell").parquet(f"{self.path}/vectors")
@@ -123,7 +131,11 @@ class CellIndex:
     @classmethod
     def load(cls, spark: SparkSession, path: str) -> CellIndex:
         rows = spark.read.parquet(f"{path}/centers").orderBy("cell").collect()
-        return cls(path, rows[0]["metric"], np.array([r["center"] for r in rows]), spark)
+        tree = None
+        if Storage(spark).exists(f"{path}/coarse"):
+            coarse = spark.read.parquet(f"{path}/coarse").orderBy("branch").collect()
+            tree = CenterTree(np.array([r["center"] for r in coarse]), np.array([0, *(r["until"] for r in coarse)]))
+        return cls(path, rows[0]["metric"], np.array([r["center"] for r in rows]), spark, tree)
 
 
 def _latest(changes: DataFrame) -> DataFrame:
@@ -133,17 +145,37 @@ def _latest(changes: DataFrame) -> DataFrame:
     return last.select("slot", "c.*").filter("cell >= 0")
 
 
-def _nearest_center(metric: str, centers: np.ndarray, batch: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray]:
+@dataclass(frozen=True)
+class CenterTree:
+    """Coarse centres; the cells of branch b are those from ``starts[b]`` to ``starts[b + 1]``."""
+
+    coarse: np.ndarray
+    starts: np.ndarray
+
+    def nearest(self, points: np.ndarray, centers: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        branch = center_distances(points, self.coarse).argmin(axis=1)
+        cell, reach = np.zeros(len(points), np.int64), np.zeros(len(points))
+        for b in np.unique(branch):
+            at = np.flatnonzero(branch == b)
+            far = center_distances(points[at], centers[self.starts[b] : self.starts[b + 1]])
+            best = far.argmin(axis=1)
+            cell[at], reach[at] = self.starts[b] + best, far[np.arange(len(at)), best]
+        return cell, reach
+
+
+def _nearest_center(metric: str, centers: np.ndarray, tree: CenterTree | None, batch: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray]:
     matrix = to_matrix(batch.column("embedding"), centers.shape[1])
     if metric == "cosine":
         matrix = unit_rows(matrix)
+    if tree is not None:
+        return tree.nearest(matrix, centers)
     reach = center_distances(matrix, centers)
     cell = reach.argmin(axis=1)
     return cell, reach[np.arange(len(cell)), cell]
 
 
-def _with_cells(metric: str, centers: np.ndarray, batch: pa.RecordBatch) -> pa.RecordBatch:
-    cell, reach = _nearest_center(metric, centers, batch)
+def _with_cells(metric: str, centers: np.ndarray, tree: CenterTree | None, batch: pa.RecordBatch) -> pa.RecordBatch:
+    cell, reach = _nearest_center(metric, centers, tree, batch)
     return pa.RecordBatch.from_arrays(
         [batch.column("slot"), batch.column("embedding"), pa.array(reach), pa.array(cell.astype(np.int32))],
         names=["slot", "embedding", "reach", "cell"],
@@ -171,21 +203,73 @@ def _trained_centers(known: DataFrame, cells: int, metric: str, seed: int) -> np
     return np.array(model.clusterCenters(), dtype=np.float64)
 
 
+def _grown_tree(known: DataFrame, cells: int, metric: str, seed: int) -> tuple[np.ndarray, CenterTree]:
+    """Centres in two steps: coarse ones by k-means, each with as many cells as its share of the rows.
+
+    The cells of all branches are fitted at once: their first centres are rows of a bounded sample (by hash of slot), and in
+    each round a task sends sums and counts per centre of all its rows.
+    """
+    coarse = _trained_centers(known, math.isqrt(cells - 1) + 1, metric, seed)
+    dim = coarse.shape[1]
+
+    def points(batch: pa.RecordBatch) -> np.ndarray:
+        matrix = to_matrix(batch.column("embedding"), dim)
+        return unit_rows(matrix) if metric == "cosine" else matrix
+
+    def populations(batches):
+        for batch in batches:
+            yield 0, np.bincount(center_distances(points(batch), coarse).argmin(axis=1), minlength=len(coarse))
+
+    vectors = known.select("embedding")
+    shares = summed(vectors, (len(coarse),), np.int64, populations)[0]
+    wanted = np.maximum(1, np.round(cells * shares / shares.sum())).astype(int)
+    first = known.orderBy(F.xxhash64("slot"), "slot").limit(_POINTS_PER_CELL * cells).select("embedding").toArrow()
+    sample = unit_rows(to_matrix(first.column("embedding"), dim)) if metric == "cosine" else to_matrix(first.column("embedding"), dim)
+    branch = center_distances(sample, coarse).argmin(axis=1)
+    groups = []
+    for b, count in enumerate(wanted):
+        own = np.unique(sample[branch == b], axis=0)
+        groups.append(own[np.random.default_rng(seed + b).permutation(len(own))[:count]] if len(own) else coarse[b : b + 1])
+    tree = CenterTree(coarse, np.cumsum([0, *map(len, groups)]))
+    centers = np.concatenate(groups)
+    for _ in range(_CENTER_ROUNDS):
+        def moments(batches, centers=centers):
+            total = np.zeros((len(centers), dim + 1))
+            for batch in batches:
+                matrix = points(batch)
+                cell, _ = tree.nearest(matrix, centers)
+                np.add.at(total, (cell, slice(0, dim)), matrix)
+                total[:, -1] += np.bincount(cell, minlength=len(centers))
+            yield 0, total
+
+        total = summed(vectors, (len(centers), dim + 1), np.float64, moments)[0]
+        held = total[:, -1:]
+        centers = np.where(held > 0, total[:, :-1] / np.maximum(held, 1), centers)
+    return centers, tree
+
+
+def max_cells(dim: int) -> int:
+    return max(1, MAX_CENTER_BYTES // (8 * max(1, dim)))
+
+
 def build_cell_index(
     vectors: DataFrame, path: str, cells: int = 32, metric: str = "cosine", seed: int = 42, centers: np.ndarray | None = None
 ) -> CellIndex:
     """Train the quantizer (or take the given centres), assign every vector to its cell and write the index to ``path``."""
     V.check_metric(metric)
-    if not 0 < cells <= MAX_CELLS:
-        raise ValueError(f"cells must be in 1..{MAX_CELLS}")
     spark = vectors.sparkSession
     known = vectors.filter("embedding is not null").select(F.col("slot").cast("long"), "embedding")
-    if centers is None:
+    first, tree = known.select(F.size("embedding")).first(), None
+    if cells <= 0 or first is not None and cells > max_cells(first[0]):
+        raise ValueError(f"cells must be positive, and their centres take at most {MAX_CENTER_BYTES} bytes")
+    if centers is None and cells > BRANCH and first is not None:
+        centers, tree = _grown_tree(known, cells, metric, seed)
+    elif centers is None:
         centers = _trained_centers(known, cells, metric, seed)
-    shared = spark.sparkContext.broadcast(centers)
+    shared = spark.sparkContext.broadcast((centers, tree))
 
     def assign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        yield from (_with_cells(metric, shared.value, batch) for batch in batches)
+        yield from (_with_cells(metric, *shared.value, batch) for batch in batches)
 
     assigned = known.mapInArrow(assign, "slot long, embedding array<float>, reach double, cell int")
     # Rebalancing gathers each cell into few files and splits a cell that is too large for one task.
@@ -199,7 +283,10 @@ def build_cell_index(
     small_table(spark, kept, "cell long, center array<double>, metric string").coalesce(1).write.parquet(
         f"{path}/centers"
     )
-    return CellIndex(path, metric, centers, spark)
+    if tree is not None:
+        coarse = {"branch": list(range(len(tree.coarse))), "center": tree.coarse.tolist(), "until": tree.starts[1:].tolist()}
+        small_table(spark, coarse, "branch long, center array<double>, until long").coalesce(1).write.parquet(f"{path}/coarse")
+    return CellIndex(path, metric, centers, spark, tree)
 
 
 def probed_search(index: CellIndex, queries: DataFrame, k: int = 10, nprobe: int = 8) -> DataFrame:
@@ -259,7 +346,8 @@ def _probes(
 
     def choose(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         centers, radii = shared.value
-        for batch in batches:
+        rows = max(1, _BLOCK_CELLS // len(centers))
+        for batch in (whole.slice(lo, rows) for whole in batches for lo in range(0, whole.num_rows, rows)):
             points = to_matrix(batch.column("embedding"), centers.shape[1])
             if metric == "cosine":
                 points = unit_rows(points)
@@ -288,7 +376,7 @@ def _block_join(index: CellIndex, probes: DataFrame, k: int, schema: str) -> Dat
     """Per-block top-k of vectors and probing queries that share a cell."""
     metric = index.metric
     probes = materialize(probes, "probes")
-    # One row per cell, and cells are at most MAX_CELLS, so the sizes may be broadcast.
+    # One row per cell, far smaller than the cells' centres, which every task holds.
     sizes = F.broadcast(
         index.stats.select("cell", F.ceil(F.col("rows") / VECTORS_PER_BLOCK).cast("int").alias("nv"))
         .join(
@@ -358,6 +446,7 @@ def exact_cell_join(vectors: DataFrame, queries: DataFrame, k: int, metric: str)
     """Exact top-k through a cell index written for this one search."""
     spark = vectors.sparkSession
     rows = vectors.filter("embedding is not null").count()
-    cells = max(16, min(MAX_CELLS, int(rows**0.5)))
+    first = vectors.filter("embedding is not null").select(F.size("embedding")).first()
+    cells = max(16, min(max_cells(first[0] if first else 1), int(rows**0.5)))
     index = build_cell_index(vectors, scratch_path(spark, "cells"), cells, metric)
     return bounded_search(index, queries, k)
