@@ -43,7 +43,6 @@ from vecatlas.session import materialize
 TABLES, HASHES, WIDTH, TARGET = 2, 6, 2.5, 0.98
 SAMPLE, SCALES, BLOCK, SEED = 256, 8, 8192, 11
 _QUERIES = 128
-_ROUTED = "tab int, grp long, part long, query boolean, id long, v array<double>, buckets array<long>"
 
 
 @dataclass(frozen=True)
@@ -116,7 +115,9 @@ def _bucket(cells: np.ndarray, table: int) -> np.ndarray:
 def usable(rows: DataFrame, vec_id: str, vector: str) -> DataFrame:
     """(vec_id, v) of the rows that take part."""
     known = rows.where(complete(F.col(vector)) & F.exists(vector, lambda x: x != 0) & F.col(vec_id).isNotNull())
-    known = known.select(F.col(vec_id).cast("long").alias("vec_id"), F.col(vector).cast("array<double>").alias("v"))
+    kind = rows.schema[vector].dataType.simpleString()  # single precision travels as such, and is compared in double
+    v = F.col(vector) if kind == "array<float>" else F.col(vector).cast("array<double>")
+    known = known.select(F.col(vec_id).cast("long").alias("vec_id"), v.alias("v"))
     return known.where(F.size("v") == common_length(known, "v"))
 
 
@@ -163,7 +164,11 @@ def index(points: DataFrame, model: HashModel) -> DataFrame:
 
     small_batches(points.sparkSession)
     dealt = points.select("vec_id", "v", F.monotonically_increasing_id().alias("turn"))
-    return dealt.mapInArrow(run, "tab int, grp long, turn long, bucket long, vec_id long, v array<double>")
+    return dealt.mapInArrow(run, f"tab int, grp long, turn long, bucket long, vec_id long, v {_kind(points)}")
+
+
+def _kind(rows: DataFrame) -> str:
+    return rows.schema["v"].dataType.simpleString()
 
 
 def _probes(queries: DataFrame, model: HashModel) -> DataFrame:
@@ -180,7 +185,7 @@ def _probes(queries: DataFrame, model: HashModel) -> DataFrame:
                 [pa.array(out["tab"], pa.int32()), pa.array(out["grp"], pa.int64()), *(c.take(pa.array(out["at"], pa.int64())) for c in batch.columns),
                  pa.array(out["buckets"], pa.list_(pa.int64()))], names=["tab", "grp", "vec_id", "v", "buckets"])
 
-    return queries.mapInArrow(run, "tab int, grp long, vec_id long, v array<double>, buckets array<long>")
+    return queries.mapInArrow(run, f"tab int, grp long, vec_id long, v {_kind(queries)}, buckets array<long>")
 
 
 def _nearest(queries: np.ndarray, ids: np.ndarray, rows: np.ndarray, row_ids: np.ndarray, may: np.ndarray, k: int):
