@@ -26,9 +26,9 @@ def _sorted_stage(df: DataFrame, order: list[str]) -> DataFrame:
 def _with_offsets(stage: DataFrame, total: Column) -> tuple[DataFrame, int | float]:
     """Add ``_offset``, the total of all earlier partitions; the driver sees one row per partition."""
     spark = stage.sparkSession
-    totals = stage.groupBy("_part").agg(total.alias("t")).orderBy("_part").collect()
+    totals = stage.groupBy("_part").agg(total.alias("t")).collect()
     parts, offsets, running = [], [], 0
-    for row in totals:
+    for row in sorted(totals, key=lambda row: row["_part"]):
         parts.append(row["_part"])
         offsets.append(running)
         running += row["t"]
