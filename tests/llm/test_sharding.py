@@ -1,3 +1,5 @@
+import itertools
+import random
 from collections import Counter, defaultdict
 
 import pytest
@@ -8,7 +10,7 @@ from vecatlas.llm import queries, sharding
 
 def place(spark, keys, shards=4, **options):
     rows = spark.createDataFrame([(i, k) for i, k in enumerate(keys)], "id long, h1 long").withColumn("h2", F.col("h1"))
-    got = sharding.shard_by_groups(sharding.numbered(rows), ["h1", "h2"], shards, **options).collect()
+    got = sharding.shard_by_groups(*sharding.numbered(rows), ["h1", "h2"], shards, **options)[0].collect()
     assert sorted(r["id"] for r in got) == list(range(len(keys)))
     by = defaultdict(list)
     for r in got:
@@ -40,7 +42,64 @@ def test_only_groups_one_shard_and_nothing(spark):
     assert place(spark, [i % 2 for i in range(9)], shards=1)
     assert not place(spark, [None] * 5, shards=2)
     rows = spark.createDataFrame([], "id long, h1 long, h2 long")
-    assert sharding.shard_by_groups(sharding.numbered(rows), ["h1", "h2"], 3).count() == 0
+    placed = sharding.shard_by_groups(*sharding.numbered(rows), ["h1", "h2"], 3)[0]
+    assert placed.count() == 0 and tuple(sharding.cut_edges(placed, ["h1", "h2"]).first()) == (0, 0)
+
+
+def test_odd_rows_and_clashing_names(odd):
+    """Null texts are not linked, empty and equal ones are; repeated rows and missing ids are placed one by one."""
+    wide = odd.select("doc_id", F.col("text").alias("grp"), F.lit(1).alias("node"), F.lit("x").alias("Shard"), F.lit(2).alias("slot"),
+                      F.lit(3).alias("n"), F.lit(4).alias("key0"))
+    placed, shard, slot = sharding.shard_by_groups(*sharding.numbered(wide), ["grp"], 3)
+    assert (shard, slot) == ("_shard", "_slot") and placed.columns == [*wide.columns, "_node", shard, slot]
+    got = placed.collect()
+    assert sorted(map(str, (r[: len(wide.columns)] for r in got))) == sorted(map(str, (tuple(r) for r in wide.collect())))
+    sizes = Counter(r[shard] for r in got)
+    assert max(sizes.values()) - min(sizes.values()) <= 1
+    assert sorted((r[shard], r[slot]) for r in got) == [(s, i) for s in sorted(sizes) for i in range(sizes[s])]
+    shards, texts = ({i: r[name] for i, r in enumerate(got)} for name in (shard, "grp"))
+    assert tuple(sharding.cut_edges(placed, ["grp"], shard).first()) == pairs_cut(shards, texts)
+
+
+def pairs_cut(shard_of, group_of):
+    """Edges and cut edges, pair by pair."""
+    linked = [(a, b) for a, b in itertools.combinations(sorted(group_of), 2) if group_of[a] is not None and group_of[a] == group_of[b]]
+    return len(linked), sum(shard_of[a] != shard_of[b] for a, b in linked)
+
+
+def serial(group_of, shards):
+    """Plain balanced label propagation, a node at a time: to the shard of most neighbours that has room."""
+    nodes, loads = sorted(group_of), Counter()
+    room = -(-len(nodes) // shards)
+    shard_of = {v: i % shards for i, v in enumerate(nodes)}
+    loads.update(shard_of.values())
+    for _ in range(16):
+        for v in nodes:
+            near = Counter(shard_of[u] for u in nodes if u != v and group_of[v] is not None and group_of[u] == group_of[v])
+            best = max(range(shards), key=lambda s: (near[s], s == shard_of[v]))
+            if best == shard_of[v] or near[best] <= near[shard_of[v]]:
+                continue
+            if loads[best] >= room:  # a node without links makes room
+                idle = next((u for u in nodes if shard_of[u] == best and group_of[u] is None), None)
+                if idle is None:
+                    continue
+                shard_of[idle] = shard_of[v]
+            else:
+                loads[best] += 1
+                loads[shard_of[v]] -= 1
+            shard_of[v] = best
+    return shard_of
+
+
+def test_cut_edges_against_serial_propagation(spark):
+    pick = random.Random(3)
+    group_of = {i: None if i >= 160 else pick.choice([1, 1, 2, *range(3, 40)]) for i in range(240)}
+    rows = spark.createDataFrame(list(group_of.items()), "id long, site long")
+    placed, shard, _ = sharding.shard_by_groups(*sharding.numbered(rows), ["site"], 4)
+    shard_of = {r["id"]: r[shard] for r in placed.collect()}
+    edges, cut = pairs_cut(shard_of, group_of)
+    assert tuple(sharding.cut_edges(placed, ["site"], shard).first()) == (edges, cut)
+    assert cut <= pairs_cut(serial(group_of, 4), group_of)[1]
 
 
 def test_linked_by_several_groups(spark):

@@ -16,13 +16,14 @@ TOKENIZER = "byte_bpe_multi_50k.tiktoken"
 
 
 def op1_label_propagation(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Equal texts are linked (empty ones too); null texts have no links."""
     docs = documents(spark, sf_dir)
-    rows = sharding.numbered(docs.select(
+    rows, node = sharding.numbered(docs.select(
         F.col("doc_id").cast("long").alias("doc_id"), (F.coalesce(F.octet_length("text"), F.lit(0)) + 1).cast("long").alias("size"),
         F.coalesce(F.crc32("text"), F.lit(0)).cast("long").alias("text_crc32"),
         F.when(F.col("text").isNotNull(), F.xxhash64("text")).alias("h1"), F.xxhash64(F.lit(1), "text").alias("h2")))
-    placed = sharding.shard_by_groups(rows, ["h1", "h2"], shards=8)
-    return placed.select("doc_id", "size", "text_crc32", F.lit("rows").alias("law"), "shard", "slot",
+    placed, shard, slot = sharding.shard_by_groups(rows, node, ["h1", "h2"], shards=8)
+    return placed.select("doc_id", "size", "text_crc32", F.lit("rows").alias("law"), shard, slot,
                          F.lit(None).cast("int").alias("grown_shard"))
 
 

@@ -18,6 +18,7 @@ from collections import defaultdict
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from vecatlas.llm.tables import free_name
 from vecatlas.operators.ranking import row_index
 from vecatlas.session import materialize, small_table
 
@@ -141,16 +142,43 @@ def even_out(labels: DataFrame, shards: int) -> DataFrame:
     return out.select("node", F.col("to").alias("shard"), slot.alias("slot"))
 
 
-def shard_by_groups(rows: DataFrame, keys: list[str], shards: int, rounds: int = ROUNDS) -> DataFrame:
-    """``rows`` (each with a unique long ``node``) with shard and slot; rows with equal, non-null keys are linked."""
-    known = rows.where(F.col(keys[0]).isNotNull())
-    groups = known.groupBy(*keys).agg(F.min("node").alias("grp"), F.count(F.lit(1)).alias("n")).where("n > 1").drop("n")
-    groups = materialize(groups, "groups")
-    links = materialize(known.select("node", *keys).join(groups, keys).select("node", "grp"), "links")
-    placed = even_out(propagate(rows.select("node"), links, shards, rounds=rounds), shards)
-    return rows.join(placed, "node")
+def shard_by_groups(rows: DataFrame, node: str, keys: list[str], shards: int, rounds: int = ROUNDS) -> tuple[DataFrame, str, str]:
+    """``rows`` with a shard and a slot; rows with equal keys are linked. Also returns the two columns' names.
+
+    ``node`` names a column of unique longs, as ``numbered`` adds it. Rows with a null among their keys have no
+    links and go where there is room; empty strings are keys like any other. Repeated rows are placed one by
+    one. An empty table stays empty.
+    """
+    shard, slot = (free_name(x, rows.columns) for x in ("shard", "slot"))
+    links = _links(rows, node, keys)
+    groups = materialize(links.groupBy(*_keys(keys)).agg(F.min("node").alias("grp"), F.count(F.lit(1)).alias("n")).where("n > 1").drop("n"),
+                         "groups")
+    links = materialize(links.join(groups, _keys(keys)).select("node", "grp"), "links")
+    placed = even_out(propagate(rows.select(F.col(node).alias("node")), links, shards, rounds=rounds), shards)
+    return rows.join(placed.toDF(node, shard, slot), node).select(*rows.columns, shard, slot), shard, slot
+
+
+def _keys(keys: list[str]) -> list[str]:
+    return [f"key{i}" for i in range(len(keys))]
+
+
+def _links(rows: DataFrame, node: str, keys: list[str]) -> DataFrame:
+    return rows.select(F.col(node).alias("node"), *(F.col(k).alias(n) for k, n in zip(keys, _keys(keys)))).dropna()
+
+
+def cut_edges(placed: DataFrame, keys: list[str], shard: str = "shard") -> DataFrame:
+    """One row (edges, cut): pairs of rows with equal keys, and how many of them lie on different shards.
+
+    Counted from sizes per group and shard; no pair becomes a row. Decimals, as a group's pairs grow with its square.
+    """
+    pairs = lambda n: n * (n - 1) / 2
+    held = _links(placed, shard, keys).groupBy("node", *_keys(keys)).agg(F.count(F.lit(1)).cast("decimal(18,0)").alias("n"))
+    groups = held.groupBy(*_keys(keys)).agg(F.sum("n").cast("decimal(18,0)").alias("n"), F.sum(pairs(F.col("n"))).alias("inside"))
+    edges, inside = (F.coalesce(F.sum(x), F.lit(0)).cast("decimal(38,0)") for x in (pairs(F.col("n")), F.col("inside")))
+    return groups.agg(edges.alias("edges"), (edges - inside).cast("decimal(38,0)").alias("cut"))
 
 
-def numbered(rows: DataFrame) -> DataFrame:
-    """The rows, written once, with a unique long ``node`` (repeated rows and missing ids stay apart)."""
-    return materialize(rows.withColumn("node", F.monotonically_increasing_id()), "nodes")
+def numbered(rows: DataFrame) -> tuple[DataFrame, str]:
+    """The rows, written once, with a column of unique longs (repeated rows and missing ids stay apart), and its name."""
+    node = free_name("node", rows.columns)
+    return materialize(rows.withColumn(node, F.monotonically_increasing_id()), "nodes"), node
