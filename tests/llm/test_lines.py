@@ -63,6 +63,22 @@ def test_a_hot_line_spans_partitions(spark):
         spark.conf.set("spark.sql.shuffle.partitions", old)
 
 
+@pytest.mark.parametrize("min_docs, keep_first", [(3, False), (3, True), (6, True), (1000, False)])
+def test_lines_that_few_documents_repeat(spark, monkeypatch, min_docs, keep_first):
+    """A task writes undecided lines out when it holds too many; they are dropped if enough documents follow."""
+    monkeypatch.setattr(lines, "HELD", 7)
+    rows = [(1, "a\n" * 40 + "own"), (2, "b\n" * 30), (None, "a\nb\n" * 20), (3, "a\n" * 25 + "c\n" * 25), *((i, f"b\nown {i}\nd") for i in range(4, 9))]
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    old = spark.conf.get(name)
+    spark.conf.set(name, "5")
+    try:
+        got = kept(spark, rows, min_docs=min_docs, keep_first=keep_first)
+    finally:
+        spark.conf.set(name, old)
+    assert sorted((str(d), t) for d, t, _, _ in got) == sorted(
+        (str(d), t) for (d, _), t in zip(rows, expected(rows, min_docs, keep_first)))
+
+
 def test_odd_rows_and_clashing_names(odd_wide, none):
     marked, n_lines, n_dropped, keep = lines.keep_bitmaps(odd_wide, min_docs=2)
     assert (n_lines, n_dropped, keep) == ("_n_lines", "n_dropped", "_keep")

@@ -3,8 +3,9 @@
 Only 128-bit hashes of line keys are shuffled. The range covers hash, document and position, so a line that a
 third of all documents share spans as many partitions as it needs. Each partition is streamed; a line's
 decision is final once enough documents have been seen. Lines at the edges of a partition, of which there are
-two per partition, are settled from the partitions' summaries. Back come positions, which end as one compressed
-bitmap per document; the texts stay in their chunks.
+two per partition, are settled from the partitions' summaries; so are lines that few documents repeat over
+``HELD`` times, which a task writes out undecided instead of holding them. Back come positions, which end as one
+compressed bitmap per document; the texts stay in their chunks.
 """
 
 from __future__ import annotations
@@ -26,6 +27,7 @@ from vecatlas.session import materialize, small_table
 LINES = "h1 long, h2 long, doc long, chunk long, row int, pos int"
 MARKS = "kind int, h1 long, h2 long, chunk long, row int, pos int, n long, first long, last long, part int"
 DROP, OPEN, EDGE, FIRST = 0, 1, 2, 3
+HELD = 1 << 18
 
 
 def line_keys(text: bytes) -> list[bytes]:
@@ -73,7 +75,7 @@ def _mark(min_docs: int, keep_first: bool):
         part = TaskContext.get().partitionId()
         held = None  # the rows of the run that may go on; its first `told` rows have been answered
         told, before, first_doc = spared, 0, 0  # `before`: its documents ahead of the held rows
-        edge = True  # it is the partition's first run
+        edge, spilled = True, False  # it is the partition's first run; some of its rows were written undecided
 
         for batch in batches:
             if not batch.num_rows:
@@ -100,11 +102,17 @@ def _mark(min_docs: int, keep_first: bool):
                         yield out(OPEN, part, {k: v[told:ends[0]] for k, v in cols.items()})
                     yield out(EDGE, part, {k: v[:1] for k, v in cols.items()}, docs[0], first_doc, int(cols["doc"][ends[0] - 1]))
                     edge = False
+                elif spilled and docs[0] >= min_docs:
+                    yield out(EDGE, part, {k: v[:1] for k, v in cols.items()}, docs[0], first_doc, int(cols["doc"][ends[0] - 1]))
+                spilled = False
                 told, before, first_doc = spared, 0, int(cols["doc"][starts[-1]])
             if drop.any():
                 yield out(DROP, part, {k: v[drop] for k, v in cols.items()})
             if docs[-1] >= min_docs:  # answered; keep only what the count needs
                 held, told, before = {k: v[-1:].copy() for k, v in cols.items()}, 1, int(docs[-1]) - 1
+            elif ends[-1] - starts[-1] > HELD:
+                yield out(OPEN, part, {k: v[starts[-1] + told:] for k, v in cols.items()})
+                held, told, before, spilled = {k: v[-1:].copy() for k, v in cols.items()}, 1, int(docs[-1]) - 1, True
             else:
                 held = {k: v[starts[-1]:].copy() for k, v in cols.items()}
         if held:
@@ -120,7 +128,7 @@ def _mark(min_docs: int, keep_first: bool):
 def _spanning(edges: DataFrame, min_docs: int) -> list[tuple[int, int, int]]:
     """Hashes at partition edges with enough documents in all, and the partition where they begin.
 
-    Two rows per partition reach the driver.
+    Two rows per partition reach the driver, and one for each hash with more than HELD undecided lines.
     """
     totals: dict[tuple[int, int], list[int]] = {}
     for r in edges.select("h1", "h2", "n", "first", "last", "part").orderBy("h1", "h2", "part").collect():
@@ -147,7 +155,7 @@ def repeated_lines(chunks: DataFrame, doc_id: str, text: str, min_docs: int, min
     decided = _spanning(marks.where(F.col("kind") == EDGE), min_docs)
     place = ["chunk", "row", "pos"]
     drops = marks.where(F.col("kind") == DROP).select(*place)
-    if decided:  # at most two hashes per partition
+    if decided:  # at most two hashes per partition, and one per HELD lines
         h1, h2, begin = (list(x) for x in zip(*decided))
         table = small_table(spark, {"h1": h1, "h2": h2, "begin": begin}, "h1 long, h2 long, begin int")
         late = marks.where((F.col("kind") == OPEN) | (F.col("kind") == FIRST)).join(F.broadcast(table), ["h1", "h2"])
