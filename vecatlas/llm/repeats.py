@@ -7,7 +7,7 @@ the one of least hash (the last of equals). Only anchors are sent around, about
    which of them occur elsewhere too.
 2. Around a repeated anchor stand the ``LENGTH``-byte strings that it represents (consecutive starts). They are
    sent as one passage of at most 2 * LENGTH - K bytes to the anchor's bucket; a passage that its own chunk has
-   sent before is answered at once.
+   sent before, byte for byte, is answered at once.
 3. A bucket sorts its passages as suffixes from their anchors: a mergesort whose comparisons find the common
    extension of two suffixes by binary search over prefix polynomial hashes, so comparing takes a logarithmic
    number of steps. Neighbours' common extensions cut the order into groups that agree on the first 100 - j bytes
@@ -16,7 +16,8 @@ the one of least hash (the last of equals). Only anchors are sent around, about
 4. The answers (spans) return to the chunks. Texts are never shuffled.
 
 An anchor that more than ``CROWD`` chunks hold sends its strings one by one, by their own 128-bit hashes, so that a
-passage with ever different surroundings does not gather in one bucket.
+passage with ever different surroundings does not gather in one bucket. Between chunks these strings, and only these,
+are equal by hash alone: their bytes are not sent.
 
 Memory: a task holds one chunk, or one bucket; there are eight buckets per shuffle partition, so buckets stay small
 if ``spark.sql.shuffle.partitions`` grows with the input, as it should for Spark's own shuffles.
@@ -200,25 +201,26 @@ def _send(asked: DataFrame, doc_id: str, text: str, buckets: int) -> DataFrame:
                 kind = told[np.searchsorted(own, hashes)]
                 docs = texts.doc_of(place)
                 whole = texts.data.tobytes()
-                seen, out, strings, local = set(), [], [], []
+                seen, out, strings, local = {}, [], [], []  # seen: where a passage or string was sent from
                 for i in np.flatnonzero(kind).tolist():
                     begin, end, doc = int(lo[i]), int(hi[i]), int(docs[i])
                     row, zero = int(texts.rows[doc]), int(texts.bounds[doc])
                     passage = whole[begin : end + LENGTH]
                     key = (int(place[i]) - begin, xxhash.xxh3_128_digest(passage))
-                    if key in seen:
+                    first = seen.setdefault(key, begin)
+                    if first < begin and whole.startswith(passage, first):
                         local.append((row, begin - zero, end - zero + LENGTH))
                         continue
-                    seen.add(key)
                     if kind[i] == 1:
                         out.append((int(hashes[i]), int(texts.ids[doc]), row, begin - zero, int(place[i]) - begin, passage))
                     else:
                         for start in range(begin, end + 1):
-                            g = xxhash.xxh3_128_digest(whole[start : start + LENGTH])
-                            if g in seen:
+                            string = whole[start : start + LENGTH]
+                            g = xxhash.xxh3_128_digest(string)
+                            first = seen.setdefault(g, start)
+                            if first < start and whole.startswith(string, first):
                                 local.append((row, start - zero, start - zero + LENGTH))
                             else:
-                                seen.add(g)
                                 strings.append((*np.frombuffer(g, np.uint64).tolist(), int(texts.ids[doc]), row, start - zero))
                 rows = []
                 for name, found, schema in ((_LOCAL, local, SPANS), (_PASSAGES, out, PASSAGES), (_STRINGS, strings, STRINGS)):
