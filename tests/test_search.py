@@ -267,3 +267,53 @@ def test_cells_in_two_steps(spark, metric, monkeypatch):
     monkeypatch.setattr(cells, "MAX_CENTER_BYTES", 480)
     with pytest.raises(ValueError):
         cells.build_cell_index(vectors, scratch_path(spark, "cells"), 30, metric)
+
+
+@pytest.mark.parametrize("metric", ["cosine", "l2"])
+def test_large_query_tables_meet_vectors_in_blocks(spark, metric, monkeypatch):
+    def probes(*_):
+        raise AssertionError("a row per query and cell")
+
+    monkeypatch.setattr(cells, "_probes", probes)
+    monkeypatch.setattr(topk, "BLOCK_ROWS", 64)
+    monkeypatch.setattr(topk, "_FIRST", 20)
+    matrix = make_vectors(200)
+    vectors, queries = vector_df(spark, matrix), vector_df(spark, matrix, "query_id")
+    hits = topk.topk_search(vectors, queries, 5, metric, max_broadcast_queries=20)
+    same(collected(hits), brute_force(matrix, matrix, 5, metric))
+    # Ids of queries may repeat or be null, in blocks as in a broadcast.
+    odd = queries.withColumn("query_id", F.when(F.col("query_id") % 4 > 0, F.col("query_id") % 40))
+    found = [sorted(map(str, topk.topk_search(vectors, odd, 5, metric, bound).select("query_id", "rank", "slot").collect())) for bound in (20, 1000)]
+    assert found[0] == found[1]
+
+
+def test_large_query_table_without_vectors(spark):
+    queries = vector_df(spark, make_vectors(60), "query_id")
+    none = spark.createDataFrame([(1, None)], "slot long, embedding array<float>")
+    assert topk.topk_search(none, queries, 3, max_broadcast_queries=20).count() == 0
+    assert topk.topk_search(none.limit(0), queries, 3, max_broadcast_queries=20).count() == 0
+
+
+@pytest.mark.parametrize("metric", ["cosine", "l2"])
+@pytest.mark.parametrize("scale", [1.0, 1e-22, 1e12, 1e18])
+def test_single_precision_rules_out_no_hit(metric, scale, monkeypatch):
+    pick = np.random.default_rng(8)
+    matrix = pick.normal(size=(900, 24)) * scale
+    matrix[300:600] = matrix[pick.integers(0, 300, 300)] * (1 + 1e-7 * pick.normal(size=(300, 1)))
+    matrix[700], matrix[710:730] = 0, matrix[5]
+    if metric == "cosine":
+        matrix = topk.unit_rows(matrix)
+    slots, rows = pick.permutation(900), np.arange(900)
+    best, plain = topk.RunningTopK(900, 6), topk.RunningTopK(900, 6)
+    monkeypatch.setattr(topk, "_FIRST", 100)
+    best.scan(metric, matrix, rows, matrix, slots)
+    plain.update(rows, topk.distances(metric, matrix, matrix), slots)
+    # Pairs are summed in another order, which may move a distance by a step of the grid.
+    assert (best.slot == plain.slot).mean() > 0.999 and np.allclose(best.distance, plain.distance, rtol=1e-6, atol=1e-9)
+    sieve = topk.Sieve(metric, matrix, matrix)
+    if sieve.usable:
+        worst = plain.distance[:, -1]
+        near = np.flatnonzero(topk.distances(metric, matrix, matrix) <= worst[:, None])
+        for i in range(0, 900, 90):
+            left = sieve.left(rows[i : i + 90], 0, 900, worst[i : i + 90])
+            assert left is None or set(near[(near >= i * 900) & (near < (i + 90) * 900)] - i * 900) <= set(left)

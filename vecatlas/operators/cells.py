@@ -440,13 +440,3 @@ def bounded_search(index: CellIndex, queries: DataFrame, k: int = 10) -> DataFra
     rest = _block_join(index, _probes(index, queries, 1, bounds), k, schema)
     partial = seeds.select("query_id", "slot", "distance").unionByName(rest)
     return rank_hits(partial, k, metric)
-
-
-def exact_cell_join(vectors: DataFrame, queries: DataFrame, k: int, metric: str) -> DataFrame:
-    """Exact top-k through a cell index written for this one search."""
-    spark = vectors.sparkSession
-    rows = vectors.filter("embedding is not null").count()
-    first = vectors.filter("embedding is not null").select(F.size("embedding")).first()
-    cells = max(16, min(max_cells(first[0] if first else 1), int(rows**0.5)))
-    index = build_cell_index(vectors, scratch_path(spark, "cells"), cells, metric)
-    return bounded_search(index, queries, k)

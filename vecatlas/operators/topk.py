@@ -2,8 +2,10 @@
 
 A batch of queries is scored against each Arrow batch of vectors with one matrix product, and only
 a running top-k per query leaves a task, so no query-vector pair ever becomes a row. Queries that
-exceed the checked broadcast bound go through the cell join of ``operators.cells`` instead, which is
-exact as well.
+exceed the checked broadcast bound meet the vectors in blocks of bounded size on both sides instead.
+
+Once a query's list is full, a product in single precision with a margin for its error rules out most
+pairs; the others are scored in double precision.
 
 Neighbours are ordered by distance, then slot. Distances are compared on a grid far below float32
 resolution, so that copies of one vector tie exactly whatever the order of floating-point sums.
@@ -11,7 +13,8 @@ resolution, so that copies of one vector tie exactly whatever the order of float
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import math
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 from functools import reduce
 
@@ -21,13 +24,17 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from vecatlas.functions import vectors as V
-from vecatlas.session import empty_table
+from vecatlas.session import empty_table, materialize
 
 # Bound on the query block that every Python worker holds.
 MAX_BROADCAST_QUERIES = 20_000
 MAX_BROADCAST_BYTES = 64 * 1024 * 1024
 # Bound on one block of the score matrix.
 _SCORE_CELLS = 4_000_000
+# Vectors that fill the lists before single precision is used, and the share of pairs up to which it pays.
+_FIRST, _SIEVED_SHARE = 1024, 1 / 32
+# Bound on a block of vectors or queries in a block search, in rows and bytes.
+BLOCK_ROWS, BLOCK_BYTES = 65_536, 32 * 1024 * 1024
 _NO_SLOT = np.iinfo(np.int64).max
 
 
@@ -70,6 +77,46 @@ def _on_grid(metric: str, product: np.ndarray, reach: np.ndarray | None) -> np.n
     return np.maximum(np.round((reach - 2.0 * product) / grid) * grid, 0.0)
 
 
+class Sieve:
+    """Rules out pairs by a product in single precision, with a margin for all that rounding can do.
+
+    ``near`` are approximations of the vectors, e.g. from codes; the length of what they miss then widens the margin.
+    """
+
+    def __init__(self, metric: str, queries: np.ndarray, vectors: np.ndarray, near: np.ndarray | None = None) -> None:
+        self.metric, self.squares = metric, np.einsum("ij,ij->i", queries, queries)
+        lengths, squares = np.sqrt(self.squares), np.einsum("ij,ij->i", vectors, vectors)
+        left, right = [queries], [vectors if near is None else near]
+        if near is not None:
+            left.append(lengths[:, None])
+            right.append(np.sqrt(((vectors - near) ** 2).sum(axis=1))[:, None])
+        if metric != "cosine":
+            left.append(np.ones((len(queries), 1)))
+            right.append(-0.5 * squares[:, None])
+        far = np.sqrt(sum((part * part).sum(axis=1).max(initial=0.0) for part in right))
+        reach = np.sqrt(sum((part * part).sum(axis=1) for part in left))
+        width = sum(part.shape[1] for part in right)
+        self.usable = bool(far < 1e15 and reach.max(initial=0.0) < 1e15)  # neither for nan
+        self.margin = (width + 10) * 2.0**-23 * reach * far + width * 1e-36
+        # Distances are compared on a grid.
+        self.margin += 1e-9 if metric == "cosine" else 2.0**-28 * (self.squares + squares.max(initial=0.0))
+        if self.usable:
+            self._left, self._right = (np.concatenate(parts, axis=1).astype(np.float32) for parts in (left, right))
+
+    def left(self, rows: np.ndarray, lo: int, hi: int, worst: np.ndarray) -> np.ndarray | None:
+        """Places in the table of ``rows`` and the vectors from ``lo`` to ``hi`` that may be as near as ``worst``; None for many."""
+        least = 1.0 - worst if self.metric == "cosine" else 0.5 * (self.squares[rows] - worst)
+        least = np.nextafter((least - self.margin[rows]).astype(np.float32), np.float32(-np.inf))
+        left = self._left[rows] @ self._right[lo:hi].T >= least[:, None]
+        if np.count_nonzero(left) > left.size * _SIEVED_SHARE:
+            return None
+        if left.size % 8:
+            return np.flatnonzero(left)
+        eights = np.flatnonzero(left.ravel().view(np.uint64))  # few of them hold any pair
+        at, within = np.nonzero(left.reshape(-1, 8)[eights])
+        return eights[at] * 8 + within
+
+
 class RunningTopK:
     """The k nearest slots seen so far for each query of a block.
 
@@ -92,11 +139,14 @@ class RunningTopK:
             kth = np.partition(found, self.k - 1, axis=1)[:, self.k - 1 : self.k]
             better &= found <= kth
         q, v = np.nonzero(better)
-        if not len(q):
-            return
+        if len(q):
+            self._merge(rows, q, found[q, v], slots[v])
+
+    def _merge(self, rows: np.ndarray, q: np.ndarray, found: np.ndarray, slots: np.ndarray) -> None:
+        """Add single distances: those of the queries ``rows[q]``."""
         query = np.concatenate([np.repeat(np.arange(len(rows)), self.k), q])
-        dist = np.concatenate([self.distance[rows].ravel(), found[q, v]])
-        slot = np.concatenate([self.slot[rows].ravel(), slots[v]])
+        dist = np.concatenate([self.distance[rows].ravel(), found])
+        slot = np.concatenate([self.slot[rows].ravel(), slots])
         if self.windows:  # a slot that was known already counts once
             near = np.lexsort((dist, slot, query))
             again = (np.diff(query[near]) == 0) & (np.diff(slot[near]) == 0) & (slot[near][1:] != _NO_SLOT)
@@ -108,15 +158,46 @@ class RunningTopK:
         self.slot[rows] = slot[keep].reshape(len(rows), self.k)
 
     def scan(self, metric: str, queries: np.ndarray, rows: np.ndarray, vectors: np.ndarray,
-             slots: np.ndarray) -> None:
-        """Score ``queries[rows]`` against the vectors in pieces of bounded size."""
-        v_step = min(len(slots), 8192) or 1
-        q_step = max(1, _SCORE_CELLS // v_step)
-        for v in range(0, len(slots), v_step):
-            part = vectors[v : v + v_step]
+             slots: np.ndarray, coarse: Sieve | None = None) -> None:
+        """Score ``queries[rows]`` against the vectors in pieces of bounded size.
+
+        ``coarse`` rules out pairs by approximations of the vectors before the vectors themselves do.
+        """
+        sieve = Sieve(metric, queries, vectors)
+        full = len(rows) and self.slot[rows, -1].max() != _NO_SLOT
+        v_step = max(1, min(len(slots), 8192))
+        bounds = [0, *range(0 if full else _FIRST, len(slots), v_step), len(slots)]
+        for lo, hi in zip(bounds, bounds[1:]):
+            if lo == hi:
+                continue
+            q_step = max(1, _SCORE_CELLS // (hi - lo))
             for q in range(0, len(rows), q_step):
                 chosen = rows[q : q + q_step]
-                self.update(chosen, distances(metric, queries[chosen], part), slots[v : v + v_step])
+                if not self._sieved(metric, queries, chosen, vectors, slots, lo, hi, [coarse, sieve]):
+                    self.update(chosen, distances(metric, queries[chosen], vectors[lo:hi]), slots[lo:hi])
+
+    def _sieved(self, metric: str, queries: np.ndarray, rows: np.ndarray, vectors: np.ndarray, slots: np.ndarray,
+                lo: int, hi: int, sieves: list[Sieve | None]) -> bool:
+        """Score what the sieves leave of the vectors from ``lo`` to ``hi``; False if they leave too much."""
+        worst = self.distance[rows, -1]
+        if not np.isfinite(worst).all():
+            return False
+        for sieve in sieves:
+            left = sieve.left(rows, lo, hi, worst) if sieve is not None and sieve.usable else None
+            if left is not None:
+                q, v = np.divmod(left, hi - lo)
+                break
+        else:
+            return False
+        step = max(1, _SCORE_CELLS // max(1, vectors.shape[1]))
+        found = [pair_distances(metric, queries[rows[q[i : i + step]]], vectors[lo + v[i : i + step]]) for i in range(0, len(q), step)]
+        if found:
+            found, new = np.concatenate(found), slots[lo + v]
+            better = (found < worst[q]) | ((found == worst[q]) & (new < self.slot[rows[q], -1]))
+            touched, q = np.unique(q[better], return_inverse=True)
+            if len(touched):
+                self._merge(rows[touched], q, found[better], new[better])
+        return True
 
     def to_batch(self, ids: pa.Array) -> pa.RecordBatch:
         hit = self.slot != _NO_SLOT
@@ -189,9 +270,7 @@ def topk_with_bound(
         return rank_hits(empty_table(queries.sparkSession, hits_schema(queries)), 0, metric), 0
     block = bounded_queries(queries, metric, max_broadcast_queries)
     if block is None:
-        from vecatlas.operators.cells import exact_cell_join
-
-        return exact_cell_join(vectors, queries, k, metric), None
+        return block_search(vectors, queries, k, metric), None
     shared = queries.sparkSession.sparkContext.broadcast((block.ids, block.matrix))
 
     def local_topk(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -210,6 +289,47 @@ def topk_with_bound(
     return hits, k * len(block.ids)
 
 
+def block_search(vectors: DataFrame, queries: DataFrame, k: int, metric: str, coarse: Callable[..., np.ndarray] | None = None) -> DataFrame:
+    """Exact top-k for query tables of any size: every block of queries meets every block of vectors in one group.
+
+    Rows are dealt to blocks by their place, so equal or null keys do not crowd one. A side travels once per block of the
+    other. With ``coarse``, ``vectors`` has a column ``codes`` too, and pairs are ruled out first by the vectors that it
+    makes of them.
+    """
+    spark = vectors.sparkSession
+    extra = ["codes"] if coarse else []
+    known = vectors.filter("embedding is not null").select(F.col("slot").cast("long").alias("slot"), "embedding", *extra)
+    asked = queries.filter("embedding is not null").select("query_id", "embedding")
+    known, asked = (materialize(df.withColumn("_row", F.monotonically_increasing_id()), tag) for df, tag in ((known, "vectors"), (asked, "queries")))
+    size = F.coalesce(F.max(F.size("embedding")), F.lit(1))
+    (n, width), (m, asked_width) = (df.agg(F.count(F.lit(1)), size).first() for df in (known, asked))
+    rows = max(1, min(BLOCK_ROWS, BLOCK_BYTES // (4 * max(1, width, asked_width))))
+    # Enough groups for all cores, of at least some thousand rows.
+    wanted = math.isqrt(4 * spark.sparkContext.defaultParallelism) + 1
+    nv, nq = (max(-(-count // rows), min(wanted, -(-count // 4096)), 1) for count in (n, m))
+
+    def dealt(df: DataFrame, own: str, blocks: int, other: str, others: int) -> DataFrame:
+        part = F.pmod(F.xxhash64("_row"), F.lit(blocks)).cast("int")
+        return df.select("*", part.alias(own), F.explode(F.sequence(F.lit(0), F.lit(others - 1))).alias(other)).drop("_row")
+
+    def block_topk(left: pa.Table, right: pa.Table) -> pa.Table:
+        ids = right.column("query_id").combine_chunks()
+        best = RunningTopK(len(ids), k)
+        if len(ids) and left.num_rows:
+            targets = to_matrix(right.column("embedding"))
+            matrix = to_matrix(left.column("embedding"), targets.shape[1])
+            if metric == "cosine":
+                targets, matrix = unit_rows(targets), unit_rows(matrix)
+            sieve = Sieve(metric, targets, matrix, coarse(left.column("codes"))) if coarse else None
+            best.scan(metric, targets, np.arange(len(ids)), matrix, left.column("slot").to_numpy(), sieve)
+        return pa.Table.from_batches([best.to_batch(ids)])
+
+    keys = ["_vb", "_qb"]
+    left, right = dealt(known, "_vb", nv, "_qb", nq), dealt(asked, "_qb", nq, "_vb", nv)
+    hits = left.groupBy(*keys).cogroup(right.groupBy(*keys)).applyInArrow(block_topk, hits_schema(queries))
+    return rank_hits(hits, k, metric)
+
+
 def topk_windows(
     vectors: DataFrame, queries: DataFrame, k: int = 10, metric: str = "cosine",
     max_broadcast_queries: int = MAX_BROADCAST_QUERIES, depth: int = 0,
