@@ -82,3 +82,14 @@ def test_as_a_stream(spark):
     st.start_standing(standing, stream, scratch_path(spark, "checkpoint"), apply).awaitTermination()
     assert [r["slot"] for r in standing.results().orderBy("rank").collect()] == [0, 1]
     assert standing.results().filter(F.col("distance") > 0.1).count() == 0
+
+
+def test_deletes_alone_with_more_queries_than_a_block(spark, monkeypatch):
+    """Changes without a vector leave nothing to score, however many queries stand."""
+    monkeypatch.setattr(st, "topk_search", lambda *a: topk_search(*a, max_broadcast_queries=5))
+    vectors = {s: [1.0, s / 100] for s in range(20)}
+    asked = spark.createDataFrame([(i, [1.0, i / 50]) for i in range(12)], "query_id long, embedding array<float>")
+    left = {s: v for s, v in vectors.items() if s % 3}
+    gone = spark.createDataFrame([(s, None) for s in vectors if s % 3 == 0], "slot long, embedding array<float>")
+    got = st.refreshed(topk_search(rows(spark, vectors), asked, 2), asked, gone, lambda: rows(spark, left), 2)
+    assert hits(got) == hits(topk_search(rows(spark, left), asked, 2))
