@@ -4,7 +4,7 @@ from pyspark.sql import functions as F
 
 from vecatlas.operators import quantize
 from vecatlas.operators.neighbour_graph import graph_neighbours, neighbour_graph
-from vecatlas.operators.topk import topk_search
+from vecatlas.operators.topk import Sieve, distances, topk_search, unit_rows
 from vecatlas.session import scratch_path
 
 SCHEMA = "slot long, embedding array<float>"
@@ -42,6 +42,34 @@ def test_reranking_all_candidates_is_exact(spark, metric):
     assert quantize.pq_search(books, codes, df, asked(df), 0).count() == 0
 
 
+@pytest.mark.parametrize("metric", ["cosine", "l2"])
+def test_all_candidates_of_many_queries_become_no_rows(spark, metric, monkeypatch):
+    data = noise(300, 10)
+    data[5], data[7], data[9] = None, data[8], np.zeros(10)
+    df = table(spark, data)
+    books = quantize.train_codebooks(df, metric, parts=4, codes=32, rounds=2)
+    want = pairs(topk_search(df, asked(df), 7, metric))
+    staged, write = [], quantize.materialize
+    monkeypatch.setattr(quantize, "MAX_REFINE", 50)
+    monkeypatch.setattr(quantize, "materialize", lambda rows, tag: staged.append(tag) or write(rows, tag))
+    assert pairs(quantize.pq_search(books, books.encode(df), df, asked(df), 7, refine=299)) == want
+    assert "candidates" not in staged
+
+
+def test_codes_rule_out_no_hit():
+    pick = np.random.default_rng(2)
+    points, asked = pick.normal(size=(400, 8)), pick.normal(size=(50, 8))
+    near = points + 0.1 * pick.normal(size=(400, 8))
+    for metric in ("cosine", "l2"):
+        p, q = (unit_rows(points), unit_rows(asked)) if metric == "cosine" else (points, asked)
+        far = distances(metric, q, p)
+        worst = np.sort(far, axis=1)[:, 1]
+        left = Sieve(metric, q, p, near).left(np.arange(50), 0, 400, worst)
+        assert left is None or set(np.flatnonzero(far <= worst[:, None])) <= set(left)
+        far_codes = Sieve(metric, q, p, p * 1.0).left(np.arange(50), 0, 400, worst)
+        assert set(np.flatnonzero(far <= worst[:, None])) <= set(far_codes)
+
+
 def test_recall_at_the_default(spark):
     df = spark.read.parquet("/root/testdata/sf0.1/embeddings.parquet").select(F.col("vec_id").alias("slot"), "embedding")
     books = quantize.train_codebooks(df)

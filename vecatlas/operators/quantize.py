@@ -5,7 +5,9 @@ Lloyd's rounds over all rows: a task assigns its rows and sends sums and counts
 moves no vector. Searches read the codes (one byte per part in place of four per dimension): each task adds up the
 look-ups of a block of queries and keeps the nearest candidates of each, the candidates of all tasks are cut
 to ``refine`` per query, and their distances are worked out on the vectors themselves. A vector that is a candidate of many
-queries is read once. With ``refine`` no smaller than the number of rows the result is exact.
+queries is read once. With ``refine`` no smaller than the number of rows the result is exact; then every pair is a candidate,
+and candidates become no rows: blocks of queries meet blocks of vectors with their codes, a candidate is ruled out by its
+code where it can be, and the others are reranked where they are.
 
 Vectors whose embedding is null take no part. With the cosine metric unit vectors are quantised (a zero vector stays zero).
 """
@@ -21,14 +23,22 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from vecatlas.functions import vectors as V
+from vecatlas.operators.hits import MAX_BROADCAST_HITS
 from vecatlas.operators.sums import summed
-from vecatlas.operators.topk import MAX_BROADCAST_BYTES, bounded_queries, hits_schema, pair_distances, rank_hits, to_matrix, unit_rows
+from vecatlas.operators.topk import (
+    MAX_BROADCAST_BYTES, block_search, bounded_queries, hits_schema, pair_distances, rank_hits, to_matrix, unit_rows)
 from vecatlas.session import empty_table, materialize
 
 PARTS, CODES, ROUNDS, SAMPLE = 16, 256, 8, 8192
 REFINE = 100
 MAX_QUERIES = 2_000
 _ROWS, _PAIRS = 4096, 1 << 16
+# Candidates of a query that are rows of their own, and those that a task holds for all queries of a block.
+MAX_REFINE, _MAX_HELD = 1024, 1 << 22
+
+
+def _code_bytes(column: pa.Array | pa.ChunkedArray) -> np.ndarray:
+    return np.frombuffer(b"".join(column.to_pylist()), np.uint8).reshape(len(column), -1)
 
 
 def _points(batch: pa.RecordBatch, name: str, metric: str, dim: int) -> np.ndarray:
@@ -60,6 +70,10 @@ class Codebooks:
         """Squared distances of each query's slices to the centres (queries x centres, a table per part)."""
         return [((queries[:, a:b][:, None, :] - c[None]) ** 2).sum(axis=2) for a, b, c in zip(self.edges, self.edges[1:], self.centres)]
 
+    def decoded(self, column: pa.Array | pa.ChunkedArray) -> np.ndarray:
+        """The vectors that a column of codes stands for."""
+        return np.concatenate([c[code] for c, code in zip(self.centres, _code_bytes(column).T)], axis=1)
+
     def encode(self, vectors: DataFrame) -> DataFrame:
         """``slot, codes`` (one byte per part) of ``vectors(slot, embedding)``."""
         def run(batches):
@@ -163,6 +177,13 @@ def pq_search(books: Codebooks, codes: DataFrame, vectors: DataFrame, queries: D
     metric = books.metric
     if k <= 0:
         return rank_hits(empty_table(queries.sparkSession, hits_schema(queries)), 0, metric)
+    if refine > MAX_REFINE:
+        if not depth:
+            codes = materialize(codes.select("slot", "codes"), "codes")
+            if refine >= codes.count():
+                known = vectors.filter("embedding is not null").select(F.col("slot").cast("long").alias("slot"), "embedding")
+                return block_search(known.join(codes, "slot"), queries, k, metric, books.decoded)
+        max_queries = max(1, min(max_queries, _MAX_HELD // refine))
     block = bounded_queries(queries, metric, max_queries)
     if block is None:
         rows, floats = queries.agg(F.count(F.lit(1)), F.coalesce(F.sum(F.size("embedding").cast("long")), F.lit(0))).first()
@@ -180,7 +201,7 @@ def pq_search(books: Codebooks, codes: DataFrame, vectors: DataFrame, queries: D
         best = _Candidates(books.tables(targets), keep)
         for batch in batches:
             if batch.num_rows:
-                best.scan(np.frombuffer(b"".join(batch.column("codes").to_pylist()), np.uint8).reshape(batch.num_rows, -1), batch.column("slot").to_numpy())
+                best.scan(_code_bytes(batch.column("codes")), batch.column("slot").to_numpy())
         yield best.to_batch(ids)
 
     order = Window.partitionBy("query_id").orderBy("distance", "slot")
@@ -202,4 +223,6 @@ def pq_search(books: Codebooks, codes: DataFrame, vectors: DataFrame, queries: D
             yield pa.RecordBatch.from_arrays([ids.take(pa.array(q[near])), pa.array(slots[v[near]]), pa.array(far[near])], names=["query_id", "slot", "distance"])
 
     known = vectors.filter("embedding is not null").select(F.col("slot").cast("long").alias("slot"), "embedding")
-    return rank_hits(known.join(asking, "slot").mapInArrow(rerank, schema), k, metric)
+    # Spark would judge the lists by their size as written, which is far below the one in memory.
+    side = F.broadcast(asking) if len(block.ids) * keep <= MAX_BROADCAST_HITS else asking.hint("merge")
+    return rank_hits(known.join(side, "slot").mapInArrow(rerank, schema), k, metric)
