@@ -121,3 +121,15 @@ def test_vocabulary_file(spark, tmp_path):
     loaded = read_vocabulary(spark, str(tmp_path / "vocab.txt"))
     assert {r["token"]: r["id"] for r in loaded.collect()} == {"a": 3, "": 4, "b": 2, "c": 5}
     assert vocabulary_size(loaded).first()[0] == 4
+
+
+def test_slices_are_bounded(monkeypatch):
+    import pyarrow as pa
+
+    from vecatlas.functions import text
+
+    monkeypatch.setattr(text, "SLICE_BYTES", 1000)
+    for column in (pa.array(["a" * n for n in (10, 900, 5000, 0, 300)] + [None] * 40), pa.array([[1] * n for n in (1, 100, 900, 0)] + [None] * 40)):
+        parts = list(text.bounded_slices(column, column))
+        assert pa.concat_arrays(parts).equals(column) and len(parts) > 3 and max(map(len, parts)) <= 16
+        assert len(list(text.bounded_slices(column.slice(0, 0), column.slice(0, 0)))) == 1

@@ -15,6 +15,7 @@ import unicodedata
 from collections.abc import Iterable
 from typing import Iterator
 
+import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import Column
@@ -111,6 +112,18 @@ _TOKENS = re.compile(f"[{_ASCII_MARKS}{_CATEGORIES['P']}]|[^{_ASCII_MARKS}{_CATE
 _SPLITTING_CONTROLS = re.compile("[\x0b\x0c\x1c-\x1f\x85]")
 
 _CACHED_WORDS = 500_000
+# A task makes lists of Python values for so many bytes of input at a time, however large Spark's batches are.
+SLICE_BYTES = 1 << 20
+
+
+def bounded_slices(rows: pa.Array | pa.RecordBatch, column: pa.Array) -> Iterator[pa.Array | pa.RecordBatch]:
+    """Slices of the rows with at most ``SLICE_BYTES`` of text, or of 8-byte list entries, in ``column``, or one row."""
+    lists = pa.types.is_list(column.type)
+    sizes = pc.fill_null(column.value_lengths() if lists else pc.binary_length(column), 0).to_numpy(zero_copy_only=False)
+    piece = np.cumsum(sizes.astype(np.int64) * (8 if lists else 1) + 64) // SLICE_BYTES
+    starts = np.flatnonzero(np.diff(piece, prepend=-1)).tolist() or [0]
+    for lo, hi in zip(starts, [*starts[1:], len(column)]):
+        yield rows.slice(lo, hi - lo)
 
 
 def fold(text: str) -> str:
@@ -169,7 +182,7 @@ def _tokenizer(lower_case: bool):
     def tokenize(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         known: dict[str, list[int]] = {}
         places: dict[str, int] = {}
-        for texts in batches:
+        for texts in (part for batch in batches for part in bounded_slices(batch, batch)):
             if len(known) > _CACHED_WORDS:
                 known, places = {}, {}
             yield _token_lists(texts, lower_case, known, places)

@@ -15,7 +15,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from vecatlas.functions.text import basic_tokens, raw_words, word_tokens
+from vecatlas.functions.text import basic_tokens, bounded_slices, raw_words, word_tokens
 from vecatlas.session import materialize
 
 # Special tokens and the longest word that is split.
@@ -79,7 +79,7 @@ def wordpiece(
         vocabulary, known = shared.value, {}
         # Raw words such as 'Cat' and 'cat,' share tokens, so tokens are remembered too.
         split: dict[str, list[int]] = {}
-        for batch in batches:
+        for batch in (part for whole in batches for part in bounded_slices(whole, whole.column(text))):
             if len(known) > _CACHED_WORDS:
                 known, split = {}, {}
             ids: list[int] = []
@@ -198,7 +198,7 @@ def ids_to_tokens(
     def look_up(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known = shared.value["id"].to_numpy()
         tokens = shared.value["token"].combine_chunks()
-        for batch in batches:
+        for batch in (part for whole in batches for part in bounded_slices(whole, whole.column(ids))):
             lists = batch.column(ids)
             wanted = lists.flatten().to_numpy(zero_copy_only=False)
             place = np.minimum(np.searchsorted(known, wanted), max(len(known) - 1, 0))
