@@ -4,7 +4,9 @@ import unicodedata
 from pyspark.sql import functions as F
 
 from vecatlas.functions import text as T
+from vecatlas.operators import wordpiece as wp
 from vecatlas.operators.wordpiece import ids_to_tokens, model_input, split_word, wordpiece
+from vecatlas.session import materialize
 from vecatlas.sources.vocabulary import read_vocabulary, vocabulary_size
 
 
@@ -128,8 +130,26 @@ def test_slices_are_bounded(monkeypatch):
 
     from vecatlas.functions import text
 
-    monkeypatch.setattr(text, "SLICE_BYTES", 1000)
+    monkeypatch.setattr(T, "SLICE_BYTES", 1000)
     for column in (pa.array(["a" * n for n in (10, 900, 5000, 0, 300)] + [None] * 40), pa.array([[1] * n for n in (1, 100, 900, 0)] + [None] * 40)):
         parts = list(text.bounded_slices(column, column))
         assert pa.concat_arrays(parts).equals(column) and len(parts) > 3 and max(map(len, parts)) <= 16
         assert len(list(text.bounded_slices(column.slice(0, 0), column.slice(0, 0)))) == 1
+
+
+def test_joined_vocabulary_sends_a_word_once_per_chunk(spark, monkeypatch):
+    """Chunks of a few texts, repeated and null keys, null and empty texts: the pieces of the broadcast vocabulary."""
+    known = spark.createDataFrame(
+        [("[UNK]", 1), ("ab", 2), ("abc", 3), ("##c", 4), ("##cd", 5), ("x", 6), ("a", 7), ("##b", 8)], "token string, id long")
+    texts = ["abcd abc x", "abcd " * 40, None, "", "zz a" + "b" * 250, "abcdcdc, ABC"]
+    rows = [(i % 4 or None, texts[i % 6]) for i in range(90)]
+    df = spark.createDataFrame(rows, "k long, t string").coalesce(1)
+    kept = []
+    monkeypatch.setattr(wp, "materialize", lambda df, tag: kept.append(materialize(df, tag)) or kept[-1])
+    monkeypatch.setattr(wp, "_CHUNK_BYTES", 2000)
+    monkeypatch.setattr(T, "SLICE_BYTES", 1000)
+    plain = lambda df: sorted((r["k"] or 0, r["token_ids"]) for r in df.collect())
+    want = plain(wp.wordpiece(df, "k", "t", known))
+    assert plain(wp.wordpiece(df, "k", "t", known, max_broadcast_tokens=0)) == want
+    chunks, sent, held = kept[0].selectExpr("count(distinct _chunk)", "sum(size(_words))", "sum(length(_places)) / 4").first()
+    assert 1 < chunks and sent <= 8 * chunks and held > 5 * sent

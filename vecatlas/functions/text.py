@@ -161,10 +161,10 @@ def word_tokens(word: str, lower_case: bool = True) -> list[str]:
     return tokens
 
 
-def _token_lists(texts: pa.Array, lower_case: bool, known: dict[str, list[int]], places: dict[str, int]) -> pa.Array:
-    """Token lists of a batch; ``known`` maps raw words to places among all tokens seen."""
+def token_places(texts: pa.Array, lower_case: bool, known: dict[str, list[int]], places: dict[str, int]) -> tuple[list[int], list[int]]:
+    """The tokens of a batch as places among all tokens seen, and where each text's end; ``known`` maps raw words to places."""
     found: list[int] = []
-    ends: list[int | None] = [0]
+    ends: list[int] = [0]
     for text in texts.to_pylist():
         for word in raw_words(text or ""):
             tokens = known.get(word)
@@ -173,6 +173,11 @@ def _token_lists(texts: pa.Array, lower_case: bool, known: dict[str, list[int]],
                 known[word] = tokens
             found += tokens
         ends.append(len(found))
+    return found, ends
+
+
+def _token_lists(texts: pa.Array, lower_case: bool, known: dict[str, list[int]], places: dict[str, int]) -> pa.Array:
+    found, ends = token_places(texts, lower_case, known, places)
     values = pa.array(list(places), pa.string()).take(pa.array(found, pa.int32()))
     nulls = texts.is_null() if texts.null_count else None
     return pa.ListArray.from_arrays(pa.array(ends, pa.int32()), values, mask=nulls)

@@ -8,14 +8,16 @@ with joins on distinct words instead.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from itertools import islice
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from vecatlas.functions.text import basic_tokens, bounded_slices, raw_words, word_tokens
+from vecatlas.functions.text import bounded_slices, raw_words, token_places, word_tokens
 from vecatlas.session import materialize
 
 # Special tokens and the longest word that is split.
@@ -26,19 +28,24 @@ PREFIX = "##"
 MAX_BROADCAST_TOKENS = 1_000_000
 MAX_BROADCAST_BYTES = 64 * 1024 * 1024
 _CACHED_WORDS = 500_000
+# Texts that share a table of distinct words where the vocabulary is joined.
+_CHUNK_BYTES = 4 * 1024 * 1024
 
 
-def split_word(word: str, vocabulary: dict[str, int], unknown: int, longest: int = MAX_WORD_CHARS) -> list[int]:
+def split_word(
+    word: str, vocabulary: dict[str, int], unknown: int, longest: int = MAX_WORD_CHARS, longest_rest: int = MAX_WORD_CHARS
+) -> list[int]:
     """Greedy longest match; one missing piece makes the whole word unknown.
 
-    ``longest`` is the length of the longest token, so that no longer piece is looked up.
+    ``longest`` is the length of the longest token, ``longest_rest`` that of the longest continuation without its prefix,
+    so that no longer piece is looked up.
     """
     if len(word) > MAX_WORD_CHARS:
         return [unknown]
     pieces, start = [], 0
     while start < len(word):
-        lead = PREFIX if start else ""
-        for end in range(min(len(word), start + longest), start, -1):
+        lead, reach = (PREFIX, longest_rest) if start else ("", longest)
+        for end in range(min(len(word), start + reach), start, -1):
             piece = vocabulary.get(lead + word[start:end])
             if piece is not None:
                 break
@@ -69,6 +76,7 @@ def wordpiece(
         raise ValueError(f"vocabulary lacks ['{UNKNOWN}']")
     unknown = tokens[UNKNOWN]
     longest = max(map(len, tokens))
+    longest_rest = max((len(t) - len(PREFIX) for t in tokens if t.startswith(PREFIX)), default=0)
     shared = df.sparkSession.sparkContext.broadcast(tokens)
     columns = [c for c in df.columns if c != text]
     schema = T.StructType(
@@ -91,7 +99,7 @@ def wordpiece(
                         pieces = known[word] = []
                         for token in word_tokens(word):
                             if token not in split:
-                                split[token] = split_word(token, vocabulary, unknown, longest)
+                                split[token] = split_word(token, vocabulary, unknown, longest, longest_rest)
                             pieces += split[token]
                     ids += pieces
                 ends[row + 1] = len(ids)
@@ -108,17 +116,28 @@ def _wordpiece_by_join(
 ) -> DataFrame:
     """The same result by joins: every piece of every distinct word is looked up in the vocabulary.
 
-    Rows are joined back by a number of their own, so rows with an equal key stay apart.
+    Texts are dealt to chunks of some megabytes and kept as places among their chunk's distinct words, so a word travels
+    once per chunk and not once per occurrence. Its pieces come back to the chunk, where rows with an equal key stay apart.
     """
-    df, key = materialize(df.withColumn("_row", F.monotonically_increasing_id()), "texts"), "_row"
-    words = df.select(key, F.posexplode(basic_tokens(F.col(text))).alias("pos", "word"))
+    columns = [c for c in df.columns if c != text]
+    fields = [df.schema[c] for c in columns]
+    staged = materialize(df.select(*columns, text).mapInArrow(_places_by_chunk(columns, text), T.StructType([
+        *fields, T.StructField("_chunk", T.LongType()), T.StructField("_places", T.BinaryType()),
+        T.StructField("_first", T.IntegerType()), T.StructField("_words", T.ArrayType(T.StringType()))])), "texts")
+    words = staged.filter("_words is not null").select("_chunk", "_first", F.posexplode("_words").alias("pos", "word")).select(
+        "_chunk", (F.col("_first") + F.col("pos")).alias("place"), "word")
     distinct = words.select("word").distinct()
+    tokens = vocabulary.groupBy("token").agg(F.max("id").alias("id"))
+    # No longer piece is looked up than the vocabulary has, at the start of a word and after it.
+    rest = F.when(F.col("token").startswith(PREFIX), F.length("token") - len(PREFIX))
+    longest, longest_rest = tokens.agg(*(F.coalesce(F.max(c), F.lit(0)) for c in (F.length("token"), rest))).first()
     size = F.length("word")
     starts = distinct.filter(size <= MAX_WORD_CHARS).select(
         "word", F.explode(F.sequence(F.lit(0), size - 1)).alias("start")
     )
-    spans = starts.select(
-        "word", "start", F.explode(F.sequence(F.col("start") + 1, F.length("word"))).alias("end")
+    reach = F.least(size - F.col("start"), F.when(F.col("start") == 0, longest).otherwise(longest_rest))
+    spans = starts.select("word", "start", reach.alias("reach")).filter("reach > 0").select(
+        "word", "start", F.explode(F.sequence(F.col("start") + 1, F.col("start") + F.col("reach"))).alias("end")
     ).withColumn(
         "token",
         F.concat(
@@ -126,37 +145,60 @@ def _wordpiece_by_join(
             F.substr("word", F.col("start") + 1, F.col("end") - F.col("start")),
         ),
     )
-    longest = (
-        spans.join(vocabulary.select("token", "id"), "token")
-        .groupBy("word", "start")
-        .agg(F.max(F.struct("end", "id")).alias("best"))
-    )
-    # At most one entry per position of a word, and words are at most 200 characters here.
-    by_start = longest.groupBy("word").agg(
-        F.map_from_entries(F.collect_list(F.struct("start", "best"))).alias("best")
-    )
+    # The pieces of a word, of at most 200 characters, by start; of each start the longest first.
+    pieces = spans.join(tokens, "token").groupBy("word").agg(
+        F.sort_array(F.collect_list(F.struct("start", (-F.col("end")).alias("end"), "id"))).alias("pieces"))
 
-    def step(state, position):
-        hit = F.try_element_at(F.col("best"), position)
-        taken = F.struct(hit["end"].alias("at"), F.array_append(state["ids"], hit["id"]).alias("ids"))
-        return F.when((state["at"] == position) & hit.isNotNull(), taken).otherwise(state)
+    def step(state, piece):
+        taken = F.struct((-piece["end"]).alias("at"), F.array_append(state["ids"], piece["id"]).alias("ids"))
+        return F.when(state["at"] == piece["start"], taken).otherwise(state)
 
     start_state = F.struct(F.lit(0).alias("at"), F.array().cast("array<bigint>").alias("ids"))
-    walked = F.aggregate(F.sequence(F.lit(0), F.length("word") - 1), start_state, step)
-    split = by_start.select("word", walked.alias("walk")).select(
+    split = pieces.select("word", F.aggregate("pieces", start_state, step).alias("walk")).select(
         "word", F.when(F.col("walk.at") == F.length("word"), F.col("walk.ids")).alias("ids")
     )
-    # A document is one row on the way in, so its pieces fit in one row on the way out.
-    pieces = (
-        words.join(split, "word", "left")
-        .withColumn("ids", F.coalesce("ids", F.array(F.lit(unknown).cast("long"))))
-        .groupBy(key)
-        .agg(F.flatten(F.transform(F.sort_array(F.collect_list(F.struct("pos", "ids"))),
-                                   lambda p: p["ids"])).alias("token_ids"))
-    )
-    return df.drop(text).join(pieces, key, "left").withColumn(
-        "token_ids", F.coalesce("token_ids", F.array().cast("array<bigint>"))
-    ).drop(key)
+    found = words.join(split, "word", "left").select(
+        F.col("_chunk").alias("_of"), "place", F.coalesce("ids", F.array(F.lit(unknown).cast("long"))).alias("ids"))
+
+    def restore(rows: pa.Table, pieces: pa.Table) -> pa.Table:
+        order = pa.array(np.argsort(pieces.column("place").to_numpy()))
+        lists = pieces.column("ids").combine_chunks().take(order)
+        texts = rows.column("_places").to_pylist()
+        places = np.frombuffer(b"".join(texts), np.int32)
+        row_ends = np.cumsum([0, *(len(t) // 4 for t in texts)])
+        piece_ends = np.concatenate([[0], np.cumsum(lists.value_lengths().to_numpy(zero_copy_only=False)[places], dtype=np.int64)])
+        ids = pa.ListArray.from_arrays(pa.array(piece_ends[row_ends], pa.int32()), lists.take(pa.array(places)).flatten())
+        return pa.table([*(rows.column(c) for c in columns), ids], names=[*columns, "token_ids"])
+
+    chunks = staged.select(*columns, "_chunk", "_places").groupBy("_chunk").cogroup(found.groupBy("_of"))
+    return chunks.applyInArrow(restore, T.StructType([*fields, T.StructField("token_ids", T.ArrayType(T.LongType()))]))
+
+
+def _places_by_chunk(columns: list[str], text: str):
+    """Rows with their ``_chunk``, their tokens as ``_places`` (32 bits each) among the chunk's distinct ones, and, on the
+    first row of a slice, the ``_words`` that are new in the chunk, the first of them at place ``_first``."""
+
+    def number(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        chunk, held, known, places = TaskContext.get().partitionId() << 33, 0, {}, {}
+        for batch in (part for whole in batches for part in bounded_slices(whole, whole.column(text))):
+            n = batch.num_rows
+            if not n:
+                continue
+            if held > _CHUNK_BYTES:
+                chunk, held, known, places = chunk + 1, 0, {}, {}
+            held += batch.nbytes + 64 * n
+            first = len(places)
+            found, ends = token_places(batch.column(text), True, known, places)
+            new = list(islice(places, first, None))
+            offsets, data = np.array(ends, np.int32) * 4, np.array(found, np.int32)
+            rest = [None] * (n - 1)
+            yield pa.RecordBatch.from_arrays([
+                *(batch.column(c) for c in columns), pa.array(np.full(n, chunk)),
+                pa.Array.from_buffers(pa.binary(), n, [None, pa.py_buffer(offsets), pa.py_buffer(data)]),
+                pa.array([first, *rest], pa.int32()), pa.array([new, *rest], pa.list_(pa.string())),
+            ], names=[*columns, "_chunk", "_places", "_first", "_words"])
+
+    return number
 
 
 def model_input(df: DataFrame, vocabulary: DataFrame, context_length: int = 52) -> DataFrame:
