@@ -6,9 +6,11 @@ import zlib
 import numpy as np
 import pytest
 from pyspark import cloudpickle
+from pyspark.sql import functions as F
 
+from vecatlas.functions.vectors import normalize
 from vecatlas.operators import images as I
-from vecatlas.operators.encode import HashingEncoder, OnnxEncoder, encode, encode_queries, split_errors
+from vecatlas.operators.encode import HashingEncoder, OnnxEncoder, _units, encode, encode_queries, split_errors
 from vecatlas.plans.search import example_search
 from vecatlas.plans.sync import sync_files
 from vecatlas.session import scratch_path
@@ -147,6 +149,15 @@ def test_failing_rows_become_null(spark):
     assert raw["embedding"] == [6.0, 8.0]
 
 
+def test_unit_vectors_equal_the_column_function(spark):
+    rows = [[3.0, -0.1, 0.0], [0.0, -0.0, 0.0], [1e-30, 2e20, 7.0], [0.3, 0.7, 0.11], [float("nan"), 1.0, 2.0], [float("inf"), 1.0, 0.0]]
+    df = spark.createDataFrame(list(enumerate(rows)), "k int, v array<float>").coalesce(1)
+    for legacy in (False, True):
+        want = df.select("k", normalize(F.col("v"), legacy).cast("array<float>").alias("u")).orderBy("k").collect()
+        made = _units([np.array(r, np.float32) for r in rows], legacy)
+        assert [str(r["u"]) for r in want] == [str(None if u is None else u.tolist()) for u in made]
+
+
 def field(number, value):
     if isinstance(value, int):
         return bytes([number << 3, value])

@@ -153,3 +153,17 @@ def test_joined_vocabulary_sends_a_word_once_per_chunk(spark, monkeypatch):
     assert plain(wp.wordpiece(df, "k", "t", known, max_broadcast_tokens=0)) == want
     chunks, sent, held = kept[0].selectExpr("count(distinct _chunk)", "sum(size(_words))", "sum(length(_places)) / 4").first()
     assert 1 < chunks and sent <= 8 * chunks and held > 5 * sent
+
+
+def test_windows_are_cut_without_repeating_the_text(spark, explain):
+    known = spark.createDataFrame([("[CLS]", 2), ("[SEP]", 3)], "token string, id long")
+    lists = {0: [], 1: [9], 2: list(range(10, 14)), 3: list(range(20, 29)), 4: None}
+    df = spark.createDataFrame(list(lists.items()), "k long, token_ids array<long>")
+    cut = wp.model_windows(df, known, 6)
+    got = {(r["k"], r["window"]): (r["token_ids"], r["input_ids"]) for r in cut.collect()}
+    want = {(4, 0): (None, None)}
+    for k, ids in lists.items():
+        for n in range(max(1, -(-len(ids) // 4)) if ids is not None else 0):
+            part = ids[4 * n : 4 * n + 4]
+            want[k, n] = (part, [2, *part, 3, *[0] * (4 - len(part))])
+    assert got == want and "Generate" not in explain(cut)

@@ -17,7 +17,6 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from vecatlas.functions.text import rewrite_prompt, strip
-from vecatlas.functions.vectors import normalize
 from vecatlas.operators.wordpiece import model_input, model_windows, wordpiece
 
 BatchEncoder = Callable[[np.ndarray], np.ndarray]
@@ -65,8 +64,8 @@ class HashingEncoder:
 
         def run(batch: np.ndarray) -> np.ndarray:
             ids, place = np.unique(batch, return_inverse=True)
-            weights = signs(ids) * (ids != 0)[:, None]
-            return weights[place.reshape(batch.shape)].sum(axis=1).astype(np.float32)
+            weights = (signs(ids) * (ids != 0)[:, None]).astype(np.float32)  # sums of signs are exact
+            return weights[place.reshape(batch.shape)].sum(axis=1)
 
         return run
 
@@ -81,6 +80,24 @@ def _run_rows(encoder: BatchEncoder, batch: np.ndarray) -> list[np.ndarray | Non
     return [vector for i in range(len(batch)) for vector in _run_rows(encoder, batch[i : i + 1])]
 
 
+def _unit(vectors: np.ndarray, legacy: bool) -> list[np.ndarray | None]:
+    """What ``functions.vectors.normalize`` makes of the rows, summed in the same order; None for a zero vector."""
+    value = vectors.astype(np.float32).astype(np.float64)
+    with np.errstate(all="ignore"):
+        total = np.cumsum(value * value, axis=1)[:, -1] if value.shape[1] else np.zeros(len(value))
+        if legacy:
+            value[value == 0.0] = 1.0
+        unit = (value / np.sqrt(total)[:, None]).astype(np.float32)
+    return [row if known else None for row, known in zip(unit, (total > 0) | np.isnan(total))]
+
+
+def _units(vectors: list[np.ndarray | None], legacy: bool) -> list[np.ndarray | None]:
+    known = [vector for vector in vectors if vector is not None]
+    if len(known) == len(vectors) and len({np.shape(vector) for vector in known}) == 1:
+        return _unit(np.stack(known), legacy)
+    return [None if vector is None else _unit(np.stack([vector]), legacy)[0] for vector in vectors]
+
+
 def encode(
     df: DataFrame,
     column: str,
@@ -110,18 +127,17 @@ def encode(
                 if len(usable):
                     flat = inputs.take(pa.array(usable)).flatten().to_numpy(zero_copy_only=False)
                     tensor = flat.astype(dtype).reshape(len(usable), *shape)
-                    for row, vector in zip(usable, _run_rows(encoder, tensor)):
+                    made = _run_rows(encoder, tensor)
+                    if normalization:
+                        made = _units(made, legacy)
+                    for row, vector in zip(usable, made):
                         vectors[row] = vector
                 yield pa.RecordBatch.from_arrays(
                     [*(batch.column(c) for c in kept), pa.array(vectors, pa.list_(pa.float32()))],
                     names=[*kept, "embedding"],
                 )
 
-    encoded = df.select(*kept, column).mapInArrow(run, schema)
-    if normalization:
-        unit = normalize(F.col("embedding"), legacy).cast("array<float>")
-        encoded = encoded.withColumn("embedding", unit)
-    return encoded
+    return df.select(*kept, column).mapInArrow(run, schema)
 
 
 def encode_texts(
@@ -139,9 +155,12 @@ def encode_texts(
 
     The model sees a text's first ids only; with ``windows`` there is a row for each part of the text.
     """
-    fit = model_windows if windows else model_input
-    rows = fit(wordpiece(df, key, text, vocabulary), vocabulary, context_length)
-    return encode(rows.drop("token_ids"), "input_ids", (context_length,), "int64", factory,
+    pieces = wordpiece(df, key, text, vocabulary)
+    if windows:
+        rows = model_windows(pieces, vocabulary, context_length, keep_ids=False)
+    else:
+        rows = model_input(pieces, vocabulary, context_length).drop("token_ids")
+    return encode(rows, "input_ids", (context_length,), "int64", factory,
                   normalization, legacy)
 
 

@@ -213,13 +213,42 @@ def model_input(df: DataFrame, vocabulary: DataFrame, context_length: int = 52)
     return df.withColumn("input_ids", F.concat(row, padding))
 
 
-def model_windows(df: DataFrame, vocabulary: DataFrame, context_length: int = 52) -> DataFrame:
-    """A row per ``window`` of ``context_length - 2`` ids, so that no part of a long text is left out."""
+def model_windows(df: DataFrame, vocabulary: DataFrame, context_length: int = 52, keep_ids: bool = True) -> DataFrame:
+    """A row per ``window`` of ``context_length - 2`` ids, so that no part of a long text is left out.
+
+    Windows are cut from the ids in place, so a long text is not repeated for each of its windows.
+    """
+    start, end = special_ids(vocabulary, CLASS_START, SEPARATOR)
     step = context_length - 2
-    last = F.greatest(F.lit(0), F.ceil(F.size("token_ids") / step).cast("int") - 1)
-    parts = df.withColumn("window", F.explode(F.sequence(F.lit(0), last)))
-    parts = parts.withColumn("token_ids", F.slice("token_ids", F.col("window") * step + 1, F.lit(step)))
-    return model_input(parts, vocabulary, context_length)
+    columns = [c for c in df.columns if keep_ids or c != "token_ids"]
+    schema = T.StructType([*(df.schema[c] for c in columns), T.StructField("window", T.IntegerType()), T.StructField("input_ids", T.ArrayType(T.LongType()))])
+
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in (part for whole in batches for part in bounded_slices(whole, whole.column("token_ids"))):
+            lists, flat = batch.column("token_ids"), batch.column("token_ids").flatten()
+            sizes = lists.value_lengths().fill_null(0).to_numpy(zero_copy_only=False).astype(np.int64)
+            windows = np.maximum(1, -(-sizes // step))
+            rows = np.repeat(np.arange(len(sizes)), windows)
+            number = np.arange(len(rows)) - np.repeat(np.cumsum(windows) - windows, windows)
+            held = np.minimum(sizes[rows] - number * step, step)
+            starts = np.concatenate([[0], np.cumsum(held)])
+            # Places in the ids with the start, the end and the padding behind them.
+            at = np.full((len(rows), context_length), len(flat) + 2)
+            at[:, 0] = len(flat)
+            place = np.arange(step)
+            at[:, 1:-1] = np.where(place < held[:, None], starts[:-1, None] + place, len(flat) + 2)
+            at[np.arange(len(rows)), held + 1] = len(flat) + 1
+            inputs = pa.concat_arrays([flat, pa.array([start, end, 0], flat.type)]).take(pa.array(at.ravel()))
+            empty = lists.is_null().take(pa.array(rows))
+            made = {
+                "token_ids": pa.ListArray.from_arrays(pa.array(starts, pa.int32()), flat, mask=empty),
+                "window": pa.array(number, pa.int32()),
+                "input_ids": pa.ListArray.from_arrays(pa.array(np.arange(len(rows) + 1) * context_length, pa.int32()), inputs, mask=empty),
+            }
+            rest = {c: batch.column(c).take(pa.array(rows)) for c in columns if c != "token_ids"}
+            yield pa.RecordBatch.from_arrays([(rest | made)[f.name] for f in schema], names=schema.names)
+
+    return df.mapInArrow(cut, schema)
 
 
 def ids_to_tokens(
