@@ -5,7 +5,7 @@ from pyspark.sql import functions as F
 from vecatlas.functions.vectors import normalize
 from vecatlas.session import scratch_path, shared_dir
 from vecatlas.sources import logs
-from vecatlas.sources.commitlog import CommitLog
+from vecatlas.sources.commitlog import CommitLog, deletes, puts
 from vecatlas.sources.snapshots import read_catalog_json, write_catalog_json
 from vecatlas.streaming.ingest import apply_changes, start_ingest
 from vecatlas.streaming.queries import start_search
@@ -217,3 +217,15 @@ def test_a_batch_does_not_scan_the_catalog(spark, explain, monkeypatch):
     apply_changes(log, spark.createDataFrame([(300, "/p7", "delete", 0), (301, "/new", "put", 1)], FEED), "stream-1")
     monkeypatch.undo()
     assert len(state_of(log)) == 200 and {r["path"]: r["slot"] for r in log.catalog().filter("path = '/new'").collect()}.keys() == {"/new"}
+
+
+def test_free_slots_are_found_without_sorting(spark, explain):
+    """The newest row of a slot decides; within a commit a put beats a delete."""
+    log = CommitLog(spark, scratch_path(spark, "atlas"))
+    row = lambda *slots: spark.createDataFrame([(s, f"/{s}", 1) for s in slots], "slot long, path string, size long")
+    log.append(puts(row(0, 1, 2, 3)), "a")
+    log.append(deletes(row(0, 1, 2)).unionByName(puts(row(1))), "b")
+    log.append(puts(row(0)).unionByName(deletes(row(3))), "c")
+    free, end = log.free(None, 5, row(1))
+    assert sorted(r["slot"] for r in free.collect()) == [1, 2, 3] and end == 4
+    assert "SortAggregate" not in explain(free)
