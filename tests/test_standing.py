@@ -2,7 +2,7 @@ import random
 
 from pyspark.sql import functions as F
 
-from vecatlas.operators.topk import topk_search
+from vecatlas.operators.topk import topk_search, topk_with_bound
 from vecatlas.session import scratch_path
 from vecatlas.sources.commitlog import CommitLog, deletes, puts
 from vecatlas.streaming import standing as st
@@ -93,3 +93,29 @@ def test_deletes_alone_with_more_queries_than_a_block(spark, monkeypatch):
     gone = spark.createDataFrame([(s, None) for s in vectors if s % 3 == 0], "slot long, embedding array<float>")
     got = st.refreshed(topk_search(rows(spark, vectors), asked, 2), asked, gone, lambda: rows(spark, left), 2)
     assert hits(got) == hits(topk_search(rows(spark, left), asked, 2))
+
+
+def test_commits_with_more_queries_than_a_block(spark, monkeypatch):
+    """The commits of ``standing_topk_after_commits``: puts, puts, deletes alone, replaced and returning vectors."""
+    bounds = []
+
+    def search(vectors, queries, k, metric):
+        found, bound = topk_with_bound(vectors, queries, k, metric, max_broadcast_queries=5)
+        bounds.append(bound)
+        return found
+
+    monkeypatch.setattr(st, "topk_search", search)
+    vectors = {s: [1.0, s / 100] for s in range(20)}
+    asked = spark.createDataFrame([(i, [1.0, i / 50]) for i in range(12)], "query_id long, embedding array<float>")
+    log = CommitLog(spark, scratch_path(spark, "atlas"))
+    standing = st.StandingQueries(log, asked, scratch_path(spark, "standing"), 3)
+    live = {}
+    for n, change in enumerate((
+        {s: v for s, v in vectors.items() if s % 2}, {s: v for s, v in vectors.items() if s % 2 == 0},
+        {s: None for s in vectors if s % 3 == 0}, {s: [-x for x in v] for s, v in vectors.items() if s % 3 == 1} | {0: vectors[0]},
+    )):
+        new, gone = {s: v for s, v in change.items() if v}, [s for s, v in change.items() if not v]
+        log.append(puts(rows(spark, new)) if new else deletes(rows(spark, {s: live[s] for s in gone})), f"c-{n}")
+        live = {s: v for s, v in (live | new).items() if s not in gone}
+        assert hits(standing.refresh()) == hits(topk_search(rows(spark, live), asked, 3))
+    assert None in bounds  # some search took the block path
