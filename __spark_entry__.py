@@ -147,7 +147,10 @@ def knn_pq_rerank(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def knn_pq_recall(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Codes with the default number of reranked candidates against the exact search."""
-    vectors, asked = fx.gallery_vectors(spark, sf_dir), fx.vector_queries(spark, sf_dir)
+    vectors, asked = fx.gallery_vectors(spark, sf_dir).select("slot", "embedding"), fx.vector_queries(spark, sf_dir)
+    # Read once per round and search; a file with one row group would be one task each time.
+    tasks = max(spark.sparkContext.defaultParallelism, vectors.rdd.getNumPartitions())
+    vectors = materialize(vectors.repartition(tasks), "vectors")
     books = train_codebooks(vectors)
     codes = materialize(books.encode(vectors), "codes")
     return _enough(spark, sf_dir, topk_search(vectors, asked, K), pq_search(books, codes, vectors, asked, K))

@@ -56,6 +56,49 @@ def test_all_candidates_of_many_queries_become_no_rows(spark, metric, monkeypatc
     assert "candidates" not in staged
 
 
+@pytest.mark.parametrize("metric", ["cosine", "l2"])
+def test_many_queries_in_one_stream_find_what_few_do(spark, metric, monkeypatch):
+    """Blocks of queries are tasks of one plan, whatever their number, and candidates become no rows."""
+    data = noise(300, 10)
+    data[5], data[7], data[9] = None, data[8], np.zeros(10)
+    df = table(spark, data)
+    twice = df.unionByName(df.filter("slot in (3, 8)"))
+    queries = df.select(F.concat(F.lit("q"), "slot").alias("query_id"), "embedding")
+    books = quantize.train_codebooks(df, metric, parts=4, codes=32, rounds=2)
+    want = pairs(quantize.pq_search(books, books.encode(twice), twice, queries, 7, refine=30))
+    staged, write = [], quantize.materialize
+    monkeypatch.setattr(quantize, "_MAX_HELD", 30 * 40)
+    monkeypatch.setattr(quantize, "_CODES", 100)
+    monkeypatch.setattr(quantize, "materialize", lambda rows, tag: staged.append(tag) or write(rows, tag))
+    hits = quantize.pq_search(books, books.encode(twice), twice, queries, 7, refine=30, max_queries=50)
+    assert staged == ["queries"]
+    got = hits.collect()
+    assert {(r["query_id"], r["rank"], r["slot"]) for r in got} == want and len(got) == 299 * 7
+    # More candidates than may be rows, and still not all.
+    monkeypatch.setattr(quantize, "MAX_REFINE", 20)
+    assert pairs(quantize.pq_search(books, books.encode(twice), twice, queries, 7, refine=30)) == want
+
+
+@pytest.mark.parametrize("keep", [3, 40])
+def test_candidates_are_the_nearest_by_look_ups(keep, monkeypatch):
+    pick = np.random.default_rng(4)
+    centres = [pick.normal(size=(n, 3)) for n in (40, 256, 7)]
+    books = quantize.Codebooks("l2", [0, 3, 6, 9], centres)
+    queries = pick.normal(size=(70, 9))
+    codes = np.stack([pick.integers(0, len(c), 5000) for c in centres], axis=1).astype(np.uint8)
+    codes[2500:] = codes[pick.integers(0, 2500, 2500)]  # copies
+    slots = pick.permutation(5000)
+    far = sum(((queries[:, None, 3 * p : 3 * p + 3] - c[None]) ** 2).sum(axis=2)[:, codes[:, p]] for p, c in enumerate(centres))
+    order = np.lexsort((np.broadcast_to(slots, far.shape), far), axis=1)[:, :keep]
+    monkeypatch.setattr(quantize, "_CODES", 1500)
+    monkeypatch.setattr(quantize, "_TILE", 32)
+    found = quantize._Candidates(books, queries, keep)
+    for lo in range(0, 5000, 700):
+        found.add(codes[lo : lo + 700], slots[lo : lo + 700])
+    best = found.found()
+    assert (best.slot == slots[order]).all() and (best.distance == np.take_along_axis(far, order, axis=1)).all()
+
+
 def test_codes_rule_out_no_hit():
     pick = np.random.default_rng(2)
     points, asked = pick.normal(size=(400, 8)), pick.normal(size=(50, 8))

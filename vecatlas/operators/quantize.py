@@ -5,7 +5,13 @@ Lloyd's rounds over all rows: a task assigns its rows and sends sums and counts
 moves no vector. Searches read the codes (one byte per part in place of four per dimension): each task adds up the
 look-ups of a block of queries and keeps the nearest candidates of each, the candidates of all tasks are cut
 to ``refine`` per query, and their distances are worked out on the vectors themselves. A vector that is a candidate of many
-queries is read once. With ``refine`` no smaller than the number of rows the result is exact; then every pair is a candidate,
+queries is read once. Once a query's list is full, a product in single precision with the vectors that the codes stand for
+rules out most look-ups, with a margin for its error.
+
+Query tables beyond one block are dealt to blocks of bounded size, a task each: all codes stream past the block's
+queries, then all vectors past their candidates, which become no rows. The codes and vectors travel once per block.
+
+With ``refine`` no smaller than the number of rows the result is exact; then every pair is a candidate,
 and candidates become no rows: blocks of queries meet blocks of vectors with their codes, a candidate is ruled out by its
 code where it can be, and the others are reranked where they are.
 
@@ -14,19 +20,20 @@ Vectors whose embedding is null take no part. With the cosine metric unit vector
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from dataclasses import dataclass
-from functools import reduce
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from vecatlas.functions import vectors as V
 from vecatlas.operators.hits import MAX_BROADCAST_HITS
 from vecatlas.operators.sums import summed
 from vecatlas.operators.topk import (
-    MAX_BROADCAST_BYTES, block_search, bounded_queries, hits_schema, pair_distances, rank_hits, to_matrix, unit_rows)
+    _NO_SLOT, BLOCK_BYTES, BLOCK_ROWS, RunningTopK, Sieve, block_search, bounded_queries, hits_schema, pair_distances, rank_hits, to_matrix,
+    unit_rows)
 from vecatlas.session import empty_table, materialize
 
 PARTS, CODES, ROUNDS, SAMPLE = 16, 256, 8, 8192
@@ -34,7 +41,9 @@ REFINE = 100
 MAX_QUERIES = 2_000
 _ROWS, _PAIRS = 4096, 1 << 16
 # Candidates of a query that are rows of their own, and those that a task holds for all queries of a block.
-MAX_REFINE, _MAX_HELD = 1024, 1 << 22
+MAX_REFINE, _MAX_HELD = 1024, 1 << 21
+# Codes and queries that are estimated at once, the share of pairs up to which single look-ups pay, pairs that are sorted at once.
+_CODES, _TILE, _LOOKED_SHARE, _MERGED = 131_072, 256, 1 / 4, 1 << 20
 
 
 def _code_bytes(column: pa.Array | pa.ChunkedArray) -> np.ndarray:
@@ -66,13 +75,25 @@ class Codebooks:
     def codes(self, points: np.ndarray) -> np.ndarray:
         return np.stack([_assigned(points[:, a:b], c) for a, b, c in zip(self.edges, self.edges[1:], self.centres)], axis=1).astype(np.uint8)
 
-    def tables(self, queries: np.ndarray) -> list[np.ndarray]:
-        """Squared distances of each query's slices to the centres (queries x centres, a table per part)."""
-        return [((queries[:, a:b][:, None, :] - c[None]) ** 2).sum(axis=2) for a, b, c in zip(self.edges, self.edges[1:], self.centres)]
+    def tables(self, queries: np.ndarray) -> np.ndarray:
+        """Squared distances of each query's slices to the centres (queries x parts x 256)."""
+        made = np.zeros((len(queries), len(self.centres), 256))
+        for p, (a, b, c) in enumerate(zip(self.edges, self.edges[1:], self.centres)):
+            far, gap = np.zeros((2, len(queries), len(c)))
+            for x, y in zip(queries[:, a:b].T, np.ascontiguousarray(c.T)):
+                np.subtract(x[:, None], y, out=gap)
+                np.multiply(gap, gap, out=gap)
+                far += gap
+            made[:, p, : len(c)] = far
+        return made
+
+    def points(self, codes: np.ndarray) -> np.ndarray:
+        """The vectors that codes stand for."""
+        return np.concatenate([c[code] for c, code in zip(self.centres, codes.T)], axis=1)
 
     def decoded(self, column: pa.Array | pa.ChunkedArray) -> np.ndarray:
         """The vectors that a column of codes stands for."""
-        return np.concatenate([c[code] for c, code in zip(self.centres, _code_bytes(column).T)], axis=1)
+        return self.points(_code_bytes(column))
 
     def encode(self, vectors: DataFrame) -> DataFrame:
         """``slot, codes`` (one byte per part) of ``vectors(slot, embedding)``."""
@@ -145,63 +166,197 @@ def train_codebooks(vectors: DataFrame, metric: str = "cosine", parts: int = PAR
 class _Candidates:
     """The ``keep`` nearest codes seen so far for each query of a block, by estimated distance, then slot."""
 
-    def __init__(self, tables: list[np.ndarray], keep: int) -> None:
-        self.tables, self.keep = tables, keep
-        self.held: list[tuple[np.ndarray, np.ndarray]] = [(np.zeros(0), np.zeros(0, np.int64))] * len(tables[0])
-
-    def scan(self, codes: np.ndarray, slots: np.ndarray) -> None:
-        for lo in range(0, len(codes), _ROWS):
-            part, here = codes[lo : lo + _ROWS].T, slots[lo : lo + _ROWS]
-            far = sum(table[:, code] for table, code in zip(self.tables, part))
-            cut = np.partition(far, self.keep - 1, axis=1)[:, self.keep - 1] if far.shape[1] > self.keep else np.full(len(far), np.inf)
-            for q, (distance, known) in enumerate(self.held):
-                limit = cut[q] if len(distance) < self.keep else min(cut[q], distance[-1])
-                new = np.flatnonzero(far[q] <= limit)
-                distance, known = np.concatenate([distance, far[q, new]]), np.concatenate([known, here[new]])
-                order = np.lexsort((known, distance))[: self.keep]
-                self.held[q] = distance[order], known[order]
+    def __init__(self, books: Codebooks, targets: np.ndarray, keep: int) -> None:
+        self.books, self.targets, self.best, self.seen = books, targets, RunningTopK(len(targets), keep), 0
+        self._held: list[tuple[np.ndarray, np.ndarray]] = []
+        self._rows = 0
+
+    def add(self, codes: np.ndarray, slots: np.ndarray) -> None:
+        for lo in range(0, len(slots), _CODES):
+            self._held.append((codes[lo : lo + _CODES], slots[lo : lo + _CODES]))
+            self._rows += len(self._held[-1][1])
+            if self._rows >= _CODES:
+                self._scan()
+
+    def found(self) -> RunningTopK:
+        self._scan()
+        return self.best
+
+    def _scan(self) -> None:
+        if not self._rows:
+            return
+        codes, slots = (np.concatenate(parts) for parts in zip(*self._held))
+        self._held, self._rows = [], 0
+        sieve = Sieve("l2", self.targets, self.books.points(codes))
+        for lo in range(0, len(self.targets), _TILE):
+            rows = np.arange(lo, min(lo + _TILE, len(self.targets)))
+            tables = self.books.tables(self.targets[rows]).reshape(len(rows), -1)
+            start = 0
+            while start < len(slots):  # as many as were seen before, so that the lists' ends are up to date
+                stop = min(len(slots), start + max(2 * self.best.k, self.seen + start))
+                self._scan_part(rows, tables, sieve, codes, slots, start, stop)
+                start = stop
+        self.seen += len(slots)
+
+    def _scan_part(self, rows: np.ndarray, tables: np.ndarray, sieve: Sieve, codes: np.ndarray, slots: np.ndarray, start: int, stop: int) -> None:
+        new, flat = [], tables.ravel()
+        for lo in range(start, stop, 2 * _ROWS):
+            hi = min(lo + 2 * _ROWS, stop)
+            worst, last = self.best.distance[rows, -1], self.best.slot[rows, -1]
+            left = sieve.left(rows, lo, hi, worst, _LOOKED_SHARE) if sieve.usable and np.isfinite(worst).all() else None
+            if left is None:
+                self.best.update(rows, sum(tables[:, code + 256 * p] for p, code in enumerate(codes[lo:hi].T.astype(int))), slots[lo:hi])
+                continue
+            for i in range(0, len(left), _PAIRS):
+                q, v = np.divmod(left[i : i + _PAIRS], hi - lo)
+                v, row, far = v + lo, q * tables.shape[1], 0.0
+                for p, code in enumerate(codes.take(v, axis=0).T):
+                    far = far + flat.take(code + (row + 256 * p))
+                better = (far < worst[q]) | ((far == worst[q]) & (slots[v] < last[q]))
+                new.append((q[better], far[better], slots[v[better]]))
+        _merged(self.best, rows, new)
 
     def to_batch(self, ids: pa.Array) -> pa.RecordBatch:
-        at = np.repeat(np.arange(len(self.held)), [len(d) for d, _ in self.held])
-        return pa.RecordBatch.from_arrays(
-            [ids.take(pa.array(at)), pa.array(np.concatenate([s for _, s in self.held])), pa.array(np.concatenate([d for d, _ in self.held]))],
-            names=["query_id", "slot", "distance"])
+        return self.found().to_batch(ids)
+
+
+def _merged(best: RunningTopK, rows: np.ndarray, new: list[tuple[np.ndarray, np.ndarray, np.ndarray]]) -> None:
+    """Add (places in ``rows``, distances, slots) to the lists."""
+    if new:
+        q, far, slots = (np.concatenate(parts) for parts in zip(*new))
+        order = np.argsort(q, kind="stable")
+        touched, q = np.unique(q[order], return_inverse=True)
+        best._merge(rows[touched], q, far[order], slots[order])
+
+
+class _Reranked:
+    """The k nearest of each query's candidates, by the vectors that are shown one after the other."""
+
+    def __init__(self, metric: str, targets: np.ndarray, candidates: RunningTopK, k: int) -> None:
+        self.metric, self.targets, self.best = metric, targets, RunningTopK(len(targets), k)
+        held = candidates.slot != _NO_SLOT
+        order = np.argsort(candidates.slot[held], kind="stable")
+        self._slots, self._asking = candidates.slot[held][order], np.nonzero(held)[0][order]
+        self._new: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
+        self._pairs = 0
+
+    def add(self, points: np.ndarray, slots: np.ndarray) -> None:
+        first = np.searchsorted(self._slots, slots)
+        counts = np.searchsorted(self._slots, slots, "right") - first
+        ends = np.cumsum(counts)
+        for lo in range(0, ends[-1] if len(ends) else 0, _PAIRS):  # a vector may be a candidate of all queries
+            pair = np.arange(lo, min(lo + _PAIRS, ends[-1]))
+            v = np.searchsorted(ends, pair, "right")
+            q = self._asking[first[v] + pair - (ends[v] - counts[v])]
+            far = pair_distances(self.metric, self.targets[q], points[v])
+            better = far <= self.best.distance[q, -1]
+            self._new.append((q[better], far[better], slots[v[better]]))
+            self._pairs += len(pair)
+            if self._pairs >= _MERGED:
+                self.found()
+
+    def found(self) -> RunningTopK:
+        _merged(self.best, np.arange(len(self.targets)), self._new)
+        self._new, self._pairs = [], 0
+        return self.best
+
+
+def _streamed_search(books: Codebooks, codes: DataFrame, vectors: DataFrame, queries: DataFrame, k: int, keep: int) -> DataFrame:
+    """Hits of query tables of any size: a task per block of queries, past which the codes and then the vectors stream."""
+    spark, metric, schema = queries.sparkSession, books.metric, hits_schema(queries)
+    asked = queries.filter("embedding is not null and query_id is not null").select("query_id", "embedding")
+    asked = materialize(asked.withColumn("_row", F.monotonically_increasing_id()), "queries")
+    count = asked.count()
+    rows = max(1, min(BLOCK_ROWS, BLOCK_BYTES // (4 * books.dim), _MAX_HELD // keep))
+    # Enough tasks for all cores, of at least some thousand queries.
+    blocks = max(-(-count // rows), min(2 * spark.sparkContext.defaultParallelism, -(-count // 4096)), 1)
+    # Arrow writes an empty list much faster than a null one.
+    missing = {"query_id": F.lit(None).cast(queries.schema["query_id"].dataType), "slot": F.lit(0).cast("long"), "codes": F.lit(b""),
+               "embedding": F.array().cast("array<float>")}
+
+    def part(df: DataFrame, kind: int, block: Column) -> DataFrame:
+        columns = {**missing, **{c: F.col(c) for c in df.columns if c in missing}}
+        columns |= {"slot": columns["slot"].cast("long"), "embedding": columns["embedding"].cast("array<float>")}
+        return df.select(block.alias("_block"), F.lit(kind).alias("_kind"), *(value.alias(c) for c, value in columns.items()))
+
+    every = F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)))
+    met = part(asked, 0, F.pmod(F.xxhash64("_row"), F.lit(blocks)).cast("int")).unionByName(
+        part(codes.select("slot", "codes").filter("slot is not null"), 1, every)).unionByName(
+        part(vectors.select("slot", "embedding").filter("embedding is not null and slot is not null"), 2, every))
+
+    def points(batch: pa.RecordBatch) -> np.ndarray:
+        return _points(batch, "embedding", metric, books.dim)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        block, ids, targets, candidates, hits = None, [], [], None, None
+        for batch in batches:
+            for own, kind, rows in _runs(batch):
+                if own != block:
+                    if hits:
+                        yield hits.found().to_batch(pa.concat_arrays(ids))
+                    block, ids, targets, candidates, hits = own, [], [], None, None
+                if kind == 0:
+                    ids.append(rows.column("query_id"))
+                    targets.append(points(rows))
+                    continue
+                if not ids:
+                    continue
+                if candidates is None:
+                    targets = np.concatenate(targets)
+                    candidates = _Candidates(books, targets, keep)
+                slots = rows.column("slot").to_numpy()
+                if kind == 1:
+                    candidates.add(_code_bytes(rows.column("codes")), slots)
+                    continue
+                if hits is None:
+                    hits = _Reranked(metric, targets, candidates.found(), k)
+                hits.add(points(rows), slots)
+        if hits:
+            yield hits.found().to_batch(pa.concat_arrays(ids))
+
+    met = met.repartitionById(blocks, F.col("_block")).sortWithinPartitions("_block", "_kind")
+    return met.mapInArrow(run, schema)
+
+
+def _runs(batch: pa.RecordBatch) -> Iterator[tuple[int, int, pa.RecordBatch]]:
+    """The slices of a sorted batch with one block and kind."""
+    if not batch.num_rows:
+        return
+    block, kind = (batch.column(c).to_numpy() for c in ("_block", "_kind"))
+    starts = [0, *(np.flatnonzero((np.diff(block) != 0) | (np.diff(kind) != 0)) + 1), batch.num_rows]
+    for lo, hi in zip(starts, starts[1:]):
+        yield int(block[lo]), int(kind[lo]), batch.slice(lo, hi - lo)
 
 
 def pq_search(books: Codebooks, codes: DataFrame, vectors: DataFrame, queries: DataFrame, k: int = 10, refine: int = REFINE,
-              max_queries: int = MAX_QUERIES, depth: int = 0) -> DataFrame:
+              max_queries: int = MAX_QUERIES) -> DataFrame:
     """The k nearest of the ``refine`` candidates of each query: ``query_id, rank, slot, distance, score``.
 
-    ``codes`` are those of ``vectors``. More queries than one block may hold are searched block by block.
+    ``codes`` are those of ``vectors``. More queries than ``max_queries`` are dealt to blocks, past which codes and vectors stream.
     """
     metric = books.metric
     if k <= 0:
         return rank_hits(empty_table(queries.sparkSession, hits_schema(queries)), 0, metric)
     if refine > MAX_REFINE:
-        if not depth:
-            codes = materialize(codes.select("slot", "codes"), "codes")
-            if refine >= codes.count():
-                known = vectors.filter("embedding is not null").select(F.col("slot").cast("long").alias("slot"), "embedding")
-                return block_search(known.join(codes, "slot"), queries, k, metric, books.decoded)
+        codes = materialize(codes.select("slot", "codes"), "codes")
+        if refine >= codes.count():
+            known = vectors.filter("embedding is not null").select(F.col("slot").cast("long").alias("slot"), "embedding")
+            return block_search(known.join(codes, "slot"), queries, k, metric, books.decoded)
         max_queries = max(1, min(max_queries, _MAX_HELD // refine))
+    schema, keep = hits_schema(queries), max(k, refine)
     block = bounded_queries(queries, metric, max_queries)
     if block is None:
-        rows, floats = queries.agg(F.count(F.lit(1)), F.coalesce(F.sum(F.size("embedding").cast("long")), F.lit(0))).first()
-        blocks = max(2, -(-2 * rows // max_queries), -(-16 * floats // MAX_BROADCAST_BYTES))
-        part = F.pmod(F.xxhash64(F.lit(depth), "query_id"), F.lit(blocks))  # each depth deals the queries anew
-        return reduce(DataFrame.unionByName, (
-            pq_search(books, codes, vectors, queries.filter(part == i), k, refine, max_queries, depth + 1) for i in range(blocks)))
-    schema, keep = hits_schema(queries), max(k, refine)
+        return rank_hits(_streamed_search(books, codes, vectors, queries, k, keep), k, metric)
     if not len(block.ids):
         return rank_hits(empty_table(queries.sparkSession, schema), k, metric)
     shared = queries.sparkSession.sparkContext.broadcast((block.ids, block.matrix))
 
     def estimate(batches):
         ids, targets = shared.value
-        best = _Candidates(books.tables(targets), keep)
+        best = _Candidates(books, targets, keep)
         for batch in batches:
             if batch.num_rows:
-                best.scan(_code_bytes(batch.column("codes")), batch.column("slot").to_numpy())
+                best.add(_code_bytes(batch.column("codes")), batch.column("slot").to_numpy())
         yield best.to_batch(ids)
 
     order = Window.partitionBy("query_id").orderBy("distance", "slot")

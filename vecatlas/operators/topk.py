@@ -31,6 +31,8 @@ MAX_BROADCAST_QUERIES = 20_000
 MAX_BROADCAST_BYTES = 64 * 1024 * 1024
 # Bound on one block of the score matrix.
 _SCORE_CELLS = 4_000_000
+# Bound on the lists that are sorted at once.
+_MERGED_CELLS = 1 << 20
 # Vectors that fill the lists before single precision is used, and the share of pairs up to which it pays.
 _FIRST, _SIEVED_SHARE = 1024, 1 / 32
 # Bound on a block of vectors or queries in a block search, in rows and bytes.
@@ -93,26 +95,26 @@ class Sieve:
         if metric != "cosine":
             left.append(np.ones((len(queries), 1)))
             right.append(-0.5 * squares[:, None])
-        far = np.sqrt(sum((part * part).sum(axis=1).max(initial=0.0) for part in right))
-        reach = np.sqrt(sum((part * part).sum(axis=1) for part in left))
+        far = np.sqrt(sum(np.einsum("ij,ij->i", part, part).max(initial=0.0) for part in right))
+        reach = np.sqrt(sum(np.einsum("ij,ij->i", part, part) for part in left))
         width = sum(part.shape[1] for part in right)
         self.usable = bool(far < 1e15 and reach.max(initial=0.0) < 1e15)  # neither for nan
         self.margin = (width + 10) * 2.0**-23 * reach * far + width * 1e-36
         # Distances are compared on a grid.
         self.margin += 1e-9 if metric == "cosine" else 2.0**-28 * (self.squares + squares.max(initial=0.0))
         if self.usable:
-            self._left, self._right = (np.concatenate(parts, axis=1).astype(np.float32) for parts in (left, right))
+            self._left, self._right = (np.concatenate(parts, axis=1, dtype=np.float32, casting="same_kind") for parts in (left, right))
 
-    def left(self, rows: np.ndarray, lo: int, hi: int, worst: np.ndarray) -> np.ndarray | None:
+    def left(self, rows: np.ndarray, lo: int, hi: int, worst: np.ndarray, share: float = _SIEVED_SHARE) -> np.ndarray | None:
         """Places in the table of ``rows`` and the vectors from ``lo`` to ``hi`` that may be as near as ``worst``; None for many."""
         least = 1.0 - worst if self.metric == "cosine" else 0.5 * (self.squares[rows] - worst)
         least = np.nextafter((least - self.margin[rows]).astype(np.float32), np.float32(-np.inf))
         left = self._left[rows] @ self._right[lo:hi].T >= least[:, None]
-        if np.count_nonzero(left) > left.size * _SIEVED_SHARE:
+        if np.count_nonzero(left) > left.size * share:
             return None
         if left.size % 8:
             return np.flatnonzero(left)
-        eights = np.flatnonzero(left.ravel().view(np.uint64))  # few of them hold any pair
+        eights = np.flatnonzero(left.ravel().view(np.uint64) != 0)  # few of them hold any pair
         at, within = np.nonzero(left.reshape(-1, 8)[eights])
         return eights[at] * 8 + within
 
@@ -143,19 +145,30 @@ class RunningTopK:
             self._merge(rows, q, found[q, v], slots[v])
 
     def _merge(self, rows: np.ndarray, q: np.ndarray, found: np.ndarray, slots: np.ndarray) -> None:
-        """Add single distances: those of the queries ``rows[q]``."""
-        query = np.concatenate([np.repeat(np.arange(len(rows)), self.k), q])
-        dist = np.concatenate([self.distance[rows].ravel(), found])
-        slot = np.concatenate([self.slot[rows].ravel(), slots])
-        if self.windows:  # a slot that was known already counts once
-            near = np.lexsort((dist, slot, query))
-            again = (np.diff(query[near]) == 0) & (np.diff(slot[near]) == 0) & (slot[near][1:] != _NO_SLOT)
-            dist[near[1:][again]], slot[near[1:][again]] = np.inf, _NO_SLOT
-        order = np.lexsort((slot, dist, query))
-        first = np.searchsorted(query[order], np.arange(len(rows)))
-        keep = order[(first[:, None] + np.arange(self.k)[None, :]).ravel()]
-        self.distance[rows] = dist[keep].reshape(len(rows), self.k)
-        self.slot[rows] = slot[keep].reshape(len(rows), self.k)
+        """Add single distances: those of the queries ``rows[q]``, where ``q`` ascends."""
+        counts = np.bincount(q, minlength=len(rows))
+        starts = np.concatenate([[0], np.cumsum(counts)])
+        step = max(1, _MERGED_CELLS // (self.k + int(counts.max(initial=0))))
+        for lo in range(0, len(rows), step):
+            part, own = rows[lo : lo + step], counts[lo : lo + step]
+            a, b = starts[lo], starts[lo + len(part)]
+            dist = np.full((len(part), self.k + int(own.max())), np.inf)
+            slot = np.full(dist.shape, _NO_SLOT, dtype=np.int64)
+            dist[:, : self.k], slot[:, : self.k] = self.distance[part], self.slot[part]
+            place = q[a:b] - lo, self.k + np.arange(a, b) - starts[q[a:b]]
+            dist[place], slot[place] = found[a:b], slots[a:b]
+            if self.windows:  # a slot that was known already counts once
+                near = np.lexsort((dist, slot), axis=1)
+                dist, slot = np.take_along_axis(dist, near, axis=1), np.take_along_axis(slot, near, axis=1)
+                again = np.zeros(dist.shape, dtype=bool)
+                again[:, 1:] = (slot[:, 1:] == slot[:, :-1]) & (slot[:, 1:] != _NO_SLOT)
+                dist[again], slot[again] = np.inf, _NO_SLOT
+            order = np.argsort(dist, axis=1)
+            near = np.take_along_axis(dist, order, axis=1)
+            tied = np.flatnonzero((near[:, 1 : self.k + 1] == near[:, : self.k][:, : near.shape[1] - 1]).any(axis=1))
+            order[tied] = np.lexsort((slot[tied], dist[tied]), axis=1)
+            self.distance[part] = near[:, : self.k]
+            self.slot[part] = np.take_along_axis(slot, order[:, : self.k], axis=1)
 
     def scan(self, metric: str, queries: np.ndarray, rows: np.ndarray, vectors: np.ndarray,
              slots: np.ndarray, coarse: Sieve | None = None) -> None:
